@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in tests.
@@ -125,3 +126,30 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+#: Bytes of text that a Python worker handles at once; a longer text is still handled whole.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES):
+    """Slices of a batch with about `limit` bytes of `column` each, so that memory doesn't grow with the batch."""
+    array = batch.column(column)
+    if len(array) == 0:
+        return
+    ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(array.cast(pa.large_binary())).to_numpy(zero_copy_only=False), dtype=np.float64)))
+    at = 0
+    while at < len(array):
+        base = ends[at - 1] if at else 0.0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def count_true(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """True values in each stretch of a mask."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(mask, offsets[:-1][some], dtype=np.int64)
+    return out

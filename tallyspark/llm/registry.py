@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import token_output
+from . import quality, sharding, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
+    "op4_sharding": sharding.query,
+    "op7_quality": quality.query,
 }
 
 ORACLES: dict[str, str] = {}

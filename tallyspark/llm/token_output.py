@@ -19,7 +19,9 @@ and rows are kept, tied keys are ordered by their ids. An empty table writes no
 
 from __future__ import annotations
 
+import itertools
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,10 +38,10 @@ BLOCK = 256
 IDS_SCHEMA = "doc_id long, n_tokens long, ids binary"
 FILE_SCHEMA = "file int, segment int, first long, n_docs long, n_tokens long, payload binary"
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[bytes, np.ndarray]] = {}
+_known: dict[str, dict[bytes, bytes]] = {}
 
 
 def _tokenizer(path: str):
@@ -53,6 +55,40 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: ASCII signs that may close a word: a word of letters before them is a token of the pre-tokenizer by itself.
+CLOSING = ",.;:!?)"
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
+
+
+def _letters(word: str) -> bool:
+    """Whether the normalizer only lower-cases this word and the pre-tokenizer keeps it whole."""
+    return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", low := word.lower()) and "\u03a3" not in word and len(low) == len(word)))
+
+
+def _word_ids(words: list[str], path: str, known: dict[bytes, bytes]) -> None:
+    """Add the ids of words to `known`. A word of letters, less its closing signs, goes to the tokenizer's model as such."""
+    tok = _tokenizer(path)
+    model, rest = tok.model, []
+    for word in words:
+        head = word.rstrip(CLOSING)
+        tail = word[len(head) :]
+        if not _letters(head) or not (tail == "" or (t := known.get(tail.encode())) is not None):
+            rest.append(word)
+            continue
+        if tail and (got := known.get(head.encode())) is not None:
+            known[word.encode()] = got + t
+            continue
+        low = head.lower()
+        if not low.isascii():
+            low = "".join(map(BYTE_CHARS.__getitem__, low.encode()))
+        got = np.array([x.id for x in model.tokenize(low)], "<u4").tobytes()
+        known[word.encode()] = got + t if tail else got
+    for word, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        known[word.encode()] = np.array(e.ids, "<u4").tobytes()
+
+
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by the end id, and offsets.
 
@@ -63,16 +99,14 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
     found = C.words(data, offsets, C.NOT_SPACE)
     codes, distinct = C.coded(C.word_array(data, found))
     known = _known.setdefault(path, {})
+    if len(known) > CACHED_WORDS or not known:
+        known.clear()
+        _word_ids([t for n in (1, 2, 3) for t in map("".join, itertools.product(CLOSING, repeat=n))], path, known)
     stretches = distinct.to_pylist()
-    new = [w for w in stretches if w not in known]
-    if new:
-        for w, e in zip(new, _tokenizer(path).encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32)
+    _word_ids([w.decode() for w in stretches if w not in known], path, known)
     pieces = [known[w] for w in stretches]
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    pool = np.concatenate([*pieces, np.zeros(0, np.uint32)]).astype(np.uint32)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    pool = np.frombuffer(b"".join(pieces), "<u4")
     starts = np.cumsum(lengths) - lengths
     per_word = lengths[codes]
     ids = pool[C.ragged(starts[codes], per_word)]
@@ -83,6 +117,8 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
 def splits_at_space(path: str) -> bool:
     """Whether encoding the stretches between white space gives what encoding the text gives."""
     tok = _tokenizer(path)
+    if any(n not in str(tok.pre_tokenizer) + str(tok.normalizer) for n in ("ByteLevel", "NFC", "Lowercase", "\\p{L}")):
+        return False
     probe = "It's a Test, don't\n\n split12 \t éàü <|endoftext|> 中文 x"
     whole = tok.encode(probe, add_special_tokens=False).ids
     return whole == [i for w in probe.split() for i in tok.encode(w, add_special_tokens=False).ids]
@@ -95,9 +131,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, offsets = encode_texts(batch.column("text"), tokenizer, end_id)
-            raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), raw], ["doc_id", "n_tokens", "ids"])
+            for piece in C.pieces(batch, "text"):
+                ids, offsets = encode_texts(piece.column("text"), tokenizer, end_id)
+                raw = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(offsets)), raw], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, IDS_SCHEMA)
 

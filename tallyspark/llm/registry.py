@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, token_output
+from . import decontaminate, language, quality, sharding, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
     "op4_sharding": sharding.query,
     "op7_quality": quality.query,
+    "op8_language": language.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality, sharding, token_output
+from . import chat, decontaminate, html, language, quality, sharding, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
     "op4_sharding": sharding.query,
+    "op5_html": html.query,
+    "op6_chat": chat.query,
     "op7_quality": quality.query,
     "op8_language": language.query,
     "op10_decontaminate": decontaminate.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat": chat.ORACLE,
+}

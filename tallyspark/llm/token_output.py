@@ -19,7 +19,6 @@ and rows are kept, tied keys are ordered by their ids. An empty table writes no
 
 from __future__ import annotations
 
-import itertools
 import struct
 import unicodedata
 import zlib
@@ -27,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
@@ -35,13 +35,15 @@ HEAD = struct.Struct("<4sIQIIII")
 MAGIC = b"TLH1"
 SEGMENT_TOKENS = 1 << 20
 BLOCK = 256
+#: Bytes of text encoded at once in a worker.
+PIECE = 8 << 20
 IDS_SCHEMA = "doc_id long, n_tokens long, ids binary"
 FILE_SCHEMA = "file int, segment int, first long, n_docs long, n_tokens long, payload binary"
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[bytes, bytes]] = {}
+_known: dict[str, "Known"] = {}
 
 
 def _tokenizer(path: str):
@@ -57,6 +59,8 @@ def _tokenizer(path: str):
 
 #: ASCII signs that may close a word: a word of letters before them is a token of the pre-tokenizer by itself.
 CLOSING = ",.;:!?)"
+IS_CLOSING = C.byte_table(CLOSING.encode())
+IS_LETTER = C.byte_table(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
@@ -67,50 +71,77 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", low := word.lower()) and "\u03a3" not in word and len(low) == len(word)))
 
 
-def _word_ids(words: list[str], path: str, known: dict[bytes, bytes]) -> None:
-    """Add the ids of words to `known`. A word of letters, less its closing signs, goes to the tokenizer's model as such."""
-    tok = _tokenizer(path)
-    model, rest = tok.model, []
-    for word in words:
-        head = word.rstrip(CLOSING)
-        tail = word[len(head) :]
-        if not _letters(head) or not (tail == "" or (t := known.get(tail.encode())) is not None):
-            rest.append(word)
-            continue
-        if tail and (got := known.get(head.encode())) is not None:
-            known[word.encode()] = got + t
-            continue
-        low = head.lower()
-        if not low.isascii():
-            low = "".join(map(BYTE_CHARS.__getitem__, low.encode()))
-        got = np.array([x.id for x in model.tokenize(low)], "<u4").tobytes()
-        known[word.encode()] = got + t if tail else got
-    for word, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        known[word.encode()] = np.array(e.ids, "<u4").tobytes()
+class Known:
+    """The ids of the words met so far, found again by Arrow's hashing; only new words are touched one by one."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.tok = _tokenizer(path)
+        self.words = pa.array([], pa.large_binary())
+        self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each of some distinct words, after learning the new ones."""
+        if len(self.words) > CACHED_WORDS:
+            self.__init__(self.path)
+        found = pc.index_in(distinct, value_set=self.words)
+        missing = found.is_null()
+        if found.null_count:
+            new = distinct.filter(missing)
+            ids = self._encode([w.decode() for w in new.to_pylist()])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+            n = len(self.words)
+            self.words = pa.concat_arrays([self.words, new])
+            out = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out[np.asarray(missing)] = n + np.arange(len(new))
+            return out
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """A word of letters, less its closing signs, goes to the tokenizer's model as such; other words as texts."""
+        model, out, rest, tails = self.tok.model, [b""] * len(words), [], {"": b""}
+        for i, word in enumerate(words):
+            head = word.rstrip(CLOSING)
+            if not _letters(head):
+                rest.append(i)
+                continue
+            tail = word[len(head) :]
+            if tail not in tails:
+                tails[tail] = np.array(self.tok.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+            low = head.lower()
+            if not low.isascii():
+                low = "".join(map(BYTE_CHARS.__getitem__, low.encode()))
+            out[i] = np.array([x.id for x in model.tokenize(low)], "<u4").tobytes() + tails[tail]
+        for i, e in zip(rest, self.tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by the end id, and offsets.
 
-    Right for tokenizers that split at ASCII white space and drop it, as `splits_at_space` checks: each distinct
-    stretch between white space is then encoded once by the tokenizers library.
+    Right for tokenizers that lower-case and that split at ASCII white space and drop it, as `splits_at_space` checks.
+    The texts are cut at white space and between an ASCII letter and a closing sign, where this pre-tokenizer always
+    cuts; each distinct stretch is then encoded once by the tokenizers library.
     """
     data, offsets = C.utf8(texts)
-    found = C.words(data, offsets, C.NOT_SPACE)
-    codes, distinct = C.coded(C.word_array(data, found))
-    known = _known.setdefault(path, {})
-    if len(known) > CACHED_WORDS or not known:
-        known.clear()
-        _word_ids([t for n in (1, 2, 3) for t in map("".join, itertools.product(CLOSING, repeat=n))], path, known)
-    stretches = distinct.to_pylist()
-    _word_ids([w.decode() for w in stretches if w not in known], path, known)
-    pieces = [known[w] for w in stretches]
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    pool = np.frombuffer(b"".join(pieces), "<u4")
-    starts = np.cumsum(lengths) - lengths
-    per_word = lengths[codes]
-    ids = pool[C.ragged(starts[codes], per_word)]
-    ends = np.concatenate([[0], np.cumsum(per_word)])[found[2]]  # token offsets of the documents
+    if b"<|" not in data.tobytes():  # the special tokens' strings are told apart by case
+        data = C.LOWER[data]
+    starts, ends, of_doc, mask = C.words(data, offsets, C.NOT_SPACE)
+    cuts = np.flatnonzero(IS_CLOSING[data[1:]] & IS_LETTER[data[:-1]]) + 1
+    cuts = cuts[~np.isin(cuts, offsets)]
+    before = np.searchsorted(starts, cuts)
+    starts, ends, of_doc = np.insert(starts, before, cuts), np.insert(ends, before - 1, cuts), of_doc + np.searchsorted(cuts, offsets)
+    codes, distinct = C.coded(C.word_array(data, (starts, ends, of_doc, mask)))
+    if path not in _known:
+        _known[path] = Known(path)
+    known = _known[path]
+    at = known.places(distinct)[codes]
+    per_word = known.starts[at + 1] - known.starts[at]
+    ids = known.pool[C.ragged(known.starts[at], per_word)]
+    ends = np.concatenate([[0], np.cumsum(per_word)])[of_doc]  # token offsets of the documents
     return np.insert(ids, ends[1:], np.uint32(end_id)), ends + np.arange(len(ends))
 
 
@@ -124,29 +155,35 @@ def splits_at_space(path: str) -> bool:
     return whole == [i for w in probe.split() for i in tok.encode(w, add_special_tokens=False).ids]
 
 
+def id_kind(tokenizer: str, end_id: int) -> str:
+    """The narrowest unsigned type for this vocabulary's ids."""
+    return "<u2" if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
+    """doc_id, n_tokens and ids (of `id_kind`) of every whole text."""
+    kind = id_kind(tokenizer, end_id)
     if not splits_at_space(tokenizer):
         raise ValueError("this tokenizer joins text over white space")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in C.pieces(batch, "text"):
+            for piece in C.pieces(batch, "text", PIECE):
                 ids, offsets = encode_texts(piece.column("text"), tokenizer, end_id)
-                raw = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                raw = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer((offsets * int(kind[-1])).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(offsets)), raw], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, IDS_SCHEMA)
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     """Count of each id; as many rows as the vocabulary has reach the driver, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = C.utf8(batch.column("ids"))
-            n = np.bincount(np.frombuffer(data.tobytes(), "<u4"))
+            n = np.bincount(np.frombuffer(data.tobytes(), kind))
             if len(n) > len(total):
                 total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
             total[: len(n)] += n
@@ -251,7 +288,7 @@ def unpack(payload: bytes, symbol: np.ndarray, width: np.ndarray) -> tuple[list,
     return [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], counts, out.T.reshape(-1)[:n_tokens]
 
 
-def write_files(tokens: DataFrame, lengths: np.ndarray, path: str, files: int) -> None:
+def write_files(tokens: DataFrame, kind: str, lengths: np.ndarray, path: str, files: int) -> None:
     """Write the ids in ascending order of doc_id as `files` files of segments under `path`/data, the codebook under `path`/codebook."""
     codes, _, _ = canonical(lengths)
 
@@ -271,7 +308,7 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, path: str, files: int) -
 
         for batch in batches:
             data, offsets = C.utf8(batch.column("ids"))
-            flat, ends = np.frombuffer(data.tobytes(), "<u4"), offsets // 4
+            flat, ends = np.frombuffer(data.tobytes(), kind), offsets // int(kind[-1])
             names = batch.column("doc_id").to_pylist()
             at = 0
             while at < len(names):
@@ -319,8 +356,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, li
     """Tokenise the whole corpus once, fit the codebook to its counts and write the files."""
     spark = docs.sparkSession
     tokens = C.staged(tokenize(docs, tokenizer, end_id), "ids")
-    lengths = code_lengths(id_counts(tokens), limit)
-    write_files(tokens, lengths, path, files or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = id_kind(tokenizer, end_id)
+    lengths = code_lengths(id_counts(tokens, kind), limit)
+    write_files(tokens, kind, lengths, path, files or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

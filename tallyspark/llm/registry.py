@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, language, pii, quality, sharding, token_output
+from . import chat, decontaminate, html, language, neardup, pii, quality, sharding, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
+    "op2_neardup": neardup.query,
     "op3_pii": pii.query,
     "op4_sharding": sharding.query,
     "op5_html": html.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, language, neardup, pii, quality, sharding, token_output
+from . import chat, decontaminate, html, language, neardup, pii, quality, sharding, subword, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat": chat.query,
     "op7_quality": quality.query,
     "op8_language": language.query,
+    "op9_subword": subword.query,
     "op10_decontaminate": decontaminate.query,
 }
 

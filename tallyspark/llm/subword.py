@@ -35,7 +35,8 @@ from .neardup import GOLDEN, mix
 ALPHA = 0.5
 OFFSET = 100
 #: Bytes whose distinct units share one lattice, and bytes sampled at once within them.
-LATTICE_BYTES = 12 << 20
+LATTICE_BYTES = 6 << 20
+SAMPLED_BYTES = 1 << 20
 SPACE = "▁"
 SAMPLE_SCHEMA = "doc_id long, sample int, ids binary, log_prob double, log_inclusion double"
 
@@ -145,8 +146,10 @@ class Lattice:
         found.reverse()  # a node's longest piece, mostly its likeliest, comes first
         origin, length, piece = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
         source = starts[origin] + owner[starts[origin]] if len(starts) else np.zeros(0, np.int64)
+        del found, spelt, single, state, at
         order = np.argsort(source, kind="stable")
-        self.source, self.piece, self.length = source[order], piece[order], length[order]
+        self.source, self.piece, self.length = source[order], piece[order].astype(np.int32), length[order].astype(np.int32)
+        del source, piece, length, origin, order
         self.target = self.source + self.length
         n_nodes = int(self.last_node[-1]) + 1 if len(sizes) else 0
         self.count = np.bincount(self.source, minlength=n_nodes + 1)
@@ -379,7 +382,7 @@ def encode_batches(batches: Batches, model: str, k: int) -> Batches:
             keys = np.asarray(piece.column("doc_id").fill_null(-1))
             sub = 0
             while sub < len(piece):  # paths are drawn for a stretch of documents at a time
-                to = max(sub + 1, int(np.searchsorted(offsets, offsets[sub] + C.PIECE_BYTES // 2, side="right")) - 1)
+                to = max(sub + 1, int(np.searchsorted(offsets, offsets[sub] + SAMPLED_BYTES, side="right")) - 1)
                 lo, hi = of_doc[sub], of_doc[to]
                 for m, who, arcs, counts, log_prob, above in sample_texts(vocab, lat, codes[lo:hi], of_doc[sub : to + 1] - lo, keys[sub:to], k):
                     ids, n = arc_ids(vocab, lat, (spelling, owner), arcs, counts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -42,11 +43,11 @@ def containment(a: str | None, b: str | None) -> float:
     return max(ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best_ratio(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_containment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([containment(x, y) for x, y in zip(a, b)])

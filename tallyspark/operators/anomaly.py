@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def close_repeats(rows: DataFrame, keys: list[str], at: str, row_id: str, seconds: int = 86_400) -> DataFrame:
     """WIN1, A01: rows that follow one of the same key within a day."""
     w = Window.partitionBy(*keys).orderBy(at, row_id)
-    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
-    return rows.withColumns({"previous_id": F.lag(row_id).over(w), "gap_s": F.floor(gap / 1_000_000)}).where(gap <= seconds * 1_000_000)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
+    seen = rows.withColumns({"previous_id": F.lag(row_id).over(w), "gap_us": gap})
+    return seen.where(F.col("gap_us") <= seconds * 1_000_000).withColumn("gap_s", F.floor(F.col("gap_us") / 1_000_000)).drop("gap_us")
 
 
 def running_counts(rows: DataFrame, keys: list[str], on: str, row_id: str) -> DataFrame:

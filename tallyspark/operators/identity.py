@@ -143,9 +143,9 @@ def clusters(pairs: DataFrame) -> DataFrame:
     tag = lambda c: F.concat_ws(":", F.col("ws"), F.lpad(F.col(c).cast("string"), 20, "0"))
     label = graph.components(accepted.select(tag("l").alias("u"), tag("r").alias("v")))
     barred = cannot_link(pairs)
-    within = barred.join(label.withColumnsRenamed({"node": "nl", "label": "a"}), tag("l") == F.col("nl")).join(label.withColumnsRenamed({"node": "nr", "label": "b"}), tag("r") == F.col("nr")).where("a = b").select("ws", "l", "r", F.col("a").alias("label"))
+    within = barred.join(label.withColumnsRenamed({"node": "nl", "label": "a"}), tag("l") == F.col("nl")).join(label.withColumnsRenamed({"node": "nr", "label": "b"}), tag("r") == F.col("nr")).where("a = b").select(F.col("ws").alias("ws"), F.col("l").alias("l"), F.col("r").alias("r"), F.col("a").alias("label"))
     split = within.select("label").distinct()
-    edges = accepted.join(label, tag("l") == F.col("node")).drop("node")
+    edges = accepted.join(label, tag("l") == F.col("node")).select(*(F.col(c).alias(c) for c in ("ws", "l", "r", "weight", "label")))
     kind = dict(pairs.dtypes)
     ids = accepted.select("ws", F.explode(F.array("l", "r")).alias("id")).distinct().withColumn("node", tag("id")).join(label, "node")
     root = ids.groupBy("label").agg(F.min("id").alias("cluster"))

@@ -151,7 +151,7 @@ def resolved(queue_items: DataFrame, decisions: DataFrame) -> DataFrame:
     d = decisions.where("reason IS NOT NULL AND trim(reason) != ''").select("ws", "question_key", "decision", "reason").dropDuplicates(["ws", "question_key"])
     rows = queue_items.join(d, ["ws", "question_key"], "left")
     hit = (F.col("status") == "OPEN") & F.col("decision").isNotNull()
-    return rows.withColumn("status", F.when(hit, "RESOLVED").otherwise(F.col("status"))).withColumn("decision", F.when(hit, F.col("decision")))
+    return rows.withColumns({"status": F.when(hit, "RESOLVED").otherwise(F.col("status")), "decision": F.when(hit, F.col("decision"))})
 
 
 def settlement_export(invoices: DataFrame, allocations: DataFrame, claims: DataFrame) -> DataFrame:

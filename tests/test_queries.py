@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -32,5 +33,11 @@ def test_against_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: sorted(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:10] for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+
+    def cell(v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return ""
+        return f"{v:.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:10] if hasattr(v, "year") else str(v)
+
+    rows = lambda df: sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)

@@ -26,12 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and return it read back, so that nothing
-    upstream is computed again when an executor is lost."""
+def staged(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and return it read back, so that nothing upstream is computed again when an
+    executor is lost. With `gather`, for what comes out of a shuffle, at most four tasks a core write, so that many small
+    partitions don't become as many small files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.coalesce(4 * spark.sparkContext.defaultParallelism) if gather else df
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -153,3 +155,13 @@ def count_true(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(some):
         out[some] = np.add.reduceat(mask, offsets[:-1][some], dtype=np.int64)
     return out
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; workers are reused, so they would keep their largest piece's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)

@@ -35,8 +35,8 @@ from .neardup import GOLDEN, mix
 ALPHA = 0.5
 OFFSET = 100
 #: Bytes whose distinct units share one lattice, and bytes sampled at once within them.
-LATTICE_BYTES = 6 << 20
-SAMPLED_BYTES = 1 << 20
+LATTICE_BYTES = 3 << 20
+SAMPLED_BYTES = 1 << 19
 SPACE = "▁"
 SAMPLE_SCHEMA = "doc_id long, sample int, ids binary, log_prob double, log_inclusion double"
 
@@ -390,6 +390,8 @@ def encode_batches(batches: Batches, model: str, k: int) -> Batches:
                     raw = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(who + sub)), pa.array(np.full(len(who), m), pa.int32()), raw, pa.array(log_prob), pa.array(inclusion(above))], ["doc_id", "sample", "ids", "log_prob", "log_inclusion"])
                 sub = to
+            del lat, codes, distinct, cut, data, first, starts, owner, spelling
+            C.trim()
 
 
 def decode_batches(batches: Batches, model: str) -> Batches:

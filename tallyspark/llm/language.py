@@ -169,12 +169,13 @@ def learn(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
     return Model(model)
 
 
-def predict(docs: DataFrame, model: Model, passed: list[str] | None = None) -> DataFrame:
-    """The columns `passed` of each row with lang_pred, score (0 to 1) and bits_per_byte."""
+def predict(docs: DataFrame, model: Model, passed: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """The columns `passed` of each row (doc_id unless told) with the language, the score (0 to 1) and the bits a byte, under `names`.
+    Callers that pass unknown columns on choose names that can't clash with them."""
     passed = passed if passed is not None else ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS bounds it
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), "lang_pred string, score double, bits_per_byte double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), *(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double"), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -195,16 +196,16 @@ def predict(docs: DataFrame, model: Model, passed: list[str] | None = None) -> D
                     lettered, lang, score, per_byte = np.zeros(n, bool), np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
                 yield pa.RecordBatch.from_arrays(
                     [*(piece.column(c) for c in passed), pa.array(np.where(lettered, lang, UNKNOWN), pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(np.where(lettered, per_byte, 0.0))],
-                    [*passed, "lang_pred", "score", "bits_per_byte"],
+                    [*passed, *names],
                 )
 
     return docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, passed: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, passed: list[str] | None = None, **names) -> DataFrame:
     """Learn from the documents that aren't held out, predict all."""
     model = learn(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model, passed)
+    return predict(docs, model, passed, **names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ What matches but isn't valid (a 16-digit number that fails Luhn, a date on 30 Fe
 The texts are split at the matches and joined again, so nothing else changes.
 
 Nulls: a null text stays null, with no finds. Empty and very long texts, repeated rows and empty tables need nothing special.
-Extra columns are passed on by `pseudonymise`; a column named as one that it adds is replaced.
+Extra columns are passed on by `pseudonymise`; one named `kinds_as` is replaced.
 """
 
 from __future__ import annotations
@@ -253,19 +253,20 @@ def _cut(t: Column, pattern: str) -> Column:
     return F.when(~t.contains(SENTINEL), marked).otherwise(F.slice(zipped, 1, F.greatest(F.size(zipped) - 1, F.lit(1))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """The rows with `text` rewritten, and `pii`, the kinds replaced in order."""
+def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", kinds_as: str = "pii") -> DataFrame:
+    """The rows with `text` rewritten, and the kinds replaced in order as the column `kinds_as`."""
     t = F.col(text)
     parts = F
     for hint, pattern in SEARCHES:
         parts = parts.when(t.rlike(hint), _cut(t, pattern))
     as_is = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"))
-    rows = docs.withColumn("_parts", parts)
-    rows = rows.withColumn("_made", F.transform("_parts", lambda p, i: F.when(i % 2 == 1, replaced(p, key)).otherwise(F.struct(as_is["kind"].alias("kind"), p.alias("value")))))
-    kinds = F.array_compact(F.transform("_made", lambda m: m["kind"]))
-    rows = rows.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>")))
-    joined = F.array_join(F.transform("_made", lambda m: m["value"]), "")
-    return rows.withColumn(text, F.when(F.size("pii") > 0, joined).otherwise(t)).drop("_parts", "_made")
+    cut, made = "__pii_parts", "__pii_made"  # beside whatever columns there are
+    rows = docs.withColumn(cut, parts)
+    rows = rows.withColumn(made, F.transform(cut, lambda p, i: F.when(i % 2 == 1, replaced(p, key)).otherwise(F.struct(as_is["kind"].alias("kind"), p.alias("value")))))
+    kinds = F.array_compact(F.transform(made, lambda m: m["kind"]))
+    rows = rows.withColumn(kinds_as, F.coalesce(kinds, F.array().cast("array<string>")))
+    joined = F.array_join(F.transform(made, lambda m: m["value"]), "")
+    return rows.withColumn(text, F.when(F.size(kinds_as) > 0, joined).otherwise(t)).drop(cut, made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,412 @@
+"""The training-data operators against brute force, round trips and odd tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import chat, common as C, decontaminate, html, language, neardup, pii, quality, sharding, subword, token_output
+
+P = pytest.importorskip("public_tokenizers")
+WORD_BPE, PIECES = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
+ODD = [(1, "The Cat sat, on the mat."), (2, None), (3, ""), (3, "twice"), (3, "twice"), (None, "no key"), (7, "É ünï <|endoftext|> 中文,。 \n\n#!! x"), (8, "word " * 3000), (9, "   ")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, long and repeated texts, with columns whose names operators use themselves."""
+    rows = [(i, t, "x", 1, 2, "p") for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, shard int, pii string")
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+# --- token output --------------------------------------------------------------------------------------------------------------------------
+
+
+def test_token_files_round_trip(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    token_output.write_corpus(odd, f"file://{tmp_path}/t", WORD_BPE, files=3)
+    got = token_output.read_files(spark, f"file://{tmp_path}/t").orderBy("start").collect()
+    tok = Tokenizer.from_file(WORD_BPE)
+    want = sorted((t[0] is not None, t[0] or 0, tuple([*tok.encode(t[1] or "", add_special_tokens=False).ids, 1])) for t in ODD)
+    ids = lambda r: tuple(np.frombuffer(bytes(r["ids"]), "<u4").tolist())
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, ids(r)) for r in got) == want
+    assert [r["doc_id"] or -1 for r in got] == sorted(r["doc_id"] or -1 for r in got)
+    at = 0
+    for r in got:
+        assert r["start"] == at and r["n_tokens"] == len(ids(r))
+        at += r["n_tokens"]
+
+
+def test_token_files_of_an_empty_table(spark, empty, tmp_path):
+    token_output.write_corpus(empty, f"file://{tmp_path}/t", WORD_BPE, files=2)
+    assert token_output.read_files(spark, f"file://{tmp_path}/t").count() == 0
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 50, 700):
+        counts = {int(i): int(c) for i, c in enumerate(1 + rng.zipf(1.3, n).clip(max=10**9))}
+        lengths = token_output.code_lengths(counts, 12)
+        used = lengths[lengths > 0].astype(int)
+        assert len(used) == n and used.max() <= 12 and (n == 1 or sum(2.0 ** -used) == 1.0)
+    # without a limit that binds, as good as Huffman's codes
+    import heapq
+
+    counts = {i: c for i, c in enumerate([5, 9, 12, 13, 16, 45])}
+    heap = list(counts.values())
+    heapq.heapify(heap)
+    cost = 0
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        cost += a + b
+        heapq.heappush(heap, a + b)
+    assert sum(c * int(token_output.code_lengths(counts)[i]) for i, c in counts.items()) == cost
+
+
+def test_segment_blocks():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 300, 1000)
+    lengths = token_output.code_lengths(dict(Counter(ids.tolist())))
+    codes, symbol, width = token_output.canonical(lengths)
+    payload = token_output.pack([5, None], np.array([400, 600]), ids, lengths, codes, block=64)
+    keys, counts, back = token_output.unpack(payload, symbol, width)
+    assert keys == [5, None] and counts.tolist() == [400, 600] and (back == ids).all()
+    with pytest.raises(ValueError):
+        token_output.unpack(payload[:-1] + b"x", symbol, width)
+
+
+# --- near duplicates -----------------------------------------------------------------------------------------------------------------------
+
+
+def weighted(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def exact(a, b):
+    a, b = weighted(a), weighted(b)
+    n = sum((a & b).values())
+    return n / max(1, sum(a.values()) + sum(b.values()) - n)
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    base = [f"w{x}" for x in rng.integers(0, 200, 400)]
+    texts = [" ".join(base)]
+    for share in (0.01, 0.03, 0.1):
+        texts.append(" ".join(f"z{i}" if rng.random() < share else w for i, w in enumerate(base)))
+    unit, ends = neardup.units(pa.array(texts))
+    sig = neardup.signatures(unit, ends)
+    for i, t in enumerate(texts):
+        true = exact(texts[0], t)
+        assert abs((sig[0] == sig[i]).mean() - true) < 0.2
+        assert abs(neardup.similarity(pa.array([texts[0]]), pa.array([t]))[0] - true) < 1e-12
+
+
+def test_classes_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 90, 120)]
+        for _ in range(int(rng.integers(1, 8))):
+            copy = list(base)
+            for k in rng.integers(0, 120, int(rng.integers(0, 5))):
+                copy[k] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], "", "", "a b", "A  b!", None, None]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, a in enumerate(texts):
+        for j in range(i):
+            b = texts[j]
+            if a is not None and b is not None and (a == b or (weighted(a) and exact(a, b) >= 0.8)):
+                lo, hi = sorted((find(i), find(j)))
+                root[hi] = lo
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in neardup.classes(docs).collect()}
+    assert {k: r["class_id"] for k, r in got.items()} == {i: find(i) for i in range(len(texts))}
+    assert all(r["kept"] == (r["class_id"] == k) for k, r in got.items())
+    assert neardup.deduplicated(docs).count() == sum(r["kept"] for r in got.values())
+
+
+def test_neardup_odd_and_empty(odd, empty):
+    rows = neardup.classes(odd).collect()
+    assert len(rows) == len(ODD) and sum(r["kept"] for r in rows) == len(ODD) - 1
+    kept = neardup.deduplicated(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
+    assert neardup.classes(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
+
+
+# --- personal data --------------------------------------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    texts = ["pay 4403671232340912 or 4403-6712-3234-0912, not 1142126282388588", "again 4403671232340912.", "GB29 NWBK 6016 1331 9268 19", "2024-02-29, 31/12/1999, 2023-02-30, 12-34", "call +1 (640) 555-0953 from 10.0.0.1 or 999.1.1.1", "a.b@x.example.com", 'token = "f3ef4d6b2755a36d"', "12 4111 1111 1111 1111 x", None, "", " 4403671232340912"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    card = re.search(r"\d{16}", got[0])[0]
+    assert card != "4403671232340912" and luhn(card) and "1142126282388588" in got[0] and card in got[1] and card in got[10]
+    assert re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", got[0])[0].replace("-", "") == card
+    moved = re.sub(" ", "", got[2])
+    assert int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1 and [len(x) for x in got[2].split()] == [4, 4, 4, 4, 4, 2]
+    assert re.fullmatch(r"\d{4}-02-29, \d\d/\d\d/\d{4}, 2023-02-30, 12-34", got[3])
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} from (\d{1,3}\.){3}\d{1,3} or 999\.1\.1\.1", got[4]) and "640" not in got[4]
+    assert re.fullmatch(r"u[0-9a-f]{15}@x\.example\.com", got[5]) and re.fullmatch(r'token = "[0-9a-f]{16}"', got[6]) and "f3ef" not in got[6]
+    assert "4111 1111" not in got[7] and got[8] is None and got[9] == ""
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    there = df.withColumn("e", pii.permuted_digits(F.col("d"), "k", "t"))
+    back = there.withColumn("b", pii.permuted_digits(F.col("e"), "k", "t", inverse=True))
+    rows = back.collect()
+    assert len({r["e"] for r in rows}) == 1000 and all(r["b"] == r["d"] for r in rows)
+
+
+def test_pii_odd_and_empty(odd, empty):
+    got = pii.pseudonymise(odd)
+    assert sorted(str(r["text"]) for r in got.collect()) == sorted(str(t) for _, t in ODD)
+    assert pii.pseudonymise(empty).count() == 0
+
+
+# --- sharding -------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_shards(spark, odd, empty, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text"))
+    rows = sharding.shard(docs, f"file://{tmp_path}/m", shards=8, slots=512).collect()
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        assert r["size"] == 2 * (r["doc_id"] % 50) + 1 and r["text_crc32"] == zlib.crc32(("é" * (r["doc_id"] % 50)).encode())
+    assert max(load.values()) - min(load.values()) <= 101
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert sharding.shard(odd, f"file://{tmp_path}/o").count() == len(ODD)
+    assert sharding.shard(empty, f"file://{tmp_path}/e").count() == 0
+
+
+def test_rebalancing_moves_little(spark, tmp_path):
+    weights = [(10 + s % 7, 1) for s in range(512)]
+    first = sharding.packed(weights, 8)
+    grown = sharding.rebalanced(first, weights, 9)
+    load = Counter()
+    for slot, shard in enumerate(grown):
+        load[shard] += weights[slot][0]
+    assert len(load) == 9 and max(load.values()) <= 1.02 * sum(load.values()) / 9
+    assert all(g == f or g == 8 for f, g in zip(first, grown)) and sum(g != f for f, g in zip(first, grown)) < 70
+    shrunk = sharding.rebalanced(grown, weights, 7)
+    assert max(shrunk) == 6
+    path = f"file://{tmp_path}/map"
+    for v, m in ((1, first), (2, grown)):
+        sharding.store_map(spark, path, sharding.map_rows(v, m, weights, 9))
+    assert [r["shard"] for r in sharding.load_map(spark, path).orderBy("slot").collect()] == grown
+    assert [r["shard"] for r in sharding.load_map(spark, path, 1).orderBy("slot").collect()] == first
+
+
+# --- pages and chats --------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_html():
+    page = '<html><head><script>var t="</p>";</script></head><body><header>H</header><nav>n</nav><div class="post-12 main"><h1>T &amp; U</h1><p>Hello <i>w</i>orld<br>x<p>two<ul><li>a<li>b</ul><form>f</form><div class="ad-box">buy</div><pre>  y\n z</pre></div><div id="comments">no</div><footer>&copy;</footer></body></html>'
+    assert html.extract(page, None) == "T & U\nHello world x\ntwo\na\nb\ny z"
+    assert html.path(html.container(html.parse(page))) == "html>body>div.main.post-#"
+    for odd_page in (None, "", "x", "<", "<<<a =\">", "<p", "</p></div>", "<!-- open", "<div " * 50, "<div>" * 3000 + "deep"):
+        html.extract(odd_page, None)
+    assert html.extract("<div>" * 3000 + "deep", None) == "deep"
+
+
+def test_html_consensus(spark):
+    body = lambda c, extra="": f'<html><body><div class="x">{extra}</div><div class="{c}"><p>{"good text here " * 5}</p></div></body></html>'
+    rows = [(i, "http://h.example/1", body("story")) for i in range(4)] + [(9, "http://h.example/2", body("story", "<p>" + "longer boilerplate that is not a story " * 20 + "</p>")), (10, None, None)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == got[0] == ("good text here " * 5).strip() and got[10] == ""
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_preference_pairs(spark):
+    t = [(0, 0, "user", "Q"), (0, 1, "assistant", "good"), (1, 0, "user", "Q"), (1, 1, "assistant", "bad"), (1, 2, "user", "x"), (2, 0, "user", "alone"), (4, 0, None, None), (5, 0, None, None), (None, 0, "user", "n")]
+    got = {r["pair_id"]: r for r in chat.format_pairs(chat.pair_up(spark.createDataFrame(t, "conv_id long, turn long, role string, text string"))).collect()}
+    a = got[0]
+    assert (a["status"], a["n_prefix"], a["prompt"]) == ("pair", 1, "<|user|>\nQ<|end|>\n")
+    s = a["chosen_spans"][0]
+    assert a["chosen"][s["first"] : s["past"]] == "good<|end|>" and a["rejected"].endswith("<|user|>\nx<|end|>\n") and len(a["rejected_spans"]) == 1
+    assert got[1]["status"] == "unpaired" and got[1]["rejected"] is None and got[2]["status"] == "equal" and got[None]["status"] == "unpaired"
+    assert chat.format_pairs(chat.pair_up(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+# --- quality ------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_against_brute_force():
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \n \n", "a\na\na b\n\n", "é # $ é é é é"]
+    texts += ["\n".join(" ".join(rng.choice(["a", "b", "cc", "#", "é!"], rng.integers(0, 9))) for _ in range(rng.integers(1, 8))) for _ in range(60)]
+    got = quality.measure(pa.array(texts))
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams, hit, seen, dup = Counter(zip(w, w[1:], w[2:])), set(), set(), 0
+        for k in range(len(w) - 2):
+            if grams[tuple(w[k : k + 3])] > 1:
+                hit |= {k, k + 1, k + 2}
+        for line in t.split("\n"):
+            if line.strip():
+                dup += line in seen
+            seen.add(line)
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit))
+        assert tuple(int(got[m][i]) for m in quality.MEASURES[:5]) == want, t
+
+
+def test_policies_and_ablation(odd, empty):
+    rows = quality.ledger(odd)
+    assert rows.count() == len(ODD) and quality.ledger(empty).count() == 0
+    kept = {p: rows.where(quality.passes(p)).count() for p in quality.POLICIES}
+    for r in quality.ablation(rows, "v1").collect():
+        bit = 1 << [n for n, _ in quality.RULES].index(r["rule"])
+        failed = [x["failed"] for x in rows.collect()]
+        assert r["n_failed"] == sum(bool(f & bit) for f in failed) and r["n_only"] == sum(f == bit for f in failed) and r["n_kept_without"] == kept["v1"] + r["n_only"]
+
+
+# --- language -----------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_language(spark, odd, empty):
+    en, fr = "the cat and the dog with that thing", "le chat et la souris avec une chose"
+    rows = [(i, " ".join(np.random.default_rng(i).permutation((en if i % 2 else fr).split())), "en" if i % 2 else "fr") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert all(got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in rows)
+    model = language.learn(docs)
+    told = language.predict(odd, model, odd.columns, ("l", "s", "b")).collect()
+    assert len(told) == len(ODD) and {r["l"] for r in told if not (r["text"] or "").strip()} == {"und"}
+    assert language.identify(empty).count() == 0 and {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_code_lengths_by_hand():
+    model = language.Model({"x": {int.from_bytes(b"abca", "big"): 3, int.from_bytes(b"abcb", "big"): 1}})
+    g = lambda s: int.from_bytes(s, "big")
+    assert model.cost(g(b"abca"))[0] == pytest.approx(-math.log2(3 / 6))
+    assert model.cost(g(b"abcz"))[0] == pytest.approx(4 * -math.log2(2 / 6) + 8)  # an escape in each order, then a uniform byte
+    assert model.cost(g(b"zzza"))[0] == pytest.approx(-math.log2(3 / 6))  # only the empty context is known
+    bits, size = model.code_lengths(pa.array(["abca"]))
+    start = g(b"\n\n\na"), g(b"\n\nab"), g(b"\nabc"), g(b"abca")
+    assert size.tolist() == [4] and bits[0][0] == pytest.approx(sum(model.cost(x)[0] for x in start), rel=1e-6)
+
+
+# --- subwords -----------------------------------------------------------------------------------------------------------------------------------------
+
+
+def segmentations(vocab, data):
+    index = {b: i for i, b in enumerate(vocab.bytes_of) if b and i not in set(vocab.byte_id.tolist())}
+
+    def walk(rest):
+        if not rest:
+            yield (), 0.0
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in index:
+                for tail, p in walk(rest[n:]):
+                    yield (index[rest[:n]], *tail), p + vocab.log[index[rest[:n]]]
+
+    return dict(walk(data))
+
+
+def test_samples_follow_the_distribution(spark):
+    vocab = subword.vocabulary(PIECES)
+    all_ = segmentations(vocab, b" the cat")
+    z = math.log(sum(map(math.exp, all_.values())))
+    n = 4000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"))
+    rows = subword.encode_samples(docs, PIECES, 2).collect()
+    ids = lambda r: tuple(np.frombuffer(bytes(r["ids"]), "<u4").tolist())
+    first, second = Counter(ids(r) for r in rows if r["sample"] == 1), Counter(ids(r) for r in rows if r["sample"] == 2)
+    p = {s: math.exp(v - z) for s, v in all_.items()}
+    for s in sorted(p, key=p.get)[-4:]:
+        q = sum(p[f] * p[s] / (1 - p[f]) for f in p if f != s)
+        assert abs(first[s] / n - p[s]) < 4 * math.sqrt(p[s] / n) and abs(second[s] / n - q) < 4 * math.sqrt(q / n)
+    by = {}
+    for r in rows:
+        assert r["log_prob"] == pytest.approx(all_[ids(r)] - z, abs=1e-9)
+        by.setdefault(r["doc_id"], set()).add(ids(r))
+    assert all(len(x) == 2 for x in by.values())
+    weight = sum(math.exp(r["log_prob"] - r["log_inclusion"]) for r in rows) / n  # Horvitz-Thompson: 1 on average
+    assert abs(weight - 1) < 0.03
+
+
+def test_samples_decode_and_repeat(odd, empty):
+    one = subword.decode(subword.encode_samples(odd, PIECES, 3), PIECES)
+    rows = sorted(map(str, one.collect()))
+    assert rows == sorted(map(str, subword.decode(subword.encode_samples(odd.repartition(5), PIECES, 3), PIECES).collect()))
+    text = Counter(t or "" for _, t in ODD)
+    assert {r["decoded"] for r in one.collect()} == set(text)
+    assert subword.digests(empty).count() == 0
+
+
+def test_all_segmentations_of_a_short_text(spark):
+    rows = subword.encode_samples(spark.createDataFrame([(1, "a"), (2, "")], "doc_id long, text string"), PIECES, 50).collect()
+    vocab = subword.vocabulary(PIECES)
+    assert len([r for r in rows if r["doc_id"] == 1]) == len(segmentations(vocab, b" a")) and len([r for r in rows if r["doc_id"] == 2]) == 1
+    assert sum(math.exp(r["log_prob"]) for r in rows if r["doc_id"] == 1) == pytest.approx(1)
+
+
+# --- decontamination ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: str(rng.choice(["A", "b", "c", "É", "d1"]))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 3, 12, 13, 14, 20])] + [(9, None), (10, "!!"), (None, "qq rr"), (3, "b b b b")]
+    docs = [(i, ", ".join(word() for _ in range(rng.integers(0, 60)))) for i in range(30)] + [(40, f"x {items[5][1]} y {items[4][1]}"), (41, None), (42, "qq RR")]
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {}
+    for k, t in items:
+        w = low(t)
+        n = min(13, len(w))
+        for j in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[j : j + n]), set()).add("null" if k is None else str(k))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (10**6, 5):
+        got = {r["doc_id"]: r for r in decontaminate.find(decontaminate.build_index(d), b, block_words=block).collect()}
+        assert len(got) == len(docs)
+        for i, t in docs:
+            w, hit, names = low(t), set(), set()
+            for x, owners in windows.items():
+                for j in range(len(w) - len(x) + 1):
+                    if tuple(w[j : j + len(x)]) == x:
+                        hit |= set(range(j, j + len(x)))
+                        names |= owners
+            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(names))
+
+
+def test_decontamination_report_and_empty(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "the cat SAT on")], "item_id long, text string")
+    r = decontaminate.report(odd, bench).where("doc_id = 1").first()
+    assert r["contaminated"] and r["items_sha256"] == hashlib.sha256(b"1").hexdigest()
+    assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(empty, bench).count() == 0
+
+
+def test_proximity(spark):
+    index = decontaminate.build_index(spark.createDataFrame([(1, "x alpha beta q gamma delta"), (2, "alpha far " + "z " * 30 + "beta gamma delta")], "doc_id long, text string"))
+    found = decontaminate.proximity(index, [("i", [b"alpha", b"beta", b"gamma", b"delta"])]).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, "i")}
+
+
+def test_words_end_with_documents():
+    data, offsets = C.utf8(pa.array(["ab", "cd", None, "", "e f"]))
+    found = C.words(data, offsets, C.NOT_SPACE)
+    assert C.word_array(data, found).to_pylist() == [b"ab", b"cd", b"e", b"f"] and found[2].tolist() == [0, 1, 2, 2, 2, 4]

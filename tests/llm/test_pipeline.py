@@ -1,0 +1,29 @@
+"""The corpus pipeline on a small table, stage by stage."""
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import subword
+
+
+def test_stages_take_effect(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    base = "the quick brown fox jumps over a lazy dog and then it runs home with all that it has found"
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, base), (2, base), (3, f"{passage}"), (4, "mail me at a.b@x.example.com please, " + base[::-1]), (5, "12 34"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, d = [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == docs.columns
+        seen.append(sorted(r["doc_id"] for r in d.collect()))
+    assert seen == [[1, 2, 3, 4], [1, 3, 4], [1, 4], [1, 4]]
+    assert "a.b@" not in d.where("doc_id = 4").first()["text"]
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "sample").collect()
+    want = subword.digests(d).orderBy("doc_id", "sample").collect()
+    assert got == want and {(r["doc_id"], r["sample"]) for r in got} == {(1, 1), (1, 2), (4, 1), (4, 2)}
+    texts = {r["doc_id"]: r["c"] for r in d.select("doc_id", F.crc32("text").alias("c")).collect()}
+    assert all(r["text_crc32"] == texts[r["doc_id"]] for r in got)

@@ -37,6 +37,8 @@ OFFSET = 100
 #: Bytes whose distinct units share one lattice, and bytes sampled at once within them.
 LATTICE_BYTES = 3 << 20
 SAMPLED_BYTES = 1 << 19
+#: Log-probabilities are summed in steps of 1 / GRAIN.
+GRAIN = 2.0**36
 SPACE = "▁"
 SAMPLE_SCHEMA = "doc_id long, sample int, ids binary, log_prob double, log_inclusion double"
 
@@ -146,7 +148,7 @@ class Lattice:
         found.reverse()  # a node's longest piece, mostly its likeliest, comes first
         origin, length, piece = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
         source = starts[origin] + owner[starts[origin]] if len(starts) else np.zeros(0, np.int64)
-        del found, spelt, single, state, at
+        del found, spelt, single, state
         order = np.argsort(source, kind="stable")
         self.source, self.piece, self.length = source[order], piece[order].astype(np.int32), length[order].astype(np.int32)
         del source, piece, length, origin, order
@@ -160,8 +162,8 @@ class Lattice:
         behind = np.zeros(n_nodes)
         nodes = np.flatnonzero(self.count[:n_nodes])
         nodes = nodes[np.argsort(left[nodes], kind="stable")]
-        cuts = np.flatnonzero(np.diff(left[nodes], prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(nodes)), strict=True):
+        cuts = np.append(np.flatnonzero(np.diff(left[nodes], prepend=-1)), len(nodes))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             some = nodes[a:b]
             n = self.count[some]
             arcs = C.ragged(self.first[some], n)
@@ -237,9 +239,10 @@ class Paths:
     def __init__(self, lat: Lattice, docs: np.ndarray, arcs: np.ndarray, counts: np.ndarray, own: np.ndarray):
         self.docs, self.arcs, self.ends = docs, arcs, np.concatenate([[0], np.cumsum(counts)])
         self.own = own  # tokens before this one belong to the set that it was split from
-        total = np.concatenate([[0.0], np.cumsum(lat.log[arcs])])
-        self.log_prob = total[self.ends[1:]] - total[self.ends[:-1]]
-        before = total[:-1] - np.repeat(total[self.ends[:-1]], counts)
+        # Sums of whole numbers are exact, so a document's don't depend on those before it.
+        total = np.concatenate([[0], np.cumsum(np.rint(lat.log[arcs] * GRAIN).astype(np.int64))])
+        self.log_prob = (total[self.ends[1:]] - total[self.ends[:-1]]) / GRAIN
+        before = (total[:-1] - np.repeat(total[self.ends[:-1]], counts)) / GRAIN
         with np.errstate(under="ignore"):
             self.off = before + lat.rest[arcs]  # log-mass that leaves the path at each token
         place = np.arange(len(arcs)) - np.repeat(self.ends[:-1], counts)

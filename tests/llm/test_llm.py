@@ -204,11 +204,11 @@ def test_shards(spark, odd, empty, tmp_path):
 def test_rebalancing_moves_little(spark, tmp_path):
     weights = [(10 + s % 7, 1) for s in range(512)]
     first = sharding.packed(weights, 8)
-    grown = sharding.rebalanced(first, weights, 9)
+    grown = sharding.rebalanced(first, weights, 9, tolerance=0.05)
     load = Counter()
     for slot, shard in enumerate(grown):
         load[shard] += weights[slot][0]
-    assert len(load) == 9 and max(load.values()) <= 1.02 * sum(load.values()) / 9
+    assert len(load) == 9 and max(load.values()) <= 1.05 * sum(load.values()) / 9
     assert all(g == f or g == 8 for f, g in zip(first, grown)) and sum(g != f for f, g in zip(first, grown)) < 70
     shrunk = sharding.rebalanced(grown, weights, 7)
     assert max(shrunk) == 6

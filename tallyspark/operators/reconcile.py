@@ -52,6 +52,11 @@ def _sides(invoices: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFra
     return i, p
 
 
+def _either(a: DataFrame, b: DataFrame, in_a: Column, in_b: Column, keys: list[str]) -> DataFrame:
+    """Rows that join where the one or the other side is marked; unmarked rows never meet each other, however common their key."""
+    return a.where(in_a).join(b, keys).unionByName(a.where(~in_a).join(b.where(in_b), keys))
+
+
 def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """JN1: scored pairs. Both entities known: they must be equal, which makes it an equi join. Otherwise both names known: they
     must share a distinctive token, joined on the token. The rest, where nothing can veto a pair, is joined by date buckets."""
@@ -64,14 +69,14 @@ def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> Data
     unknown = ~known("i") | ~known("p")
     ti = i.where(has_name("i")).withColumn("token", F.explode("i_tokens"))
     tp = p.where(has_name("p")).withColumn("token", F.explode("p_tokens"))
-    by_name = ti.join(tp, ["ws", "currency", "token"]).where(unknown).drop("token").dropDuplicates(["ws", "i_id", "p_id"])
+    by_name = _either(ti, tp, ~known("i"), ~known("p"), ["ws", "currency", "token"]).drop("token").dropDuplicates(["ws", "i_id", "p_id"])
     span = PAY_TO - PAY_FROM
     bucket = lambda d: F.floor(F.unix_date(d) / span)
     bi = i.withColumn("b", F.when(F.col("i_date").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array_distinct(F.array(bucket(F.date_add("i_date", PAY_FROM)), bucket(F.date_add("i_date", PAY_TO)))))).withColumn("b", F.explode("b"))
     bp = p.withColumn("b", bucket(F.col("p_date")))
-    dated = bi.where("b IS NOT NULL").join(bp.where("b IS NOT NULL"), ["ws", "currency", "b"])
-    undated_i = bi.where("b IS NULL").join(bp, ["ws", "currency"]).select(*dated.drop("b").columns)
-    undated_p = bi.where("b IS NOT NULL").dropDuplicates(["ws", "i_id"]).join(bp.where("b IS NULL").drop("b"), ["ws", "currency"]).select(*dated.drop("b").columns)
+    dated = _either(bi.where("b IS NOT NULL"), bp.where("b IS NOT NULL"), ~has_name("i"), ~has_name("p"), ["ws", "currency", "b"])
+    undated_i = _either(bi.where("b IS NULL").drop("b"), bp.drop("b"), ~has_name("i"), ~has_name("p"), ["ws", "currency"]).select(*dated.drop("b").columns)
+    undated_p = _either(bi.where("b IS NOT NULL").drop("b").dropDuplicates(["ws", "i_id"]), bp.where("b IS NULL").drop("b"), ~has_name("i"), ~has_name("p"), ["ws", "currency"]).select(*dated.drop("b").columns)
     nameless = dated.drop("b").unionByName(undated_i).unionByName(undated_p).where(unknown & (~has_name("i") | ~has_name("p")))
     pairs = both.unionByName(by_name).unionByName(nameless).where(near)
     return pairs.withColumns(invoice_payment_score()).where(F.col("score") >= LEAST_SCORE).select("ws", F.col("i_id").alias("invoice_id"), F.col("p_id").alias("payment_id"), "score", "method")

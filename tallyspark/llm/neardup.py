@@ -8,8 +8,8 @@ coordinates; if a coordinate has none, the text looks twice as long. Two signatu
 probability of their weighted Jaccard similarity.
 
 `BANDS` bands of `ROWS` coordinates make the candidates. Texts with equal weighted sets are folded into one node first. In a band's bucket
-nobody is paired with everybody: a leader is compared with all members, by signature; members that it doesn't match get another
-leader in the next round (`candidates` says until when). Pairs that may reach the threshold are then checked
+not everybody is paired with everybody: a leader is compared with the members, by signature, and whom it matches needs no other comparison;
+all others meet further leaders or all members (see `candidates`), so that no bucket is left unsearched. Pairs that may reach the threshold are then checked
 exactly, on whole texts, and verified links are closed to classes by label propagation.
 
 Nulls: a null text is a class of its own. Texts without words are classes of equal texts. Equal rows are copies of each other. The row
@@ -36,8 +36,12 @@ K = BANDS * ROWS
 DARTS = int(K * (log(K) + 3))
 #: Signatures that agree in this share of coordinates are checked exactly; at 0.8, one true link in 10^5 agrees in less.
 MAYBE = 0.62
-#: Buckets up to this size are searched until every member has met a leader that it matches, or all members: 24 x 23 / 2 comparisons at most.
+#: Two texts can be similar to a third at the threshold only if they are at 0.6 to each other; there, one pair in 10^5 agrees in a smaller share.
+NEAR = 0.39
+#: In buckets up to this size one leader is tried, and whoever it leaves meets all members.
 SMALL_BUCKET = 24
+#: Nodes on either side of a group of comparisons in larger buckets.
+BLOCK = 1024
 #: Rows of two longs that may be broadcast.
 SMALL = 400_000
 SKETCH_SCHEMA = "doc_id long, th long, a long, b long, n long, sig binary, bands array<long>"
@@ -160,24 +164,54 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "share double"]))
 
 
-def _shares(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """The distinct (u, v) among `pairs` that agree in `MAYBE` of their coordinates or more, with that share."""
+def _shares(pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
+    """The (u, v) among `pairs` that agree in `least` of their coordinates or more, with that share."""
     both = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v")
-    return C.staged(agreement(both).where(F.col("share") >= MAYBE), "close", gather=True)
+    return C.staged(agreement(both).where(F.col("share") >= least), "close", gather=True)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _crossed(opened: DataFrame, member: DataFrame, sig: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each bucket's open members with all its members that agree in `MAYBE` of their coordinates or more. Both sides are dealt
+    by hash into blocks of about `BLOCK` nodes, and each two blocks are a group of their own, so a bucket of any size is spread over tasks."""
+    size = opened.groupBy("bucket", "m").agg(F.count("*").alias("o"))
+    size = size.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"), F.ceil(F.col("o") / BLOCK).cast("int").alias("no"))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = lambda side: side.select("bucket", "node").join(size, "bucket").join(sig, "node")
+    leads = rows(opened).select("bucket", "node", "sig", F.lit(True).alias("leads"), dealt("no").alias("i"), every("nm").alias("j"))
+    meets = rows(member).select("bucket", "node", "sig", F.lit(False).alias("leads"), every("no").alias("i"), dealt("nm").alias("j"))
+
+    def run(block: pa.Table) -> pa.Table:
+        node, leads = block.column("node").to_numpy(), block.column("leads").to_numpy()
+        sigs = np.frombuffer(C.utf8(block.column("sig"))[0].tobytes(), "<u4").reshape(-1, K)
+        to = np.ascontiguousarray(sigs[~leads].T)
+        found_u, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for one, own in zip(node[leads], sigs[leads]):
+            same = np.zeros(to.shape[1], np.uint8)
+            for k in range(K):
+                same += to[k] == own[k]
+            v = node[~leads][same >= MAYBE * K]
+            v = v[v != one]
+            found_u.append(np.minimum(v, one))
+            found_v.append(np.maximum(v, one))
+        return pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v)})
+
+    found = leads.unionByName(meets).groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long")
+    return C.staged(found.distinct(), "crossed", gather=True)
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes that may be similar.
 
     A node's crowd is the sum of its buckets' sizes: among copies of one text, those nearest to all others have the largest, so they lead.
-    In each round a bucket's leader meets all members, and those that it matches are settled. In a bucket of `SMALL_BUCKET` members or
-    fewer, all who are left after the first round lead in the second, so everybody is settled. A larger one goes on while a leader settles
-    a third of those left, so that its rounds are bounded by the logarithm of its size; who is left then lies far from the crowd, and meets the
-    leaders of its narrower buckets, each of two neighbouring bands together.
+    In each round a bucket's leader meets all who wait. Those that it matches are settled. Those that it doesn't, but agrees with in `NEAR` of
+    the coordinates, are open. The others can't be similar to anybody whom it settled, as distances obey the triangle inequality; they wait for the
+    next leader, while a bucket has more than `SMALL_BUCKET` members and its leader settles a third of those who waited, so that the
+    rounds are bounded by the logarithm of its size; else they are open, too. In the end all who are open meet all members of their bucket.
     """
     member = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -186,36 +220,31 @@ def candidates(nodes: DataFrame) -> DataFrame:
     member = C.staged(member.join(crowd, "node"), "buckets", gather=True)
     sig = nodes.select("node", "sig")
     first = F.max_by("node", F.struct("crowd", -F.col("node")))
-    waiting, found, rest, again = member, None, None, False
+    waiting, found, opened = member, None, None
     while True:
         leaders = waiting.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("w"))
-        tried = member.join(leaders, "bucket").where("node != leader").select("node", "leader")
-        if again:
-            own = waiting.where(F.col("m") <= SMALL_BUCKET).select("bucket", F.col("node").alias("leader"))
-            tried = tried.unionByName(member.where(F.col("m") <= SMALL_BUCKET).join(own, "bucket").where("node != leader").select("node", "leader"))
-        close = _shares(tried.select(*_ordered("node", "leader")).distinct(), sig)
+        tried = waiting.join(leaders, "bucket").where("node != leader")
+        near = _shares(tried.select(*_ordered("node", "leader")).distinct(), sig, NEAR)
+        close = near.where(F.col("share") >= MAYBE).select("u", "v")
         found = close if found is None else found.unionByName(close)
-        hit = close.where(F.col("share") >= THRESHOLD)
-        hit = hit.select(F.col("u").alias("node"), F.col("v").alias("leader")).unionByName(hit.select(F.col("v").alias("node"), F.col("u").alias("leader")))
-        going = waiting.where(F.col("m") > SMALL_BUCKET) if again else waiting
-        left = going.join(leaders, "bucket").where("node != leader").join(hit, ["node", "leader"], "left_anti").select("bucket", "node", "m", "crowd", "w")
-        left = C.staged(left, "waiting", gather=True)
-        left = C.staged(left.join(left.groupBy("bucket").agg(F.count("*").alias("now")), "bucket"), "waiting", gather=True)
-        slow = (F.col("m") > SMALL_BUCKET) & (3 * (F.col("w") - 1 - F.col("now")) < F.col("w"))
-        far = left.where(slow).select("node")
-        rest = far if rest is None else rest.unionByName(far)
-        waiting = left.where(~slow).select("bucket", "node", "m", "crowd")
+        told = near.select("u", "v", (F.col("share") >= THRESHOLD).alias("linked"))
+        told = told.select(F.col("u").alias("node"), F.col("v").alias("leader"), "linked").unionByName(told.select(F.col("v").alias("node"), F.col("u").alias("leader"), "linked"))
+        left = tried.join(told, ["node", "leader"], "left").where("linked IS NOT TRUE").select("bucket", "node", "m", "crowd", "w", F.col("linked").isNull().alias("far"))
+        left = C.staged(left, "left", gather=True)
+        left = C.staged(left.join(left.groupBy("bucket").agg(F.count("*").alias("now")), "bucket"), "left", gather=True)
+        waits = F.col("far") & (F.col("m") > SMALL_BUCKET) & (3 * (F.col("w") - 1 - F.col("now")) >= F.col("w"))
+        out = left.where(~waits).select("bucket", "node", "m")
+        opened = out if opened is None else opened.unionByName(out)
+        waiting = left.where(waits).select("bucket", "node", "m", "crowd")
         if waiting.isEmpty():
             break
-        again = True
-    rest = C.staged(rest.distinct(), "rest", gather=True)
-    if not rest.isEmpty():
-        neighbours = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.get("bands", i), F.get("bands", (i + 1) % BANDS)))
-        narrow = nodes.join(crowd, "node").select("node", "crowd", F.explode(neighbours).alias("narrow"))
-        top = narrow.groupBy("narrow").agg(first.alias("leader"), F.count("*").alias("m")).where("m > 1").select("narrow", "leader")
-        met = narrow.join(rest, "node", "left_semi").join(top, "narrow").where("node != leader")
-        found = found.unionByName(_shares(met.select(*_ordered("node", "leader")).distinct(), sig))
-    return found.select("u", "v").distinct()
+    few = opened.where(F.col("m") <= SMALL_BUCKET).select("bucket", F.col("node").alias("leader"))
+    tried = member.where(F.col("m") <= SMALL_BUCKET).join(few, "bucket").where("node != leader")
+    found = found.unionByName(_shares(tried.select(*_ordered("node", "leader")).distinct(), sig, MAYBE).select("u", "v"))
+    many = opened.where(F.col("m") > SMALL_BUCKET)
+    if not many.isEmpty():
+        found = found.unionByName(_crossed(many, member, sig))
+    return found.distinct()
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:

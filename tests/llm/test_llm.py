@@ -141,6 +141,26 @@ def test_classes_against_all_pairs(spark):
     assert neardup.deduplicated(docs).count() == sum(r["kept"] for r in got.values())
 
 
+def templated(n_pairs, n_single, own, kept):
+    """Texts of a common template and `own` words of their own, pair after pair (2i, 2i + 1) with `kept` equal ones among these, then single ones."""
+    template = " ".join(f"t{k}" for k in range(200 - own))
+    words = lambda i, frm=0: [f"x{i}y{k}" for k in range(frm, own)]
+    texts = [" ".join([template, *words(2 * (i // 2))[:kept], *words(i, kept)]) for i in range(2 * n_pairs)]
+    return texts + [" ".join([template, *words(i)]) for i in range(2 * n_pairs, 2 * n_pairs + n_single)]
+
+
+def missed_pairs(spark, texts, n_pairs):
+    assert exact(texts[0], texts[1]) >= 0.8 > exact(texts[0], texts[2])
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(c == i - i % 2 * (i < 2 * n_pairs) or c == i for i, c in found.items())
+    return sum(found[2 * i] != found[2 * i + 1] for i in range(n_pairs))
+
+
+def test_pairs_in_large_mixed_buckets(spark):
+    """All texts are at 0.70 to each other, so that their buckets are large and no leader settles many; pairs are at 0.815."""
+    assert missed_pairs(spark, templated(150, 100, 34, 14), 150) <= 1
+
+
 def test_neardup_odd_and_empty(odd, empty):
     rows = neardup.classes(odd).collect()
     assert len(rows) == len(ODD) and sum(r["kept"] for r in rows) == len(ODD) - 1

@@ -9,8 +9,8 @@ probability of their weighted Jaccard similarity.
 
 `BANDS` bands of `ROWS` coordinates make the candidates. Texts with equal weighted sets are folded into one node first. In a band's bucket
 not everybody is paired with everybody: a leader is compared with the members, by signature, and whom it matches needs no other comparison;
-all others meet further leaders or all members (see `candidates`), so that no bucket is left unsearched. Pairs that may reach the threshold are then checked
-exactly, on whole texts, and verified links are closed to classes by label propagation.
+all others meet further leaders or all members (see `links`), so that no bucket is left unsearched. Pairs that may reach the threshold are checked
+exactly, on whole texts, in each round, and verified links are closed to classes by label propagation.
 
 Nulls: a null text is a class of its own. Texts without words are classes of equal texts. Equal rows are copies of each other. The row
 kept of a class has the lowest doc_id (nulls first). An empty table gives an empty result. `deduplicated` passes all
@@ -175,7 +175,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _crossed(opened: DataFrame, member: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each bucket's open members with all its members that agree in `MAYBE` of their coordinates or more. Both sides are dealt
+    """Pairs (u, v) of each bucket's open members with all its members that agree in `MAYBE` of their coordinates or more, with that share. Both sides are dealt
     by hash into blocks of about `BLOCK` nodes, and each two blocks are a group of their own, so a bucket of any size is spread over tasks."""
     size = opened.groupBy("bucket", "m").agg(F.count("*").alias("o"))
     size = size.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"), F.ceil(F.col("o") / BLOCK).cast("int").alias("no"))
@@ -189,29 +189,31 @@ def _crossed(opened: DataFrame, member: DataFrame, sig: DataFrame) -> DataFrame:
         node, leads = block.column("node").to_numpy(), block.column("leads").to_numpy()
         sigs = np.frombuffer(C.utf8(block.column("sig"))[0].tobytes(), "<u4").reshape(-1, K)
         to = np.ascontiguousarray(sigs[~leads].T)
-        found_u, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found_u, found_v, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for one, own in zip(node[leads], sigs[leads]):
             same = np.zeros(to.shape[1], np.uint8)
             for k in range(K):
                 same += to[k] == own[k]
-            v = node[~leads][same >= MAYBE * K]
-            v = v[v != one]
+            met = (same >= MAYBE * K) & (node[~leads] != one)
+            v = node[~leads][met]
+            share.append(same[met] / K)
             found_u.append(np.minimum(v, one))
             found_v.append(np.maximum(v, one))
-        return pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v)})
+        return pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v), "share": np.concatenate(share)})
 
-    found = leads.unionByName(meets).groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long")
+    found = leads.unionByName(meets).groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long, share double")
     return C.staged(found.distinct(), "crossed", gather=True)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes that may be similar.
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose texts reach the threshold; enough of them that classes are whole.
 
     A node's crowd is the sum of its buckets' sizes: among copies of one text, those nearest to all others have the largest, so they lead.
-    In each round a bucket's leader meets all who wait. Those that it matches are settled. Those that it doesn't, but agrees with in `NEAR` of
-    the coordinates, are open. The others can't be similar to anybody whom it settled, as distances obey the triangle inequality; they wait for the
+    In each round a bucket's leader meets all who wait. Those that it matches by exact similarity are settled. Those that it doesn't, but
+    agrees with in `NEAR` of the coordinates, are open. The others can't be similar to anybody whom it settled, as distances obey the triangle inequality; they wait for the
     next leader, while a bucket has more than `SMALL_BUCKET` members and its leader settles a third of those who waited, so that the
     rounds are bounded by the logarithm of its size; else they are open, too. In the end all who are open meet all members of their bucket.
+    Of these pairs each node's closest is checked first; the others are checked where their nodes aren't in one class by then.
     """
     member = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -220,14 +222,24 @@ def candidates(nodes: DataFrame) -> DataFrame:
     member = C.staged(member.join(crowd, "node"), "buckets", gather=True)
     sig = nodes.select("node", "sig")
     first = F.max_by("node", F.struct("crowd", -F.col("node")))
-    waiting, found, opened = member, None, None
+    waiting, found, opened, seen = member, None, None, None
+
+    def checked(close: DataFrame) -> DataFrame:
+        """Links among pairs that no round has had yet."""
+        nonlocal seen
+        new = close if seen is None else close.join(seen, ["u", "v"], "left_anti")
+        good = verified(new, nodes, docs)
+        seen = close if seen is None else seen.unionByName(close)
+        return good
+
     while True:
         leaders = waiting.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("w"))
         tried = waiting.join(leaders, "bucket").where("node != leader")
         near = _shares(tried.select(*_ordered("node", "leader")).distinct(), sig, NEAR)
         close = near.where(F.col("share") >= MAYBE).select("u", "v")
-        found = close if found is None else found.unionByName(close)
-        told = near.select("u", "v", (F.col("share") >= THRESHOLD).alias("linked"))
+        good = checked(close)
+        found = good if found is None else found.unionByName(good)
+        told = near.select("u", "v").join(found.withColumn("yes", F.lit(True)), ["u", "v"], "left").select("u", "v", F.coalesce("yes", F.lit(False)).alias("linked"))
         told = told.select(F.col("u").alias("node"), F.col("v").alias("leader"), "linked").unionByName(told.select(F.col("v").alias("node"), F.col("u").alias("leader"), "linked"))
         left = tried.join(told, ["node", "leader"], "left").where("linked IS NOT TRUE").select("bucket", "node", "m", "crowd", "w", F.col("linked").isNull().alias("far"))
         left = C.staged(left, "left", gather=True)
@@ -240,11 +252,21 @@ def candidates(nodes: DataFrame) -> DataFrame:
             break
     few = opened.where(F.col("m") <= SMALL_BUCKET).select("bucket", F.col("node").alias("leader"))
     tried = member.where(F.col("m") <= SMALL_BUCKET).join(few, "bucket").where("node != leader")
-    found = found.unionByName(_shares(tried.select(*_ordered("node", "leader")).distinct(), sig, MAYBE).select("u", "v"))
+    close = _shares(tried.select(*_ordered("node", "leader")).distinct(), sig, MAYBE)
     many = opened.where(F.col("m") > SMALL_BUCKET)
     if not many.isEmpty():
-        found = found.unionByName(_crossed(many, member, sig))
-    return found.distinct()
+        close = C.staged(close.unionByName(_crossed(many, member, sig)).distinct(), "close", gather=True)
+    close = _apart(close, found)
+    closest = close.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "share").groupBy("node").agg(F.max_by(F.struct("u", "v"), F.struct("share", "u", "v")).alias("p"))
+    found = found.unionByName(checked(C.staged(closest.select("p.u", "p.v").distinct(), "closest", gather=True)))
+    return found.unionByName(checked(_apart(close, found).select("u", "v")))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose nodes the links don't bring into one class."""
+    of = components(links)
+    told = pairs.join(of.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(of.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
+    return C.staged(told.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select(pairs.columns), "apart", gather=True)
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -302,7 +324,7 @@ def classes(docs: DataFrame) -> DataFrame:
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid")).alias("first"),
     )
     nodes = C.staged(folded, "nodes", gather=True)
-    labels = components(verified(candidates(nodes), nodes, docs))
+    labels = components(links(nodes, docs))
     told = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_class = told.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     told = told.select("a", "b", "n", "label").join(of_class, "label").drop("label")

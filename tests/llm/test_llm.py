@@ -161,6 +161,11 @@ def test_pairs_in_large_mixed_buckets(spark):
     assert missed_pairs(spark, templated(150, 100, 34, 14), 150) <= 1
 
 
+def test_leaders_settle_by_exact_similarity(spark):
+    """All texts are at 0.78 to each other, which many signatures take for 0.8."""
+    assert missed_pairs(spark, templated(150, 100, 24, 4), 150) <= 1
+
+
 def test_neardup_odd_and_empty(odd, empty):
     rows = neardup.classes(odd).collect()
     assert len(rows) == len(ODD) and sum(r["kept"] for r in rows) == len(ODD) - 1

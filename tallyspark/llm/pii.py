@@ -28,7 +28,7 @@ KINDS = ("card", "iban", "phone", "ip", "ssn", "date", "email", "secret")
 NAME = r"[^\s@,;:!?()\[\]<>\"'|\\/=#*$&^~{}`]"
 #: Formats. Counted and possessive repetitions keep the search linear.
 PATTERNS = {
-    "secret": r"""(?i:token|secret|password|passwd|api_?key)["']? ?[=:] ?["'][^"'\s]{8,256}+["']""",
+    "secret": r"""(?i:token|secret|password|passwd|api_?key)["']? ?[=:] ?["'][^"'\s]{8,}+["']""",
     "email": rf"(?<!{NAME}){NAME}{{1,64}}+@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,8}}[A-Za-z]{{2,24}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
@@ -38,11 +38,11 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d|[ -]\d{4}(?!\d))",
 }
 NUMBERS = "(?=[0-9+])(?:" + "|".join(PATTERNS[k] for k in ("phone", "date", "ip", "ssn", "card")) + ")|" + PATTERNS["iban"]
-#: (what a text must contain, the expression that it is then searched with); the first that holds is taken. Texts without
+#: (what a text must contain, the expression that it is then searched with); the first that holds is taken. Every match of an expression holds its sign. Texts without
 #: the long expression's signs are spared it.
 SEARCHES = (
     (r"@|[=:] ?[\"']", f"(?=[TtSsPpAa])(?:{PATTERNS['secret']})|{PATTERNS['email']}|{NUMBERS}"),
-    (r"\d{3}|\d\.\d", NUMBERS),
+    (r"\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d", NUMBERS),
 )
 #: Stands around the matches while a text is cut up; a text that has it already is searched twice instead.
 SENTINEL = "\ue0f0"
@@ -221,10 +221,10 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"""["']([^"'\s]{8,256})["']$""", 1)
+    value = F.regexp_extract(m, r"""["']([^"'\s]{8,})["']$""", 1)
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256)
     head = F.substr(m, F.lit(1), F.length(m) - F.length(value) - 1)
-    return F.concat(head, F.substr(F.repeat(digest, 4), F.lit(1), F.length(value)), F.substr(m, F.length(m)))
+    return F.concat(head, F.substr(F.repeat(digest, F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value)), F.substr(m, F.length(m)))
 
 
 def replaced(m: Column, key: str) -> Column:

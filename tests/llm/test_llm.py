@@ -195,6 +195,20 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert "4111 1111" not in got[7] and got[8] is None and got[9] == ""
 
 
+def test_numbers_and_secrets_that_a_hint_or_cap_left_out(spark):
+    numbers = ["+49 30 12 34 56 78", "+33 12-34-56-78-90"]
+    texts = [*(f"call {n} now" for n in numbers), *(f"call {n} now, in 2024" for n in numbers), f'password = "{"s" * 700}"']
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["pii"] for r in rows] == [["phone"]] * 4 + [["secret"]]
+    assert all(n not in r["text"] for n, r in zip(numbers, rows))
+    assert [r["text"] + ", in 2024" for r in rows[:2]] == [r["text"] for r in rows[2:4]]
+    assert len(rows[4]["text"]) == len(texts[4]) and "sss" not in rows[4]["text"]
+    bban = "NWBKA1B2C3D4E5F6"
+    check = 98 - int("".join(str(int(c, 36)) for c in bban + "GB00")) % 97
+    [iban] = pii.pseudonymise(spark.createDataFrame([(1, f"to GB{check:02}{bban}")], "doc_id long, text string")).collect()
+    assert iban["pii"] == ["iban"] and bban not in iban["text"]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     there = df.withColumn("e", pii.permuted_digits(F.col("d"), "k", "t"))

@@ -208,7 +208,7 @@ def jn10(t):
 
 def _scored(t) -> DataFrame:
     recs = identity.records(_people(t))
-    return identity.scored(identity.candidate_pairs(recs, 20), recs)
+    return identity.scored(identity.candidate_pairs(recs), recs)
 
 
 @query("idn1_exact_rules", "SELECT a.ws, a.id AS l, b.id AS r, 0.99 AS exact FROM pan a JOIN pan b ON a.ws = b.ws AND a.p = b.p AND a.id < b.id", "pan AS (SELECT CAST((customer_id // 3) % 4 AS INTEGER) AS ws, customer_id AS id, (customer_id // 3) % 10000 AS p FROM customers WHERE customer_id % 6 < 2)")

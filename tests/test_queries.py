@@ -41,3 +41,8 @@ def test_against_sql(spark, name):
 
     rows = lambda df: sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_identity_scores_all_blocked_pairs(spark):
+    assert registry.QUERIES["idn9_match_critic"](spark, SF).count() == registry.QUERIES["jn10_blocking"](spark, SF).count()

@@ -1,7 +1,7 @@
 """Pseudonyms for personal data that keep the format, in DataFrame operations only.
 
-Payment cards (Luhn), IBANs (mod 97), phone numbers in international form, IPv4 addresses, US social security numbers, calendar dates,
-e-mail addresses and quoted secrets are found by one expression, validated, and replaced by a value of the same format. Numbers and dates are
+Payment cards (Luhn), IBANs (mod 97), phone numbers in international, North American and trunk-prefixed national form, IPv4 addresses, US social
+security numbers, calendar dates, e-mail addresses and assigned secrets are found by one expression, validated, and replaced by a value of the same format. Numbers and dates are
 permuted under a key by a Feistel network over the digits' own domain: half a mod a, half b mod b, in `ROUNDS` rounds of
 modular addition of a keyed SHA-256. A permutation never maps two values to one, so equal values, and only they, stay linked
 across documents. Check digits are computed anew; separators stay. E-mail names and secrets, which have no numeric domain,
@@ -10,6 +10,8 @@ become keyed digests of their length's form; an e-mail's domain stays.
 What matches but isn't valid (a 16-digit number that fails Luhn, a date on 30 February) stays as it is.
 The texts are split at the matches and joined again, so nothing else changes.
 
+The key is the argument, else the session's `spark.tallyspark.pii.key`, else a demonstration key that everybody can read here: set your own.
+
 Nulls: a null text stays null, with no finds. Empty and very long texts, repeated rows and empty tables need nothing special.
 Extra columns are passed on by `pseudonymise`; one named `kinds_as` is replaced.
 """
@@ -20,28 +22,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
 
-KEY = "tallyspark demonstration key"
+KEY_SETTING, DEMONSTRATION_KEY = "spark.tallyspark.pii.key", "tallyspark demonstration key"
 ROUNDS = 8
-KINDS = ("card", "iban", "phone", "ip", "ssn", "date", "email", "secret")
+KINDS = ("card", "iban", "phone", "national", "ip", "ssn", "date", "email", "secret")
 
 #: What an e-mail's name is made of: anything but white space and these signs.
 NAME = r"[^\s@,;:!?()\[\]<>\"'|\\/=#*$&^~{}`]"
+#: What a secret is assigned by, and what it is made of without quotes: only if it has letters and digits is it no word of prose.
+ASSIGNED = r"""(?i:token|secret|password|passwd|api_?key)["']? ?[=:]"""
+BARE = r"""[^"'\s,;&<>(){}=:]"""
 #: Formats. Counted and possessive repetitions keep the search linear.
 PATTERNS = {
-    "secret": r"""(?i:token|secret|password|passwd|api_?key)["']? ?[=:] ?["'][^"'\s]{8,}+["']""",
-    "email": rf"(?<!{NAME}){NAME}{{1,64}}+@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,8}}[A-Za-z]{{2,24}}",
+    "secret": rf"""{ASSIGNED} ?(?:["'][^"'\s]{{8,}}+["']|(?={BARE}*\d)(?={BARE}*[A-Za-z]){BARE}{{7,}}[^"'\s,;&<>(){{}}=:.!?])""",
+    "email": rf"(?<!{NAME}){NAME}++@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,126}}[A-Za-z]{{2,63}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "national": r"(?<![\d+(.-])(?:1[ .-])?(?:\(\d{3}\)[ -]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\d+.,/-])0\d{2,4}[ /-]\d{3,4}(?:[ -]?\d{3,4})?(?![\d/-]|[.,]\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d|[ -]\d{4}(?!\d))",
 }
-NUMBERS = "(?=[0-9+])(?:" + "|".join(PATTERNS[k] for k in ("phone", "date", "ip", "ssn", "card")) + ")|" + PATTERNS["iban"]
+NUMBERS = "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "date", "ip", "ssn", "card", "national")) + ")|" + PATTERNS["iban"]
 #: (what a text must contain, the expression that it is then searched with); the first that holds is taken. Every match of an expression holds its sign. Texts without
 #: the long expression's signs are spared it.
 SEARCHES = (
-    (r"@|[=:] ?[\"']", f"(?=[TtSsPpAa])(?:{PATTERNS['secret']})|{PATTERNS['email']}|{NUMBERS}"),
+    (f"@|{ASSIGNED}", f"(?=[TtSsPpAa])(?:{PATTERNS['secret']})|{PATTERNS['email']}|{NUMBERS}"),
     (r"\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d", NUMBERS),
 )
 #: Stands around the matches while a text is cut up; a text that has it already is searched twice instead.
@@ -167,6 +173,13 @@ def _phone(m: Column, key: str) -> Column:
     return F.when(F.length(_digits(m)).between(8, 15), made)
 
 
+def _national(m: Column, key: str) -> Column:
+    """A trunk prefix stays, as does the country's 1; the other digits are permuted as one number."""
+    kept = F.when(m.startswith("0") | m.rlike(r"^1[ .-]"), 1).otherwise(0)
+    made = let(F.substr(m, kept + 1), lambda rest: F.concat(F.substr(m, F.lit(1), kept), in_places(rest, permuted_digits(_digits(rest), key, "national"))))
+    return F.when(F.length(_digits(m)).between(9, 12), made)
+
+
 def _ip(m: Column, key: str) -> Column:
     def made(o: Column) -> Column:
         out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
@@ -221,10 +234,14 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"""["']([^"'\s]{8,})["']$""", 1)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256)
-    head = F.substr(m, F.lit(1), F.length(m) - F.length(value) - 1)
-    return F.concat(head, F.substr(F.repeat(digest, F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value)), F.substr(m, F.length(m)))
+    head = F.regexp_extract(m, rf"""^{ASSIGNED} ?["']?""", 0)
+    tail = F.regexp_extract(m, r"""["']$""", 0)
+
+    def run(value: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256)
+        return F.concat(head, F.substr(F.repeat(digest, F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value)), tail)
+
+    return let(F.substr(m, F.length(head) + 1, F.length(m) - F.length(head) - F.length(tail)), run)
 
 
 def replaced(m: Column, key: str) -> Column:
@@ -237,6 +254,7 @@ def replaced(m: Column, key: str) -> Column:
         ("date", m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), _date),
         ("ip", m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), _ip),
         ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn),
+        ("national", m.rlike(rf"^(?:{PATTERNS['national']})$"), _national),
     )
     kind = value = F
     for name, test, make in tests:
@@ -253,8 +271,9 @@ def _cut(t: Column, pattern: str) -> Column:
     return F.when(~t.contains(SENTINEL), marked).otherwise(F.slice(zipped, 1, F.greatest(F.size(zipped) - 1, F.lit(1))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", kinds_as: str = "pii") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", kinds_as: str = "pii") -> DataFrame:
     """The rows with `text` rewritten, and the kinds replaced in order as the column `kinds_as`."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
     t = F.col(text)
     parts = F
     for hint, pattern in SEARCHES:

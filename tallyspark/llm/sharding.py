@@ -8,9 +8,11 @@ move have another shard.
 A shard's rows are numbered without gaps: a slot's first number follows from the counts of the shard's slots before
 it, and numbers within a slot need a window over that slot alone, never over a whole shard.
 
-Nulls: a null text has size 1 and the crc32 of no bytes; a null key hashes by its text. Tied keys are numbered by
-their text's crc32 and size; equal rows are interchangeable. An empty table gives an empty result and a map of
-empty slots. Extra columns are ignored.
+Records hash by their key. Rows of a key that repeats more often than a slot has rows on average, and rows without key, are spread over all slots, so that
+no slot grows with one key.
+
+Nulls: a null text has size 1 and the crc32 of no bytes. Tied keys are numbered by their text's crc32 and size; equal rows are interchangeable. Only a very long
+text's size counts. An empty table gives an empty result and a map of empty slots. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,19 @@ MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, base long
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of every record."""
+    """doc_id, size, text_crc32 and vslot of every record, staged, so that a record's slot is decided once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = C.staged(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-    ).withColumn("vslot", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.col("text_crc32"))), F.lit(slots)).cast("int"))
+        F.monotonically_increasing_id().alias("uid"),
+    ), "sized")
+    # a key with more than rows / slots rows: at most `slots` keys, so they may be sent out
+    hot = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1, rows.count() // slots)).select("doc_id", F.lit(True).alias("hot"))
+    spread = F.col("hot") | F.col("doc_id").isNull()
+    key = F.when(spread, F.xxhash64("doc_id", "uid")).otherwise(F.xxhash64("doc_id"))
+    return rows.join(F.broadcast(hot), "doc_id", "left").select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_weights(rows: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -120,14 +128,26 @@ def assigned(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, path: str, shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """Lay out `docs` over `shards` shards of near equal bytes; the map is stored as version 1 at `path`."""
-    rows = C.staged(slotted(docs, slots), "slotted")
+    rows = slotted(docs, slots)
     weights = slot_weights(rows, slots)
     store_map(docs.sparkSession, path, map_rows(1, packed(weights, shards), weights, shards))
-    return assigned(rows, load_map(docs.sparkSession, path))
+    return assigned(rows, load_map(docs.sparkSession, path, 1))
+
+
+def grow(spark: SparkSession, path: str, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Write the map's next version, for `shards` shards: the newest one, edited. Returns it."""
+    newest = sorted(load_map(spark, path).collect(), key=lambda r: r["slot"])
+    weights = [(r["bytes"], r["rows"]) for r in newest]
+    version = newest[0]["version"] + 1
+    store_map(spark, path, map_rows(version, rebalanced([r["shard"] for r in newest], weights, shards), weights, shards))
+    return load_map(spark, path, version)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{C.shared_dir(spark)}/tallyspark/slot-map-{uuid.uuid4().hex}"
-    return shard(C.table(spark, sf_dir, "documents"), path).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version"
+    """Law `bytes` over 16 shards. `next_shard` is the shard under the map's second version, which has one shard more."""
+    path = f"{C.work_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    rows = shard(C.table(spark, sf_dir, "documents"), path)
+    edited = grow(spark, path, 17).select(F.col("slot").alias("vslot"), F.col("shard").alias("next_shard"))
+    return rows.join(F.broadcast(edited), "vslot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version", "next_shard"
     )

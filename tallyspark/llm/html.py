@@ -1,14 +1,16 @@
 """Main text of web pages, by consensus of a host's pages.
 
-Every page names its likeliest container: from the body down, always into the child that holds most of the page's
-good text, until no child does. The container's path of tags and classes, with digits generalised, is the page's vote.
-Votes are counted by host in Spark, and each page is then extracted anew from the containers on its host's winning path;
-a page without such a container keeps its own.
+Every page names its likeliest container: its articles if they hold most of the page's good text, else its main element, else, from the body down, the
+lowest element that no good text stands beside. Good text is text that isn't left out and of which no more than half is links. The
+container's path of tags and classes, with digits generalised, is the page's vote. Votes are counted by host in Spark, and each page is then extracted
+anew from the containers on its host's winning path; a page without good text there keeps its own container.
 
 Left out everywhere: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by
-element, role and class. Character references are decoded, white space in a block becomes one space, blocks are joined by \\n.
+element, role and class. A class or id marks an element if all its words do or are mere helpers ("comment-list", "page-header-2", but not "market-share");
+outside articles, by element or class, one such word is enough. Character references are decoded, white space in a block becomes one space, blocks are joined by \n.
+Nothing else of a container is dropped. Time and memory are in proportion to the page, however deeply it is nested.
 
-Nulls: a null html is empty and gives an empty text; pages with a null url vote together. Repeated pages vote each.
+Nulls: a null html is empty and gives an empty text; pages with a null url vote together. Repeated pages vote each. Very long pages are parsed whole.
 Of equal votes, the path with more text, then the first by name wins. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -30,7 +32,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li listing main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
-CONTAINERS = frozenset("article body center div main section table tbody td tr figure".split())
+CONTAINERS = frozenset("html body article center div main section table tbody tr td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT = frozenset("nav footer aside form head script style noscript template iframe svg math canvas object embed button select option textarea input dialog menu".split())
 LEFT_OUT_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 #: Words in a class or id that mark what isn't the article.
@@ -39,12 +42,23 @@ MARKS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer "
     "header masthead comment comments disqus reply replies respond social share sharing related recommended recommendations widget hidden".split()
 )
+#: Words in a class or id that mark the article.
+CONTENT = frozenset("article entry story prose".split())
+#: Words that may stand beside either.
+HELPERS = frozenset(
+    "a area article articles bar bars block blocks body bottom box boxes btn button buttons card cards col column container content entry fixed float form global group grid "
+    "inner item items js left link links list lists main mobile module nav navbar outer page panel post posts right row section site slot sticky story strip text the theme title top unit units "
+    "wide wrap wrapper center desktop section sections ui app web id no new".split()
+)
 #: What a start tag closes when it is open and no barrier stands between.
 P_CLOSERS = BLOCKS - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr", "legend"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BARRIERS = frozenset("table td th caption button object html".split())
-#: A container takes the place of its parent if it holds this share of the parent's good text.
-SHARE = 0.6
+#: Text of an element is good if less than this share of it is links.
+LINKS = 0.5
+
+#: Hosts whose paths are sent to the pages; with more of them, the pages of a host are dealt into so many shares.
+MOST_PATHS, SHARES = 200_000, 64
 
 TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 REST = re.compile(r"""(?>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*)>?""")
@@ -53,59 +67,72 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "step", "out", "parent", "children", "chars", "linked")
+    __slots__ = ("tag", "step", "out", "strict", "parent", "children", "depth", "chars", "linked", "good")
 
     def __init__(self, tag: str, step: str, out: bool, parent: "Node | None"):
         self.tag, self.step, self.out, self.parent = tag, step, out, parent
+        self.strict = tag in ("article", "main") or parent is not None and parent.strict
         self.children: list[Node | str] = []
-        self.chars = self.linked = 0
-
-
-def _open(tag: str, attributes: str, parent: Node) -> Node:
-    step, out = tag, parent.out or tag in LEFT_OUT
-    if attributes:
-        given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        if names := given.get("class", "").split():
-            step = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
-        marks = {w.lower() for w in PARTS.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-        if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in LEFT_OUT_ROLES:
-            out = True
-        elif marks & MARKS and tag not in ("html", "body", "article", "main", "h1"):
-            out = True
-    if tag == "header" and not _inside(parent, ("article", "main")):
-        out = True
-    node = Node(tag, step, out, parent)
-    parent.children.append(node)
-    return node
-
-
-def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
-def _close(at: Node, tags: set[str] | frozenset[str], barriers) -> Node:
-    """The parent of the nearest open element of `tags` before a barrier, else where we are."""
-    node = at
-    while node.parent is not None and node.tag not in barriers:
-        if node.tag in tags:
-            return node.parent
-        node = node.parent
-    return at
+        self.depth = parent.depth + 1 if parent else 0
+        self.chars = self.linked = self.good = 0
+
+
+def _marked(name: str, strict: bool) -> bool:
+    """Whether a class or an id says that its element isn't the article's."""
+    words = [w.lower() for w in PARTS.findall(name)]
+    found = [w in MARKS and not (strict and w == "header") for w in words]  # an article's own header holds its title
+    return any(found) and (not strict or all(m or w in HELPERS or len(w) == 1 for m, w in zip(found, words)))
+
+
+class Tree:
+    """A page's elements while it is parsed. Open elements are listed by tag, so that the nearest one of a tag is found at once."""
+
+    def __init__(self):
+        self.root = self.at = Node("#", "#", False, None)
+        self.opened: dict[str, list[Node]] = {}
+
+    def open(self, tag: str, attributes: str, void: bool) -> Node:
+        parent, step, names = self.at, tag, []
+        out = parent.out or tag in LEFT_OUT or (tag == "header" and not parent.strict)
+        if attributes:
+            given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+            names = given.get("class", "").split()
+            if names:
+                step = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
+            if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in LEFT_OUT_ROLES:
+                out = True
+            elif tag not in ("html", "body", "article", "main"):
+                if tag not in HEADINGS:  # a heading's id is made from its words
+                    names = [*names, given.get("id", "")]
+                out = out or any(_marked(n, parent.strict) for n in names)
+        node = Node(tag, step, out, parent)
+        node.strict = node.strict or not out and tag != "body" and any(w.lower() in CONTENT for n in names for w in PARTS.findall(n))
+        parent.children.append(node)
+        if not void:
+            self.opened.setdefault(tag, []).append(node)
+            self.at = node
+        return node
+
+    def close(self, tags, barriers) -> bool:
+        """Close the nearest open element of `tags` and all inside it, unless a barrier is nearer."""
+        nearest = max((self.opened[t][-1] for t in tags if self.opened.get(t)), key=lambda n: n.depth, default=None)
+        if nearest is None or any(self.opened[b][-1].depth >= nearest.depth for b in barriers if self.opened.get(b)):
+            return False
+        while self.at is not nearest.parent:
+            self.opened[self.at.tag].pop()
+            self.at = self.at.parent
+        return True
 
 
 def parse(page: str) -> Node:
     """A tree of elements and decoded texts; any input gives one."""
-    root = at = Node("#", "#", False, None)
+    tree = Tree()
     pos, end = 0, len(page)
     while pos < end:
         m = TAG.search(page, pos)
         text = page[pos : m.start() if m else end]
-        if text and not at.out:
-            at.children.append(references.unescape(text) if "&" in text else text)
+        if text and not tree.at.out:
+            tree.at.children.append(references.unescape(text) if "&" in text else text)
         if not m:
             break
         tag = m[2]
@@ -118,26 +145,22 @@ def parse(page: str) -> Node:
         rest = REST.match(page, m.end())
         pos = rest.end()
         if m[1]:
-            if tag == "p" and not _inside(at, ("p",)):
-                continue
-            at = _close(at, {tag}, () if tag in ("body", "html", "table") else BARRIERS - {tag})
+            tree.close({tag}, () if tag in ("body", "html", "table") else BARRIERS - {tag})
             continue
         if tag in P_CLOSERS:
-            at = _close(at, {"p"}, BARRIERS)
+            tree.close({"p"}, BARRIERS)
         if tag in CLOSES:
             tags, barriers = CLOSES[tag]
-            while (up := _close(at, tags, barriers)) is not at:
-                at = up
-        node = _open(tag, rest[0], at)
+            while tree.close(tags, barriers):
+                pass
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(page, pos)
-            node.out = True
+            tree.open(tag, rest[0], False).out = True
             pos = stop.start() if stop else end
-            at = node
-        elif tag not in VOID and not rest[0].endswith("/>"):
-            at = node
-    _weigh(root)
-    return root
+        else:
+            tree.open(tag, rest[0], tag in VOID or rest[0].endswith("/>"))
+    _weigh(tree.root)
+    return tree.root
 
 
 def _walk(node: Node) -> Iterator[tuple[Node | str, bool]]:
@@ -154,13 +177,14 @@ def _walk(node: Node) -> Iterator[tuple[Node | str, bool]]:
 
 
 def _weigh(root: Node) -> None:
-    """Good text of every element: characters that aren't white space, less those in links."""
+    """Characters of every element that aren't white space, those of them in links, and those of its parts that aren't mostly links."""
     open_: list[Node] = []
     links = 0
     for part, entered in _walk(root):
         if isinstance(part, str):
             n = len(part.strip())
             open_[-1].chars += n
+            open_[-1].good += 0 if links else n
             open_[-1].linked += n if links else 0
         elif part.out:
             continue
@@ -171,20 +195,38 @@ def _weigh(root: Node) -> None:
             open_.pop()
             links -= part.tag == "a"
             if open_:
-                open_[-1].chars += part.chars
-                open_[-1].linked += part.linked
+                up = open_[-1]
+                up.chars += part.chars
+                up.linked += part.linked
+                up.good += 0 if (part.tag in BLOCKS or part.tag == "td") and part.linked > LINKS * part.chars else part.good
+
+
+def _outermost(root: Node, tag: str) -> list[Node]:
+    """Elements of a tag that aren't inside another one, in page order."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == tag:
+            found.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if not isinstance(c, str) and not c.out]
+    return found
 
 
 def container(root: Node) -> Node:
-    """The page's own choice."""
+    """The page's own choice. Several articles are held by the element that all of them stand in, if they share their path, by one of them."""
+    for tag in ("article", "main"):
+        found = [n for n in _outermost(root, tag) if n.good]
+        if found and 2 * sum(n.good for n in found) > root.good:
+            if len({path(n) for n in found}) == 1:
+                return found[0]
+            break
     at = root
     while True:
-        kids = [c for c in at.children if not isinstance(c, str) and not c.out and (c.tag in CONTAINERS or c.tag == "html")]
-        best = max(kids, key=lambda c: c.chars - c.linked, default=None)
-        good = at.chars - at.linked
-        if best is None or not good or best.chars - best.linked < SHARE * good:
+        inner = [c for c in at.children if not isinstance(c, str) and not c.out and c.tag in CONTAINERS and c.good]
+        if len(inner) != 1 or inner[0].good < at.good:
             return at
-        at = best
+        at = inner[0]
 
 
 def path(node: Node) -> str:
@@ -229,8 +271,8 @@ def extract(page: str | None, wanted: str | None) -> str:
         return ""
     root = parse(page)
     found = on_path(root, wanted) if wanted is not None else []
-    if not any(n.chars for n in found):
-        found = [container(root)]
+    if not any(n.good for n in found):
+        found = on_path(root, path(container(root)))
     return "\n".join(blocks(found))
 
 
@@ -264,7 +306,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h, w) for h, w in zip(batch.column("html").to_pylist(), batch.column("wanted").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(winners(votes(pages)), "host", "left").select("page_id", "url", "html", "wanted").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    paths = C.staged(winners(votes(pages)), "paths")
+    if paths.count() <= MOST_PATHS:
+        told = rows.join(F.broadcast(paths), "host", "left")
+    else:  # pages are dealt by host and a share of the host's pages, so that no host is one task's
+        share = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SHARES)).cast("int")
+        told = rows.withColumn("share", share).join(paths.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["host", "share"], "left")
+    return told.select("page_id", "url", "html", "wanted").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ A pair of conversations, chosen and rejected, shares the longest common prefix o
 prefix is rendered once, as the prompt; what follows it in either conversation is rendered as a completion with its
 loss mask: the character spans of the assistants' texts and end marks, which are the only ones to be learned.
 
+A table of conversations has no preferences, so `stale_pairs` makes them: chosen is a conversation up to its last answer, rejected the same
+conversation in which that answer is the one before it over again.
+
 Nulls: a turn with a null role is rendered as role "unknown", a null text as an empty one; turns are ordered by number,
-then role and text, with null numbers first, and repeated turns are kept. A conversation without a partner gives a row
+then role and text, with null numbers first, and repeated turns are kept. A conversation without a partner, here one of fewer than two answers, gives a row
 of status "unpaired" whose other completion is null, whole and unshared. Equal conversations give empty completions and status
-"equal". Turns with a null conversation id form one conversation. An empty table gives an empty result.
+"equal". Every turn with a null conversation id is a conversation of its own. Very long texts are rendered whole. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -20,16 +23,18 @@ from . import common as C
 OPEN, BETWEEN, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
-def in_order(of: Column) -> Column:
-    """Aggregate: the turns for which `of` holds, in order, as array<struct<role, text>>; null if there are none."""
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.array_sort(F.collect_list(F.when(of, turn)))
-    return F.when(F.size(turns) > 0, F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+TURNS = "array<struct<role:string,text:string>>"
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and its turns."""
-    return turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(in_order(F.lit(True)).alias("turns"))
+    """conv_id and its turns, in order."""
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
+    )
+    whole = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
+    return whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -82,44 +87,48 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_up(turns: DataFrame) -> DataFrame:
-    """Pairs of the conversations 2n (chosen) and 2n + 1 (rejected), in one shuffle. A key has two conversations, so none is hot."""
-    conv = F.col("conv_id").cast("long")
-    even = F.coalesce(F.pmod(conv, F.lit(2)) == 0, F.lit(True))
-    return turns.groupBy(F.floor(conv / 2).cast("long").alias("pair_id")).agg(in_order(even).alias("chosen"), in_order(~even).alias("rejected"))
+def stale_pairs(talks: DataFrame) -> DataFrame:
+    """pair_id, chosen and rejected of conversations (conv_id, turns)."""
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
+    rows = talks.withColumn("places", places).withColumns({"last": F.get("places", F.size("places") - 1), "before": F.get("places", F.size("places") - 2)})
+    rows = rows.withColumn("chosen", F.when(F.col("before").isNotNull(), F.slice("turns", F.lit(1), F.col("last") + 1)).otherwise(F.col("turns")))
+    rejected = F.concat(F.slice("turns", F.lit(1), F.col("last")), F.array(F.get("turns", F.col("before"))))
+    return rows.select(F.col("conv_id").alias("pair_id"), "chosen", F.when(F.col("before").isNotNull(), rejected).alias("rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = format_pairs(pair_up(C.table(spark, sf_dir, "conversations")))
+    made = format_pairs(stale_pairs(conversations(C.table(spark, sf_dir, "conversations"))))
     return made.select(
         "pair_id", "status", "n_prefix", "prompt", "chosen", "rejected",
         *(_learned(F.col(f"{s}_spans")).cast("long").alias(f"{s}_learned") for s in ("chosen", "rejected")),
     )
 
 
-#: The same rows in DuckDB's SQL.
+#: The same rows in DuckDB's SQL: the turns before the last answer are the prompt.
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n,
-         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 OR conv_id IS NULL AS even
-  FROM conversations),
-p AS (SELECT pair_id, bool_or(even) AS has_c, bool_or(NOT even) AS has_r FROM t GROUP BY pair_id),
-same AS (
-  SELECT c.pair_id, c.n FROM t c JOIN t r ON c.pair_id = r.pair_id AND c.n = r.n AND c.even AND NOT r.even AND c.role = r.role AND c.text = r.text),
-run AS (SELECT pair_id, n, row_number() OVER (PARTITION BY pair_id ORDER BY n) AS k FROM same),
-pre AS (SELECT pair_id, count(*) AS n_prefix FROM run WHERE n = k GROUP BY pair_id),
-r AS (
-  SELECT t.*, coalesce(pre.n_prefix, 0) AS n_prefix, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
-         CASE WHEN role = 'assistant' THEN length(text) + 7 ELSE 0 END AS learned
-  FROM t LEFT JOIN pre USING (pair_id))
-SELECT p.pair_id,
-       CASE WHEN NOT (has_c AND has_r) THEN 'unpaired' WHEN count(*) FILTER (WHERE n > n_prefix) = 0 THEN 'equal' ELSE 'pair' END AS status,
-       max(n_prefix) AS n_prefix,
-       coalesce(string_agg(piece, '' ORDER BY n) FILTER (WHERE n <= n_prefix AND even), '') AS prompt,
-       CASE WHEN has_c THEN coalesce(string_agg(piece, '' ORDER BY n) FILTER (WHERE n > n_prefix AND even), '') END AS chosen,
-       CASE WHEN has_r THEN coalesce(string_agg(piece, '' ORDER BY n) FILTER (WHERE n > n_prefix AND NOT even), '') END AS rejected,
-       CASE WHEN has_c THEN CAST(coalesce(sum(learned) FILTER (WHERE n > n_prefix AND even), 0) AS BIGINT) END AS chosen_learned,
-       CASE WHEN has_r THEN CAST(coalesce(sum(learned) FILTER (WHERE n > n_prefix AND NOT even), 0) AS BIGINT) END AS rejected_learned
-FROM p JOIN r ON p.pair_id IS NOT DISTINCT FROM r.pair_id
-GROUP BY p.pair_id, has_c, has_r
+  SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n,
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN 'row ' || row_number() OVER () ELSE CAST(conv_id AS VARCHAR) END AS k FROM conversations)),
+answers AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS r FROM t WHERE role = 'assistant'),
+two AS (SELECT a.k, a.n AS last, a.text AS chosen, b.text AS rejected FROM answers a JOIN answers b ON a.k = b.k AND a.r = 1 AND b.r = 2),
+piece AS (
+  SELECT t.conv_id, t.k, t.n, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS piece, t.role, t.text, two.last, two.chosen, two.rejected
+  FROM t LEFT JOIN two USING (k)),
+whole AS (
+  SELECT any_value(conv_id) AS conv_id, any_value(last) AS last, any_value(chosen) AS chosen, any_value(rejected) AS rejected,
+         string_agg(piece, '' ORDER BY n) AS everything, coalesce(string_agg(piece, '' ORDER BY n) FILTER (WHERE n < last), '') AS prompt,
+         CAST(coalesce(sum(length(text) + 7) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS learned
+  FROM piece GROUP BY k),
+told AS (
+  SELECT *, CASE WHEN last IS NULL THEN 'unpaired' WHEN chosen = rejected THEN 'equal' ELSE 'pair' END AS status,
+         '<|assistant|>' || chr(10) || chosen || '<|end|>' || chr(10) AS c, '<|assistant|>' || chr(10) || rejected || '<|end|>' || chr(10) AS r
+  FROM whole)
+SELECT conv_id AS pair_id, status, CASE status WHEN 'unpaired' THEN 0 WHEN 'equal' THEN last ELSE last - 1 END AS n_prefix,
+       CASE status WHEN 'unpaired' THEN '' WHEN 'equal' THEN prompt || c ELSE prompt END AS prompt,
+       CASE status WHEN 'unpaired' THEN everything WHEN 'equal' THEN '' ELSE c END AS chosen,
+       CASE status WHEN 'unpaired' THEN NULL WHEN 'equal' THEN '' ELSE r END AS rejected,
+       CASE status WHEN 'unpaired' THEN learned WHEN 'equal' THEN 0 ELSE length(chosen) + 7 END AS chosen_learned,
+       CASE status WHEN 'unpaired' THEN NULL WHEN 'equal' THEN 0 ELSE length(rejected) + 7 END AS rejected_learned
+FROM told
 """

@@ -4,8 +4,8 @@ Each rule is evaluated once over every whole text; the ledger keeps the measurem
 Policies are versioned masks over those bits, so that a verdict, another policy's verdict and every ablation follow
 from the ledger by bitwise operations, without the texts.
 
-Nulls: a null text has no words, so it fails the rule for few words. Repeated rows are judged each. An empty table
-gives an empty ledger. Extra columns are ignored.
+Nulls: a null text has no words, so it fails the rule for few words. Very long texts are measured whole, each in one piece. Repeated rows
+are judged each. An empty table gives an empty ledger. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
@@ -23,8 +24,6 @@ LEDGER_SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
 SYMBOLS = C.byte_table(b"#*$%&|<>")
 MARKS = C.byte_table(b"!")
-#: ASCII letters, and lead bytes of other characters.
-LETTERS = C.byte_table(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0x100)]))
 NOT_NEWLINE = ~C.byte_table(b"\n")
 
 #: (name, failure as a condition on the measurements); a rule's place is its bit, so rules are only ever appended.
@@ -81,7 +80,8 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     order, same = C.repeated(line_codes, line_doc)
     again = np.zeros(len(line_codes), bool)
     again[order[same]] = True
-    letters = np.searchsorted(at := np.flatnonzero(LETTERS[data]), starts) < np.searchsorted(at, ends) if len(starts) else np.zeros(0, bool)
+    lettered = np.asarray(pc.match_substring_regex(distinct.cast(pa.large_string()), r"\p{L}")).astype(bool) if len(distinct) else np.zeros(0, bool)
+    letters = lettered[codes]
     return {
         "n_words": n_words,
         "word_chars": C.count_true(mask & ((data & 0xC0) != 0x80), offsets),
@@ -116,22 +116,57 @@ def passes(policy: str) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask_of(policy))) == 0
 
 
+def patterns(rows: DataFrame, policy: str) -> DataFrame:
+    """The ledger folded to the distinct failure patterns under a policy, at most 2 to the number of rules, with their counts."""
+    return rows.groupBy(F.col("failed").bitwiseAND(F.lit(mask_of(policy))).alias("bits")).agg(F.count("*").alias("n"))
+
+
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
-    """rule, n_failed, n_only (rows that fail this rule alone) and n_kept_without (rows kept when it is taken out of the
-    policy). The ledger is folded to its distinct bit patterns first, at most 2 to the number of rules."""
+    """rule, n_failed, n_only (rows that fail this rule alone) and n_kept_without (rows kept when it is taken out of the policy)."""
     mask = mask_of(policy)
-    patterns = rows.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count("*").alias("n"))
     rules = [(name, 1 << i) for i, (name, _) in enumerate(RULES) if mask >> i & 1]
     total = [
         F.sum(F.when(condition, F.col("n")).otherwise(0)).alias(f"{name}:{what}")
         for name, bit in rules
         for what, condition in (("failed", F.col("bits").bitwiseAND(F.lit(bit)) != 0), ("only", F.col("bits") == bit), ("without", F.col("bits").bitwiseAND(F.lit(mask & ~bit)) == 0))
     ]
-    wide = patterns.agg(*total)
+    wide = patterns(rows, policy).agg(*total)
     parts = [F.struct(F.lit(name).alias("rule"), *(F.coalesce(F.col(f"`{name}:{w}`"), F.lit(0)).alias(c) for w, c in (("failed", "n_failed"), ("only", "n_only"), ("without", "n_kept_without")))) for name, _ in rules]
     return wide.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(C.table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), (passes("base") & passes("v1")).alias("kept"), "failed")
+    """Verdicts from the stored ledger. `rescued_by` is the rule without which the row would be kept, and n_rescued how many rows the
+    ablation of that rule keeps; the ablation has a row a rule, so it is broadcast."""
+    rows = C.staged(ledger(C.table(spark, sf_dir, "documents")), "ledger")
+    mask = mask_of("v1")
+    rescued = F
+    for i, (name, _) in enumerate(RULES):
+        rescued = rescued.when(F.col("failed").bitwiseAND(F.lit(mask)) == 1 << i, F.lit(name))
+    gains = ablation(rows, "v1").select(F.col("rule").alias("rescued_by"), F.col("n_only").alias("n_rescued"))
+    return rows.withColumn("rescued_by", rescued).join(F.broadcast(gains), "rescued_by", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), (passes("base") & passes("v1")).alias("kept"), "failed", "rescued_by", "n_rescued"
+    )
+
+
+#: The same rows in DuckDB's SQL.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM d)),
+windows AS (SELECT *, count(*) OVER (PARTITION BY id, w, w2, w3) AS n FROM (SELECT *, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY id ORDER BY pos))),
+flagged AS (SELECT *, n > 1 AND w3 IS NOT NULL AS f FROM windows),
+spread AS (SELECT *, f OR coalesce(lag(f, 1) OVER o, false) OR coalesce(lag(f, 2) OVER o, false) AS twice FROM flagged WINDOW o AS (PARTITION BY id ORDER BY pos)),
+by_word AS (SELECT id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, count(*) FILTER (WHERE twice) AS n_repeat_words, count(*) FILTER (WHERE regexp_matches(w, '\p{L}')) AS n_letter_words FROM spread GROUP BY id),
+lines AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT id, string_split(text, chr(10)) AS l FROM d)),
+by_line AS (SELECT id, count(*) AS n_lines, count(*) FILTER (WHERE k > 1) AS n_dup_lines FROM (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY pos) AS k FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')) GROUP BY id),
+m AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks, coalesce(n_letter_words, 0) AS n_letter_words
+  FROM d LEFT JOIN by_word USING (id) LEFT JOIN by_line USING (id)),
+told AS (
+  SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines, word_chars < 2 * n_words, word_chars > 20 * n_words, 2 * n_marks > n_words, 10 * n_letter_words < 7 * n_words] AS fails FROM m),
+bits AS (
+  SELECT *, CAST(list_sum(list_transform(generate_series(1, 8), lambda i: CASE WHEN fails[i] THEN 1 << (i - 1) ELSE 0 END)) AS INTEGER) AS failed,
+         CASE WHEN len(list_filter(fails, lambda x: x)) = 1 THEN ['few_words', 'repeated_words', 'many_symbols', 'repeated_lines', 'short_words', 'long_words', 'shouting', 'few_letter_words'][list_position(fails, true)] END AS rescued_by FROM told)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails[1] OR fails[2] AS base_failed, failed = 0 AS kept, failed, rescued_by, CASE WHEN rescued_by IS NOT NULL THEN count(*) OVER (PARTITION BY rescued_by) END AS n_rescued FROM bits
+"""

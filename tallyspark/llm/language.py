@@ -3,22 +3,21 @@
 For each language, a context tree of up to `ORDER` bytes counts which byte follows which context. A byte's code length
 is that of its frequency in the longest known context; where the context never saw the byte, an escape (method C: as
 many escape counts as distinct followers) is paid and the next shorter context is asked, down to the uniform one of 256
-bytes. The trees are learned once from all labelled texts and then frozen; a text gets the language whose tree codes it in the
-fewest bits. Lower-cased UTF-8 bytes are coded, after three newlines as the first context.
+bytes. The trees are learned once and then frozen; a text gets the language whose tree codes it in the
+fewest bits. Lower-cased UTF-8 bytes are coded, after `ORDER` newlines as the first context.
 
-A tree keeps its `MAX_GRAMS` most frequent paths, which bounds the model whatever the corpus; scoring looks up whole paths
-in a table with every language's code length, and computes paths outside it from the trees.
+A language's tree is learned from `LEARN_ROWS` labelled texts in expectation, taken whole by a hash of id and text, or from all if there are fewer. Of
+these texts, every path is kept, so the code lengths are exact. The model that the driver builds and sends out grows
+with the number of languages, not with the corpus.
 
 Nulls: a text that is null or has no letter is `und` with score 0; a null label or text isn't learned from. Repeated rows are
-scored each and count as often in learning. Of equal code lengths, the first language by name wins. Without any labelled text,
-every text is `und`. Extra columns are ignored.
+scored each; among those to learn from, equal rows are taken or left together. Very long texts are learned from and scored whole. Of equal code lengths, the first
+language by name wins. Without any labelled text, every text is `und`. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
 
-ORDER = 3
-MAX_GRAMS = 150_000
-MAX_LANGUAGES = 500
+ORDER = 4
+LEARN_ROWS = 20_000
 START = "\n" * ORDER
 #: A score is the posterior after as much evidence as this many bytes give on average.
 SCORE_BYTES = 50
 UNKNOWN = "und"
 #: Bytes scored at once in a worker.
 PIECE = 2 << 20
+#: Distinct paths that a worker holds while it counts.
+HELD = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,133 +47,164 @@ def _prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return C.utf8(pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), lowered, pa.scalar("", pa.large_string())))
 
 
+def _paths(data: np.ndarray) -> np.ndarray:
+    """Context and follower at each place, ORDER + 1 bytes as a big-endian number."""
+    d = data.astype(np.int64)
+    out = d[: len(d) - ORDER].copy()
+    for k in range(1, ORDER + 1):
+        out = (out << 8) | d[k : len(d) - ORDER + k]
+    return out
+
+
+def sampled(docs: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
+    """lang and text of about `rows` labelled documents a language, by a hash that doesn't depend on how the table is partitioned."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rate = labelled.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("rate"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return labelled.join(F.broadcast(rate), "lang").where(place < F.col("rate")).select("lang", "text")  # a row a language
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram (big-endian number of ORDER + 1 bytes) and its count n over all given texts."""
+    """lang, gram (a path of the tree as a number) and its count n over all given texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def rows():
-            for lang, grams in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams), pa.int64()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
-            total.clear()
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                n = np.bincount(which, np.concatenate([k for _, k in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+            held.clear()
 
         for batch in batches:
             for piece in C.pieces(batch, "text", PIECE):
                 langs = piece.column("lang")
                 for lang in langs.unique().to_pylist():
                     data, offsets = _prepared(piece.column("text").filter(pc.equal(langs, lang)))
-                    inside = np.ones(len(data), bool)  # a gram must not cross into the next text
+                    inside = np.ones(len(data), bool)  # a path must not cross into the next text
                     for k in range(ORDER):
                         inside[offsets[1:] - 1 - k] = False
-                    d = data.astype(np.uint32)
-                    grams, n = np.unique(((d[:-3] << 24) | (d[1:-2] << 16) | (d[2:-1] << 8) | d[3:])[inside[:-3]], return_counts=True)
-                    mine = total[lang]
-                    for g, k in zip(grams.tolist(), n.tolist(), strict=True):
-                        mine[g] += k
-                if sum(map(len, total.values())) > 500_000:
+                    held.setdefault(lang, []).append(np.unique(_paths(data)[inside[: len(data) - ORDER]], return_counts=True))
+                if sum(len(g) for parts in held.values() for g, _ in parts) > HELD:
                     yield from rows()
         yield from rows()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """One language's counts by order: sorted paths with their counts, and sorted contexts with their totals and distinct followers."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.orders = []
+        for order in range(ORDER + 1):
+            paths, which = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            counts = np.bincount(which, n, len(paths)).astype(np.int64)
+            contexts, at = np.unique(paths >> 8, return_inverse=True)
+            self.orders.append((paths, counts, contexts, np.bincount(at, counts, len(contexts)), np.bincount(at, minlength=len(contexts))))
+
+    @staticmethod
+    def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return place, keys[place] == wanted
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        """Code length in bits of each path's last byte after its others."""
+        bits = np.full(len(grams), 0.0)
+        left = np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            paths, counts, contexts, totals, distinct = self.orders[order]
+            wanted = grams[left] & ((1 << 8 * (order + 1)) - 1)
+            context, known = self._at(contexts, wanted >> 8)
+            path, seen = self._at(paths, wanted)
+            if len(contexts):
+                whole = totals[context] + distinct[context]
+                bits[left[seen]] -= np.log2(counts[path[seen]] / whole[seen])
+                escaped = known & ~seen
+                bits[left[escaped]] -= np.log2(distinct[context[escaped]] / whole[escaped])
+            left = left[~seen]
+        bits[left] += 8
+        return bits
+
+
 class Model:
-    """Frozen trees of all languages."""
+    """Frozen trees of all languages, and a hash table of every language's code length for each path that any of them knows."""
 
-    def __init__(self, counts: dict[str, dict[int, int]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        self.trees = []
-        for lang in self.langs:
-            tree = [defaultdict(dict) for _ in range(ORDER + 1)]  # by order: context -> follower -> count
-            for gram, n in counts[lang].items():
-                follower = gram & 0xFF
-                for order in range(ORDER + 1):
-                    context = (gram >> 8) & ((1 << 8 * order) - 1)
-                    at = tree[order][context]
-                    at[follower] = at.get(follower, 0) + n
-            self.trees.append([{c: (f, sum(f.values())) for c, f in t.items()} for t in tree])
-        grams = np.array(sorted(set().union(*map(set, counts.values()))) if counts else [], np.int64)
-        heads, tails = grams >> 16, grams & 0xFFFF
-        self.pair = np.zeros(65536, np.int32)  # 0: in no gram
-        pairs = np.union1d(heads, tails)
-        self.pair[pairs] = np.arange(1, len(pairs) + 1)
-        self.size = len(pairs) + 1
-        self.row = np.zeros(self.size * self.size, np.int32)  # 0: not in the table
-        self.row[self.pair[heads].astype(np.int64) * self.size + self.pair[tails]] = np.arange(1, len(grams) + 1)
+        self.trees = [Tree(*counts[lang]) for lang in self.langs]
+        grams = np.unique(np.concatenate([counts[lang][0] for lang in self.langs])) if counts else np.zeros(0, np.int64)
+        self.shift = np.uint64(64 - max(10, int(2 * len(grams)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.rows = np.zeros(len(self.keys), np.int32)
+        left, step = np.arange(len(grams)), 0
+        while len(left):  # each path takes the first free place from its own on
+            place = (self._home(grams[left]) + step) % len(self.keys)
+            free = self.keys[place] == -1
+            taken, first = np.unique(place[free], return_index=True)
+            winners = left[free][first]
+            self.keys[taken], self.rows[taken] = grams[winners], winners + 1
+            left, step = np.setdiff1d(left, winners, assume_unique=True), step + 1
         self.bits = np.zeros((len(self.langs), len(grams) + 1), np.float32)
-        for i, g in enumerate(grams.tolist(), 1):
-            self.bits[:, i] = self.cost(g)
-        self.seen: dict[int, list[float]] = {}
-
-    def cost(self, gram: int) -> list[float]:
-        """Code length in bits, by language, of a gram's last byte after its others."""
-        follower, out = gram & 0xFF, []
-        for tree in self.trees:
-            bits = 0.0
-            for order in range(ORDER, -1, -1):
-                followers, total = tree[order].get((gram >> 8) & ((1 << 8 * order) - 1), ({}, 0))
-                if not total:
-                    continue
-                n = followers.get(follower, 0)
-                if n:
-                    bits -= log2(n / (total + len(followers)))
-                    break
-                bits -= log2(len(followers) / (total + len(followers)))
-            else:
-                bits += 8
-            out.append(bits)
+        for i, tree in enumerate(self.trees):
+            self.bits[i, 1:] = tree.cost(grams)
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def row_of(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of the table, 0 for paths that no language knows."""
+        out = np.zeros(len(grams), np.int32)
+        home, left, step = self._home(grams), np.arange(len(grams)), 0
+        while len(left):
+            place = (home[left] + step) % len(self.keys)
+            key = self.keys[place]
+            here = key == grams[left]
+            out[left[here]] = self.rows[place[here]]
+            left, step = left[~here & (key != -1)], step + 1
         return out
 
     def code_lengths(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits by language and text, and coded bytes by text."""
         data, offsets = _prepared(texts)
-        pair = self.pair[(data[:-1].astype(np.uint16) << 8) | data[1:]].astype(np.int64)
-        row = self.row[pair[:-2] * self.size + pair[2:]]
+        paths = _paths(data)
+        row = self.row_of(paths)
         begins, stops = offsets[:-1], offsets[1:] - ORDER
         bounds = np.stack([begins, stops], axis=1).reshape(-1)
         bits = np.zeros((len(self.langs), len(begins)))
         some = stops > begins
-        for i in range(len(self.langs)):
+        owner = np.repeat(np.arange(len(begins)), stops - begins)
+        new = C.ragged(begins, stops - begins)
+        unknown = row[new] == 0
+        new, owner = new[unknown], owner[unknown]
+        grams, which = np.unique(paths[new], return_inverse=True)
+        for i, tree in enumerate(self.trees):
             cost = np.append(self.bits[i][row], np.float32(0))
-            bits[i] = np.where(some, np.add.reduceat(cost, bounds, dtype=np.float64)[::2], 0)
-        new = np.flatnonzero(row == 0)
-        if len(new):
-            owner = np.searchsorted(offsets, new, side="right") - 1
-            inside = new < stops[owner]
-            new, owner = new[inside], owner[inside]
-            d = data.astype(np.int64)
-            grams, which = np.unique((d[new] << 24) | (d[new + 1] << 16) | (d[new + 2] << 8) | d[new + 3], return_inverse=True)
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            for g in grams.tolist():
-                if g not in self.seen:
-                    self.seen[g] = self.cost(g)
-            table = np.array([self.seen[g] for g in grams.tolist()]).reshape(-1, len(self.langs))
-            for i in range(len(self.langs)):
-                bits[i] += np.bincount(owner, table[:, i][which], minlength=len(begins))
+            bits[i] = np.where(some, np.add.reduceat(cost, np.minimum(bounds, len(cost) - 1), dtype=np.float64)[::2], 0)
+            if len(new):
+                bits[i] += np.bincount(owner, tree.cost(grams)[which], minlength=len(begins))
         return bits, stops - begins
 
 
-def learn(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """A model of all labelled texts; at most `max_grams` paths a language reach the driver."""
-    counts = C.staged(gram_counts(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())), "grams")
-    langs = [r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels; is this a column of languages?")
-    model: dict[str, dict[int, int]] = {}
-    for lang in langs:
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n")
-        table = top.toArrow()
-        model[lang] = dict(zip(table.column("gram").to_pylist(), table.column("n").to_pylist(), strict=True))
-    return Model(model)
+def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> Model:
+    """A model of the sampled texts."""
+    table = C.staged(gram_counts(sampled(docs, rows)), "paths").toArrow()
+    counts = {}
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    of, grams, n = lang.indices.to_numpy(zero_copy_only=False), table.column("gram").to_numpy(), table.column("n").to_numpy()
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        counts[name] = (grams[of == i], n[of == i])
+    return Model(counts)
 
 
 def predict(docs: DataFrame, model: Model, passed: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
     """The columns `passed` of each row (doc_id unless told) with the language, the score (0 to 1) and the bits a byte, under `names`.
     Callers that pass unknown columns on choose names that can't clash with them."""
     passed = passed if passed is not None else ["doc_id"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS bounds it
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # LEARN_ROWS bounds it for each language
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), *(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double"), strict=True))])
 

@@ -6,11 +6,15 @@ and then searched with any number of test items. A search takes a window's rares
 term's postings back by its offset and keeps the candidates whose other terms, rarest first, stand at their offsets,
 which is an intersection of offset-adjusted lists; all windows of all items go through it together.
 
-Test items are searched in blocks of `BLOCK_WORDS` words at most, so what a task holds of them is bounded.
+Proximity matches are found by the same index: of an item's distinct terms, the `NEAR_TERMS` rarest of the whole corpus (ties: the first in the item)
+are taken; each one's list is moved back by the term's first place in the item, and a match is a place of the rarest
+term for which every other list holds one of the same document within `SLOP` words.
+
+Test items are searched in blocks of `BLOCK_WORDS` words at most, one after the other: the driver and a task hold one block at a time.
 
 Nulls and texts without words have no positions and are never hit. An item without words has no window. Repeated items
 and ids count once in `items`; a null item id is written "null". Repeated document ids are separate rows. An empty
-index or an empty item table gives rows without hits. Extra columns are ignored.
+index or an empty item table gives rows without hits. Very long documents are indexed whole, as rows of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
@@ -26,7 +31,8 @@ from . import common as C
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
 INDEX_SCHEMA = "docs array<long>, ends array<int>, terms array<binary>, counts array<int>, steps binary"
-HIT_SCHEMA = "segment long, place int, doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+NEAR_TERMS, SLOP = 4, 3
+HIT_SCHEMA = "segment long, place int, doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>, near array<string>"
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,6 +77,27 @@ class Windows:
                 rows.append(ids[k : k + w])
         self.terms = list(at)
         self.groups = [(np.array(o, np.int64), np.array(r, np.int64)) for w, (o, r) in sorted(by_width.items()) if w and o]
+        self.owner = np.repeat(np.arange(len(items)), [len(t) for _, t in items])
+        self.word = np.array([at[t] for _, terms in items for t in terms], np.int64)
+        self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(t)) for _, t in items)])
+        self.near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def choose(self, counts: np.ndarray, terms: int = NEAR_TERMS) -> None:
+        """Each item's rarest terms by their counts in the corpus: owners, terms and places, by number of terms."""
+        order = np.lexsort((self.place, self.word, self.owner))
+        o, w, p = self.owner[order], self.word[order], self.place[order]
+        first = np.ones(len(o), bool)
+        first[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
+        o, w, p = o[first], w[first], p[first]
+        order = np.lexsort((p, counts[w], o))
+        o, w, p = o[order], w[order], p[order]
+        begins = np.searchsorted(o, np.arange(len(self.names)))
+        sizes = np.minimum(np.diff(np.append(begins, len(o))), terms)
+        self.near = []
+        for k in np.unique(sizes[sizes > 0]):
+            items = np.flatnonzero(sizes == k)
+            at = begins[items][:, None] + np.arange(k)
+            self.near.append((items, w[at], p[at]))
 
 
 def item_blocks(bench: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -105,8 +132,6 @@ class Segment:
 
     def codes(self, terms: pa.Array) -> np.ndarray:
         """This segment's code of each term, -1 for those it lacks."""
-        import pyarrow.compute as pc
-
         got = pc.index_in(terms, value_set=self.terms.cast(terms.type))
         return np.nan_to_num(got.to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64)
 
@@ -137,6 +162,28 @@ class Segment:
         return alive[row[keep]], start[keep]
 
 
+    def within(self, rows: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, position) of every place of a row's first term that has the others near where they stand in the item."""
+        alive = np.flatnonzero((rows >= 0).all(axis=1))
+        if not len(alive):
+            return alive, alive
+        rows, places = rows[alive], places[alive]
+        n = self.counts[rows[:, 0]]
+        row = np.repeat(np.arange(len(rows)), n)
+        at = self.positions[C.ragged(self.first[rows[:, 0]], n)]
+        ends = np.append(self.ends, self.size)
+        doc = self.doc_of(at)
+        low, high = np.where(doc > 0, ends[doc - 1], 0), ends[doc] - 1
+        for k in range(1, rows.shape[1]):
+            want = at + places[row, k] - places[row, 0]
+            least, most = np.maximum(want - slop, low), np.minimum(want + slop, high)
+            key = rows[row, k] * self.size
+            got = self.keys[np.minimum(np.searchsorted(self.keys, key + least), len(self.keys) - 1)]
+            keep = (got >= key + least) & (got <= key + most)
+            row, at, low, high = row[keep], at[keep], low[keep], high[keep]
+        return alive[row], at
+
+
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, list, Segment]]:
     for i in range(len(batch)):
         at = {c: batch.column(c)[i] for c in ("ends", "counts", "steps", "terms")}
@@ -144,9 +191,33 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, list, Segment]]:
         yield batch.column("segment")[i].as_py(), batch.column("docs")[i].as_py(), Segment(row)
 
 
-def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WINDOW) -> DataFrame:
-    """A row for every document: its hit word positions as disjoint spans, and the ids of the items with occurring windows."""
+def corpus_counts(index: DataFrame, terms: list[bytes]) -> np.ndarray:
+    """How often each term stands in the corpus. A row for each term that occurs comes back, so a block bounds them."""
+    sent = index.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(sent.value, pa.binary())
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for i in range(len(batch)):
+                own, counts = batch.column("terms")[i].values, batch.column("counts")[i].values.to_numpy()
+                place = pc.index_in(wanted, value_set=own.cast(wanted.type))
+                have = np.asarray(place.is_valid())
+                total[have] += counts[place.drop_null().to_numpy()]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
+def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """A row for every document: its hit word positions as disjoint spans, the ids of the items with occurring windows, and of those near."""
     windows = Windows(items, width)
+    if windows.terms:
+        windows.choose(corpus_counts(index, windows.terms))
     spark = index.sparkSession
     sent = spark.sparkContext.broadcast(windows)  # of a block, so of bounded size
 
@@ -177,60 +248,42 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
                 names: list[list] = [[] for _ in docs]
                 for d, i in np.concatenate(pairs).tolist():
                     names[d].append(windows.names[i])
+                near: list[list] = [[] for _ in docs]
+                for owners, rows, places in windows.near:
+                    row, at = s.within(code[rows], places, slop)
+                    if len(row):
+                        for d, i in np.unique(np.stack([s.doc_of(at), owners[row]], axis=1), axis=0).tolist():
+                            near[d].append(windows.names[i])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment] * len(docs), pa.int64()), pa.array(range(len(docs)), pa.int32()), pa.array(docs, pa.int64()), pa.array(s.ends - begins), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(names, pa.list_(pa.string()))],
-                    ["segment", "place", "doc_id", "n_words", "spans", "items"],
+                    [pa.array([segment] * len(docs), pa.int64()), pa.array(range(len(docs)), pa.int32()), pa.array(docs, pa.int64()), pa.array(s.ends - begins), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(names, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
+                    ["segment", "place", "doc_id", "n_words", "spans", "items", "near"],
                 )
 
     return index.mapInArrow(run, HIT_SCHEMA)
 
 
 def find(index: DataFrame, bench: DataFrame, width: int = WINDOW, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Exact phrase matches of all items: doc_id, n_words, n_hit (words inside any occurrence of a window) and items."""
-    parts = [search(index, block, width) for block in item_blocks(bench, key, text, block_words)] or [search(index, [], width)]
-    rows = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        rows = rows.groupBy("segment", "place", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    """Matches of all items: doc_id, n_words, n_hit (words inside any occurrence of a window), items, and near (items with a proximity match)."""
+    blocks = item_blocks(bench, key, text, block_words)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        rows = search(index, block, width)
+    else:  # each block's documents with hits are written before the next block is read
+        hits = None
+        while block is not None:
+            found = C.staged(search(index, block, width).where("size(items) > 0 OR size(near) > 0").select("segment", "place", "spans", "items", "near"), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+            block, following = following, next(blocks, None) if following is not None else None
+        together = hits.groupBy("segment", "place").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")))
+        rows = search(index, [], width).drop("spans", "items", "near").join(together, ["segment", "place"], "left")
+        rows = rows.withColumns({c: F.coalesce(c, F.array().cast(dict(together.dtypes)[c])) for c in ("spans", "items", "near")})
     covered = F.aggregate(  # spans in order; those of several blocks can overlap
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(s["first"], a["to"] + 1) + 1)).alias("n"), F.greatest(a["to"], s["last"]).alias("to")),
     )["n"]
-    return rows.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "segment", "place")
-
-
-def proximity(index: DataFrame, items: list[tuple[str, list[bytes]]], terms: int = 4, slop: int = 3) -> DataFrame:
-    """Items whose `terms` rarest terms of a segment all stand within `slop` words of their places: segment, doc_id, item_id, position.
-
-    Each of the terms' lists is moved back by the term's offset in the item; a match is a start taken from the rarest
-    list that every other list meets within `slop`.
-    """
-    sent = index.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for segment, docs, s in _segments(batch):
-                begins = np.concatenate([[0], s.ends[:-1]])
-                out = []
-                for name, words in sent.value:
-                    code = s.codes(pa.array(words, pa.binary()))
-                    have = np.flatnonzero(code >= 0)
-                    chosen = have[np.argsort(s.counts[code[have]], kind="stable")][:terms]
-                    if len(chosen) < min(terms, len(words)) or not len(chosen):
-                        continue
-                    lists = [s.positions[s.first[c] : s.first[c] + s.counts[c]] for c in code[chosen]]
-                    at, start = lists[0], lists[0] - chosen[0]
-                    for other, offset in zip(lists[1:], chosen[1:], strict=True):
-                        near = np.searchsorted(other, start + offset - slop)
-                        got = other[np.minimum(near, len(other) - 1)]
-                        keep = (near < len(other)) & (got <= start + offset + slop) & (s.doc_of(got) == s.doc_of(at))
-                        at, start = at[keep], start[keep]
-                    out += [(segment, docs[d], name, int(p - begins[d])) for p, d in zip(at.tolist(), s.doc_of(at).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["segment", "doc_id", "item_id", "position"])
-
-    return index.mapInArrow(run, "segment long, doc_id long, item_id string, position long")
+    named = lambda c: F.array_sort(F.array_distinct(c)).alias(c)
+    return rows.select("doc_id", "n_words", covered.alias("n_hit"), named("items"), named("near"), "segment", "place")
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -239,8 +292,37 @@ def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+#: The same rows in DuckDB's SQL; a word and those after it.
+RUN = ", ".join(f"lead(w, {i}) OVER o" for i in range(WINDOW))
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS id, coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+widths AS (SELECT DISTINCT least(len(w), {WINDOW}) AS k FROM b WHERE len(w) > 0),
+words AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d),
+asked AS (SELECT id, item, len, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT *, len(w) AS len FROM b)),
+phrases AS (SELECT DISTINCT item, k, array_to_string(r[1:k], ' ') AS phrase FROM (SELECT item, least(len, {WINDOW}) AS k, len, pos, [{RUN}] AS r FROM asked WINDOW o AS (PARTITION BY id ORDER BY pos)) WHERE pos + k - 1 <= len),
+places AS (SELECT id, k, i, array_to_string(r[1:k], ' ') AS phrase FROM (SELECT id, pos AS i, [{RUN}] AS r FROM words WINDOW o AS (PARTITION BY id ORDER BY pos)), widths WHERE r[k] IS NOT NULL),
+hits AS (SELECT p.id, p.k, p.i, q.item FROM places p JOIN phrases q USING (k, phrase)),
+covered AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(generate_series(i, i + k - 1)) AS pos FROM hits) GROUP BY id),
+named AS (SELECT id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY id),
+terms AS (SELECT id, item, w, min(pos) AS pos FROM asked GROUP BY ALL),
+counted AS (SELECT t.*, row_number() OVER (PARTITION BY t.id ORDER BY coalesce(c.n, 0), t.pos) AS r FROM terms t LEFT JOIN (SELECT w, count(*) AS n FROM words GROUP BY w) c USING (w)),
+chosen AS (SELECT * FROM counted WHERE r <= {NEAR_TERMS}),
+sizes AS (SELECT id, count(*) AS n FROM chosen GROUP BY id),
+starts AS (SELECT c.id AS b, c.item, w.id, w.pos, c.pos AS offset_ FROM chosen c JOIN words w USING (w) WHERE c.r = 1),
+met AS (
+  SELECT s.b, s.item, s.id, s.pos, count(DISTINCT c.r) AS n FROM starts s JOIN chosen c ON c.id = s.b JOIN words w ON w.id = s.id AND w.w = c.w
+  WHERE CASE WHEN c.r = 1 THEN w.pos = s.pos ELSE abs(w.pos - s.pos - c.pos + s.offset_) <= {SLOP} END GROUP BY ALL),
+near AS (SELECT m.id, count(DISTINCT m.item) AS n_near FROM met m JOIN sizes z ON m.b = z.id AND m.n = z.n GROUP BY m.id)
+SELECT doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN covered USING (id) LEFT JOIN named USING (id) LEFT JOIN near USING (id)
+"""

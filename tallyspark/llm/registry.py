@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_chat": chat.ORACLE,
+    "op7_quality": quality.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }

@@ -14,7 +14,7 @@ Every block can be decoded on its own from its checkpoint; the decoder steps thr
 segment together, one table lookup a step.
 
 Nulls: a null text is empty (it has the end id only); a null key sorts first and is kept. Repeated keys
-and rows are kept, tied keys are ordered by their ids. An empty table writes no segment. Extra columns are ignored.
+and rows are kept, tied keys are ordered by a hash of their ids. Very long texts are encoded whole. An empty table writes no segment. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ HEAD = struct.Struct("<4sIQIIII")
 MAGIC = b"TLH1"
 SEGMENT_TOKENS = 1 << 20
 BLOCK = 256
-#: Bytes of text encoded at once in a worker.
+#: Tokens of a file; a corpus of fewer is still dealt over the session's cores, with no less than the second number each.
+FILE_TOKENS, LEAST_TOKENS = 32 << 20, 1 << 20
+#: Bytes of text encoded at once in a worker; a longer text is still encoded whole.
 PIECE = 8 << 20
 IDS_SCHEMA = "doc_id long, n_tokens long, ids binary"
 FILE_SCHEMA = "file int, segment int, first long, n_docs long, n_tokens long, payload binary"
@@ -324,7 +326,9 @@ def write_files(tokens: DataFrame, kind: str, lengths: np.ndarray, path: str, fi
         if keys:
             yield close()
 
-    ordered = tokens.repartitionByRange(files, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
+    # equal rows are interchangeable; their number in the table deals those of a key that is too hot for one file over several
+    tokens = tokens.withColumn("uid", F.monotonically_increasing_id())
+    ordered = tokens.repartitionByRange(files, "doc_id", F.xxhash64("ids"), "uid").sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
     ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(f"{path}/data")
     book = [(bytearray(zlib.compress(lengths.tobytes())),)]
     tokens.sparkSession.createDataFrame(book, "lengths binary").write.parquet(f"{path}/codebook")
@@ -357,8 +361,10 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, li
     spark = docs.sparkSession
     tokens = C.staged(tokenize(docs, tokenizer, end_id), "ids")
     kind = id_kind(tokenizer, end_id)
-    lengths = code_lengths(id_counts(tokens, kind), limit)
-    write_files(tokens, kind, lengths, path, files or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = id_counts(tokens, kind)
+    total = sum(counts.values())
+    files = files or max(1, -(-total // FILE_TOKENS), min(spark.sparkContext.defaultParallelism, total // LEAST_TOKENS))
+    write_files(tokens, kind, code_lengths(counts, limit), path, files)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -366,6 +372,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     import public_tokenizers
 
-    path = f"{C.shared_dir(spark)}/tallyspark/tokens-{uuid.uuid4().hex}"
+    path = f"{C.work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_corpus(C.table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

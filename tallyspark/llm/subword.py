@@ -1,4 +1,4 @@
-"""SentencePiece lattices: sampled encodings without replacement, best encodings and decoding.
+"""SentencePiece lattices: sampled encodings without replacement, and decoding.
 
 A text's segmentations are the paths of its lattice of vocabulary pieces (a character that is no piece goes by its
 bytes), a path's probability being the product of its pieces'. Gumbel top-k: of all paths' log-probabilities, each

@@ -27,3 +27,27 @@ def test_stages_take_effect(spark, tmp_path):
     assert got == want and {(r["doc_id"], r["sample"]) for r in got} == {(1, 1), (1, 2), (4, 1), (4, 2)}
     texts = {r["doc_id"]: r["c"] for r in d.select("doc_id", F.crc32("text").alias("c")).collect()}
     assert all(r["text_crc32"] == texts[r["doc_id"]] for r in got)
+
+
+def test_rows_with_equal_and_missing_ids_are_judged_each(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    clean = ["the quick brown fox jumps over a lazy dog", "all that it has found is under the old bridge", "a clean text that has an id of its own", "and the last one of them has none at all"]
+    rows = [(1, passage), (1, clean[0]), (None, passage + " fifteen"), (None, clean[1]), (2, clean[2]), (None, clean[3]), (None, clean[3])]
+    docs = [(i, t, "en", "s", len(t), "x", 1) for i, t in rows]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, __d string, score int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == frame.columns
+    assert sorted(r["text"] for r in d.collect()) == sorted(clean)
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text_crc32").distinct().count() == 4
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -2,6 +2,10 @@
 
 Every stage works on all that its predecessor kept; each is written as Parquet in the shared folder and read again,
 so a lost executor costs a stage at most.
+
+Nulls: a row without text, or whose text has no letter, goes with the first stage; a null id is passed on, and such rows are told apart by their texts. Empty texts
+go likewise; very long ones are worked on whole. Of equal rows, and of all near copies, one stays. Ties between languages go to the first by name. An empty table
+gives an empty result; without a benchmark nothing is contaminated. Extra columns, whatever their names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm import common, decontaminate, language, neardup, pii, subword
 
+#: Rows of one long that may be sent to all tasks.
+FEW = 1_000_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; lang becomes the predicted one, those without language go."""
@@ -26,9 +33,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark. Few are, so their keys are what the texts are joined with."""
-    flagged = decontaminate.report(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(flagged, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_anti")
+    """Documents that aren't contaminated by the benchmark. A verdict depends on the text alone, so a text's hash is what it is reported and joined by:
+    rows with equal ids, or none, are judged each by its own text."""
+    text = "__decontaminate_h"  # beside whatever columns there are
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    flagged = common.staged(decontaminate.report(keyed, common.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(text)).distinct(), "flagged")
+    side = F.broadcast(flagged) if flagged.count() <= FEW else flagged
+    return docs.withColumn(text, F.xxhash64("text")).join(side, text, "left_anti").select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{common.shared_dir(spark)}/tallyspark/pipeline-{uuid.uuid4().hex}"
+        path = f"{common.work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,6 +29,8 @@ ADDRESS_WORDS = {
     "road": "rd", "street": "st", "avenue": "ave", "floor": "flr", "building": "bldg", "block": "blk",
     "sector": "sec", "plot": "plt", "nagar": "ngr", "opposite": "opp", "near": "nr",
 }
+# Parts of a contract's file name that aren't the customer.
+FILE_MARKS = r"(?i)_(MSA|Agreement|Contract|SOW|Amendment|Subscription|Services|Annual|Scanned)(_\d+)?|_\d{4}|_FY\d{4}"
 GSTIN = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$"
 PAN = "^[A-Z]{5}[0-9]{4}[A-Z]$"
 SUFFIX = r"\b(" + "|".join(LEGAL_SUFFIXES) + r")\b\.?"
@@ -118,8 +120,7 @@ def account_fingerprint(workspace: Column, account: Column) -> Column:
 
 
 def name_from_filename(name: Column) -> Column:
-    """STR17: a file's name as words: without folders, extension and marks of contracts and versions."""
-    base = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[A-Za-z0-9]{1,5}$", "")
-    words = F.regexp_replace(base, "[_+-]+", " ")
-    words = F.regexp_replace(words, r"(?i)\b(contract|agreement|msa|sow|order form|signed|final|draft|copy|v[0-9]+|[0-9]{4})\b", " ")
-    return F.trim(F.regexp_replace(words, " +", " "))
+    """STR17: the customer that a contract's file name tells of: without extension, kind of document and year."""
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    stem = F.regexp_replace(stem, FILE_MARKS, " ")
+    return F.trim(F.regexp_replace(stem, "[_-]+", " "))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in local sessions, as in tests, that name no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -18,25 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir."""
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir. Only a local session may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tallyspark/{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and return it read back, so that nothing upstream is computed again when an
-    executor is lost. With `gather`, for what comes out of a shuffle, at most four tasks a core write, so that many small
-    partitions don't become as many small files."""
+    executor is lost. `release` deletes what an application has staged."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
-    out = df.coalesce(4 * spark.sparkContext.defaultParallelism) if gather else df
-    out.write.option("compression", "zstd").parquet(path)
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables, maps and files that this application put into the shared folder. Results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def byte_table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[np.frombuffer(chars, dtype=np.uint8)] = True

@@ -8,9 +8,9 @@ coordinates; if a coordinate has none, the text looks twice as long. Two signatu
 probability of their weighted Jaccard similarity.
 
 `BANDS` bands of `ROWS` coordinates make the candidates. Texts with equal weighted sets are folded into one node first. In a band's bucket
-not everybody is paired with everybody: a leader is compared with the members, by signature, and whom it matches needs no other comparison;
-all others meet further leaders or all members (see `links`), so that no bucket is left unsearched. Pairs that may reach the threshold are checked
-exactly, on whole texts, in each round, and verified links are closed to classes by label propagation.
+not everybody is paired with everybody: leaders are compared with the members, and their links are closed to classes. A bucket whose members are
+of one class by then is done; in any other, whoever isn't of its largest class meets every member of another class (see `links`). So each two
+nodes that share a bucket are in one class or were compared. A link counts only if the texts' exact similarity reaches the threshold.
 
 Nulls: a null text is a class of its own. Texts without words are classes of equal texts. Equal rows are copies of each other. The row
 kept of a class has the lowest doc_id (nulls first). An empty table gives an empty result. `deduplicated` passes all
@@ -25,7 +25,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
 
@@ -36,12 +36,10 @@ K = BANDS * ROWS
 DARTS = int(K * (log(K) + 3))
 #: Signatures that agree in this share of coordinates are checked exactly; at 0.8, one true link in 10^5 agrees in less.
 MAYBE = 0.62
-#: Two texts can be similar to a third at the threshold only if they are at 0.6 to each other; there, one pair in 10^5 agrees in a smaller share.
-NEAR = 0.39
-#: In buckets up to this size one leader is tried, and whoever it leaves meets all members.
+#: In buckets up to this size one leader is tried.
 SMALL_BUCKET = 24
-#: Nodes on either side of a group of comparisons in larger buckets.
-BLOCK = 1024
+#: Nodes, and bytes of their grams, on either side of a group of comparisons in larger buckets.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Rows of two longs that may be broadcast.
 SMALL = 400_000
 SKETCH_SCHEMA = "doc_id long, th long, a long, b long, n long, sig binary, bands array<long>"
@@ -164,109 +162,140 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "share double"]))
 
 
-def _shares(pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
-    """The (u, v) among `pairs` that agree in `least` of their coordinates or more, with that share."""
+def _shares(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The (u, v) among `pairs` that agree in `MAYBE` of their coordinates or more."""
     both = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v")
-    return C.staged(agreement(both).where(F.col("share") >= least), "close", gather=True)
+    return C.staged(agreement(both).where(F.col("share") >= MAYBE).select("u", "v"), "close")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _crossed(opened: DataFrame, member: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each bucket's open members with all its members that agree in `MAYBE` of their coordinates or more, with that share. Both sides are dealt
-    by hash into blocks of about `BLOCK` nodes, and each two blocks are a group of their own, so a bucket of any size is spread over tasks."""
-    size = opened.groupBy("bucket", "m").agg(F.count("*").alias("o"))
-    size = size.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"), F.ceil(F.col("o") / BLOCK).cast("int").alias("no"))
+def _linked(lead: int, others: np.ndarray, best_first: np.ndarray, groups: np.ndarray, grams: list[np.ndarray]) -> list[int]:
+    """Of the `others`, taken in the order `best_first`, one for each group that holds a text similar to `lead`'s."""
+    found, own = [], grams[lead]
+    step = 1
+    while len(best_first):
+        now, best_first = best_first[:step], best_first[step:]
+        step = min(4 * step, 512)
+        sizes = np.array([len(grams[others[k]]) for k in now])
+        place = np.searchsorted(own, flat := np.concatenate([grams[others[k]] for k in now]))
+        hit = own[np.minimum(place, len(own) - 1)] == flat
+        shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        for k in now[shared >= THRESHOLD * (len(own) + sizes - shared)]:
+            if groups[k] not in {groups[f] for f in found}:
+                found.append(k)
+        best_first = best_first[~np.isin(groups[best_first], groups[found])] if found else best_first
+    return found
+
+
+def _compare(block: pa.Table) -> pa.Table:
+    """Links between the block's open nodes and its members, as many as bring its classes together. Classes that the nodes have already, and
+    those that the block's own links make of them, need no second link. What two nodes share an earlier band of is left to that band's bucket."""
+    node, opens, band = block.column("node").to_numpy(), block.column("opens").to_numpy(zero_copy_only=False), block.column("band")[0].as_py()
+    group = np.unique(block.column("label").to_numpy(), return_inverse=True)[1]
+    sigs = np.frombuffer(C.utf8(block.column("sig"))[0].tobytes(), "<u4").reshape(-1, K)
+    data, ends = C.utf8(block.column("grams"))
+    flat, ends = np.frombuffer(data.tobytes(), np.uint64), ends // 8
+    grams = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    size = np.diff(ends)
+    others = np.flatnonzero(~opens)
+    to = np.ascontiguousarray(sigs[others].T)
+    out = []
+    for lead in np.flatnonzero(opens)[np.argsort(node[opens], kind="stable")]:
+        same = np.zeros(len(others), np.uint8)
+        earlier = np.zeros(len(others), bool)
+        for i in range(BANDS):
+            in_band = np.zeros(len(others), np.uint8)
+            for k in range(i * ROWS, (i + 1) * ROWS):
+                in_band += to[k] == sigs[lead, k]
+            if i < band:
+                earlier |= in_band == ROWS
+            same += in_band
+        alike = np.minimum(size[others], size[lead]) >= THRESHOLD * np.maximum(size[others], size[lead])
+        maybe = np.flatnonzero((same >= MAYBE * K) & alike & ~earlier & (group[others] != group[lead]))
+        if len(maybe):
+            best_first = maybe[np.lexsort((node[others[maybe]], -same[maybe].astype(np.int64)))]
+            for k in _linked(lead, others, best_first, group[others], grams):
+                out.append((min(node[lead], node[others[k]]), max(node[lead], node[others[k]])))
+                group[group == group[others[k]]] = group[lead]
+    return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+
+def _crossed(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the open nodes of large buckets and those buckets' members of other classes. Both sides are dealt by hash into blocks of about `BLOCK`
+    nodes or `BLOCK_BYTES` bytes, and each two blocks are a group of their own, so a bucket of any size is spread over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in C.pieces(batch, "text"):
+                unit, ends = units(piece.column("text"))
+                sets = [np.sort(unit[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
+
+    texts = texts_of(mixed.select("node").distinct(), nodes, docs)
+    grams = C.staged(texts.mapInArrow(run, "node long, grams binary").join(nodes.select("node", "n", "sig"), "node"), "grams")
+    mixed = mixed.withColumn("opens", F.col("label") != F.col("top"))
+    blocks = lambda count, bytes_: F.greatest(F.ceil(count / BLOCK), F.ceil(bytes_ * 8 / BLOCK_BYTES)).cast("int")
+    size = mixed.join(nodes.select("node", "n"), "node").groupBy("bucket").agg(
+        blocks(F.count("*"), F.sum("n")).alias("nm"), blocks(F.count_if("opens"), F.sum(F.when(F.col("opens"), F.col("n")).otherwise(0))).alias("no")
+    )
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = lambda side: side.select("bucket", "node").join(size, "bucket").join(sig, "node")
-    leads = rows(opened).select("bucket", "node", "sig", F.lit(True).alias("leads"), dealt("no").alias("i"), every("nm").alias("j"))
-    meets = rows(member).select("bucket", "node", "sig", F.lit(False).alias("leads"), every("no").alias("i"), dealt("nm").alias("j"))
-
-    def run(block: pa.Table) -> pa.Table:
-        node, leads = block.column("node").to_numpy(), block.column("leads").to_numpy()
-        sigs = np.frombuffer(C.utf8(block.column("sig"))[0].tobytes(), "<u4").reshape(-1, K)
-        to = np.ascontiguousarray(sigs[~leads].T)
-        found_u, found_v, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for one, own in zip(node[leads], sigs[leads]):
-            same = np.zeros(to.shape[1], np.uint8)
-            for k in range(K):
-                same += to[k] == own[k]
-            met = (same >= MAYBE * K) & (node[~leads] != one)
-            v = node[~leads][met]
-            share.append(same[met] / K)
-            found_u.append(np.minimum(v, one))
-            found_v.append(np.maximum(v, one))
-        return pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v), "share": np.concatenate(share)})
-
-    found = leads.unionByName(meets).groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long, share double")
-    return C.staged(found.distinct(), "crossed", gather=True)
+    rows = mixed.join(size, "bucket").join(grams, "node")
+    columns = ["bucket", "band", "node", "label", "sig", "grams"]
+    leads = rows.where("opens").select(*columns, F.lit(True).alias("opens"), dealt("no").alias("i"), every("nm").alias("j"))
+    meets = rows.select(*columns, F.lit(False).alias("opens"), every("no").alias("i"), dealt("nm").alias("j"))
+    return C.staged(leads.unionByName(meets).groupBy("bucket", "i", "j").applyInArrow(_compare, "u long, v long").distinct(), "crossed")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes whose texts reach the threshold; enough of them that classes are whole.
 
     A node's crowd is the sum of its buckets' sizes: among copies of one text, those nearest to all others have the largest, so they lead.
-    In each round a bucket's leader meets all who wait. Those that it matches by exact similarity are settled. Those that it doesn't, but
-    agrees with in `NEAR` of the coordinates, are open. The others can't be similar to anybody whom it settled, as distances obey the triangle inequality; they wait for the
-    next leader, while a bucket has more than `SMALL_BUCKET` members and its leader settles a third of those who waited, so that the
-    rounds are bounded by the logarithm of its size; else they are open, too. In the end all who are open meet all members of their bucket.
-    Of these pairs each node's closest is checked first; the others are checked where their nodes aren't in one class by then.
+    In each round a bucket's leader meets all who wait, and those that it is linked to wait no longer. While a bucket has more than `SMALL_BUCKET`
+    members and its leader is linked to a quarter of those who waited, the others wait for the next leader, so that the rounds
+    are bounded by the logarithm of its size. The links so far make classes. Where a bucket holds several, its nodes outside the largest one are open and meet all
+    its members of other classes.
     """
-    member = nodes.select(F.explode("bands").alias("bucket"), "node")
+    member = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     member = member.join(shared, "bucket")
-    crowd = C.staged(member.groupBy("node").agg(F.sum("m").alias("crowd")), "crowd", gather=True)
-    member = C.staged(member.join(crowd, "node"), "buckets", gather=True)
+    crowd = C.staged(member.groupBy("node").agg(F.sum("m").alias("crowd")), "crowd")
+    member = C.staged(member.join(crowd, "node"), "buckets")
     sig = nodes.select("node", "sig")
     first = F.max_by("node", F.struct("crowd", -F.col("node")))
-    waiting, found, opened, seen = member, None, None, None
+    waiting, found, seen = member, None, None
 
     def checked(close: DataFrame) -> DataFrame:
         """Links among pairs that no round has had yet."""
-        nonlocal seen
+        nonlocal found, seen
         new = close if seen is None else close.join(seen, ["u", "v"], "left_anti")
         good = verified(new, nodes, docs)
+        found = good if found is None else found.unionByName(good)
         seen = close if seen is None else seen.unionByName(close)
         return good
 
     while True:
         leaders = waiting.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("w"))
         tried = waiting.join(leaders, "bucket").where("node != leader")
-        near = _shares(tried.select(*_ordered("node", "leader")).distinct(), sig, NEAR)
-        close = near.where(F.col("share") >= MAYBE).select("u", "v")
-        good = checked(close)
-        found = good if found is None else found.unionByName(good)
-        told = near.select("u", "v").join(found.withColumn("yes", F.lit(True)), ["u", "v"], "left").select("u", "v", F.coalesce("yes", F.lit(False)).alias("linked"))
-        told = told.select(F.col("u").alias("node"), F.col("v").alias("leader"), "linked").unionByName(told.select(F.col("v").alias("node"), F.col("u").alias("leader"), "linked"))
-        left = tried.join(told, ["node", "leader"], "left").where("linked IS NOT TRUE").select("bucket", "node", "m", "crowd", "w", F.col("linked").isNull().alias("far"))
-        left = C.staged(left, "left", gather=True)
-        left = C.staged(left.join(left.groupBy("bucket").agg(F.count("*").alias("now")), "bucket"), "left", gather=True)
-        waits = F.col("far") & (F.col("m") > SMALL_BUCKET) & (3 * (F.col("w") - 1 - F.col("now")) >= F.col("w"))
-        out = left.where(~waits).select("bucket", "node", "m")
-        opened = out if opened is None else opened.unionByName(out)
-        waiting = left.where(waits).select("bucket", "node", "m", "crowd")
+        checked(_shares(tried.select(*_ordered("node", "leader")).distinct(), sig))
+        told = found.select(F.col("u").alias("node"), F.col("v").alias("leader")).unionByName(found.select(F.col("v").alias("node"), F.col("u").alias("leader")))
+        left = C.staged(tried.join(told, ["node", "leader"], "left_anti").select("bucket", "node", "m", "crowd", "w"), "left")
+        again = left.where(F.col("m") > SMALL_BUCKET).groupBy("bucket").agg(F.count("*").alias("now"), F.first("w").alias("w")).where("4 * (w - 1 - now) >= w").select("bucket")
+        waiting = C.staged(left.join(again, "bucket", "left_semi").select("bucket", "node", "m", "crowd"), "waiting")
         if waiting.isEmpty():
             break
-    few = opened.where(F.col("m") <= SMALL_BUCKET).select("bucket", F.col("node").alias("leader"))
-    tried = member.where(F.col("m") <= SMALL_BUCKET).join(few, "bucket").where("node != leader")
-    close = _shares(tried.select(*_ordered("node", "leader")).distinct(), sig, MAYBE)
-    many = opened.where(F.col("m") > SMALL_BUCKET)
-    if not many.isEmpty():
-        close = C.staged(close.unionByName(_crossed(many, member, sig)).distinct(), "close", gather=True)
-    close = _apart(close, found)
-    closest = close.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "share").groupBy("node").agg(F.max_by(F.struct("u", "v"), F.struct("share", "u", "v")).alias("p"))
-    found = found.unionByName(checked(C.staged(closest.select("p.u", "p.v").distinct(), "closest", gather=True)))
-    return found.unionByName(checked(_apart(close, found).select("u", "v")))
-
-
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose nodes the links don't bring into one class."""
-    of = components(links)
-    told = pairs.join(of.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(of.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
-    return C.staged(told.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select(pairs.columns), "apart", gather=True)
+    told = member.join(components(found), "node", "left").select("bucket", "band", "node", "m", F.coalesce("label", "node").alias("label"))
+    by_label = told.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    several = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "top")
+    mixed = C.staged(told.join(several, "bucket"), "mixed")
+    few, many = mixed.where(F.col("m") <= SMALL_BUCKET), mixed.where(F.col("m") > SMALL_BUCKET)
+    opened = few.where("label != top").select("bucket", F.col("node").alias("leader"), F.col("label").alias("own"))
+    pairs = few.join(opened, "bucket").where("label != own").select(*_ordered("node", "leader")).distinct()
+    checked(_shares(pairs.join(seen, ["u", "v"], "left_anti"), sig))
+    return found if many.isEmpty() else found.unionByName(_crossed(many, nodes, docs))
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -281,15 +310,19 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     return np.where(total > 0, common / np.maximum(total, 1), 0.0)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts reach the threshold, by exact similarity of whole texts."""
-    pairs = C.staged(pairs, "pairs", gather=True)
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "doc_id", "th"), "node")
-    wanted = C.staged(wanted, "wanted", gather=True)
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes. Their keys are sent to the texts while they are few, else both are shuffled."""
+    wanted = C.staged(wanted.join(nodes.select("node", "doc_id", "th"), "node"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), "text", _key(F.col("text")).alias("h"))
-    texts = keyed.join(side, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = C.staged(texts, "texts", gather=True)
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
+    return C.staged(keyed.join(side, same).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose texts reach the threshold, by exact similarity of whole texts."""
+    pairs = C.staged(pairs, "pairs")
+    texts = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,22 +331,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("u").filter(good), piece.column("v").filter(good)], ["u", "v"])
 
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-    return C.staged(both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"), "links", gather=True)
+    return C.staged(both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and label, the lowest node of its component, for all nodes with links. Labels spread over links and then jump to their own label's label."""
-    edges = C.staged(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", gather=True)
-    labels = C.staged(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", gather=True)
+    edges = C.staged(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = C.staged(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         spread = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         nearer = labels.join(spread, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        nearer = C.staged(nearer, "labels", gather=True)
+        nearer = C.staged(nearer, "labels")
         moved = not nearer.where("moved").isEmpty()
         if not moved:
             return labels
         up = nearer.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = C.staged(nearer.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels", gather=True)
+        labels = C.staged(nearer.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -323,7 +356,7 @@ def classes(docs: DataFrame) -> DataFrame:
         F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.min_by("th", "uid").alias("th"), F.min_by("sig", "uid").alias("sig"), F.min_by("bands", "uid").alias("bands"),
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid")).alias("first"),
     )
-    nodes = C.staged(folded, "nodes", gather=True)
+    nodes = C.staged(folded, "nodes")
     labels = components(links(nodes, docs))
     told = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_class = told.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
@@ -334,15 +367,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all its columns. Rows with a kept key and text that repeat are told apart by number; the join has dealt
-    them by that key already."""
-    d, t, i, h, n = (f"__neardup_{x}" for x in "dtihn")  # beside whatever columns there are
-    keep = classes(docs).where("kept").groupBy(F.col("doc_id").alias(d), F.col("th").alias(t)).agg(F.count("*").alias(n))
-    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), h: F.coalesce(_key(F.col("text")), F.lit(-1))})
-    keep = keep.select(F.coalesce(d, F.lit(-1)).alias(i), F.coalesce(t, F.lit(-1)).alias(h), n)
-    nth = F.row_number().over(Window.partitionBy(i, h).orderBy(F.col("doc_id").isNull(), F.col("text").isNull()))
-    found = keyed.join(keep.groupBy(i, h).agg(F.sum(n).alias(n)), [i, h])
-    return found.withColumn(d, nth).where(F.col(d) <= F.col(n)).select(*docs.columns)
+    """One row of each class, with all its columns. A null text is a class of its own, so those rows stay without a look; of rows with the kept one's
+    id and text, any is taken, and they are folded before they are shuffled."""
+    d, h = "__neardup_d", "__neardup_h"  # beside whatever columns there are
+    keep = classes(docs.where(F.col("text").isNotNull())).where("kept").select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
+    keyed = docs.where(F.col("text").isNotNull()).withColumns({d: F.col("doc_id").cast("long"), h: _key(F.col("text"))})
+    keep = keep.select(F.col(d).alias("__neardup_kd"), F.col(h).alias("__neardup_kh"))
+    found = keyed.join(keep, F.col(d).eqNullSafe(F.col("__neardup_kd")) & (F.col(h) == F.col("__neardup_kh")), "left_semi").dropDuplicates([d, h])
+    return found.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

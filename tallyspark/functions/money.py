@@ -127,3 +127,11 @@ def formatted(minor: Column, currency: Column) -> Column:
     last, head = F.right(whole, F.lit(3)), F.substr(whole, F.lit(1), F.greatest(F.length(whole) - 3, F.lit(0)))
     indian = F.when(F.length(whole) <= 3, whole).otherwise(F.concat_ws(",", F.reverse(F.regexp_replace(F.reverse(head), r"(\d{2})(?=\d)", "$1,")), last))
     return F.concat(currency, F.lit(" "), F.when(minor < 0, "-").otherwise(""), F.when(currency == "INR", indian).otherwise(grouped), F.lit("."), two)
+
+
+def currency_sums(rows, keys: list[str], amount: str, currency: str, expected: Column):
+    """AGG1: totals by key in the expected currency. A group with any other currency has no total, but an error."""
+    foreign = F.array_sort(F.collect_set(F.when(F.col(currency) != expected, F.col(currency))))
+    by = rows.groupBy(*keys).agg(F.sum(amount).alias("total"), foreign.alias("foreign"))
+    mixed = F.size("foreign") > 0
+    return by.select(*keys, F.when(~mixed, F.col("total")).alias("total"), F.when(mixed, F.concat(F.lit("cannot sum "), F.array_join("foreign", ", "), F.lit(" into a "), expected, F.lit(" total"))).alias("error"))

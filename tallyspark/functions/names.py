@@ -41,13 +41,11 @@ def _squeezed(text: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    """STR1: lower case, without legal suffixes and signs. One pass over all suffixes does what the trailing ones need, as a test shows."""
+    """STR1: lower case, without legal suffixes and signs. All trailing suffixes go first, in one expression; those that are left further in go, too."""
     text = F.lower(F.trim(F.coalesce(name, F.lit(""))))
     text = F.regexp_replace(text, r"[.,'\"()\[\]]", " ")
     text = F.regexp_replace(text, "[&/]", " and ")
-    trimmed = F.trim(F.regexp_replace(text, SUFFIX + r"\s*$", ""))
-    for _ in range(2):
-        trimmed = F.trim(F.regexp_replace(trimmed, SUFFIX + r"\s*$", ""))
+    trimmed = F.trim(F.regexp_replace(text, rf"(?:{SUFFIX}\s*)+$", ""))
     return _squeezed(F.regexp_replace(trimmed, SUFFIX, " "))
 
 

@@ -1,8 +1,9 @@
 """Constrained allocation of payments to invoices.
 
 Candidate edges fall into connected components, which are independent. A component of one edge, or a star whose rim fits into its
-hub, has one best solution and is solved by column expressions; the rest go to an exact branch-and-bound over used edges up to
-`EXACT_EDGES` edges, and to a deterministic greedy beyond, whose status says so.
+hub, has one best solution and is solved by column expressions; the rest go to a branch and bound over used edges, which starts from a greedy solution. It is exact
+where it ends within `NODES` nodes (status OPTIMAL); else its best solution so far has status FEASIBLE. Components of more than `MAX_EDGES` edges are refused, as the rule has
+it: they have status TOO_LARGE and no link.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import graph
 
+#: Subsets of up to this many edges are searched to the end.
 EXACT_EDGES = 14
+NODES = 150
 MAX_EDGES = 4000
 
 
@@ -67,6 +70,48 @@ def objective(amount: dict, invoices: dict, confidence: dict) -> int:
     return sum(amount.values()) + used + 2 * unit * sum(paid[i] == t for i, t in invoices.items())
 
 
+def greedy(edges: list[tuple], invoices: dict, payments: dict, confidence: dict) -> dict:
+    """Whole settlements first, then by confidence."""
+    left, right, out = dict(invoices), dict(payments), {}
+    for e in sorted(edges, key=lambda e: (invoices[e[0]] != payments[e[1]], -confidence[e], e)):
+        if a := min(left[e[0]], right[e[1]]):
+            out[e] = a
+            left[e[0]] -= a
+            right[e[1]] -= a
+    return out
+
+
+def bounded(edges: list[tuple], invoices: dict, payments: dict, confidence: dict, best: dict, most: int | None) -> tuple[dict, bool]:
+    """The best solution over sets of used edges, from `best` on, and whether the search ended within `most` nodes. A node takes edges out, one by one; what
+    its largest flow and all full payments would be worth, less the least that the edges cost that a flow of that size needs, bounds all below it."""
+    unit = max(1, max(invoices.values(), default=0) // 1000)
+    worth = objective(best, invoices, confidence)
+    cheapest = min((unit + max(1, unit // 4) - int(confidence[e] * unit) for e in edges), default=0)
+    nodes, stack = 0, [(0, tuple(edges))]
+    while stack:
+        at, held = stack.pop()
+        nodes += 1
+        if most is not None and nodes > most:
+            return best, False
+        got = {e: a for e, a in flow(list(held), invoices, payments).items() if a > 0}
+        value = objective(got, invoices, confidence)
+        if value > worth:
+            best, worth = got, value
+        total = sum(got.values())
+        reach = sum(t <= sum(payments[e[1]] for e in held if e[0] == i) for i, t in invoices.items())
+        widest = sorted((min(invoices[e[0]], payments[e[1]]) for e in held), reverse=True)
+        needed, sum_ = 0, 0
+        while needed < len(widest) and sum_ < total:
+            sum_ += widest[needed]
+            needed += 1
+        if total + 2 * unit * reach - needed * cheapest <= worth:
+            continue
+        for k in range(len(held) - 1, -1, -1):  # each subset is met once: edges before the last one taken out stay
+            if k >= at:
+                stack.append((k, held[:k] + held[k + 1 :]))
+    return best, True
+
+
 def solve(component: pd.DataFrame) -> pd.DataFrame:
     """Amounts of one component's edges (invoice_id, payment_id, total, available, score)."""
     edges = sorted(zip(component.invoice_id.tolist(), component.payment_id.tolist()))
@@ -75,29 +120,19 @@ def solve(component: pd.DataFrame) -> pd.DataFrame:
     status = "OPTIMAL"
     if len(edges) > MAX_EDGES:
         best, status = {}, "TOO_LARGE"
-    elif len(edges) <= EXACT_EDGES:
-        best, worth = {}, None
-        for mask in range(1 << len(edges)):
-            got = flow([e for k, e in enumerate(edges) if mask >> k & 1], invoices, payments)
-            if all(a > 0 for a in got.values()) and (worth is None or objective(got, invoices, confidence) > worth):
-                best, worth = got, objective(got, invoices, confidence)
     else:
-        status = "FEASIBLE"
-        order = sorted(edges, key=lambda e: (invoices[e[0]] != payments[e[1]], -confidence[e], e))
-        left, right, best = dict(invoices), dict(payments), {}
-        for e in order:
-            if a := min(left[e[0]], right[e[1]]):
-                best[e] = a
-                left[e[0]] -= a
-                right[e[1]] -= a
+        best = greedy(edges, invoices, payments, confidence)
+        best, ended = bounded(edges, invoices, payments, confidence, best, None if len(edges) <= EXACT_EDGES else NODES)
+        status = "OPTIMAL" if ended else "FEASIBLE"
     rows = [(i, p, int(a), status) for (i, p), a in best.items() if a > 0] or [(None, None, 0, status)]
     out = pd.DataFrame(rows, columns=["invoice_id", "payment_id", "amount", "status"])
     out.insert(0, "ws", component.ws.iloc[0])
     return out
 
 
-def allocate(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """ALC: ws, invoice_id, payment_id, amount and status. Components are bounded by the customer's veto on candidates, so each fits a task."""
+def solved(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """Links (ws, invoice_id, payment_id, amount) with their component's status; a component without links has one row without ids. Components are
+    bounded by the customer's veto on candidates, so each fits a task."""
     edges = candidates.join(invoices.select("ws", "invoice_id", "total"), ["ws", "invoice_id"]).join(payments.select("ws", "payment_id", F.col("amount").alias("available")), ["ws", "payment_id"])
     keyed = edges.withColumns({"u": F.concat(F.lit("i"), F.col("invoice_id").cast("string")), "v": F.concat(F.lit("p"), F.col("payment_id").cast("string"))})
     degree = keyed.join(keyed.groupBy("ws", "invoice_id").agg(F.count("*").alias("n_i")), ["ws", "invoice_id"]).join(keyed.groupBy("ws", "payment_id").agg(F.count("*").alias("n_p")), ["ws", "payment_id"])
@@ -106,5 +141,17 @@ def allocate(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) ->
     label = graph.components(rest.select(F.concat_ws(":", "ws", "u").alias("u"), F.concat_ws(":", "ws", "v").alias("v")))
     rest = rest.join(label.withColumnRenamed("node", "k"), F.concat_ws(":", "ws", "u") == F.col("k"))
     kind = dict(candidates.dtypes)
-    solved = rest.groupBy("label").applyInPandas(solve, f"ws {kind['ws']}, invoice_id {kind['invoice_id']}, payment_id {kind['payment_id']}, amount long, status string")
-    return alone.unionByName(solved.where("invoice_id IS NOT NULL"))
+    found = rest.groupBy("label").applyInPandas(solve, f"ws {kind['ws']}, invoice_id {kind['invoice_id']}, payment_id {kind['payment_id']}, amount long, status string")
+    return alone.unionByName(found)
+
+
+def allocate(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """ALC: ws, invoice_id, payment_id, amount and status of the links."""
+    return solved(candidates, invoices, payments).where("invoice_id IS NOT NULL")
+
+
+def statuses(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """ALC: the worst status of each workspace, with links and their sum; TOO_LARGE and FEASIBLE components show."""
+    rank = F.when(F.col("status") == "TOO_LARGE", 2).when(F.col("status") == "FEASIBLE", 1).otherwise(0)
+    by = solved(candidates, invoices, payments).groupBy("ws").agg(F.max(rank).alias("rank"), F.count("invoice_id").alias("links"), F.sum("amount").alias("amount"))
+    return by.select("ws", F.element_at(F.array(*map(F.lit, ("OPTIMAL", "FEASIBLE", "TOO_LARGE"))), (F.col("rank") + 1).cast("int")).alias("status"), "links", "amount")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,7 +103,7 @@ def contained_names(rows: DataFrame, key: str) -> DataFrame:
 def matched_debits(debits: DataFrame, refunds: DataFrame) -> DataFrame:
     """JN13: each debit takes the first open refund of its amount within 7 days (or without a date); a refund is taken once. Order
     decides, so a group of one amount is walked as a whole; groups are bounded by how often an amount occurs."""
-    schema = "ws int, amount long, debit_id long, refund_id long"
+    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for rows, c in ((debits, "ws"), (debits, "amount"), (debits, "debit_id"), (refunds, "refund_id")))
 
     def walk(key: tuple, d: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         open_ = list(r.sort_values(["refunded_on", "refund_id"]).itertuples())
@@ -139,46 +142,120 @@ def precision(labelled: DataFrame) -> DataFrame:
     return by.withColumn("precision", p).withColumn("enabled", ~((F.col("rule") == "A12") & (F.col("labelled") >= 10) & (F.col("precision") < 0.5)))
 
 
-FEATURES = ("amount", "nth", "days_since", "hour", "refunded", "fee")
+#: What a payment is judged by.
+FEATURES = ("amount", "refund_ratio", "hour", "day_of_month", "days_since", "nth")
+#: Share of outliers, trees, and payments of a workspace that the forest is grown from: a bounded sample, taken by a hash.
+OUTLIERS, TREES, GROWN_FROM, LEAST_ROWS = 0.05, 200, 20_000, 50
 
 
-def isolation_scores(x: np.ndarray, trees: int = 200, size: int = 256, seed: int = 20260401) -> np.ndarray:
-    """Isolation forest: 2 to the minus of the mean path length over what it would be by chance."""
+def features(rows: DataFrame) -> DataFrame:
+    """ws, payment_id, paid_at and the FEATURES of payments with an amount (amount, amount_refunded, paid_at, days_since, nth)."""
+    return rows.where("amount > 0 AND paid_at IS NOT NULL").select(
+        "ws", "payment_id", "paid_at", F.col("amount").cast("double").alias("amount"), (F.col("amount_refunded").cast("double") / F.col("amount")).alias("refund_ratio"), F.hour("paid_at").alias("hour"),
+        F.dayofmonth("paid_at").alias("day_of_month"), F.col("days_since").cast("double").alias("days_since"), F.col("nth").cast("double").alias("nth"),
+    )
+
+
+def usual(m: int) -> float:
+    """Mean path length of an unsuccessful search among m rows."""
+    return 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else float(m == 2)
+
+
+def grown(x: np.ndarray, trees: int = TREES, size: int = 256, seed: int = 20260401) -> tuple[int, list[list[tuple]]]:
+    """An isolation forest: for each tree its nodes as (feature, cut, left, right), or (-1, depth and usual path below it, 0, 0) for a leaf."""
     rng = np.random.default_rng(seed)
-    n = len(x)
-    size = min(size, n)
-    usual = lambda m: 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else float(m == 2)
-    depth = np.zeros(n)
+    size = min(size, len(x))
     deepest = math.ceil(math.log2(max(size, 2)))
+    forest = []
     for _ in range(trees):
-        work = [(rng.choice(n, size, replace=False), np.arange(n), 0)]
+        nodes: list[tuple] = [()]
+        work = [(0, rng.choice(len(x), size, replace=False), 0)]
         while work:
-            sample, rows, d = work.pop()
+            at, sample, d = work.pop()
             low, high = (x[sample].min(axis=0), x[sample].max(axis=0)) if len(sample) else (0, 0)
             wide = np.flatnonzero(high > low) if len(sample) > 1 else []
             if d >= deepest or not len(wide):
-                depth[rows] += d + usual(len(sample))
+                nodes[at] = (-1, d + usual(len(sample)), 0, 0)
                 continue
-            f = rng.choice(wide)
-            cut = rng.uniform(low[f], high[f])
-            work.append((sample[x[sample, f] < cut], rows[x[rows, f] < cut], d + 1))
-            work.append((sample[x[sample, f] >= cut], rows[x[rows, f] >= cut], d + 1))
-    return 2.0 ** (-depth / trees / max(usual(size), 1e-9))
-
-
-def outliers(rows: DataFrame, share: float = 0.05, least_rows: int = 50) -> DataFrame:
-    """MLF, A12: the `share` of a workspace's payments that are isolated soonest (ws, payment_id and the FEATURES). Workspaces of under 50 payments have none."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("payment_id").reset_index(drop=True)
-        score = isolation_scores(x[list(FEATURES)].to_numpy(float)) if len(x) >= least_rows else np.zeros(len(x))
-        flag = np.zeros(len(x), bool)
-        if len(x) >= least_rows:
-            flag[np.argsort(-score, kind="stable")[: int(len(x) * share)]] = True
-        return pd.DataFrame({"ws": x.ws, "payment_id": x.payment_id, "score": score, "outlier": flag})
-
-    kind = dict(rows.dtypes)
-    return rows.groupBy("ws").applyInPandas(run, f"ws {kind['ws']}, payment_id {kind['payment_id']}, score double, outlier boolean")
+            f = int(rng.choice(wide))
+            cut = float(rng.uniform(low[f], high[f]))
+            nodes[at] = (f, cut, len(nodes), len(nodes) + 1)
+            nodes += [(), ()]
+            work.append((nodes[at][2], sample[x[sample, f] < cut], d + 1))
+            work.append((nodes[at][3], sample[x[sample, f] >= cut], d + 1))
+        forest.append(nodes)
+    return size, forest
+
+
+def isolation_scores(x: np.ndarray, model: tuple[int, list[list[tuple]]]) -> np.ndarray:
+    """2 to the minus of the mean path length over what it would be by chance."""
+    size, forest = model
+    depth = np.zeros(len(x))
+    for nodes in forest:
+        feature, value, left, right = (np.array(c) for c in zip(*nodes))
+        at = np.zeros(len(x), np.int64)
+        while (inner := np.flatnonzero(feature[at] >= 0)).size:
+            n = at[inner]
+            at[inner] = np.where(x[inner, feature[n]] < value[n], left[n], right[n])
+        depth += value[at]
+    return 2.0 ** (-depth / len(forest) / max(usual(size), 1e-9))
+
+
+def _forests(rows: DataFrame) -> dict:
+    """A forest for each workspace with enough payments, with its version; they are grown in Spark, one task each, from bounded samples, and sent to the driver: as many as workspaces."""
+    place = F.row_number().over(Window.partitionBy("ws").orderBy(F.xxhash64("payment_id"), "payment_id"))
+    sample = rows.withColumn("_n", place).where(F.col("_n") <= GROWN_FROM)
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        x = group.sort_values("payment_id")[list(FEATURES)].to_numpy(float)
+        if len(x) < LEAST_ROWS:
+            return pd.DataFrame({"ws": [], "version": [], "forest": []})
+        version = f"isolation-forest/c{OUTLIERS}/t{TREES}/{hashlib.sha256(np.round(x, 4).tobytes()).hexdigest()[:12]}"
+        return pd.DataFrame({"ws": [group.ws.iloc[0]], "version": [version], "forest": [pickle.dumps(grown(x))]})
+
+    made = sample.groupBy("ws").applyInPandas(grow, f"ws {dict(rows.dtypes)['ws']}, version string, forest binary").collect()
+    return {r["ws"]: (r["version"], bytes(r["forest"])) for r in made}
+
+
+def _scored(rows: DataFrame, forests: dict) -> DataFrame:
+    """rows of workspaces that have a forest, with score and version: a map, whatever a workspace's size."""
+    sent = rows.sparkSession.sparkContext.broadcast(forests)
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {w: (v, pickle.loads(f)) for w, (v, f) in sent.value.items()}
+        for batch in batches:
+            for w, group in batch.groupby("ws", sort=False):
+                if w in models:
+                    yield group.assign(score=isolation_scores(group[list(FEATURES)].to_numpy(float), models[w][1]), version=models[w][0])
+
+    return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in rows.columns), "score double, version string"]))
+
+
+def outliers(rows: DataFrame) -> DataFrame:
+    """MLF, A12: every payment's isolation score, whether it is among the workspace's `OUTLIERS` most isolated, the model's version, and the feature
+    that lies furthest from the workspace's median. Workspaces of under `LEAST_ROWS` payments have none."""
+    scored = _scored(rows, _forests(rows))
+    bound = scored.groupBy("ws").agg(F.percentile_approx("score", 1 - OUTLIERS, 10_000).alias("bound"), *(F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in FEATURES))
+    off = F.array(*(F.struct(F.abs(F.col(c) - F.col(f"m_{c}")).alias("off"), F.lit(c).alias("feature")) for c in FEATURES))
+    told = scored.join(F.broadcast(bound), "ws")  # a row a workspace
+    return told.select("ws", "payment_id", "score", (F.col("score") > F.col("bound")).alias("outlier"), F.array_max(off)["feature"].alias("driver"), "version")
+
+
+def drift(rows: DataFrame) -> DataFrame:
+    """A12's check over time: forests of each fold's earlier payments judge its later ones; the share of outliers by workspace and fold, and whether shares differ
+    by more than twice the expected one. Folds are equal steps of the payments' rank in time."""
+    ranked = rows.withColumn("_r", F.percent_rank().over(Window.partitionBy("ws").orderBy("paid_at", "payment_id"))).withColumn("_n", F.count("*").over(Window.partitionBy("ws")))
+    ranked = ranked.withColumn("_f", folds(F.col("_n"))).withColumn("_slot", F.least(F.floor(F.col("_r") * (F.col("_f") + 1)), F.col("_f")).cast("int"))
+    parts = None
+    for fold in range(5):
+        past, now = ranked.where(F.col("_slot") <= fold).select(*rows.columns), ranked.where((F.col("_slot") == fold + 1) & (F.lit(fold) < F.col("_f"))).select(*rows.columns)
+        forests = _forests(past)
+        bound = _scored(past, forests).groupBy("ws").agg(F.percentile_approx("score", 1 - OUTLIERS, 10_000).alias("bound"))
+        part = _scored(now, forests).join(F.broadcast(bound), "ws").groupBy("ws").agg(F.lit(fold).alias("fold"), F.count("*").alias("tested"), F.round(F.avg((F.col("score") > F.col("bound")).cast("int")), 4).alias("flagged_rate"))
+        parts = part if parts is None else parts.unionByName(part)
+    spread = F.max("flagged_rate").over(Window.partitionBy("ws")) - F.min("flagged_rate").over(Window.partitionBy("ws"))
+    return parts.withColumn("drift_suspected", spread > 2 * OUTLIERS)
 
 
 def folds(n: Column) -> Column:

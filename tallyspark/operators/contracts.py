@@ -28,15 +28,36 @@ def amended(contracts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def citations(cited: DataFrame, pages: DataFrame, shortest: int = 8) -> DataFrame:
-    """STR11: whether each quote stands on its page, on another one, or nowhere, with its place in the normalised page."""
-    p = pages.select("contract_id", F.col("page").alias("found_page"), texts.normalize_quote(F.col("text")).alias("page_text"))
-    q = cited.withColumn("quote_key", texts.normalize_quote(F.col("quote")))
-    hits = q.where(F.length("quote_key") >= shortest).join(p, "contract_id").where(F.contains("page_text", F.col("quote_key")))
-    place = hits.withColumn("at", F.instr("page_text", F.col("quote_key")) - 1)
-    best = place.groupBy("contract_id", "field").agg(F.min_by(F.struct("found_page", "at"), F.struct((F.col("found_page") != F.col("page")).alias("other"), "found_page")).alias("hit"))
+    """STR11: whether each quote (contract_id, field, value, page, quote) stands in its contract, with the page and its place in the normalised page.
+
+    A quote that stands on another page is genuine, so its page is put right: the lowest one is taken. A short quote counts only if it holds the value that it
+    cites, and only on the page cited. Citations without page or quote are none.
+    """
+    key = lambda c: texts.normalize_quote(F.coalesce(c, F.lit("")))
+    p = pages.where("text IS NOT NULL").select("contract_id", F.col("page").alias("found_page"), texts.normalize_quote(F.col("text")).alias("page_text"))
+    q = cited.where("page IS NOT NULL AND quote != ''").withColumns({"quote_key": texts.normalize_quote(F.col("quote")), "value_key": key(F.col("value"))})
+    short = F.length("quote_key") < shortest
+    vague = (short & ((F.col("value_key") == "") | ~F.contains("quote_key", F.col("value_key")))) | (F.length("quote_key") < 2)
+    q = q.withColumns({"short": short, "vague": vague})
+    hits = q.where("NOT vague").join(p, "contract_id").where(F.contains("page_text", F.col("quote_key")) & (~F.col("short") | (F.col("found_page") == F.col("page"))))
+    place = hits.withColumn("pos", F.instr("page_text", F.col("quote_key")) - 1)
+    best = place.groupBy("contract_id", "field").agg(F.min_by(F.struct("found_page", "pos"), F.struct((F.col("found_page") != F.col("page")).alias("other"), "found_page")).alias("hit"))
     out = q.join(best, ["contract_id", "field"], "left")
-    note = F.when(F.length("quote_key") < shortest, "too_short").when(F.col("hit").isNull(), "not_found").when(F.col("hit.found_page") != F.col("page"), "wrong_page").otherwise("verified")
-    return out.select("contract_id", "field", "page", note.alias("note"), (note == "verified").alias("verified"), F.col("hit.at").alias("span_start"), (F.col("hit.at") + F.length("quote_key")).alias("span_end"))
+    found = F.col("hit").isNotNull()
+    note = F.when(F.col("vague"), "too_short").when(~found & F.col("short"), "short_not_on_page").when(~found, "not_found").when(F.col("hit.found_page") != F.col("page"), "other_page").otherwise("verified")
+    return out.select(
+        "contract_id", "field", F.coalesce("hit.found_page", "page").alias("page"), note.alias("note"), found.alias("verified"), F.col("hit.pos").alias("span_start"),
+        (F.col("hit.pos") + F.length("quote_key")).alias("span_end"),
+    )
+
+
+def aligned_keys(contracts: DataFrame, invoices: DataFrame) -> DataFrame:
+    """JN12: the invoices' key of each contract key (key, core): the same one, else the only invoice key with the contract's core."""
+    own = contracts.select("key", "core").distinct()
+    other = invoices.select("key", "core").distinct()
+    alone = other.groupBy("core").agg(F.min("key").alias("other"), F.count("*").alias("n")).where("n = 1").drop("n")
+    both = own.join(other.select("key", F.lit(True).alias("same")), "key", "left").join(alone, "core", "left")
+    return both.select(F.col("key").alias("contract_key"), F.when(F.col("same"), F.col("key")).otherwise(F.col("other")).alias("aligned"))
 
 
 def clauses(pages: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder; lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -30,11 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     """GRA3: simple directed cycles of 2 to `longest` nodes, as `path` from their lowest node. Nodes that no edge enters or leaves
-    are pruned first, by semi joins."""
-    e = edges.select("u", "v").where("u != v").distinct()
-    for _ in range(2):
-        e = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-    e = _cut(e)
+    are pruned first, by semi joins, until all that is left is entered and left."""
+    e = _cut(edges.select("u", "v").where("u != v").distinct())
+    left = e.count()
+    while True:
+        e = _cut(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+        if left == (left := e.count()):
+            break
     step = e.select(F.col("u").alias("at"), F.col("v").alias("next"))
     walks = e.where("u < v").select(F.array("u", "v").alias("path"), F.col("u").alias("start"), F.col("v").alias("at"))
     found = None

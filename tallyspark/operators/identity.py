@@ -10,16 +10,20 @@ from . import graph
 
 MAX_BLOCK = 60
 ACCEPT, REVIEW, EXACT = 6.0, 1.5, 20.0
+#: An accepted pair of this weight without conflict isn't contested.
+SETTLED = 10.0
 #: Columns of arrays that an identity record has besides ws, id and name.
-KEY_SETS = ("domains", "emails", "phones", "tax_ids", "pans", "addresses", "postal_codes")
+KEY_SETS = ("domains", "emails", "phones", "tax_ids", "pans", "addresses", "postal_codes", "platform_ids")
 
 
 def records(rows: DataFrame) -> DataFrame:
     """Identity records of raw rows: comparable forms of name, email, phone, tax id and address."""
     one = lambda c: F.array_compact(F.array(c))
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     email, address = F.col("email"), F.col("address")
+    site = names.normalize_domain(given("website"))
     return rows.select(
-        "ws", "id", "name", names.normalize_name(F.col("name")).alias("normalized_name"), names.name_tokens(F.col("name")).alias("tokens"), one(names.normalize_domain(email)).alias("domains"),
+        "ws", "id", "name", names.normalize_name(F.col("name")).alias("normalized_name"), names.name_tokens(F.col("name")).alias("tokens"), F.array_distinct(F.array_compact(F.array(names.normalize_domain(email), site))).alias("domains"), given("source").alias("source"), one(given("platform_id")).alias("platform_ids"),
         one(names.normalize_email(email)).alias("emails"), one(names.normalize_phone(F.col("phone"))).alias("phones"), one(names.normalize_tax_id(F.col("tax_id"))).alias("tax_ids"),
         one(names.pan_of(F.col("tax_id"))).alias("pans"), one(F.nullif(names.normalize_address(address), F.lit(""))).alias("addresses"), one(names.postal_code(address)).alias("postal_codes"),
     )
@@ -52,7 +56,7 @@ def oversized_blocks(recs: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
 
 
 def _sides(pairs: DataFrame, recs: DataFrame) -> DataFrame:
-    side = lambda s: recs.select("ws", F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("normalized_name", "tokens", *KEY_SETS)))
+    side = lambda s: recs.select("ws", F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("normalized_name", "tokens", "source", *KEY_SETS)))
     return pairs.join(side("l"), ["ws", "l"]).join(side("r"), ["ws", "r"])
 
 
@@ -64,12 +68,18 @@ def _both(name: str) -> Column:
     return (F.size(f"l_{name}") > 0) & (F.size(f"r_{name}") > 0)
 
 
+def _tax_conflict() -> Column:
+    """Both sides carry tax ids that differ, and no PAN in common."""
+    return _both("tax_ids") & ~_shared("tax_ids") & ~_shared("pans")
+
+
 def exact_match() -> Column:
-    """IDN1: confidence of the first exact rule that holds. A shared domain counts only with a shared word, and not against differing tax ids."""
-    conflict = _both("tax_ids") & ~_shared("tax_ids")
+    """IDN1: confidence of the first exact rule that holds: PAN, tax id, platform's customer id, corporate e-mail, domain with a shared word. A shared domain
+    doesn't count against differing tax ids."""
+    corporate = F.exists(F.array_intersect("l_emails", "r_emails"), lambda e: names.normalize_domain(e).isNotNull())
     return (
-        F.when(_shared("pans"), 0.99).when(_shared("tax_ids"), 0.98).when(_shared("emails") & _shared("domains"), 0.94)
-        .when(_shared("domains") & _shared("tokens") & ~conflict, 0.92)
+        F.when(_shared("pans"), 0.99).when(_shared("tax_ids"), 0.98).when(_shared("platform_ids") & (F.col("l_source") == F.col("r_source")), 0.97)
+        .when(corporate, 0.94).when(_shared("domains") & _shared("tokens") & ~_tax_conflict(), 0.92)
     )
 
 
@@ -183,9 +193,112 @@ def cluster_entropy(found: DataFrame) -> DataFrame:
     return sizes.withColumn("p", p).groupBy("ws").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"), F.count("*").alias("clusters"))
 
 
-def objections() -> Column:
-    """IDN9: what speaks against a merge, from the pair's own figures."""
-    return F.array_compact(F.array(F.when(F.col("conflict"), "conflicting_identifiers"), F.when((F.col("weight") < 10) & F.col("exact").isNull(), "weak_evidence"), F.when(F.col("rule").startswith("9ngram"), "only_ngram_block")))
+def criticised(pairs: DataFrame, recs: DataFrame) -> DataFrame:
+    """IDN9: what speaks against each proposed link, the critic's verdict and the decision that is left. A verdict can only weaken a decision.
+
+    Objections send an accepted link without exact match to review. Exact matches and rejected pairs stand. What is accepted on contested evidence (a conflict, or a
+    weight of under 10) was challenged by nobody, as there is no model here, so it goes to review, too.
+    """
+    rows = _sides(pairs.select("ws", "l", "r", "weight", "exact", "conflict", "decision"), recs)
+    shared_address = _shared("addresses") & ~_shared("tax_ids") & ~_shared("domains") & ~_shared("tokens")
+    said = F.array_compact(F.array(
+        F.when(_tax_conflict(), "CONTRADICTORY_IDENTIFIER: tax"), F.when(_both("domains") & ~_shared("domains"), "CONTRADICTORY_IDENTIFIER: domain"),
+        F.when(shared_address, "SHARED_ADDRESS_NOT_SAME"),
+    ))
+    contested = F.col("conflict") | (F.col("weight") < SETTLED)
+    disputed = (F.size("objections") > 0) & (F.col("decision") == "ACCEPTED") & F.col("exact").isNull()
+    verdict = F.when(disputed, "DISPUTE").when(F.col("exact").isNotNull() | (F.col("decision") != "ACCEPTED") | ~contested, "AGREE").otherwise("NEEDS_REVIEW")
+    out = rows.withColumn("objections", said).withColumn("verdict", verdict)
+    return out.select("ws", "l", "r", "objections", "verdict", F.when(F.col("verdict") == "AGREE", F.col("decision")).otherwise("REVIEW").alias("decision"))
+
+
+def collected(contacts: DataFrame, crm: DataFrame, contracts: DataFrame, payments: DataFrame, bank: DataFrame) -> DataFrame:
+    """IDN6: raw identity rows (ws, id, source, name, email, phone, tax_id, address, website, platform_id) of everything that names a customer.
+
+    contacts: ws, source_id, contact_name, company_name, email, phone, gst_no, address, website. crm: ws, source_id, name, domain, city. contracts: ws, contract_id,
+    document_name, customer_name, terms_read. payments: ws, payment_id, source_id, customer_name, email, phone. bank: ws, bank_id, source_id, counterparty, direction.
+    A file's name speaks for a contract only once the contract was read and named nobody. Payments and bank lines speak once for each name. A
+    counterparty that money only went out to counts if another source names it.
+    """
+    def put(rows: DataFrame, kind: str, key: str, source: str, **given) -> DataFrame:
+        filled = {c: given.get(c, F.lit(None).cast("string")) for c in ("name", "email", "phone", "tax_id", "address", "website", "platform_id")}
+        return rows.select("ws", F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("id"), F.lit(source).alias("source"), *(v.alias(c) for c, v in filled.items()))
+
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    named = put(
+        contacts, "contact", "source_id", "accounting", name=F.coalesce(text("contact_name"), text("company_name"), F.col("source_id").cast("string")), email=F.col("email"), phone=F.col("phone"),
+        tax_id=F.col("gst_no"), address=F.col("address"), website=F.col("website"), platform_id=F.col("source_id").cast("string"),
+    ).unionByName(put(crm.where("name != ''"), "crm", "source_id", "crm", name=F.col("name"), website=F.col("domain"), address=F.col("city")))
+    of_file = F.when(F.col("terms_read"), names.name_from_filename(F.col("document_name")))
+    named = named.unionByName(put(contracts.withColumn("_name", F.coalesce(text("customer_name"), text(of_file))).where("_name IS NOT NULL"), "contract", "contract_id", "documents", name=F.col("_name")))
+    once = lambda rows, name, key: rows.where(F.length(name) > 0).withColumn("_n", F.row_number().over(Window.partitionBy("ws", F.lower(name)).orderBy("source_id", key))).where("_n = 1")
+    paid = once(payments, "customer_name", "payment_id")
+    named = named.unionByName(put(paid, "payment", "payment_id", "payments", name=F.col("customer_name"), email=F.col("email"), phone=F.col("phone")))
+    known = named.select("ws", names.normalize_name(F.col("name")).alias("_key"), F.lit(True).alias("_known")).distinct()
+    pays_in = bank.where("direction = 'credit'").select("ws", F.lower("counterparty").alias("_low"), F.lit(True).alias("_pays")).distinct()
+    seen = once(bank, "counterparty", "bank_id").withColumns({"_low": F.lower("counterparty"), "_key": names.normalize_name(F.col("counterparty"))})
+    seen = seen.join(pays_in, ["ws", "_low"], "left").join(known, ["ws", "_key"], "left").where("_pays OR _known")
+    return named.unionByName(put(seen, "bank", "bank_id", "bank", name=F.col("counterparty")))
+
+
+def applied(recs: DataFrame, found: DataFrame, entities: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """IDN8: customers after clustering, and which ids they took over (ws, from_id, to_id).
+
+    entities: ws, entity_id, name, normalized_name, aliases, domains, tax_ids, human_confirmed, created_at. found: ws, id, cluster. owned: ws, entity_id of what owns evidence.
+    A cluster's customer is the oldest entity of its canonical name, or a new one; one that a human confirmed keeps its fields. Other entities named like a member are absorbed, unless
+    a human confirmed them or their tax ids contradict the customer's. What owns no evidence then and wasn't confirmed is retired.
+    """
+    rows = recs.join(found, ["ws", "id"], "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    made = rows.groupBy("ws", "cluster").agg(
+        F.min_by(F.struct("name", "normalized_name"), F.struct((-F.length("name")).alias("n"), "id")).alias("canonical"), F.array_sort(F.collect_set("name")).alias("aliases"), union("domains"), union("tax_ids"),
+        union("pans"), F.array_distinct(F.collect_list(F.nullif("normalized_name", F.lit("")))).alias("member_names"),
+    ).select("ws", "cluster", F.col("canonical.name").alias("name"), F.col("canonical.normalized_name").alias("normalized_name"), "aliases", "domains", "tax_ids", "pans", "member_names")
+    oldest = entities.groupBy("ws", "normalized_name").agg(F.min_by("entity_id", F.struct("created_at", "entity_id")).alias("entity_id"))
+    target = made.join(oldest, ["ws", "normalized_name"], "left").withColumn("_n", F.row_number().over(Window.partitionBy("ws", F.coalesce("entity_id", "cluster")).orderBy("cluster")))
+    target = target.withColumn("entity_id", F.coalesce(F.when(F.col("_n") == 1, F.col("entity_id")), F.concat(F.lit("new:"), F.col("cluster").cast("string")))).drop("_n")
+    pans = F.array_compact(F.transform("e_tax_ids", lambda x: names.pan_of(x)))
+    other = entities.where("NOT human_confirmed").select("ws", F.col("entity_id").alias("from_id"), F.col("normalized_name").alias("_m"), F.col("name").alias("e_name"), F.col("aliases").alias("e_aliases"), F.col("domains").alias("e_domains"), F.col("tax_ids").alias("e_tax_ids")).withColumn("e_pans", pans)
+    near = target.select("ws", F.col("entity_id").alias("to_id"), "tax_ids", "pans", F.explode("member_names").alias("_m")).join(other, ["ws", "_m"]).where("from_id != to_id")
+    clash = (F.size("tax_ids") > 0) & (F.size("e_tax_ids") > 0) & ~F.arrays_overlap("tax_ids", "e_tax_ids") & ~F.arrays_overlap("pans", "e_pans")
+    taken = near.where(~clash).join(target.select("ws", F.col("entity_id").alias("from_id")), ["ws", "from_id"], "left_anti")
+    taken = taken.groupBy("ws", "from_id").agg(F.min_by(F.struct("to_id", "e_name", "e_aliases", "e_domains", "e_tax_ids"), "to_id").alias("t")).select("ws", "from_id", "t.*")
+    moves = taken.select("ws", "from_id", "to_id")
+    extra = taken.groupBy("ws", F.col("to_id").alias("entity_id")).agg(
+        F.flatten(F.collect_list(F.array_union(F.coalesce("e_aliases", F.array().cast("array<string>")), F.array("e_name")))).alias("x_aliases"), F.flatten(F.collect_list("e_domains")).alias("x_domains"), F.flatten(F.collect_list("e_tax_ids")).alias("x_tax_ids"),
+    )
+    none = F.array().cast("array<string>")
+    kept = entities.select("ws", "entity_id", *(F.col(c).alias(f"k_{c}") for c in ("name", "normalized_name", "aliases", "domains", "tax_ids", "human_confirmed")))
+    both = target.drop("pans", "member_names", "cluster").join(extra, ["ws", "entity_id"], "left").join(kept, ["ws", "entity_id"], "full")
+    sure = F.coalesce("k_human_confirmed", F.lit(False))
+    own = lambda c: F.when(sure | F.col("name").isNull(), F.col(f"k_{c}")).otherwise(F.col(c))
+    wide = lambda c: F.array_sort(F.array_union(F.coalesce(own(c), none), F.coalesce(f"x_{c}", none))).alias(c)
+    after = both.select("ws", "entity_id", own("name").alias("name"), own("normalized_name").alias("normalized_name"), wide("aliases"), wide("domains"), wide("tax_ids"), sure.alias("human_confirmed"))
+    after = after.join(moves.select("ws", F.col("from_id").alias("entity_id")), ["ws", "entity_id"], "left_anti")
+    holds = owned.join(moves.withColumnRenamed("from_id", "entity_id"), ["ws", "entity_id"], "left").select("ws", F.coalesce("to_id", "entity_id").alias("entity_id"), F.lit(True).alias("owns")).distinct()
+    linked = target.select("ws", "entity_id", F.lit(True).alias("owns"))  # a cluster's records are its evidence
+    return after.join(holds.unionByName(linked).distinct(), ["ws", "entity_id"], "left").where("owns OR human_confirmed").drop("owns"), moves
+
+
+def confusion(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG15: precision and recall of predictions (said, true) by key; 1 where there is nothing to be right about."""
+    by = rows.groupBy(*keys).agg(F.count_if(F.col("said") & F.col("true")).alias("tp"), F.count_if(F.col("said") & ~F.col("true")).alias("fp"), F.count_if(~F.col("said") & F.col("true")).alias("fn"))
+    rate = lambda a, b: F.when(F.col(a) + F.col(b) == 0, 1.0).otherwise(F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0)))
+    return by.select(*keys, rate("tp", "fp").alias("precision"), rate("tp", "fn").alias("recall"))
+
+
+def blocking_recall(recs: DataFrame, true_pairs: DataFrame) -> DataFrame:
+    """AGG15: the share of true pairs (ws, l, r) that blocking proposes."""
+    met = true_pairs.join(candidate_pairs(recs).select("ws", "l", "r", F.lit(True).alias("met")), ["ws", "l", "r"], "left")
+    return met.groupBy("ws").agg((F.count_if("met") / F.count("*")).alias("recall"))
+
+
+def without_evidence(entities: DataFrame, *owners: DataFrame) -> DataFrame:
+    """SET5: entities (ws, customer_id) that no evidence table names."""
+    owned = owners[0].select("ws", "customer_id")
+    for o in owners[1:]:
+        owned = owned.unionByName(o.select("ws", "customer_id"))
+    return entities.join(owned.where("customer_id IS NOT NULL").distinct(), ["ws", "customer_id"], "left_anti")
 
 
 def shared_attribute_pairs(rows: DataFrame, max_group: int = MAX_BLOCK) -> DataFrame:

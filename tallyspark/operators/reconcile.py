@@ -82,19 +82,39 @@ def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> Data
     return pairs.withColumns(invoice_payment_score()).where(F.col("score") >= LEAST_SCORE).select("ws", F.col("i_id").alias("invoice_id"), F.col("p_id").alias("payment_id"), "score", "method")
 
 
+#: Amounts within 6 % of each other lie in the same or in neighbouring steps of this logarithm; below SMALL the hundred decides, which is a step of CLOSE.
+STEP, SMALL = 1.07, 2000
+
+
 def payment_bank_candidates(payments: DataFrame, bank: DataFrame) -> DataFrame:
-    """JN3: scored pairs, joined on workspace, currency and a bucket of days, each payment in the two buckets that its window meets."""
+    """JN3: scored pairs, joined on workspace, currency, a bucket of days and a bucket of amounts, so that pairs grow with the rows and not with their square.
+    A payment's window meets two buckets of days. Its net amount is sought among credits within a hundred, its gross amount, where the net one isn't met, among
+    those within 6 % or a hundred. A credit has one bucket of each kind, so no pair is found twice."""
     span = BANK_TO - BANK_FROM
     p = payments.where(successful(F.col("status"))).select("ws", "currency", "payment_id", "paid_on", "amount", (F.col("amount") - F.col("fee") - F.col("tax")).alias("net"), "settlement_id")
     p = p.withColumn("b", F.explode(F.array_distinct(F.array(F.floor(F.unix_date(F.date_add("paid_on", BANK_FROM)) / span), F.floor(F.unix_date(F.date_add("paid_on", BANK_TO)) / span)))))
     b = bank.where("direction = 'credit'").select("ws", "currency", "bank_id", F.col("booked_on"), F.col("amount").alias("credit"), F.col("reference").alias("bank_reference"), F.floor(F.unix_date("booked_on") / span).alias("b"))
+    hundred = lambda amount: F.floor(amount / CLOSE).cast("long")
+    step = lambda amount: F.floor(F.log(F.greatest(amount, F.lit(1)).cast("double")) / F.log(F.lit(STEP))).cast("long")
+    near = lambda at: F.explode(F.array(at - 1, at, at + 1))
     gap = F.datediff("booked_on", "paid_on")
     net = F.abs(F.col("credit") - F.col("net")) <= CLOSE
     gross = F.abs(F.col("credit") - F.col("amount")) <= F.greatest(F.lit(CLOSE), F.floor(F.col("amount") * 6 / 100))
     settled = F.coalesce(F.contains(F.lower("bank_reference"), F.lower("settlement_id")), F.lit(False))
     points = F.when(net, 60).when(gross, 35) + F.when(gap.between(0, 4), 25).otherwise(10) + F.when(settled, 30).otherwise(0)
-    pairs = p.join(b, ["ws", "currency", "b"]).where(gap.between(BANK_FROM, BANK_TO) & (net | gross))
-    return pairs.select("ws", "payment_id", "bank_id", (F.least(F.lit(100), points) / 100.0).alias("score"))
+    met = lambda pays, of_credit, wanted: pays.join(b.withColumn("k", of_credit), ["ws", "currency", "b", "k"]).where(wanted)
+    pairs = (
+        met(p.withColumn("k", near(hundred(F.col("net")))), hundred(F.col("credit")), net)
+        .unionByName(met(p.where(F.col("amount") < SMALL).withColumn("k", near(hundred(F.col("amount")))), hundred(F.col("credit")), gross & ~net))
+        .unionByName(met(p.where(F.col("amount") >= SMALL).withColumn("k", near(step(F.col("amount")))), step(F.col("credit")), gross & ~net))
+    )
+    return pairs.where(gap.between(BANK_FROM, BANK_TO)).select("ws", "payment_id", "bank_id", (F.least(F.lit(100), points) / 100.0).alias("score"))
+
+
+def payer_accounts(allocations: DataFrame, claims: DataFrame, bank: DataFrame) -> DataFrame:
+    """JN11: the account that each allocated payment came from, by its bank credit with the lowest id."""
+    paid = allocations.select("ws", "payment_id").distinct().join(claims.select("ws", "payment_id", "bank_id"), ["ws", "payment_id"])
+    return paid.join(bank.select("ws", "bank_id", "account"), ["ws", "bank_id"]).groupBy("ws", "payment_id").agg(F.min_by("account", "bank_id").alias("account"))
 
 
 def claimed(pairs: DataFrame) -> DataFrame:

@@ -103,6 +103,18 @@ def budgeted(rows: DataFrame, budget: int = 15) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget)
 
 
+def best(rows: DataFrame, keys: list[str], score: str, row_id: str, most: int) -> DataFrame:
+    """SRT1, SRT3: the `most` highest scores of each key, ties by id."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), row_id)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def newest(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """SRT5: the `most` latest rows of each key; the last column of `order` tells all rows apart."""
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def version_diff(snapshots: DataFrame, fields: list[str]) -> DataFrame:
     """WIN11: fields that changed from one version to the next (ws, version, fields)."""
     long = snapshots.select("ws", "version", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("value")) for f in fields))).alias("x")).select("ws", "version", "x.*")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources import bank_csv, payloads, sinks
+from ..sources.shared import shared_dir
 from ..streaming import evidence
 from ..operators import identity
 from . import queries_parties
@@ -68,10 +69,10 @@ def prj5(t):
     return payloads.ledger_payments(rows).select("source_id", "amount", "reference")
 
 
-@query("src7_prj13_prj14_bank_csv", """SELECT 'f' || ws AS path, CASE WHEN bank_id % 10 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN bank_id % 10 = 0 THEN 'bad date' END AS error, CASE WHEN bank_id % 10 = 0 THEN NULL ELSE booked_on END AS transaction_date FROM bank WHERE bank_id % 40 < 2""")
+@query("src7_prj13_prj14_bank_csv", """SELECT 'f' || ws AS path, CASE WHEN bank_id % 10 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN bank_id % 10 = 0 THEN 'bad date' END AS error, CASE WHEN bank_id % 10 = 0 THEN NULL ELSE booked_on END AS transaction_date FROM bank""")
 def src7(t):
     """Statements of every workspace, with four lines in front of the header, written as text and read back."""
-    b = t.bank().where("bank_id % 40 < 2")
+    b = t.bank()
     line = F.concat_ws(";", F.when(F.col("bank_id") % 10 == 0, "someday").otherwise(F.date_format("booked_on", "dd/MM/yyyy")), F.concat(F.lit("NEFT CR-"), F.coalesce("counterparty", F.lit("X"))), F.lit(""), (F.col("amount") / 100).cast("decimal(18,2)").cast("string"), F.lit("ACC 1"))
     head = "Bank of Somewhere\nHolder;X\n\n;;\nTxn Date;Narration;Withdrawal;Deposit;A/C No\n"
     files = b.groupBy("ws").agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), "\n")).alias("text")).select(F.concat(F.lit("f"), F.col("ws").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
@@ -80,15 +81,14 @@ def src7(t):
     return rows.select("path", F.when(~bad, F.col("amount")).alias("amount"), "error", F.when(~bad, F.col("transaction_date")).alias("transaction_date"))
 
 
-@query("snk2_snk3_export", "SELECT invoice_id, total AS total_exact, status FROM invoices WHERE ws < 2")
+@query("snk2_snk3_export", "SELECT invoice_id, total AS total_exact, status FROM invoices")
 def snk3(t):
     """Replace by workspace, twice, then export."""
     spark = t.spark
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{folder}/tallyspark/snk2-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallyspark/snk2-{uuid.uuid4().hex}"
     rows = t.invoices().select("ws", "invoice_id", "total", "currency", "status")
     sinks.replace_workspaces(rows.where("ws < 2").withColumn("status", F.lit("old")), path)
-    sinks.replace_workspaces(rows.where("ws < 2"), path)
+    sinks.replace_workspaces(rows, path)
     return sinks.export(spark.read.parquet(path), ["total"]).select("invoice_id", "total_exact", "status")
 
 
@@ -100,10 +100,9 @@ def snk7(t):
 
 
 def _stream(t: Tables) -> tuple[DataFrame, str]:
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{folder}/tallyspark/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(t.spark)}/tallyspark/stream-{uuid.uuid4().hex}"
     events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(f"{path}/in")
+    events.coalesce(1).write.parquet(f"{path}/in")
     return evidence.record_stream(t.spark, f"{path}/in", events.schema.simpleString()[7:-1].replace(":", " ")), path
 
 
@@ -114,11 +113,11 @@ def str_b(t):
     return evidence.collected(evidence.once_each(twice, keep="60 days").select("event_id"), f"m{uuid.uuid4().hex}", f"{path}/state")
 
 
-@query("str_c_content_versions", "SELECT user_id, content_hash, row_number() OVER (PARTITION BY user_id ORDER BY content_hash) > 0 AS versioned FROM (SELECT DISTINCT user_id, event_type AS content_hash FROM events)")
+@query("str_c_content_versions", "SELECT user_id, event_type AS content_hash, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) AS INTEGER) AS version FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL)")
 def str_c(t):
     stream, path = _stream(t)
-    rows = stream.select("user_id", F.col("event_type").alias("content_hash"))
-    return evidence.collected(evidence.content_versions(rows, "user_id"), f"m{uuid.uuid4().hex}", f"{path}/state").select("user_id", "content_hash", (F.col("version") > 0).alias("versioned"))
+    rows = stream.select("user_id", F.col("event_type").alias("content_hash"), "ts", "event_id")
+    return evidence.collected(evidence.content_versions(rows, "user_id", order=("ts", "event_id")), f"m{uuid.uuid4().hex}", f"{path}/state").select("user_id", "content_hash", "version")
 
 
 @query("str_g_close_repeats", "SELECT event_id, previous_id FROM (SELECT event_id, ts, lag(event_id) OVER w AS previous_id, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE ts - before <= INTERVAL 1 DAY")
@@ -127,6 +126,6 @@ def str_g(t):
     return evidence.collected(evidence.close_repeats(stream.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"]), f"m{uuid.uuid4().hex}", f"{path}/state").select("event_id", "previous_id")
 
 
-@query("str_d_changes_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' ORDER BY ts DESC LIMIT 200")
+@query("str_d_changes_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 200")
 def str_d(t):
     return evidence.changes_since(t.raw("events"), "2024-01-20").select("event_id")

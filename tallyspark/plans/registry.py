@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_cash, queries_parties, queries_sources
+from . import queries_cash, queries_golden, queries_parties, queries_sources
 
-QUERIES = {**queries_cash.QUERIES, **queries_parties.QUERIES, **queries_sources.QUERIES}
-ORACLES = {**queries_cash.ORACLES, **queries_parties.ORACLES, **queries_sources.ORACLES}
+QUERIES = {**queries_cash.QUERIES, **queries_parties.QUERIES, **queries_sources.QUERIES, **queries_golden.QUERIES}
+ORACLES = {**queries_cash.ORACLES, **queries_parties.ORACLES, **queries_sources.ORACLES, **queries_golden.ORACLES}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.money import to_minor
 from ..functions.names import account_fingerprint
-from ..functions.texts import counterparty, parse_date
+from ..functions.texts import counterparty
 
 # Header names of each column, letters and digits only.
 COLUMNS = {
@@ -27,7 +27,8 @@ COLUMNS = {
     "account": {"accountnumber", "accountno", "acno", "account"},
 }
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd MMM yyyy", "dd-MMM-yyyy", "dd/MM/yy")
+#: In the order in which they are tried; an ISO timestamp counts by its day.
+DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "M/d/yyyy", "d MMM yyyy", "yyyy/M/d")
 HEADER_LINES, MAX_BYTES = 25, 10 << 20
 
 
@@ -91,15 +92,22 @@ def raw_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, line int, " + ", ".join(f"{c} string" for c in COLUMNS) + ", error string")
 
 
+def feed_date(text: Column) -> Column:
+    """DT6, the feeds' variant."""
+    tried = [F.to_date(F.try_to_timestamp(F.trim(text), F.lit(f))) for f in DATE_FORMATS]
+    iso = F.regexp_extract(F.trim(text), r"^(\d{4}-\d{2}-\d{2})[T ]\d{2}:\d{2}", 1)
+    return F.coalesce(*tried, F.to_date(F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-MM-dd"))))
+
+
 def transactions(rows: DataFrame, workspace: Column, currency: str = "INR") -> DataFrame:
     """PRJ14: typed rows; `error` says why a row is rejected. Credit comes before debit, then a signed amount; zero is no transaction."""
     amount = lambda c: F.when(F.col(c) != "", F.col(c))
     credit, debit, signed = (to_minor(amount(c), F.lit(currency)) for c in ("credit", "debit", "amount"))
     value = F.when(credit > 0, credit).when(debit > 0, -debit).otherwise(signed)
-    day = parse_date(F.col("date"), DATE_FORMATS)
+    day = feed_date(F.col("date"))
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(day.isNull(), "bad date").when(value.isNull(), "bad amount").when(value == 0, "zero amount")
     return rows.select(
-        "path", "line", F.concat(F.lit("bank_"), F.date_format(day, "yyyyMMdd"), F.lit("_"), F.col("line").cast("string")).alias("source_id"), day.alias("transaction_date"), parse_date(F.col("value_date"), DATE_FORMATS).alias("value_date"), F.abs(value).alias("amount"), F.when(value > 0, "credit").otherwise("debit").alias("direction"),
+        "path", "line", F.concat(F.lit("bank_"), F.date_format(day, "yyyyMMdd"), F.lit("_"), F.col("line").cast("string")).alias("source_id"), day.alias("transaction_date"), feed_date(F.col("value_date")).alias("value_date"), F.abs(value).alias("amount"), F.when(value > 0, "credit").otherwise("debit").alias("direction"),
         counterparty(F.col("description")).alias("counterparty"), F.col("description").alias("narration"), "reference", to_minor(amount("balance"), F.lit(currency)).alias("balance_after"), F.when(F.col("account") != "", account_fingerprint(workspace, F.col("account"))).alias("account_fingerprint"), error.alias("error"),
     )
 

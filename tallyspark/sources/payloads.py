@@ -10,11 +10,11 @@ from ..functions.money import to_minor
 PAYMENT = "id string, amount bigint, currency string, status string, invoice_id string, order_id string, amount_refunded bigint, fee bigint, tax bigint, email string, created_at bigint, notes struct<customer_name:string,invoice_number:string,invoice:string>"
 REFUND = "id string, payment_id string, amount bigint, created_at bigint, status string, notes struct<reason:string>, reason_code string"
 CONTACT = "contact_id string, contact_name string, company_name string, email string, website string, gst_no string, billing_address struct<address:string,country:string>"
-INVOICE = "invoice_id string, invoice_number string, customer_id string, customer_name string, status string, date string, due_date string, currency_code string, sub_total string, tax_total string, total string, balance string, line_items array<struct<description:string,quantity:string,rate:string,item_total:string>>"
+INVOICE = "invoice_id string, invoice_number string, customer_id string, customer_name string, status string, date string, due_date string, currency_code string, sub_total string, tax_total string, total string, balance string, line_items array<struct<description:string,name:string,quantity:string,rate:string,item_total:string>>"
 LEDGER_PAYMENT = "payment_id string, customer_name string, amount string, currency_code string, date string, reference_number string, invoices array<struct<invoice_number:string,amount_applied:string>>"
 CREDIT_NOTE = "creditnote_id string, invoice_id string, date string, currency_code string, total string, reason string"
 COMPANY = "id string, properties struct<name:string,domain:string,city:string,country:string,lifecyclestage:string>"
-INVOICE_STATUS = {"draft": "draft", "void": "void", "paid": "paid", "partially_paid": "partially_paid", "overdue": "overdue", "sent": "sent", "unpaid": "sent", "open": "sent"}
+INVOICE_STATUS = {"draft": "draft", "sent": "sent", "viewed": "sent", "paid": "paid", "partially_paid": "partially_paid", "overdue": "overdue", "void": "void", "unpaid": "sent"}
 
 
 def _parsed(rows: DataFrame, schema: str) -> DataFrame:
@@ -60,7 +60,9 @@ def invoices(rows: DataFrame) -> DataFrame:
     status = F
     for said, meant in INVOICE_STATUS.items():
         status = status.when(F.lower("p.status") == said, F.lit(meant))
-    lines = F.transform("p.line_items", lambda l: F.struct(l["description"].alias("description"), l["quantity"].try_cast("decimal(18,6)").alias("quantity"), to_minor(l["rate"], F.lit("INR")).alias("unit_amount"), to_minor(l["item_total"], F.lit("INR")).alias("total"), line_hint(l["description"]).alias("hint")))
+    said = lambda l: F.coalesce(_text(l["description"], 1000), _text(l["name"], 1000), F.lit(""))
+    many = lambda l: F.coalesce(F.nullif(l["quantity"].try_cast("decimal(18,6)"), F.lit(0)), F.lit(1)).cast("decimal(18,6)")
+    lines = F.transform("p.line_items", lambda l: F.struct(said(l).alias("description"), many(l).alias("quantity"), to_minor(l["rate"], c).alias("unit_amount"), to_minor(l["item_total"], c).alias("total"), line_hint(said(l)).alias("hint")))
     rows = _parsed(rows, INVOICE).select(
         F.col("p.invoice_id").alias("source_id"), _text(F.col("p.invoice_number")).alias("invoice_number"), F.col("p.customer_id").alias("source_customer_id"), _text(F.col("p.customer_name")).alias("customer_name"), status.otherwise("unknown").alias("status"),
         F.to_date(F.try_to_timestamp("p.date", F.lit("yyyy-MM-dd"))).alias("issue_date"), F.to_date(F.try_to_timestamp("p.due_date", F.lit("yyyy-MM-dd"))).alias("due_date"), c.alias("currency"), to_minor(F.col("p.sub_total"), c).alias("subtotal"), to_minor(F.col("p.tax_total"), c).alias("tax"), total.alias("total"), due.alias("amount_due"), lines.alias("line_items"),

@@ -19,18 +19,19 @@ def once_each(events: DataFrame, key: str = "event_id", at: str = "ts", keep: st
     return events.withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
 
 
-def content_versions(records: DataFrame, key: str = "source_id", content: str = "content_hash") -> DataFrame:
-    """STR-C: a version number for content that a key hasn't had before. The state of a key is the hashes it has had."""
+def content_versions(records: DataFrame, key: str = "source_id", content: str = "content_hash", order: tuple[str, ...] = ()) -> DataFrame:
+    """STR-C: a version number for content that a key hasn't had before; rows that come together are taken in the given order. The state of a key is the
+    hashes it has had, which is as much as A, B, A needs to be told from A, B, C: it grows with a key's versions, not with its records."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(state.get[0]) if state.exists else []
+        known = dict.fromkeys(state.get[0]) if state.exists else {}
         new = []
-        for frame in frames:
-            for h in frame[content]:
-                if h not in known:
-                    known.append(h)
-                    new.append((k[0], h, len(known)))
-        state.update((known,))
+        rows = pd.concat(list(frames), ignore_index=True)
+        for h in (rows.sort_values(list(order)) if order else rows)[content]:
+            if h not in known:
+                known[h] = None
+                new.append((k[0], h, len(known)))
+        state.update((list(known),))
         yield pd.DataFrame(new, columns=[key, content, "version"])
 
     kind = dict(records.dtypes)[key]
@@ -59,9 +60,9 @@ def close_repeats(events: DataFrame, keys: list[str], at: str = "ts", row_id: st
     return events.groupBy(*keys).applyInPandasWithState(step, schema, f"last {kinds[at]}, last_id {kinds[row_id]}", "append", GroupStateTimeout.NoTimeout)
 
 
-def changes_since(records: DataFrame, since: str, at: str = "ts", most: int = 200) -> DataFrame:
-    """STR-D: the newest changes after a time; in a stream, call it from foreachBatch."""
-    return records.where(F.col(at) > F.lit(since).cast("timestamp")).orderBy(F.desc(at)).limit(most)
+def changes_since(records: DataFrame, since: str, at: str = "ts", most: int = 200, row_id: str = "event_id") -> DataFrame:
+    """STR-D: the newest changes after a time, ties by id; in a stream, call it from foreachBatch."""
+    return records.where(F.col(at) > F.lit(since).cast("timestamp")).orderBy(F.desc(at), F.desc(row_id)).limit(most)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour", at: str = "ts") -> DataFrame:

@@ -33,7 +33,7 @@ START = "\n" * ORDER
 SCORE_BYTES = 50
 UNKNOWN = "und"
 #: Bytes scored at once in a worker.
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Distinct paths that a worker holds while it counts.
 HELD = 500_000
 
@@ -229,6 +229,7 @@ def predict(docs: DataFrame, model: Model, passed: list[str] | None = None, name
                     [*(piece.column(c) for c in passed), pa.array(np.where(lettered, lang, UNKNOWN), pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(np.where(lettered, per_byte, 0.0))],
                     [*passed, *names],
                 )
+            C.trim()
 
     return docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(run, schema)
 

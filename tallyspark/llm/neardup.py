@@ -40,6 +40,8 @@ MAYBE = 0.62
 SMALL_BUCKET = 24
 #: Nodes, and bytes of their grams, on either side of a group of comparisons in larger buckets.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Bytes of text worked on at once in a task; a longer text is still worked on whole.
+PIECE = 1 << 20
 #: Rows of two longs that may be broadcast.
 SMALL = 400_000
 SKETCH_SCHEMA = "doc_id long, th long, a long, b long, n long, sig binary, bands array<long>"
@@ -122,7 +124,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in C.pieces(batch, "text"):
+            for piece in C.pieces(batch, "text", PIECE):
                 unit, ends = units(piece.column("text"))
                 n = np.diff(ends)
                 sig = signatures(unit, ends)
@@ -142,6 +144,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     [piece.column("doc_id"), piece.column("th"), pa.array(a), pa.array(b), pa.array(n), pa.array([s.tobytes() for s in sig.astype("<u4")], pa.binary()), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32), pa.array(flat))],
                     ["doc_id", "th", "a", "b", "n", "sig", "bands"],
                 )
+            C.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key(F.col("text")).alias("th"), F.col("text").isNull().alias("missing")).mapInArrow(run, SKETCH_SCHEMA)
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
@@ -229,7 +232,7 @@ def _crossed(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in C.pieces(batch, "text"):
+            for piece in C.pieces(batch, "text", PIECE):
                 unit, ends = units(piece.column("text"))
                 sets = [np.sort(unit[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
@@ -326,9 +329,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in C.pieces(batch, "tu"):
+            for piece in C.pieces(batch, "tu", PIECE):
                 good = pa.array(similarity(piece.column("tu"), piece.column("tv")) >= THRESHOLD)
                 yield pa.RecordBatch.from_arrays([piece.column("u").filter(good), piece.column("v").filter(good)], ["u", "v"])
+            C.trim()
 
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
     return C.staged(both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"), "links")

@@ -209,7 +209,7 @@ def _forests(rows: DataFrame) -> dict:
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("payment_id")[list(FEATURES)].to_numpy(float)
         if len(x) < LEAST_ROWS:
-            return pd.DataFrame({"ws": [], "version": [], "forest": []})
+            return pd.DataFrame([], columns=["ws", "version", "forest"], dtype=object)
         version = f"isolation-forest/c{OUTLIERS}/t{TREES}/{hashlib.sha256(np.round(x, 4).tobytes()).hexdigest()[:12]}"
         return pd.DataFrame({"ws": [group.ws.iloc[0]], "version": [version], "forest": [pickle.dumps(grown(x))]})
 

@@ -59,7 +59,7 @@ def _either(a: DataFrame, b: DataFrame, in_a: Column, in_b: Column, keys: list[s
 
 def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """JN1: scored pairs. Both entities known: they must be equal, which makes it an equi join. Otherwise both names known: they
-    must share a distinctive token, joined on the token. The rest, where nothing can veto a pair, is joined by date buckets."""
+    must share a distinctive token, joined on the token and a bucket of dates. The rest, where nothing can veto a pair, is joined by date buckets."""
     i, p = _sides(invoices, payments)
     known = lambda side: F.col(f"{side}_entity").isNotNull()
     has_name = lambda side: F.size(f"{side}_tokens") > 0
@@ -67,13 +67,15 @@ def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> Data
     both = i.where(known("i")).join(p.where(known("p")), [i.ws == p.ws, i.currency == p.currency, F.col("i_entity") == F.col("p_entity")])
     both = both.where((F.size("i_tokens") == 0) | (F.size("p_tokens") == 0) | F.arrays_overlap("i_tokens", "p_tokens")).drop(p.ws).drop(p.currency)
     unknown = ~known("i") | ~known("p")
-    ti = i.where(has_name("i")).withColumn("token", F.explode("i_tokens"))
-    tp = p.where(has_name("p")).withColumn("token", F.explode("p_tokens"))
-    by_name = _either(ti, tp, ~known("i"), ~known("p"), ["ws", "currency", "token"]).drop("token").dropDuplicates(["ws", "i_id", "p_id"])
     span = PAY_TO - PAY_FROM
     bucket = lambda d: F.floor(F.unix_date(d) / span)
     bi = i.withColumn("b", F.when(F.col("i_date").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array_distinct(F.array(bucket(F.date_add("i_date", PAY_FROM)), bucket(F.date_add("i_date", PAY_TO)))))).withColumn("b", F.explode("b"))
     bp = p.withColumn("b", bucket(F.col("p_date")))
+    token = lambda rows, side: rows.where(has_name(side)).withColumn("token", F.explode(f"{side}_tokens"))
+    by_day = _either(token(bi, "i"), token(bp, "p"), ~known("i"), ~known("p"), ["ws", "currency", "b", "token"]).drop("b")
+    undated = _either(token(i.where("i_date IS NULL"), "i"), token(p, "p"), ~known("i"), ~known("p"), ["ws", "currency", "token"])
+    undated = undated.unionByName(_either(token(i.where("i_date IS NOT NULL"), "i"), token(p.where("p_date IS NULL"), "p"), ~known("i"), ~known("p"), ["ws", "currency", "token"]))
+    by_name = by_day.unionByName(undated).drop("token").where(near).dropDuplicates(["ws", "i_id", "p_id"])
     dated = _either(bi.where("b IS NOT NULL"), bp.where("b IS NOT NULL"), ~has_name("i"), ~has_name("p"), ["ws", "currency", "b"])
     undated_i = _either(bi.where("b IS NULL").drop("b"), bp.drop("b"), ~has_name("i"), ~has_name("p"), ["ws", "currency"]).select(*dated.drop("b").columns)
     undated_p = _either(bi.where("b IS NOT NULL").drop("b").dropDuplicates(["ws", "i_id"]), bp.where("b IS NULL").drop("b"), ~has_name("i"), ~has_name("p"), ["ws", "currency"]).select(*dated.drop("b").columns)
@@ -83,7 +85,7 @@ def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> Data
 
 
 #: Amounts within 6 % of each other lie in the same or in neighbouring steps of this logarithm; below SMALL the hundred decides, which is a step of CLOSE.
-STEP, SMALL = 1.07, 2000
+STEP, SMALL = 1.07, 1650
 
 
 def payment_bank_candidates(payments: DataFrame, bank: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import money, names, texts
-from ..operators import allocation, anomaly, contracts, quality, reconcile, revenue, review
+from ..operators import allocation, anomaly, contracts, exports, quality, reconcile, revenue, review
 from .adapters import PERIOD, Tables, oracle, p0, p1
 
 QUERIES: dict = {}
@@ -534,3 +534,33 @@ SELECT i.ws, i.invoice_id, i.total, coalesce(CAST(sum(a.amount) AS BIGINT), 0) A
 FROM invoices i LEFT JOIN allocations a ON i.ws = a.ws AND i.invoice_id = a.invoice_id LEFT JOIN (SELECT DISTINCT ws, payment_id FROM claimed) b ON a.ws = b.ws AND a.payment_id = b.payment_id GROUP BY ALL""", BANKED, CLAIMED)
 def agg12(t):
     return review.settlement_export(t.invoices(), t.allocations(), _claims(t))
+
+
+# --- exports ----------------------------------------------------------------------------------------------------------------------------------------------
+
+EXACT = "format('{{:.2f}}', CAST({0} AS DECIMAL(20, 2)) / 100)"
+
+
+@query("snk3_reconciliation_artifact", f"""
+SELECT i.ws, i.invoice_number AS invoice, {EXACT.format('i.total')} AS invoiced_exact, {EXACT.format('coalesce(a.amount, 0)')} AS allocated_exact, {EXACT.format('i.total - coalesce(a.amount, 0)')} AS outstanding_exact, CASE WHEN a.banked > 0 THEN 'yes' ELSE 'no' END AS independently_bank_confirmed, coalesce(a.n, 0) AS payment_links
+FROM invoices i LEFT JOIN (SELECT a.ws, a.invoice_id, sum(a.amount) AS amount, count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM claimed c WHERE c.ws = a.ws AND c.payment_id = a.payment_id) THEN a.amount ELSE 0 END) AS banked FROM allocations a GROUP BY ALL) a ON a.ws = i.ws AND a.invoice_id = i.invoice_id""", BANKED, CLAIMED)
+def snk3_reconciliation(t):
+    return exports.reconciliation(t.invoices(), t.allocations(), _claims(t)).select("ws", "invoice", "invoiced_exact", "allocated_exact", "outstanding_exact", "independently_bank_confirmed", "payment_links")
+
+
+@query("snk3_evidence_artifact", f"SELECT ws, 'payment' AS kind, source_id, coalesce(customer_name, '') AS counterparty, CAST(paid_on AS VARCHAR) AS date, {EXACT.format('amount')} AS amount_exact, status AS status_or_direction FROM payments UNION ALL SELECT ws, 'bank_transaction', CAST(bank_id AS VARCHAR), coalesce(counterparty, ''), CAST(booked_on AS VARCHAR), {EXACT.format('amount')}, direction FROM bank")
+def snk3_evidence(t):
+    return exports.evidence(t.payments(), t.bank()).select("ws", "kind", "source_id", "counterparty", "date", "amount_exact", "status_or_direction")
+
+
+@query("snk3_revenue_artifact", f"SELECT ws, CAST(item_id AS VARCHAR) AS item, CASE WHEN state LIKE 'VERIFIED%' THEN 'yes' ELSE 'no' END AS counts_as_verified, {EXACT.format('gross')} AS gross_exact, {EXACT.format('recognised')} AS recognised_exact, CASE WHEN is_published THEN 'published' ELSE 'withheld — ' || verdict END AS status_for_reviewer FROM judged", *JUDGE)
+def snk3_revenue(t):
+    rows = _judged(t).withColumns({"strength": revenue.evidence_strength(), "missing": revenue.missing_evidence(True, True)})
+    return exports.revenue_items(rows, F.lit("INR")).select("ws", "item", "counts_as_verified", "gross_exact", "recognised_exact", "status_for_reviewer")
+
+
+@query("snk3_contracts_artifact", f"SELECT ws, 'c' || contract_id AS document, CAST(start_date AS VARCHAR) AS term_start, {EXACT.format('recurring_amount')} AS recurring_exact, {EXACT.format('future_period')} AS future_period_exact, CASE WHEN contract_id % 6 = 0 THEN 'no — terms unknown' ELSE 'yes' END AS was_read FROM allocated", TERMS, VALUED, PRORATED, ALLOCATED)
+def snk3_contracts(t):
+    unread = F.when(F.col("contract_id") % 6 == 0, F.array(F.lit("terms_not_yet_extracted")))
+    rows = contracts.allocated_to_period(t.contracts(), p0(), p1()).withColumns({"document_name": F.concat(F.lit("c"), F.col("contract_id").cast("string")), "unknown_fields": unread, "currency": F.lit("INR")})
+    return exports.contracts(rows).select("ws", "document", "term_start", "recurring_exact", "future_period_exact", "was_read")

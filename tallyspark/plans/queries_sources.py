@@ -129,3 +129,4 @@ def str_g(t):
 @query("str_d_changes_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 200")
 def str_d(t):
     return evidence.changes_since(t.raw("events"), "2024-01-20").select("event_id")
+

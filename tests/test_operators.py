@@ -87,13 +87,6 @@ def test_rescan_keeps_verdicts(spark):
     assert {(r["fingerprint"], r["status"], r["fires"]) for r in anomaly.rescanned(p, n).collect()} == {("b", "CONFIRMED", False), ("c", "OPEN", True), ("d", "OPEN", True)}
 
 
-def test_outliers_invariants(spark):
-    rows = [(0, i, 10_000_000 if i == 7 else 100 + i % 5, i, 1, 1, 0, 2) for i in range(60)] + [(1, 100 + i, i, i, 1, 1, 0, 2) for i in range(10)]
-    df = spark.createDataFrame(rows, "ws int, payment_id long, amount long, nth int, days_since int, hour int, refunded long, fee long")
-    a, b = (sorted(map(tuple, anomaly.outliers(df).collect())) for _ in range(2))
-    assert a == b and sum(r[3] for r in a) == 3 and any(r[1] == 7 and r[3] for r in a)
-
-
 def test_concentration_is_quiet_on_negatives(spark):
     df = spark.createDataFrame([(0, "a", 60), (0, "b", 40), (0, "c", -5)], "ws int, k string, x long")
     got = {r["k"]: (r["share"], r["hhi"]) for r in revenue.concentration(df, "k", "x").collect()}

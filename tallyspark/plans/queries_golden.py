@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, names, texts
-from ..operators import identity
-from ..operators.contracts import citations
+from ..operators import anomaly, identity
+from ..operators.contracts import citations, clauses
 from ..sources import bank_csv, payloads
 
 QUERIES: dict = {}
@@ -219,3 +219,49 @@ def str19(spark):
 def agg1(spark):
     rows = spark.createDataFrame([(1, 10, "INR"), (1, 20, "INR"), (2, 5, "INR"), (2, 5, "USD"), (2, 1, "EUR")], "k int, amount long, currency string")
     return money.currency_sums(rows, ["k"], "amount", "currency", F.lit("INR"))
+
+
+PAIR = "ws int, l int, r int, weight double, conflict boolean, decision string"
+PAIRS = [(1, 1, 2, 8.0, False, "ACCEPTED"), (1, 2, 3, 7.0, False, "ACCEPTED"), (1, 1, 3, -9.0, True, "REJECTED"), (1, 4, 5, 2.0, True, "REVIEW"), (1, 5, 6, 9.0, True, "ACCEPTED"), (1, 7, 8, 20.0, False, "ACCEPTED")]
+
+
+@golden("idn3_cannot_link_cases", "l, r", [(1, 3), (4, 5)])
+def idn3(spark):
+    return identity.cannot_link(spark.createDataFrame(PAIRS, PAIR)).select("l", "r")
+
+
+@golden("idn4_cluster_cases", "id, cluster", [(1, 1), (2, 1), (3, 3), (5, 5), (6, 5), (7, 7), (8, 7)])
+def idn4(spark):
+    """1 and 3 may not meet through 2: the stronger of its links wins."""
+    return identity.clusters(spark.createDataFrame(PAIRS, PAIR)).select("id", "cluster")
+
+
+@golden("idn5_conflict_cases", "l, r, cluster", [(1, 3, 1)])
+def idn5(spark):
+    """Clusters from elsewhere that hold a pair which was rejected by a contradiction."""
+    found = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (1, 5, 5)], "ws int, id int, cluster int")
+    return identity.transitivity_conflicts(spark.createDataFrame(PAIRS, PAIR), found).select("l", "r", "cluster")
+
+
+@golden("idn7_memory_cases", "l, r, decision", [(1, 2, "REJECTED"), (2, 3, "ACCEPTED"), (1, 3, "REJECTED"), (4, 5, "ACCEPTED"), (5, 6, "ACCEPTED"), (7, 8, "ACCEPTED")])
+def idn7(spark):
+    memory = spark.createDataFrame([(1, 2, 1, "REJECTED"), (1, 4, 5, "ACCEPTED"), (2, 7, 8, "REJECTED")], "ws int, a int, b int, verdict string")
+    return identity.overridden(spark.createDataFrame(PAIRS, PAIR), memory).select("l", "r", "decision")
+
+
+@golden("jn13_debit_cases", "debit_id, refund_id", [(1, 10), (2, 11), (4, 13)])
+def jn13(spark):
+    debits = spark.createDataFrame([(1, 1, 500, "2024-01-01"), (1, 2, 500, "2024-01-02"), (1, 3, 500, "2024-01-03"), (1, 4, 700, "2024-03-01"), (1, 5, 900, "2024-03-01")], "ws int, debit_id long, amount long, booked_on string")
+    refunds = spark.createDataFrame([(1, 10, 500, "2024-01-02"), (1, 11, 500, "2024-01-08"), (1, 12, 500, "2024-02-20"), (1, 13, 700, None), (1, 14, 900, "2024-03-09")], "ws int, refund_id long, amount long, refunded_on string")
+    day = lambda rows, c: rows.withColumn(c, F.to_date(c))
+    return anomaly.matched_debits(day(debits, "booked_on"), day(refunds, "refunded_on")).select("debit_id", "refund_id")
+
+
+CONTRACT = "1. FEES\nThe fee is payable quarterly in advance.\n2. TERM\nThe term begins on the effective date.\nok\n3. X\ny"
+
+
+@golden("str14_clause_cases", "n, heading, start, stop", [(0, "1. FEES", 0, 48), (1, "2. TERM", 49, 98)])
+def str14(spark):
+    """The last passage is too short to be a clause."""
+    pages = spark.createDataFrame([(1, 1, CONTRACT), (2, 1, None), (3, 1, "  ")], "doc_id int, page int, text string")
+    return clauses(pages).select("n", "heading", "start", "stop")

@@ -21,13 +21,18 @@ def literal(value) -> str:
     return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
 
 
+def values(columns: str, expected: list[tuple]) -> str:
+    """The expected rows as SQL."""
+    rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in expected)
+    return f"SELECT {columns} FROM (VALUES {rows}) AS expected({columns})"
+
+
 def golden(name: str, columns: str, expected: list[tuple]):
     """Register a function of the session under a name, with its rows as SQL."""
-    rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in expected)
 
     def put(f):
         QUERIES[name] = lambda spark, folder: f(spark)
-        ORACLES[name] = f"SELECT {columns} FROM (VALUES {rows}) AS expected({columns})"
+        ORACLES[name] = values(columns, expected)
         return f
 
     return put

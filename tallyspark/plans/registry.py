@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_cash, queries_golden, queries_parties, queries_sources
+from . import queries_cash, queries_golden, queries_parties, queries_reads, queries_sources
 
-QUERIES = {**queries_cash.QUERIES, **queries_parties.QUERIES, **queries_sources.QUERIES, **queries_golden.QUERIES}
-ORACLES = {**queries_cash.ORACLES, **queries_parties.ORACLES, **queries_sources.ORACLES, **queries_golden.ORACLES}
+PARTS = (queries_cash, queries_parties, queries_sources, queries_golden, queries_reads)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -18,7 +18,9 @@ def literal(value) -> str:
         return "NULL"
     if isinstance(value, bool):
         return "true" if value else "false"
-    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    if isinstance(value, float):
+        return f"CAST({value} AS DOUBLE)"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
 def values(columns: str, expected: list[tuple]) -> str:

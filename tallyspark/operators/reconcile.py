@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import money, names, texts
+from ..sources.shared import staged
 
 SUCCESSFUL = ("captured", "refunded", "partially_refunded")
 DEAD = ("void", "draft")
@@ -59,8 +60,9 @@ def _either(a: DataFrame, b: DataFrame, in_a: Column, in_b: Column, keys: list[s
 
 def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """JN1: scored pairs. Both entities known: they must be equal, which makes it an equi join. Otherwise both names known: they
-    must share a distinctive token, joined on the token and a bucket of dates. The rest, where nothing can veto a pair, is joined by date buckets."""
-    i, p = _sides(invoices, payments)
+    must share a distinctive token, joined on the token and a bucket of dates. The rest, where nothing can veto a pair, is joined by date buckets.
+    Every branch reads both sides, so these, with their names' tokens, are staged."""
+    i, p = (staged(rows, "sides") for rows in _sides(invoices, payments))
     known = lambda side: F.col(f"{side}_entity").isNotNull()
     has_name = lambda side: F.size(f"{side}_tokens") > 0
     near = F.col("p_date").isNull() | F.col("i_date").isNull() | F.datediff("p_date", "i_date").between(PAY_FROM, PAY_TO)

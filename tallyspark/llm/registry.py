@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, language, neardup, pii, quality, sharding, subword, token_output
+from . import chat, codes, decontaminate, html, language, mixing, neardup, pii, quality, sharding, subword, token_output, whitening
 
 QUERIES = {
     "op1_token_output": token_output.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language": language.query,
     "op9_subword": subword.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_vector_codes": codes.query,
+    "op12_mixing": mixing.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLES: dict[str, str] = {

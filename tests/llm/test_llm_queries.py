@@ -43,7 +43,9 @@ def folder(spark, tmp_path_factory):
     pages = [(i, f"http://h{i % 2}.example/{i}", f"<html><body><nav>menu {i}</nav><article><h1>T{i}</h1><p>one &amp; {i}<p>two</article><footer>f</footer></body></html>") for i in range(8)]
     pages += [(8, None, None), (9, "http://h0.example/9", ""), (9, "http://h0.example/9", ""), (None, "x", "<p>bare"), (10, "http://h0.example/10", "<article><p>" + LONG + "</article>")]
     spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, wanted string").write.parquet(f"{path}/pages.parquet")
-    for name in ("documents", "benchmark", "conversations", "pages"):  # and empty ones
+    vectors = [(i, [float(c) for c in rng.normal(0, 0.2, 16)], i % 3, "x") for i in range(30)] + [(30, None, 0, "x"), (None, [0.5] * 16, None, "x"), (3, [float("nan")] * 16, 1, "x")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, code string").write.parquet(f"{path}/embeddings.parquet")
+    for name in ("documents", "benchmark", "conversations", "pages", "embeddings"):  # and empty ones
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{path}/empty/{name}.parquet")
     for name in ("documents", "benchmark", "conversations", "pages"):  # and some without the long texts
         rows = spark.read.parquet(f"{path}/{name}.parquet")

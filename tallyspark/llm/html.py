@@ -1,13 +1,15 @@
 """Main text of web pages, by consensus of a host's pages.
 
-Every page names its likeliest container: its articles if they hold most of the page's good text, else its main element, else, from the body down, the
-lowest element that no good text stands beside. Good text is text that isn't left out and of which no more than half is links. The
-container's path of tags and classes, with digits generalised, is the page's vote. Votes are counted by host in Spark, and each page is then extracted
-anew from the containers on its host's winning path; a page without good text there keeps its own container.
+Every page names its likeliest container: its main element, or else its articles, if they hold most of the page's good text, widened to the outermost element in which
+headings, paragraphs or lists stand beside them; else, from the body down, the lowest element that no good text stands beside. Good text is text that isn't left out and of
+which no more than half is links. The container's path of tags and classes, with digits generalised, is the page's vote. Votes are counted by host in Spark, and each page is
+then extracted anew from the containers on its host's winning path; a page without good text there, or whose own main element or articles hold more around that path, keeps
+its own container.
 
 Left out everywhere: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by
-element, role and class. A class or id marks an element if all its words do or are mere helpers ("comment-list", "page-header-2", but not "market-share");
-outside articles, by element or class, one such word is enough. Character references are decoded, white space in a block becomes one space, blocks are joined by \n.
+element, role and class. A class or id marks an element if all its words do or are mere helpers ("comment-list", "page-header-2", but not "market-share", nor
+"with-sidebar"). One such word is enough where the page has an article, by element or class, elsewhere, and the element holds neither an article nor a first heading. Quotations and code are never
+marked by class. Character references are decoded, white space in a block becomes one space, blocks are joined by \n.
 Nothing else of a container is dropped. Time and memory are in proportion to the page, however deeply it is nested.
 
 Nulls: a null html is empty and gives an empty text; pages with a null url vote together. Repeated pages vote each. Very long pages are parsed whole.
@@ -48,8 +50,14 @@ CONTENT = frozenset("article entry story prose".split())
 HELPERS = frozenset(
     "a area article articles bar bars block blocks body bottom box boxes btn button buttons card cards col column container content entry fixed float form global group grid "
     "inner item items js left link links list lists main mobile module nav navbar outer page panel post posts right row section site slot sticky story strip text the theme title top unit units "
-    "wide wrap wrapper center desktop section sections ui app web id no new".split()
+    "wide wrap wrapper center desktop section sections ui app web id new".split()
 )
+#: Words that say that what a class names stands elsewhere, or not at all: "with-sidebar", "no-comments".
+STATES = frozenset("with without has have had no not non is are show shows hide hides toggle toggled".split())
+#: Elements that quote: their classes don't mark them.
+QUOTES = frozenset("blockquote q cite code pre".split())
+#: Elements that belong to the text they stand beside.
+FLOW = HEADINGS | QUOTES | frozenset("p ul ol dl figure table header hgroup".split())
 #: What a start tag closes when it is open and no barrier stands between.
 P_CLOSERS = BLOCKS - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr", "legend"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -57,31 +65,36 @@ BARRIERS = frozenset("table td th caption button object html".split())
 #: Text of an element is good if less than this share of it is links.
 LINKS = 0.5
 
-#: Hosts whose paths are sent to the pages; with more of them, the pages of a host are dealt into so many shares.
-MOST_PATHS, SHARES = 200_000, 64
+#: Bytes of paths and hosts that are sent to the pages; with more of them, the pages of a host are dealt into so many shares.
+MOST_BYTES, SHARES = 32 << 20, 64
 
 TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 REST = re.compile(r"""(?>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*)>?""")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: Attributes one after the other, each with its value, so that no name is found within another name or a value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+USED = frozenset("class id role hidden aria-hidden".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "step", "out", "strict", "parent", "children", "depth", "chars", "linked", "good")
+    __slots__ = ("tag", "step", "out", "strict", "proof", "parent", "children", "depth", "chars", "linked", "good", "titles", "proofs")
 
     def __init__(self, tag: str, step: str, out: bool, parent: "Node | None"):
         self.tag, self.step, self.out, self.parent = tag, step, out, parent
         self.strict = tag in ("article", "main") or parent is not None and parent.strict
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = self.linked = self.good = 0
+        self.proof = tag in ("article", "main")
+        self.chars = self.linked = self.good = self.titles = self.proofs = 0
 
 
-def _marked(name: str, strict: bool) -> bool:
-    """Whether a class or an id says that its element isn't the article's."""
+def _marked(name: str, strict: bool) -> int:
+    """Whether a class or an id says that its element isn't the article's: 2 if all its words do, 1 if some do."""
     words = [w.lower() for w in PARTS.findall(name)]
     found = [w in MARKS and not (strict and w == "header") for w in words]  # an article's own header holds its title
-    return any(found) and (not strict or all(m or w in HELPERS or len(w) == 1 for m, w in zip(found, words)))
+    if not any(found) or any(w in STATES for w in words):
+        return 0
+    return 2 if all(m or w in HELPERS or len(w) == 1 for m, w in zip(found, words)) else 1
 
 
 class Tree:
@@ -90,23 +103,33 @@ class Tree:
     def __init__(self):
         self.root = self.at = Node("#", "#", False, None)
         self.opened: dict[str, list[Node]] = {}
+        self.doubtful: list[Node] = []
 
     def open(self, tag: str, attributes: str, void: bool) -> Node:
         parent, step, names = self.at, tag, []
         out = parent.out or tag in LEFT_OUT or (tag == "header" and not parent.strict)
+        doubtful = False
         if attributes:
-            given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+            given: dict[str, str] = {}
+            for m in ATTRIBUTE.finditer(attributes):
+                if (name := m[1].lower()) in USED:
+                    given.setdefault(name, m[2] or m[3] or m[4] or "")
             names = given.get("class", "").split()
             if names:
                 step = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
             if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in LEFT_OUT_ROLES:
                 out = True
-            elif tag not in ("html", "body", "article", "main"):
+            elif tag not in ("html", "body", "article", "main") and tag not in QUOTES:
                 if tag not in HEADINGS:  # a heading's id is made from its words
                     names = [*names, given.get("id", "")]
-                out = out or any(_marked(n, parent.strict) for n in names)
+                marks = max((_marked(n, parent.strict) for n in names), default=0)
+                out = out or marks == 2
+                doubtful = marks == 1 and not parent.strict
         node = Node(tag, step, out, parent)
-        node.strict = node.strict or not out and tag != "body" and any(w.lower() in CONTENT for n in names for w in PARTS.findall(n))
+        if not out and tag != "body" and not doubtful and any(w.lower() in CONTENT for n in names for w in PARTS.findall(n)):
+            node.strict = node.proof = True
+        if doubtful and not out:
+            self.doubtful.append(node)
         parent.children.append(node)
         if not void:
             self.opened.setdefault(tag, []).append(node)
@@ -160,6 +183,12 @@ def parse(page: str) -> Node:
         else:
             tree.open(tag, rest[0], tag in VOID or rest[0].endswith("/>"))
     _weigh(tree.root)
+    # elements that one word marks: they go if they hold no article and no first heading, and an article stands elsewhere
+    gone = [n for n in tree.doubtful if not n.proofs and not n.titles] if tree.root.proofs else []
+    for node in gone:
+        node.out = True
+    if gone:
+        _weigh(tree.root)
     return tree.root
 
 
@@ -190,12 +219,17 @@ def _weigh(root: Node) -> None:
             continue
         elif entered:
             open_.append(part)
+            part.chars = part.linked = part.good = part.proofs = part.titles = 0
             links += part.tag == "a"
         else:
             open_.pop()
             links -= part.tag == "a"
+            part.proofs += part.proof and part.good > 0
+            part.titles += part.tag == "h1" and part.chars > 0
             if open_:
                 up = open_[-1]
+                up.proofs += part.proofs
+                up.titles += part.titles
                 up.chars += part.chars
                 up.linked += part.linked
                 up.good += 0 if (part.tag in BLOCKS or part.tag == "td") and part.linked > LINKS * part.chars else part.good
@@ -213,19 +247,47 @@ def _outermost(root: Node, tag: str) -> list[Node]:
     return found
 
 
-def container(root: Node) -> Node:
-    """The page's own choice. Several articles are held by the element that all of them stand in, if they share their path, by one of them."""
-    for tag in ("article", "main"):
+def _holder(nodes: list[Node]) -> Node:
+    """The lowest element that all `nodes` stand in."""
+    at = nodes[0]
+    for other in nodes[1:]:
+        while at is not other:
+            if at.depth >= other.depth:
+                at = at.parent
+            else:
+                other = other.parent
+    return at
+
+
+def _widened(node: Node) -> Node:
+    """The outermost element in which headings, paragraphs, lists or bare text stand beside what leads to `node`, or a title in whatever element; `node` if there is none."""
+    best = at = node
+    while at.parent is not None and at.tag != "body":
+        up = at.parent
+        for c in up.children:
+            if c is not at and (c.strip() if isinstance(c, str) else not c.out and c.good and (c.tag in FLOW or c.titles)):
+                best = up
+                break
+        at = up
+    return best
+
+
+def container(root: Node) -> tuple[Node, bool]:
+    """The page's own choice, and whether main element or articles named it. Several articles are held by the element that all of them stand in; if nothing else
+    stands in it and they share their path, by one of them."""
+    for tag in ("main", "article"):
         found = [n for n in _outermost(root, tag) if n.good]
         if found and 2 * sum(n.good for n in found) > root.good:
-            if len({path(n) for n in found}) == 1:
-                return found[0]
-            break
+            holder = _holder(found)
+            wide = _widened(holder)
+            if wide is holder and holder.good == sum(n.good for n in found) and len({path(n) for n in found}) == 1:
+                return found[0], True
+            return wide, True
     at = root
     while True:
         inner = [c for c in at.children if not isinstance(c, str) and not c.out and c.tag in CONTAINERS and c.good]
         if len(inner) != 1 or inner[0].good < at.good:
-            return at
+            return at, False
         at = inner[0]
 
 
@@ -270,9 +332,11 @@ def extract(page: str | None, wanted: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    own, sure = container(root)
+    here = path(own)
     found = on_path(root, wanted) if wanted is not None else []
-    if not any(n.good for n in found):
-        found = on_path(root, path(container(root)))
+    if not any(n.good for n in found) or sure and wanted.startswith(f"{here}>"):
+        found = on_path(root, here)
     return "\n".join(blocks(found))
 
 
@@ -285,7 +349,7 @@ def votes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [container(parse(h or "")) for h in batch.column("html").to_pylist()]
+            own = [container(parse(h or ""))[0] for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([path(n) for n in own], pa.string()), pa.array([n.chars for n in own], pa.int64())], ["host", "path", "chars"])
 
     return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, chars long")
@@ -307,7 +371,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     paths = C.staged(winners(votes(pages)), "paths")
-    if paths.count() <= MOST_PATHS:
+    if (paths.agg(F.sum(F.octet_length("host") + F.octet_length("wanted"))).first()[0] or 0) <= MOST_BYTES:
         told = rows.join(F.broadcast(paths), "host", "left")
     else:  # pages are dealt by host and a share of the host's pages, so that no host is one task's
         share = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SHARES)).cast("int")

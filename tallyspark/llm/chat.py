@@ -4,8 +4,8 @@ A pair of conversations, chosen and rejected, shares the longest common prefix o
 prefix is rendered once, as the prompt; what follows it in either conversation is rendered as a completion with its
 loss mask: the character spans of the assistants' texts and end marks, which are the only ones to be learned.
 
-A table of conversations has no preferences, so `stale_pairs` makes them: chosen is a conversation up to its last answer, rejected the same
-conversation in which that answer is the one before it over again.
+A table of conversations has no preferences, so `stale_pairs` makes them: chosen is a conversation, rejected the same conversation in which, from some answer on, every
+answer is the one before it over again. Both keep all turns, those behind the last answer too.
 
 Nulls: a turn with a null role is rendered as role "unknown", a null text as an empty one; turns are ordered by number,
 then role and text, with null numbers first, and repeated turns are kept. A conversation without a partner, here one of fewer than two answers, gives a row
@@ -88,12 +88,19 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def stale_pairs(talks: DataFrame) -> DataFrame:
-    """pair_id, chosen and rejected of conversations (conv_id, turns)."""
-    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
-    rows = talks.withColumn("places", places).withColumns({"last": F.get("places", F.size("places") - 1), "before": F.get("places", F.size("places") - 2)})
-    rows = rows.withColumn("chosen", F.when(F.col("before").isNotNull(), F.slice("turns", F.lit(1), F.col("last") + 1)).otherwise(F.col("turns")))
-    rejected = F.concat(F.slice("turns", F.lit(1), F.col("last")), F.array(F.get("turns", F.col("before"))))
-    return rows.select(F.col("conv_id").alias("pair_id"), "chosen", F.when(F.col("before").isNotNull(), rejected).alias("rejected"))
+    """pair_id, chosen and rejected of conversations (conv_id, turns). The answer at which the two part is dealt by the id, any but the first."""
+    is_answer = lambda t: t["role"] == "assistant"
+    rows = talks.withColumns({
+        "places": F.filter(F.transform("turns", lambda t, i: F.when(is_answer(t), i)), lambda i: i.isNotNull()),
+        "answers": F.filter("turns", is_answer),
+    })
+    # of every turn, the number of answers before and at it: each answer's number, as often as turns stand from it to the next one
+    until = F.transform("places", lambda p, k: F.coalesce(F.get("places", k + 1), F.size("turns")) - p)
+    rows = rows.withColumn("count", F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get("places", F.lit(0)), F.lit(0))), F.flatten(F.transform(until, lambda n, k: F.array_repeat(k + 1, n)))))
+    more = F.size("answers") - 1
+    rows = rows.withColumn("parts", F.when(more > 0, F.get("places", (1 + F.pmod(F.coalesce("conv_id", F.lit(0)), F.greatest(more, F.lit(1)))).cast("int"))))
+    stale = F.transform("turns", lambda t, i: F.when(is_answer(t) & (i >= F.col("parts")), F.get("answers", F.get("count", i) - 2)).otherwise(t))
+    return rows.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.when(F.col("parts").isNotNull(), stale).alias("rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,31 +111,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same rows in DuckDB's SQL: the turns before the last answer are the prompt.
+#: The same rows in DuckDB's SQL: the prefix ends before the first turn in which the two conversations differ.
 ORACLE = """
 WITH t AS (
   SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n,
          coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM (SELECT *, CASE WHEN conv_id IS NULL THEN 'row ' || row_number() OVER () ELSE CAST(conv_id AS VARCHAR) END AS k FROM conversations)),
-answers AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS r FROM t WHERE role = 'assistant'),
-two AS (SELECT a.k, a.n AS last, a.text AS chosen, b.text AS rejected FROM answers a JOIN answers b ON a.k = b.k AND a.r = 1 AND b.r = 2),
+answers AS (
+  SELECT k, n, row_number() OVER w AS r, lag(text) OVER w AS before, count(*) OVER (PARTITION BY k) AS m, conv_id
+  FROM t WHERE role = 'assistant' WINDOW w AS (PARTITION BY k ORDER BY n)),
+parts AS (SELECT k, n AS parts FROM answers WHERE m > 1 AND r = 2 + ((conv_id % (m - 1)) + (m - 1)) % (m - 1)),
+both_ AS (
+  SELECT t.conv_id, t.k, t.n, t.role, t.text AS chosen, p.parts IS NOT NULL AS paired, CASE WHEN t.n >= p.parts AND t.role = 'assistant' THEN a.before ELSE t.text END AS rejected
+  FROM t LEFT JOIN parts p USING (k) LEFT JOIN answers a USING (k, n)),
+prefix AS (SELECT k, CASE WHEN bool_or(paired) THEN coalesce(min(n) FILTER (WHERE chosen != rejected) - 1, count(*)) ELSE 0 END AS n_prefix FROM both_ GROUP BY k),
 piece AS (
-  SELECT t.conv_id, t.k, t.n, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS piece, t.role, t.text, two.last, two.chosen, two.rejected
-  FROM t LEFT JOIN two USING (k)),
-whole AS (
-  SELECT any_value(conv_id) AS conv_id, any_value(last) AS last, any_value(chosen) AS chosen, any_value(rejected) AS rejected,
-         string_agg(piece, '' ORDER BY n) AS everything, coalesce(string_agg(piece, '' ORDER BY n) FILTER (WHERE n < last), '') AS prompt,
-         CAST(coalesce(sum(length(text) + 7) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS learned
-  FROM piece GROUP BY k),
+  SELECT b.*, n_prefix, '<|' || role || '|>' || chr(10) || chosen || '<|end|>' || chr(10) AS c, '<|' || role || '|>' || chr(10) || rejected || '<|end|>' || chr(10) AS r
+  FROM both_ b JOIN prefix USING (k)),
 told AS (
-  SELECT *, CASE WHEN last IS NULL THEN 'unpaired' WHEN chosen = rejected THEN 'equal' ELSE 'pair' END AS status,
-         '<|assistant|>' || chr(10) || chosen || '<|end|>' || chr(10) AS c, '<|assistant|>' || chr(10) || rejected || '<|end|>' || chr(10) AS r
-  FROM whole)
-SELECT conv_id AS pair_id, status, CASE status WHEN 'unpaired' THEN 0 WHEN 'equal' THEN last ELSE last - 1 END AS n_prefix,
-       CASE status WHEN 'unpaired' THEN '' WHEN 'equal' THEN prompt || c ELSE prompt END AS prompt,
-       CASE status WHEN 'unpaired' THEN everything WHEN 'equal' THEN '' ELSE c END AS chosen,
-       CASE status WHEN 'unpaired' THEN NULL WHEN 'equal' THEN '' ELSE r END AS rejected,
-       CASE status WHEN 'unpaired' THEN learned WHEN 'equal' THEN 0 ELSE length(chosen) + 7 END AS chosen_learned,
-       CASE status WHEN 'unpaired' THEN NULL WHEN 'equal' THEN 0 ELSE length(rejected) + 7 END AS rejected_learned
+  SELECT any_value(conv_id) AS pair_id, any_value(n_prefix) AS n_prefix, bool_or(paired) AS paired, count(*) AS turns,
+         coalesce(string_agg(c, '' ORDER BY n) FILTER (WHERE n <= n_prefix), '') AS prompt,
+         coalesce(string_agg(c, '' ORDER BY n) FILTER (WHERE n > n_prefix), '') AS chosen, coalesce(string_agg(r, '' ORDER BY n) FILTER (WHERE n > n_prefix), '') AS rejected,
+         CAST(coalesce(sum(length(chosen) + 7) FILTER (WHERE role = 'assistant' AND n > n_prefix), 0) AS BIGINT) AS chosen_learned,
+         CAST(coalesce(sum(length(rejected) + 7) FILTER (WHERE role = 'assistant' AND n > n_prefix), 0) AS BIGINT) AS rejected_learned
+  FROM piece GROUP BY k)
+SELECT pair_id, CASE WHEN NOT paired THEN 'unpaired' WHEN n_prefix = turns THEN 'equal' ELSE 'pair' END AS status, n_prefix, prompt, chosen,
+       CASE WHEN paired THEN rejected END AS rejected, chosen_learned, CASE WHEN paired THEN rejected_learned END AS rejected_learned
 FROM told
 """

@@ -34,25 +34,13 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def numbered(rows: DataFrame, order: list[Column], groups: list[str], name: str = "number") -> DataFrame:
-    """`rows` with their number, from 1, within their group in `order`, which begins with the groups. Ranges of the order are numbered each by itself, and counts of the
-    ranges before are added; a range holds a bounded share of the rows, whatever the groups."""
-    ranged = C.staged(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
-    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range", *groups).count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = ranged.withColumn("__within", F.row_number().over(Window.partitionBy("__range", *groups).orderBy(*order)))
-    sides = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    joined = within.alias("a").join(counts.alias("b"), [F.col("a.__range") == F.col("b.__range"), *sides])
-    return joined.select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("__within") + F.col("__before")).alias(name))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size and target of each source of `sizes` (source, size). All sources share `share` of all sizes by weight; a target above `most` times its
     source's size stops there, and what is over is shared anew among the others, until none is above."""
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*map(F.lit, weights))
     order = [F.col("source").isNull(), F.col("source")]
-    sums = C.staged(numbered(sums.withColumn("one", F.lit(1)), [F.col("one"), *order], ["one"]).select("source", "source_size", cycle[((F.col("number") - 1) % len(weights)).cast("int")].cast("long").alias("weight")), "source-sizes")
+    sums = C.staged(C.numbered(sums.withColumn("one", F.lit(1)), [F.col("one"), *order], ["one"]).select("source", "source_size", cycle[((F.col("number") - 1) % len(weights)).cast("int")].cast("long").alias("weight")), "source-sizes")
     total = (sums.agg(F.sum("source_size")).first()[0] or 0) * share
     level, cap = None, F.col("source_size") * most
     while True:  # the level only rises, and each round stops one source more at least
@@ -116,7 +104,7 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction
     rate = F.when(left > 0, F.round(F.least(F.greatest(lacking / left, F.lit(0.0)), F.lit(float(most))) * (1 << POINT))).otherwise(0).cast("long")
     rates = aims.alias("a").join(done.alias("d"), F.col("a.source").eqNullSafe(F.col("d.source")), "left").select(F.col("a.source").alias("source"), rate.alias("rate"))
     order = [F.col("source"), F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("text_hash")]
-    short = numbered(rows.where(F.col("octave") == OCTAVES).drop("octave"), order, ["source"])
+    short = C.numbered(rows.where(F.col("octave") == OCTAVES).drop("octave"), order, ["source"])
     short = V.with_side(short, C.staged(rates, "rates"), "source").withColumn("copies", crossed(F.col("number"), F.col("rate"), F.col("start")))
     return long.unionByName(short.select(*long.columns))
 

@@ -8,8 +8,8 @@ move have another shard.
 A shard's rows are numbered without gaps: a slot's first number follows from the counts of the shard's slots before
 it, and numbers within a slot need a window over that slot alone, never over a whole shard.
 
-Records hash by their key. Rows of a key that repeats more often than a slot has rows on average, and rows without key, are spread over all slots, so that
-no slot grows with one key.
+Records hash by key, text and number among equal ones. So a record's slot depends neither on other records nor on the table's size or partitions, and the records of a hot key, or of
+none, fill all slots: no slot grows with one key.
 
 Nulls: a null text has size 1 and the crc32 of no bytes. Tied keys are numbered by their text's crc32 and size; equal rows are interchangeable. Only a very long
 text's size counts. An empty table gives an empty result and a map of empty slots. Extra columns are ignored.
@@ -29,19 +29,18 @@ MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, base long
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of every record, staged, so that a record's slot is decided once."""
+    """doc_id, size, text_crc32 and vslot of every record. A record is its key, its text's crc32 and size, and its number among the records equal in these; numbers
+    1, 2, .. keep their slots whatever is added."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = C.staged(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("uid"),
+        F.monotonically_increasing_id().alias("uid"),  # only parts a run of equal records, which are interchangeable
     ), "sized")
-    # a key with more than rows / slots rows: at most `slots` keys, so they may be sent out
-    hot = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1, rows.count() // slots)).select("doc_id", F.lit(True).alias("hot"))
-    spread = F.col("hot") | F.col("doc_id").isNull()
-    key = F.when(spread, F.xxhash64("doc_id", "uid")).otherwise(F.xxhash64("doc_id"))
-    return rows.join(F.broadcast(hot), "doc_id", "left").select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("vslot"))
+    record = ["doc_id", "text_crc32", "size"]
+    numbered = C.numbered(rows, [*map(F.col, record), F.col("uid")], record, "copy")
+    return C.staged(numbered.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64(*record, "copy"), F.lit(slots)).cast("int").alias("vslot")), "slotted")
 
 
 def slot_weights(rows: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:

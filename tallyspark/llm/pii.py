@@ -1,10 +1,10 @@
 """Pseudonyms for personal data that keep the format, in DataFrame operations only.
 
 Payment cards (Luhn), IBANs (mod 97), phone numbers in international, North American and trunk-prefixed national form, IPv4 addresses, US social
-security numbers, calendar dates, e-mail addresses and assigned secrets are found by one expression, validated, and replaced by a value of the same format. Numbers and dates are
+security numbers, calendar dates, e-mail addresses, assigned secrets and bare tokens of two public formats are found by one expression, validated, and replaced by a value of the same format. Numbers and dates are
 permuted under a key by a Feistel network over the digits' own domain: half a mod a, half b mod b, in `ROUNDS` rounds of
 modular addition of a keyed SHA-256. A permutation never maps two values to one, so equal values, and only they, stay linked
-across documents. Check digits are computed anew; separators stay. E-mail names and secrets, which have no numeric domain,
+across documents, and in all spellings of a phone number or date that name its country or order; a national number with a trunk prefix names none. Check digits are computed anew; separators stay. E-mail names and secrets, which have no numeric domain,
 become keyed digests of their length's form; an e-mail's domain stays.
 
 What matches but isn't valid (a 16-digit number that fails Luhn, a date on 30 February) stays as it is.
@@ -29,16 +29,19 @@ KINDS = ("card", "iban", "phone", "national", "ip", "ssn", "date", "email", "sec
 #: What an e-mail's name is made of: anything but white space and these signs.
 NAME = r"[^\s@,;:!?()\[\]<>\"'|\\/=#*$&^~{}`]"
 #: What a secret is assigned by, and what it is made of without quotes: only if it has letters and digits is it no word of prose.
-ASSIGNED = r"""(?i:token|secret|password|passwd|api_?key)["']? ?[=:]"""
+ASSIGNED = r"""(?i:token|secret|password|passwd|api[_ -]?key)["']? ?[=:]"""
+#: How tokens of two public formats begin, wherever they stand.
+BEARER, ACCESS_KEY = "Bearer ", "AKIA"
 BARE = r"""[^"'\s,;&<>(){}=:]"""
 #: Formats. Counted and possessive repetitions keep the search linear.
 PATTERNS = {
-    "secret": rf"""{ASSIGNED} ?(?:["'][^"'\s]{{8,}}+["']|(?={BARE}*\d)(?={BARE}*[A-Za-z]){BARE}{{7,}}[^"'\s,;&<>(){{}}=:.!?])""",
+    "token": rf"(?<![A-Za-z0-9])(?:{ACCESS_KEY}[A-Z0-9]{{16}}(?![A-Za-z0-9])|{BEARER}(?=\S*\d)[A-Za-z0-9._~+/-]{{15,}}+=*)",
+    "secret": rf"""{ASSIGNED} ?(?:["'][^"'\r\n]{{8,}}+["']|(?={BARE}*\d)(?={BARE}*[A-Za-z]){BARE}{{7,}}[^"'\s,;&<>(){{}}=:.!?])""",
     "email": rf"(?<!{NAME}){NAME}++@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,126}}[A-Za-z]{{2,63}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "national": r"(?<![\d+(.-])(?:1[ .-])?(?:\(\d{3}\)[ -]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\d+.,/-])0\d{2,4}[ /-]\d{3,4}(?:[ -]?\d{3,4})?(?![\d/-]|[.,]\d)",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])",
+    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d|[ -]\d{4}(?!\d))",
@@ -47,9 +50,12 @@ NUMBERS = "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "date", "ip
 #: (what a text must contain, the expression that it is then searched with); the first that holds is taken. Every match of an expression holds its sign. Texts without
 #: the long expression's signs are spared it.
 SEARCHES = (
-    (f"@|{ASSIGNED}", f"(?=[TtSsPpAa])(?:{PATTERNS['secret']})|{PATTERNS['email']}|{NUMBERS}"),
+    (f"@|{ACCESS_KEY}|{BEARER}|{ASSIGNED}", f"(?=[TtSsPpAaB])(?:{PATTERNS['token']}|{PATTERNS['secret']})|{PATTERNS['email']}|{NUMBERS}"),
     (r"\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d", NUMBERS),
 )
+#: Country calling codes of one and two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Stands around the matches while a text is cut up; a text that has it already is searched twice instead.
 SENTINEL = "\ue0f0"
 
@@ -97,9 +103,10 @@ def _ten(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permuted_digits(digits: Column, key: str, tweak: str, inverse: bool = False) -> Column:
+def permuted_digits(digits: Column, key: str, tweak: Column | str, inverse: bool = False) -> Column:
     """A string of 2 to 34 digits, permuted within the strings of its length."""
     network = unfeistel if inverse else feistel
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
 
     def run(h: Column) -> Column:
         out = network(h["l"].cast("long"), h["r"].cast("long"), h["a"], h["b"], key, h["t"])
@@ -109,7 +116,7 @@ def permuted_digits(digits: Column, key: str, tweak: str, inverse: bool = False)
         n = F.length(d)
         half = F.floor(n / 2).cast("int")
         return F.struct(
-            F.substr(d, F.lit(1), half).alias("l"), F.substr(d, half + 1).alias("r"), _ten(half).alias("a"), _ten(n - half).alias("b"), F.concat_ws("|", F.lit(tweak), n.cast("string")).alias("t")
+            F.substr(d, F.lit(1), half).alias("l"), F.substr(d, half + 1).alias("r"), _ten(half).alias("a"), _ten(n - half).alias("b"), F.concat_ws("|", tweak, n.cast("string")).alias("t")
         )
 
     return let(let(digits, halves), run)
@@ -166,17 +173,22 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country's digits, up to the first separator, stay."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    code = F.when(code == "", F.substr(m, F.lit(1), F.lit(2))).otherwise(code)
-    made = let(code, lambda c: let(F.substr(m, F.length(c) + 1), lambda rest: F.concat(c, in_places(rest, permuted_digits(_digits(rest), key, "phone")))))
-    return F.when(F.length(_digits(m)).between(8, 15), made)
+    """The country's digits stay, and a trunk prefix in brackets; the national number is permuted within its country, however it is written."""
+    trunk = F.when(m.rlike(r"^\+\d{1,3}[ .-]?\(0\)"), 1).otherwise(0)
+
+    def run(x: Column) -> Column:
+        made = permuted_digits(F.substr(x["d"], x["code"] + x["trunk"] + 1), key, F.concat(F.lit("phone|"), F.substr(x["d"], F.lit(1), x["code"])))
+        return in_places(m, F.concat(F.substr(x["d"], F.lit(1), x["code"] + x["trunk"]), made))
+
+    code = lambda d: F.when(F.substr(d, F.lit(1), F.lit(1)).isin(*ONE_DIGIT), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(*TWO_DIGITS), 2).otherwise(3)
+    return let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), let(F.struct(d.alias("d"), code(d).alias("code"), trunk.alias("trunk")), run)))
 
 
 def _national(m: Column, key: str) -> Column:
-    """A trunk prefix stays, as does the country's 1; the other digits are permuted as one number."""
+    """A trunk prefix stays, as does the country's 1; the other digits are permuted as one number, North American ones as they are in their international form."""
     kept = F.when(m.startswith("0") | m.rlike(r"^1[ .-]"), 1).otherwise(0)
-    made = let(F.substr(m, kept + 1), lambda rest: F.concat(F.substr(m, F.lit(1), kept), in_places(rest, permuted_digits(_digits(rest), key, "national"))))
+    domain = F.when(m.startswith("0"), "national").otherwise("phone|1")
+    made = let(F.substr(m, kept + 1), lambda rest: F.concat(F.substr(m, F.lit(1), kept), in_places(rest, permuted_digits(_digits(rest), key, domain))))
     return F.when(F.length(_digits(m)).between(9, 12), made)
 
 
@@ -202,29 +214,34 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Dates of 1900 to 2099. 29 February is permuted among the 49 leap years, other days among 200 years of 365 days."""
-    iso = m.rlike(r"^\d{4}-")
-    day_first = F.try_to_date(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))), "yyyy-MM-dd")
-    month_first = F.try_to_date(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))), "yyyy-MM-dd")
+    """Dates of 1600 to 2399. 29 February is permuted among the 194 leap years, other days among 800 years of 365 days; so a date has one pseudonym in all its forms."""
+    iso = m.rlike(r"^\d{4}")
+    part = lambda at, n: F.substr(m, F.lit(at), F.lit(n))
+    told = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd")
+    day_first, month_first = told(part(7, 4), part(4, 2), part(1, 2)), told(part(7, 4), part(1, 2), part(4, 2))
     order = F.when(iso, "ymd").when(day_first.isNotNull(), "dmy").otherwise("mdy")
-    date = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, month_first))
+    date = F.when(iso, told(part(1, 4), part(6, 2), part(9, 2))).otherwise(F.coalesce(day_first, month_first))
+    cycle = F.array(*(F.lit(y) for y in range(400) if y % 4 == 0 and (y % 100 or y == 0)))  # leap years of the calendar's 400
 
     def usual(d: Column) -> Column:
         year = F.year(d)
-        place = F.dayofyear(d) - 1 - F.when((F.pmod(year, F.lit(4)) == 0) & (year != 1900) & (F.month(d) > 2), 1).otherwise(0)
-        out = feistel(year - 1900, place, F.lit(200), F.lit(365), key, "date")
-        return let(out, lambda x: F.make_date((x["l"] + 1900).cast("int"), *(f(F.date_add(F.lit("2001-01-01").cast("date"), x["r"].cast("int"))) for f in (F.month, F.dayofmonth))))
+        is_leap = ((F.pmod(year, F.lit(4)) == 0) & (F.pmod(year, F.lit(100)) != 0)) | (F.pmod(year, F.lit(400)) == 0)
+        place = F.dayofyear(d) - 1 - F.when(is_leap & (F.month(d) > 2), 1).otherwise(0)
+        out = feistel(year - 1600, place, F.lit(800), F.lit(365), key, "date")
+        return let(out, lambda x: F.make_date((x["l"] + 1600).cast("int"), *(f(F.date_add(F.lit("2001-01-01").cast("date"), x["r"].cast("int"))) for f in (F.month, F.dayofmonth))))
 
     def leap(d: Column) -> Column:
-        nth = F.floor((F.year(d) - 1904) / 4)
-        out = feistel(F.floor(nth / 7), F.pmod(nth, F.lit(7)), F.lit(7), F.lit(7), key, "leap")
-        return let(out, lambda x: F.make_date((1904 + x["l"] * 28 + x["r"] * 4).cast("int"), F.lit(2), F.lit(29)))
+        place = F.array_position(cycle, F.pmod(F.year(d), F.lit(400))) - 1
+        out = feistel(F.floor((F.year(d) - 1600) / 400), place, F.lit(2), F.lit(97), key, "leap")
+        return let(out, lambda x: F.make_date((1600 + x["l"] * 400 + F.get(cycle, x["r"].cast("int"))).cast("int"), F.lit(2), F.lit(29)))
 
     def spelt(x: Column) -> Column:
-        y, mo, d, sign = F.date_format(x["new"], "yyyy"), F.date_format(x["new"], "MM"), F.date_format(x["new"], "dd"), F.substr(m, F.lit(3), F.lit(1))
-        return F.when(x["new"].isNull(), None).when(x["order"] == "ymd", F.concat_ws("-", y, mo, d)).when(x["order"] == "dmy", F.concat(d, sign, mo, sign, y)).otherwise(F.concat(mo, sign, d, sign, y))
+        y, mo, d = F.date_format(x["new"], "yyyy"), F.date_format(x["new"], "MM"), F.date_format(x["new"], "dd")
+        one, two = F.when(iso, part(5, 1)).otherwise(part(3, 1)), F.when(iso, part(8, 1)).otherwise(part(6, 1))
+        joined = F.when(x["order"] == "ymd", F.concat(y, one, mo, two, d)).when(x["order"] == "dmy", F.concat(d, one, mo, two, y)).otherwise(F.concat(mo, one, d, two, y))
+        return F.when(x["new"].isNotNull(), joined)
 
-    new = let(date, lambda d: F.when(F.year(d).between(1900, 2099), F.when((F.month(d) == 2) & (F.dayofmonth(d) == 29), leap(d)).otherwise(usual(d))))
+    new = let(date, lambda d: F.when(F.year(d).between(1600, 2399), F.when((F.month(d) == 2) & (F.dayofmonth(d) == 29), leap(d)).otherwise(usual(d))))
     return let(F.struct(new.alias("new"), order.alias("order")), spelt)
 
 
@@ -234,7 +251,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, rf"""^{ASSIGNED} ?["']?""", 0)
+    head = F.regexp_extract(m, rf"""^(?:{ACCESS_KEY}|{BEARER}|{ASSIGNED} ?["']?)""", 0)
     tail = F.regexp_extract(m, r"""["']$""", 0)
 
     def run(value: Column) -> Column:
@@ -247,11 +264,11 @@ def _secret(m: Column, key: str) -> Column:
 def replaced(m: Column, key: str) -> Column:
     """struct<kind, value> for a match; a null kind means it isn't valid and stays."""
     tests = (
-        ("secret", m.rlike(r"""^(?i:token|secret|password|passwd|api_?key)"""), _secret),
+        ("secret", m.rlike(rf"^(?:{ACCESS_KEY}[A-Z0-9]{{16}}$|{BEARER}|{ASSIGNED})"), _secret),
         ("email", m.contains("@"), _email),
         ("iban", m.rlike("^[A-Z]{2}"), _iban),
         ("phone", m.startswith("+"), _phone),
-        ("date", m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), _date),
+        ("date", m.rlike(r"^(?:\d{4}[/-]\d{2}[/-]\d{2}|\d{2}[./-]\d{2}[./-]\d{4})$"), _date),
         ("ip", m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), _ip),
         ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn),
         ("national", m.rlike(rf"^(?:{PATTERNS['national']})$"), _national),

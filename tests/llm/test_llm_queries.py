@@ -135,6 +135,44 @@ def test_hot_and_missing_keys_fill_all_slots(spark):
     assert max(by.values()) < 40
 
 
+def test_slots_are_for_good(spark):
+    """Added rows, of hot, new, missing and repeated keys, and another partitioning move no record; growing moves none to a shard that was there before it was needed."""
+    schema = "doc_id long, text string"
+    rows = [(5 if i % 3 == 0 else i, f"text {i % 4}") for i in range(900)] + [(None, "x")] * 50 + [(5, None), (5, "")]
+    take = lambda r, n: Counter(tuple(x) for x in sharding.slotted(spark.createDataFrame(r, schema).repartition(n)).select("doc_id", "size", "text_crc32", "vslot").collect())
+    was = take(rows, 3)
+    assert take(rows[::-1], 7) == was
+    now = take([*rows, (5, "text 0"), (5, "text 0"), (5, "new"), (None, "x"), (1000, "y")], 4)
+    assert not was - now and sum((now - was).values()) == 5
+
+
+def test_packing_by_brute_force(spark, tmp_path):
+    """The stored map against its rows: every shard's bytes, counts and first numbers; shards near equal; the edited map moves only what narrows a gap."""
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, "x" * int(rng.pareto(1.5) * 40)) for i in range(6000)], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    got = [r.asDict() for r in sharding.shard(docs, path, 7, 512).collect()]
+    by_slot, by_shard = Counter(), Counter()
+    for r in got:
+        by_slot[r["vslot"]] += r["size"]
+        by_shard[r["shard"]] += r["size"]
+    stored = sharding.load_map(spark, path).collect()
+    assert all(m["bytes"] == by_slot[m["slot"]] and m["rows"] == sum(r["vslot"] == m["slot"] for r in got) for m in stored[:40]) and len(stored) == 512
+    for shard in range(7):
+        at = 0
+        for m in sorted((m for m in stored if m["shard"] == shard), key=lambda m: m["slot"]):
+            assert m["base"] == at
+            at += m["rows"]
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(at))
+    assert max(by_shard.values()) - min(by_shard.values()) <= max(by_slot.values())
+    grown = sharding.grow(spark, path, 8, 512).collect()
+    load = Counter()
+    for m in grown:
+        load[m["shard"]] += m["bytes"]
+    moved = [m for m in grown if {s["slot"]: s["shard"] for s in stored}[m["slot"]] != m["shard"]]
+    assert {m["version"] for m in grown} == {2} and len(load) == 8 and max(load.values()) <= 1.05 * sum(load.values()) / 8 and sum(m["bytes"] for m in moved) <= 1.3 * load[7]
+
+
 def test_html_query(spark, folder):
     got = [r.asDict() for r in html.query(spark, folder).collect()]
     assert len(got) == 13 and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -159,9 +197,54 @@ def test_html_by_construction(spark):
     assert got == want
 
 
+HARD_PAGES = [
+    ('<div data-role="dialog"><p>kept one</p><p>kept two</p></div>', "kept one\nkept two"),
+    ('<div data-hidden="false"><p>kept</p></div>', "kept"),
+    ('<div title="the hidden river"><p>kept</p></div>', "kept"),
+    ("<div title='id=ad class=ad'><p>kept</p></div>", "kept"),
+    ('<div class="wrapper with-sidebar"><h1>T</h1><p>text</p></div><div class="sidebar">s</div>', "T\ntext"),
+    ('<div class="site has-sidebar"><p>text</p></div>', "text"),
+    ('<div class="single no-comments"><article><p>text</p></article></div>', "text"),
+    ('<div class="layout-sidebar"><article><p>text</p></article></div><div class="acme-sidebar"><p>side</p></div>', "text"),
+    ('<div class="acme-sidebar-left"><p>side</p></div><main><p>text</p></main>', "text"),
+    ("<main><h1>T</h1><p>lead</p><article><p>text that is longer than the lead</p></article></main>", "T\nlead\ntext that is longer than the lead"),
+    ("<body><h1>T</h1><article><p>one</p></article><article><p>two</p></article><footer>f</footer></body>", "T\none\ntwo"),
+    ("<div id=page><p>lead</p><article><p>the text of the article</p></article></div><div class=ad>buy</div>", "lead\nthe text of the article"),
+    ("<div id=page><div class=intro><h1>T</h1><p>lead</p></div><article><p>the text of the whole article</p></article></div>", "T\nlead\nthe text of the whole article"),
+    ("<article><p>text</p><blockquote class=reply>quoted</blockquote><div class=comments>c</div></article>", "text\nquoted"),
+]
+
+
+def test_html_traits_keep_the_article(spark):
+    """Attributes that only look like marks, wrappers named after what stands beside them, text around articles; each page alone on its host, and all of them on one."""
+    pages = [(i, f"http://h{i}.example/", f"<html><body><nav>menu</nav>{h}</body></html>") for i, (h, _) in enumerate(HARD_PAGES)]
+    schema = "page_id long, url string, html string"
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, schema)).collect()} == {i: t for i, (_, t) in enumerate(HARD_PAGES)}
+
+
+def test_html_wrappers_with_boilerplate_words(spark):
+    """Whatever boilerplate word a wrapper's class says to stand beside or not, the page keeps its text, and loses what is named so outright."""
+    rng = np.random.default_rng(12)
+    marks, states = sorted(html.MARKS - {"hidden"}), ("with", "has", "no", "without", "is-not", "show")
+    pages, want = [], {}
+    for i in range(150):
+        mark, other = (marks[int(k)] for k in rng.integers(0, len(marks), 2))
+        name = f"{states[int(rng.integers(0, len(states)))]}-{mark}"
+        inner = [f"<h1>T{i}</h1><p>text {i}</p>", f"<article><h1>T{i}</h1><p>text {i}</p></article>", f"<main><h1>T{i}</h1><p>text {i}</p></main>", f"<div><h1>T{i}</h1></div><div><p>text {i}</p></div>"][i % 4]
+        pages.append((i, f"http://s{i % 8}.example/{i}", f'<body class="{name}"><div class="{other}"><p>beside</p></div><div class="wrapper {name}" data-role="dialog">{inner}</div><div id="{mark}-box">gone</div></body>'))
+        want[i] = f"T{i}\ntext {i}"
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == want
+
+
+def test_html_page_with_a_lead_keeps_it_against_its_host(spark):
+    plain = [(i, "http://h/", f"<main><article><p>text {i}</p></article></main>") for i in range(9)]
+    got = html.extract_pages(spark.createDataFrame([*plain, (9, "http://h/", "<main><p>lead</p><article><p>text nine</p></article></main>")], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {**{i: f"text {i}" for i in range(9)}, 9: "lead\ntext nine"}
+
+
 def test_many_hosts_are_dealt_by_share(spark, folder, monkeypatch):
     want = Counter(map(str, html.query(spark, folder).collect()))
-    monkeypatch.setattr(html, "MOST_PATHS", 1)
+    monkeypatch.setattr(html, "MOST_BYTES", 1)
     assert Counter(map(str, html.query(spark, folder).collect())) == want
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import codes, mixing, vectors, whitening
+from tallyspark.llm import codes, common as C, mixing, vectors, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, code string, x int, error string"
 
@@ -259,7 +259,7 @@ def test_mixing_is_unbiased_over_seeds(spark):
 
 def test_numbers_over_ranges(spark):
     rows = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 END AS g", "id % 7 AS v")
-    got = mixing.numbered(rows.repartition(6), [F.col("g"), F.col("v"), F.col("id")], ["g"]).collect()
+    got = C.numbered(rows.repartition(6), [F.col("g"), F.col("v"), F.col("id")], ["g"]).collect()
     for g in {r["g"] for r in got}:
         mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["number"])
         assert [r["number"] for r in mine] == list(range(1, len(mine) + 1)) and [(r["v"], r["id"]) for r in mine] == sorted((r["v"], r["id"]) for r in mine)

@@ -1,73 +1,119 @@
 """Constrained allocation of payments to invoices.
 
-Candidate edges fall into connected components, which are independent. A component of one edge, or a star whose rim fits into its
-hub, has one best solution and is solved by column expressions; the rest go to a branch and bound over used edges, which starts from a greedy solution. It is exact
-where it ends within `NODES` nodes (status OPTIMAL); else its best solution so far has status FEASIBLE. Components of more than `MAX_EDGES` edges are refused, as the rule has
-it: they have status TOO_LARGE and no link.
+Candidate edges fall into connected components, which are independent. A component of one edge has one best solution, a column expression. The others are
+fixed-charge transportation problems: money flows along edges, each used edge has a charge, each invoice that is paid in full a reward. They go to a best-first branch and
+bound: a node's linear relaxation is a flow of largest gain, its dual a proven bound, and the dual's reduced costs decide edges that no better solution can
+use, or do without. A search that ends (status OPTIMAL) has the best solution; one stopped after `NODES` nodes (FEASIBLE) says by how much it may fall short.
+Components of more than `MAX_EDGES` edges are refused, as the rule has it: they have status TOO_LARGE and no link.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import defaultdict
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph
 
-#: Subsets of up to this many edges are searched to the end.
-EXACT_EDGES = 14
-NODES = 150
+NODES = 5000
 MAX_EDGES = 4000
 
 
-def flow(edges: list[tuple], left: dict, right: dict) -> dict:
-    """Largest total over the given edges within both sides' limits, by augmenting paths in a fixed order."""
-    amount = {e: 0 for e in edges}
-    left, right = dict(left), dict(right)
-    out = defaultdict(list)
-    into = defaultdict(list)
+class Relaxed(NamedTuple):
+    """A node's linear relaxation: its flow, a proven bound, and what the bound loses if an edge is taken out, or gains at most if it is used in full."""
+
+    amount: dict
+    bound: float
+    without: dict
+    used: dict
+
+
+def costs(edges: list[tuple], invoices: dict, confidence: dict) -> tuple[int, dict]:
+    """The unit of costs, and what using each edge costs."""
+    unit = max(1, max(invoices.values(), default=0) // 1000)
+    return unit, {e: unit + max(1, unit // 4) - int(confidence[e] * unit) for e in edges}
+
+
+def relaxed(edges: list[tuple], invoices: dict, payments: dict, cost: dict, unit: int, used: frozenset, full: frozenset, short: frozenset) -> Relaxed | None:
+    """The best flow if an undecided edge is charged, and an undecided invoice rewarded, in proportion to what flows; edges of `used` are charged whole, invoices of
+    `full` must be paid in full and those of `short` earn nothing for it. None if they can't. Paths of the largest gain are filled until none gains; the bound is the
+    dual's value at their potentials, so it holds whatever is rounded."""
+    ends = [n for e in edges for n in (("i", e[0]), ("p", e[1]))]
+    nodes = list(dict.fromkeys(ends))
+    number = {n: k + 1 for k, n in enumerate(nodes)}  # 0 is source and sink in one
+    must = 4.0 * len(nodes) + 16
+    room = [0] + [invoices[n[1]] if n[0] == "i" else payments[n[1]] for n in nodes]
+    limit = {e: min(invoices[e[0]], payments[e[1]]) for e in edges}
+    gain = {}
     for e in edges:
-        out[e[0]].append(e)
-        into[e[1]].append(e)
+        i = e[0]
+        gain[e] = 1.0 + (0 if e in used else -cost[e] / limit[e]) + (must if i in full else 0 if i in short else 2.0 * unit / invoices[i])
+    amount = dict.fromkeys(edges, 0)
+    left = list(room)
+    arcs = [(e, number["i", e[0]], number["p", e[1]], gain[e]) for e in edges]
     while True:
-        for source in sorted(k for k, v in left.items() if v > 0 and out[k]):
-            parent, queue, goal = {("l", source): None}, [("l", source)], None
-            while queue and goal is None:
-                side, node = queue.pop(0)
-                for e in out[node] if side == "l" else into[node]:
-                    nxt = ("r", e[1]) if side == "l" else ("l", e[0])
-                    if nxt in parent or (side == "r" and amount[e] == 0):
-                        continue
-                    parent[nxt] = ((side, node), e)
-                    if side == "l" and right[e[1]] > 0:
-                        goal = nxt
-                        break
-                    queue.append(nxt)
-            if goal is None:
-                continue
-            path, at = [], goal
-            while parent[at] is not None:
-                at, e = parent[at]
-                path.append((at[0], e))
-            push = min([left[source], right[goal[1]], *(amount[e] for side, e in path if side == "r")])
-            for side, e in path:
-                amount[e] += push if side == "l" else -push
-            left[source] -= push
-            right[goal[1]] -= push
+        # longest paths: from invoices with room, along edges that aren't full, back along edges in use, to payments with room
+        far = [0.0 if k and nodes[k - 1][0] == "i" and left[k] > 0 else -math.inf for k in range(len(room))]
+        by: list = [None] * len(room)
+        for _ in range(len(room)):
+            changed = False
+            for e, i, p, g in arcs:
+                if amount[e] < limit[e] and far[i] + g > far[p] + 1e-9:
+                    far[p], by[p], changed = far[i] + g, (e, i), True
+                if amount[e] > 0 and far[p] - g > far[i] + 1e-9:
+                    far[i], by[i], changed = far[p] - g, (e, p), True
+            if not changed:
+                break
+        goal = max((k for k in range(1, len(room)) if nodes[k - 1][0] == "p" and left[k] > 0), key=lambda k: (far[k], -k), default=0)
+        if not goal or far[goal] <= 1e-9:
             break
-        else:
-            return amount
+        path, at = [], goal
+        while by[at] is not None:
+            path.append((by[at][0], nodes[at - 1][0] == "p"))
+            at = by[at][1]
+        push = min(left[at], left[goal], *(limit[e] - amount[e] if ahead else amount[e] for e, ahead in path))
+        for e, ahead in path:
+            amount[e] += push if ahead else -push
+        left[at] -= push
+        left[goal] -= push
+    if any(left[number["i", i]] > 0 for i in full if ("i", i) in number) or any(("i", i) not in number for i in full):
+        return None
+    rise = [0.0] * len(room)  # potentials over what could still be changed, the common source and sink being node 0
+    for _ in range(len(room) + 1):
+        changed = False
+        for k in range(1, len(room)):
+            ahead, back = (0, k) if nodes[k - 1][0] == "i" else (k, 0)
+            if left[k] > 0 and rise[ahead] > rise[back] + 1e-9:
+                rise[back], changed = rise[ahead], True
+            if left[k] < room[k] and rise[back] > rise[ahead] + 1e-9:
+                rise[ahead], changed = rise[back], True
+        for e, i, p, g in arcs:
+            if amount[e] < limit[e] and rise[i] + g > rise[p] + 1e-9:
+                rise[p], changed = rise[i] + g, True
+            if amount[e] > 0 and rise[p] - g > rise[i] + 1e-9:
+                rise[i], changed = rise[p] - g, True
+        if not changed:
+            break
+    price = [0.0] + [max(0.0, rise[0] - rise[k] if nodes[k - 1][0] == "i" else rise[k] - rise[0]) for k in range(1, len(room))]
+    over = {e: max(0.0, g - price[i] - price[p]) * limit[e] for e, i, p, g in arcs}
+    fixed = 2.0 * unit * len(full) - sum(cost[e] for e in used) - must * sum(invoices[i] for i in full)
+    bound = sum(x * r for x, r in zip(price, room)) + sum(over.values()) + fixed
+    whole = {e: max(0.0, g - price[i] - price[p] + (0 if e in used else cost[e] / limit[e])) * limit[e] - over[e] - (0 if e in used else cost[e]) for e, i, p, g in arcs}
+    return Relaxed(amount, bound, {e: bound - x for e, x in over.items()}, {e: bound + x for e, x in whole.items()})
 
 
 def objective(amount: dict, invoices: dict, confidence: dict) -> int:
     """Allocated sum, less a cost and plus the confidence of each used edge, plus a bonus for each invoice paid in full."""
-    unit = max(1, max(invoices.values(), default=0) // 1000)
+    used = {e: a for e, a in amount.items() if a > 0}
+    unit, cost = costs([*used], invoices, confidence)
     paid = defaultdict(int)
-    for (i, _), a in amount.items():
+    for (i, _), a in used.items():
         paid[i] += a
-    used = sum(int(confidence[e] * unit) - unit - max(1, unit // 4) for e, a in amount.items() if a > 0)
-    return sum(amount.values()) + used + 2 * unit * sum(paid[i] == t for i, t in invoices.items())
+    return sum(used.values()) - sum(cost.values()) + 2 * unit * sum(paid[i] == t for i, t in invoices.items())
 
 
 def greedy(edges: list[tuple], invoices: dict, payments: dict, confidence: dict) -> dict:
@@ -81,51 +127,71 @@ def greedy(edges: list[tuple], invoices: dict, payments: dict, confidence: dict)
     return out
 
 
-def bounded(edges: list[tuple], invoices: dict, payments: dict, confidence: dict, best: dict, most: int | None) -> tuple[dict, bool]:
-    """The best solution over sets of used edges, from `best` on, and whether the search ended within `most` nodes. A node takes edges out, one by one; what
-    its largest flow and all full payments would be worth, less the least that the edges cost that a flow of that size needs, bounds all below it."""
-    unit = max(1, max(invoices.values(), default=0) // 1000)
+def searched(edges: list[tuple], invoices: dict, payments: dict, confidence: dict, best: dict, most: int) -> tuple[dict, int]:
+    """The best solution, from `best` on, and the bound that is proven: its own worth if the search ended within `most` nodes. Nodes with the largest bound come first.
+    A node's bounds on using an edge, and on doing without it, decide edges that can't be otherwise in any better solution; of what is left, the edge or invoice
+    whose proportional charge or reward is furthest from the true one is decided both ways."""
+    unit, cost = costs(edges, invoices, confidence)
     worth = objective(best, invoices, confidence)
-    cheapest = min((unit + max(1, unit // 4) - int(confidence[e] * unit) for e in edges), default=0)
-    nodes, stack = 0, [(0, tuple(edges))]
-    while stack:
-        at, held = stack.pop()
-        nodes += 1
-        if most is not None and nodes > most:
-            return best, False
-        got = {e: a for e, a in flow(list(held), invoices, payments).items() if a > 0}
+    slack = 1e-7 * (1 + sum(invoices.values()))  # rounding of floats against whole amounts
+    whole = lambda bound: math.floor(bound + min(slack, 0.5))
+    heap, serial, seen = [(-math.inf, 0, tuple(edges), frozenset(), frozenset(), frozenset())], 0, 0
+    while heap:
+        bound, _, held, used, full, short = heapq.heappop(heap)
+        if bound > -math.inf and whole(-bound) <= worth:
+            return best, worth
+        if seen >= most:
+            return best, max(worth, whole(-bound)) if bound > -math.inf else sum(invoices.values()) + 2 * unit * len(invoices)
+        seen += 1
+        node = relaxed(list(held), invoices, payments, cost, unit, used, full, short)
+        if node is None or whole(node.bound) <= worth:
+            continue
+        got = {e: a for e, a in node.amount.items() if a > 0}
         value = objective(got, invoices, confidence)
         if value > worth:
             best, worth = got, value
-        total = sum(got.values())
-        reach = sum(t <= sum(payments[e[1]] for e in held if e[0] == i) for i, t in invoices.items())
-        widest = sorted((min(invoices[e[0]], payments[e[1]]) for e in held), reverse=True)
-        needed, sum_ = 0, 0
-        while needed < len(widest) and sum_ < total:
-            sum_ += widest[needed]
-            needed += 1
-        if total + 2 * unit * reach - needed * cheapest <= worth:
-            continue
-        for k in range(len(held) - 1, -1, -1):  # each subset is met once: edges before the last one taken out stay
-            if k >= at:
-                stack.append((k, held[:k] + held[k + 1 :]))
-    return best, True
+            if whole(node.bound) <= worth:
+                continue
+        kept = tuple(e for e in held if e in used or whole(node.used[e]) > worth)
+        forced = used | {e for e in kept if whole(node.without[e]) <= worth}
+        paid: dict = defaultdict(int)
+        for (i, _), a in node.amount.items():
+            paid[i] += a
+        limit = {e: min(invoices[e[0]], payments[e[1]]) for e in held}
+        doubts = [(cost[e] * (1 - node.amount[e] / limit[e]), 0, e) for e in kept if e not in forced and 0 < node.amount[e] < limit[e]]
+        doubts += [(2 * unit * paid[i] / invoices[i], 1, i) for i in invoices if i not in full and i not in short and 0 < paid[i] < invoices[i]]
+        if doubts:
+            _, kind, item = max(doubts)
+        elif len(kept) < len(held) or forced != used:
+            kind, item = 2, None
+        else:
+            continue  # nothing is charged in proportion any more: the bound is this solution's worth
+        children = (
+            [(kept, forced, full | {item}, short), (kept, forced, full, short | {item})] if kind == 1
+            else [(kept, forced | {item}, full, short), (tuple(e for e in kept if e != item), forced, full, short)] if kind == 0
+            else [(kept, forced, full, short)]
+        )
+        for child in children:
+            serial += 1
+            heapq.heappush(heap, (-node.bound, serial, *child))
+    return best, worth
+
+
+LINK = "amount long, status string, gap long"
 
 
 def solve(component: pd.DataFrame) -> pd.DataFrame:
-    """Amounts of one component's edges (invoice_id, payment_id, total, available, score)."""
-    edges = sorted(zip(component.invoice_id.tolist(), component.payment_id.tolist()))
-    invoices, payments = dict(zip(component.invoice_id, component.total)), dict(zip(component.payment_id, component.available))
-    confidence = {(i, p): s for i, p, s in zip(component.invoice_id, component.payment_id, component.score)}
-    status = "OPTIMAL"
-    if len(edges) > MAX_EDGES:
-        best, status = {}, "TOO_LARGE"
+    """Amounts of one component's edges (invoice_id, payment_id, total, available, score), its status, and by how much its objective may fall short of the best one."""
+    rows = [r for r in zip(component.invoice_id.tolist(), component.payment_id.tolist(), component.total.tolist(), component.available.tolist(), component.score.tolist()) if r[2] > 0 and r[3] > 0]
+    edges = sorted((i, p) for i, p, *_ in rows)
+    invoices, payments, confidence = {r[0]: r[2] for r in rows}, {r[1]: r[3] for r in rows}, {(r[0], r[1]): r[4] for r in rows}
+    if len(component) > MAX_EDGES:
+        best, status, gap = {}, "TOO_LARGE", None
     else:
-        best = greedy(edges, invoices, payments, confidence)
-        best, ended = bounded(edges, invoices, payments, confidence, best, None if len(edges) <= EXACT_EDGES else NODES)
-        status = "OPTIMAL" if ended else "FEASIBLE"
-    rows = [(i, p, int(a), status) for (i, p), a in best.items() if a > 0] or [(None, None, 0, status)]
-    out = pd.DataFrame(rows, columns=["invoice_id", "payment_id", "amount", "status"])
+        best, bound = searched(edges, invoices, payments, confidence, greedy(edges, invoices, payments, confidence), NODES)
+        gap = bound - objective(best, invoices, confidence)
+        status = "FEASIBLE" if gap else "OPTIMAL"
+    out = pd.DataFrame([(i, p, int(a), status, gap) for (i, p), a in best.items() if a > 0] or [(None, None, 0, status, gap)], columns=["invoice_id", "payment_id", "amount", "status", "gap"])
     out.insert(0, "ws", component.ws.iloc[0])
     return out
 
@@ -136,12 +202,12 @@ def solved(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) -> D
     edges = candidates.join(invoices.select("ws", "invoice_id", "total"), ["ws", "invoice_id"]).join(payments.select("ws", "payment_id", F.col("amount").alias("available")), ["ws", "payment_id"])
     keyed = edges.withColumns({"u": F.concat(F.lit("i"), F.col("invoice_id").cast("string")), "v": F.concat(F.lit("p"), F.col("payment_id").cast("string"))})
     degree = keyed.join(keyed.groupBy("ws", "invoice_id").agg(F.count("*").alias("n_i")), ["ws", "invoice_id"]).join(keyed.groupBy("ws", "payment_id").agg(F.count("*").alias("n_p")), ["ws", "payment_id"])
-    alone = degree.where("n_i = 1 AND n_p = 1").select("ws", "invoice_id", "payment_id", F.least("total", "available").alias("amount"), F.lit("OPTIMAL").alias("status"))
+    alone = degree.where("n_i = 1 AND n_p = 1").select("ws", "invoice_id", "payment_id", F.least("total", "available").alias("amount"), F.lit("OPTIMAL").alias("status"), F.lit(0).cast("long").alias("gap"))
     rest = degree.where("n_i > 1 OR n_p > 1")
     label = graph.components(rest.select(F.concat_ws(":", "ws", "u").alias("u"), F.concat_ws(":", "ws", "v").alias("v")))
     rest = rest.join(label.withColumnRenamed("node", "k"), F.concat_ws(":", "ws", "u") == F.col("k"))
     kind = dict(candidates.dtypes)
-    found = rest.groupBy("label").applyInPandas(solve, f"ws {kind['ws']}, invoice_id {kind['invoice_id']}, payment_id {kind['payment_id']}, amount long, status string")
+    found = rest.groupBy("label").applyInPandas(solve, f"ws {kind['ws']}, invoice_id {kind['invoice_id']}, payment_id {kind['payment_id']}, {LINK}")
     return alone.unionByName(found)
 
 
@@ -151,7 +217,8 @@ def allocate(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) ->
 
 
 def statuses(candidates: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """ALC: the worst status of each workspace, with links and their sum; TOO_LARGE and FEASIBLE components show."""
+    """ALC: the worst status of each workspace, with links, their sum, and by how much the workspace's objective may fall short of the best one; TOO_LARGE and FEASIBLE
+    components show."""
     rank = F.when(F.col("status") == "TOO_LARGE", 2).when(F.col("status") == "FEASIBLE", 1).otherwise(0)
-    by = solved(candidates, invoices, payments).groupBy("ws").agg(F.max(rank).alias("rank"), F.count("invoice_id").alias("links"), F.sum("amount").alias("amount"))
-    return by.select("ws", F.element_at(F.array(*map(F.lit, ("OPTIMAL", "FEASIBLE", "TOO_LARGE"))), (F.col("rank") + 1).cast("int")).alias("status"), "links", "amount")
+    by = solved(candidates, invoices, payments).groupBy("ws").agg(F.max(rank).alias("rank"), F.count("invoice_id").alias("links"), F.sum("amount").alias("amount"), F.sum("gap").alias("gap"))
+    return by.select("ws", F.element_at(F.array(*map(F.lit, ("OPTIMAL", "FEASIBLE", "TOO_LARGE"))), (F.col("rank") + 1).cast("int")).alias("status"), "links", "amount", "gap")

@@ -11,6 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.shared import staged
+from . import order
+
 
 def close_repeats(rows: DataFrame, keys: list[str], at: str, row_id: str, seconds: int = 86_400) -> DataFrame:
     """WIN1, A01: rows that follow one of the same key within a day."""
@@ -87,36 +90,109 @@ def related_parties(labels: DataFrame, kinds: DataFrame) -> DataFrame:
     return by.where("nodes >= 3 AND customers >= 2").withColumn("severity", F.lit("MEDIUM"))
 
 
-def contained_names(rows: DataFrame, key: str) -> DataFrame:
-    """JN15, A13: pairs where one normalised name stands in another. Blocked on the shorter one's longest word: if the whole name
-    stands in the other, so does that word, as a word or within one; words are therefore cut into their 4-grams, rare ones first."""
+#: Letters of the grams that names are found by, and names of a gram that one task compares with.
+GRAM, BUCKET = 4, 5000
+
+
+def _grams(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
+    starts = F.sequence(F.lit(1), F.length("name") - size + 1)
+    return rows.where(F.length("name") >= size).select(*keep, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("name", i, F.lit(size))))).alias("gram"))
+
+
+def contained_names(rows: DataFrame) -> DataFrame:
+    """Pairs (ws, inner, outer) of different names (ws, name) of which one stands in the other. A name that holds another holds all its grams, so each name
+    is looked up by its rarest one alone; names below `GRAM` letters by themselves, among the grams of their length. A gram of many names is dealt into
+    buckets, so no task meets all of them."""
+    names = staged(rows.select("ws", "name").where("name != ''").distinct(), "names")
+    found = None
+    for size in range(1, GRAM + 1):  # the lengths below GRAM hold only as many different names as there are grams of that length
+        inner = names.where(F.length("name") == size) if size < GRAM else names.where(F.length("name") >= size)
+        outer = _grams(names, size, ["ws", "name"])
+        if size < GRAM:
+            outer = outer.join(inner.select("ws", F.col("name").alias("gram")), ["ws", "gram"], "left_semi")
+        outer = staged(outer, "grams")
+        counts = outer.groupBy("ws", "gram").agg(F.count("*").alias("n"))
+        mine = _grams(inner, size, ["ws", "name"]).join(counts, ["ws", "gram"])
+        rarest = mine.groupBy("ws", F.col("name").alias("inner")).agg(F.min(F.struct("n", "gram")).alias("r")).select("ws", "inner", "r.gram", "r.n")
+        parts = F.ceil(F.col("n") / BUCKET).cast("int")
+        asked = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = outer.join(counts, ["ws", "gram"]).select("ws", "gram", F.col("name").alias("outer"), F.pmod(F.xxhash64("name"), parts).cast("int").alias("part"))
+        pairs = asked.join(dealt, ["ws", "gram", "part"]).where((F.col("inner") != F.col("outer")) & F.contains("outer", F.col("inner"))).select("ws", "inner", "outer")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def _named(rows: DataFrame, key: str) -> DataFrame:
     from ..functions import names
 
-    n = rows.select("ws", F.col(key).alias("id"), names.normalize_name(F.col("name")).alias("name")).where("name != ''").dropDuplicates(["ws", "id"])
-    first = F.substring(F.regexp_replace("name", " ", ""), 1, 4)
-    short = n.select("ws", F.col("id").alias("a"), F.col("name").alias("na"), first.alias("gram"))
-    long_ = n.select("ws", F.col("id").alias("b"), F.col("name").alias("nb"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(F.regexp_replace("name", " ", ""))), lambda i: F.substr(F.regexp_replace(F.col("name"), " ", ""), i, F.lit(4))))).alias("gram"))
-    pairs = short.join(long_, ["ws", "gram"]).where((F.col("a") != F.col("b")) & F.contains("nb", F.col("na")))
-    return pairs.select("ws", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.select("ws", F.col(key).alias("id"), names.normalize_name(F.col("name")).alias("name")).where("name != ''").dropDuplicates(["ws", "id"])
+
+
+def contained_parties(rows: DataFrame, key: str) -> DataFrame:
+    """JN15: pairs of ids where one normalised name stands in another, or is the same."""
+    n = staged(_named(rows, key), "named")
+    pairs = contained_names(n).unionByName(n.groupBy("ws", "name").count().where("count > 1").select("ws", F.col("name").alias("inner"), F.col("name").alias("outer")))
+    a, b = n.select("ws", F.col("name").alias("inner"), F.col("id").alias("x")), n.select("ws", F.col("name").alias("outer"), F.col("id").alias("y"))
+    met = pairs.join(a, ["ws", "inner"]).join(b, ["ws", "outer"]).where("x != y")
+    return met.select("ws", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def name_groups(rows: DataFrame, key: str) -> DataFrame:
+    """A13: ids (ws, id, name) whose names are linked by containment, with their group's first name and how many names it has."""
+    from . import graph
+
+    n = staged(_named(rows, key), "named")
+    node = lambda c: F.concat(F.col("ws").cast("string"), F.lit("|"), F.col(c))
+    links = staged(contained_names(n).select(node("inner").alias("u"), node("outer").alias("v")), "name-links")
+    labels = graph.components(links)
+    sized = labels.groupBy("label").agg(F.count("*").alias("names"), F.min("node").alias("first"))
+    told = labels.join(sized, "label").select(F.col("node"), "names", F.regexp_replace("first", r"^[^|]*\|", "").alias("group_name"))
+    return n.withColumn("node", node("name")).join(told, "node").select("ws", "id", "name", "group_name", "names")
+
+
+#: Days that a debit and its refund may lie apart.
+REFUND_DAYS = 7
 
 
 def matched_debits(debits: DataFrame, refunds: DataFrame) -> DataFrame:
-    """JN13: each debit takes the first open refund of its amount within 7 days (or without a date); a refund is taken once. Order
-    decides, so a group of one amount is walked as a whole; groups are bounded by how often an amount occurs."""
-    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for rows, c in ((debits, "ws"), (debits, "amount"), (debits, "debit_id"), (refunds, "refund_id")))
-
-    def walk(key: tuple, d: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        open_ = list(r.sort_values(["refunded_on", "refund_id"]).itertuples())
-        out = []
-        for x in d.sort_values(["booked_on", "debit_id"]).itertuples():
-            for k, y in enumerate(open_):
-                if pd.isna(y.refunded_on) or abs((pd.Timestamp(x.booked_on) - pd.Timestamp(y.refunded_on)).days) <= 7:
-                    out.append((key[0], key[1], x.debit_id, y.refund_id))
-                    del open_[k]
-                    break
-        return pd.DataFrame(out, columns=["ws", "amount", "debit_id", "refund_id"])
-
-    return debits.groupBy("ws", "amount").cogroup(refunds.groupBy("ws", "amount")).applyInPandas(walk, schema)
+    """JN13: each debit, by day and id, takes the first open refund of its amount within 7 days, else one without a date; a refund is taken once.
+
+    Days come in order and all windows have the same length, so refunds are taken in order too: which debits of a day meet which refunds follows from how many there are on
+    each day. So only counts by day, as many as the calendar has, are walked for a workspace and an amount; rows meet by their numbers, however many share an amount.
+    What finds no refund with a date meets the ones without, again number by number."""
+    key = ["ws", "amount"]
+    d = debits.select(*key, "debit_id", "booked_on")
+    r = refunds.select(*key, "refund_id", "refunded_on")
+    dated = order.numbered(d.where("booked_on IS NOT NULL"), [*map(F.col, (*key, "booked_on", "debit_id"))], [*key, "booked_on"], "nth")
+    open_ = order.numbered(r.where("refunded_on IS NOT NULL"), [*map(F.col, (*key, "refunded_on", "refund_id"))], key, "nth")
+    by_day = dated.groupBy(*key, F.col("booked_on").alias("day")).agg(F.count("*").alias("debits")).withColumn("refunds", F.lit(0).cast("long"))
+    by_day = by_day.unionByName(open_.groupBy(*key, F.col("refunded_on").alias("day")).agg(F.count("*").alias("refunds")).withColumn("debits", F.lit(0).cast("long")))
+    by_day = by_day.groupBy(*key, "day").agg(F.sum("debits").alias("debits"), F.sum("refunds").alias("refunds"))
+    kinds = dict(debits.dtypes)
+
+    def walk(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("day")
+        at = np.asarray(pd.to_datetime(days["day"]).values.astype("datetime64[D]").astype(np.int64))
+        past = np.concatenate([[0], np.cumsum(days["refunds"].to_numpy(np.int64))])  # refunds before each day
+        first = past[np.searchsorted(at, at - REFUND_DAYS, "left")]
+        last = past[np.searchsorted(at, at + REFUND_DAYS, "right")]
+        taken, out = 0, []
+        for k, n in enumerate(days["debits"].to_numpy(np.int64)):
+            start = max(taken, int(first[k]))
+            met = min(int(n), max(0, int(last[k]) - start))
+            if n:
+                out.append((start, met))
+            taken = max(taken, start + met) if met else taken
+        some = days[days["debits"] > 0]
+        return some[[*key, "day"]].assign(start=[o[0] for o in out], met=[o[1] for o in out])
+
+    plan = by_day.groupBy(*key).applyInPandas(walk, f"ws {kinds['ws']}, amount {kinds['amount']}, day date, start long, met long").withColumnRenamed("day", "booked_on")
+    placed = staged(dated.join(plan, [*key, "booked_on"]).withColumn("seat", F.when(F.col("nth") <= F.col("met"), F.col("start") + F.col("nth"))), "placed")
+    with_date = placed.where("seat IS NOT NULL").join(open_.withColumnRenamed("nth", "seat"), [*key, "seat"]).select(*key, "debit_id", "refund_id")
+    left = placed.where("seat IS NULL").select(*key, "debit_id", "booked_on").unionByName(d.where("booked_on IS NULL"))
+    left = order.numbered(left, [*map(F.col, key), F.col("booked_on").asc_nulls_last(), F.col("debit_id")], key, "seat")
+    free = order.numbered(r.where("refunded_on IS NULL"), [*map(F.col, (*key, "refund_id"))], key, "seat")
+    return with_date.unionByName(left.join(free, [*key, "seat"]).select(*key, "debit_id", "refund_id"))
 
 
 def fingerprints(findings: DataFrame) -> DataFrame:

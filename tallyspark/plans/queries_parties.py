@@ -488,17 +488,36 @@ def a10(t):
     return anomaly.related_parties(graph.components(e), kinds).drop("severity")
 
 
-@query("jn15_a13_contained_names", "SELECT DISTINCT a.ws, least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM nm a JOIN nm b ON a.ws = b.ws AND a.id != b.id AND contains(b.n, a.n)", "nm AS (SELECT CAST(p_partkey % 4 AS INTEGER) AS ws, p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN split_part(p_name, ' ', 2) || (p_partkey % 3) ELSE p_name || (p_partkey % 3) || ' ' || p_partkey END AS n FROM part)")
-def jn15(t):
+#: Names of 1 to 55 letters, most with a common first word; the last letter is a digit.
+NAMED = "nm AS (SELECT CAST(p_partkey % 4 AS INTEGER) AS ws, p_partkey AS id, CASE WHEN p_partkey % 4 > 0 AND p_partkey % 5 > 0 THEN 'firma ' ELSE '' END || trim(substr(p_name, 1, p_partkey % 56)) || (p_partkey % 3) AS n FROM part)"
+CONTAINED = "held AS (SELECT DISTINCT a.ws, a.n AS x, b.n AS y FROM nm a JOIN nm b ON a.ws = b.ws AND a.n != b.n AND contains(b.n, a.n))"
+
+
+def _part_names(t) -> DataFrame:
     k = F.col("p_partkey")
-    name = F.when(k % 50 == 0, F.concat(F.split("p_name", " ")[1], (k % 3).cast("string"))).otherwise(F.concat(F.col("p_name"), (k % 3).cast("string"), F.lit(" "), k.cast("string")))
-    return anomaly.contained_names(t.raw("part").select((k % 4).cast("int").alias("ws"), k.alias("id"), name.alias("name")), "id")
+    name = F.concat(F.when((k % 4 > 0) & (k % 5 > 0), "firma ").otherwise(""), F.trim(F.substr(F.col("p_name"), F.lit(1), (k % 56).cast("int"))), (k % 3).cast("string"))
+    return t.raw("part").select((k % 4).cast("int").alias("ws"), k.alias("id"), name.alias("name"))
+
+
+@query("jn15_contained_names", "SELECT DISTINCT a.ws, least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM nm a JOIN nm b ON a.ws = b.ws AND a.id != b.id AND contains(b.n, a.n)", NAMED)
+def jn15(t):
+    return anomaly.contained_parties(_part_names(t), "id")
+
+
+@query("a13_name_groups", """
+SELECT nm.ws, id, n AS name, group_name, names FROM nm JOIN (SELECT ws, x, min(y) AS group_name, count(*) AS names FROM reach GROUP BY ws, x) r ON nm.ws = r.ws AND nm.n = r.x""", NAMED, CONTAINED,
+    "both_held AS (SELECT ws, x, y FROM held UNION SELECT ws, y, x FROM held)",
+    "reach AS (WITH RECURSIVE w(ws, x, y) AS (SELECT DISTINCT ws, x, x FROM both_held UNION SELECT w.ws, w.x, h.y FROM w JOIN both_held h ON w.ws = h.ws AND w.y = h.x) SELECT * FROM w)")
+def a13(t):
+    """Names that hold one another, as groups."""
+    return anomaly.name_groups(_part_names(t), "id")
 
 
 @query("jn13_debit_refund_match")
 def jn13(t):
+    """Amounts in millions, so that many debits share one; every tenth refund has no date."""
     b = t.payments().where("amount_refunded > 0").select("ws", (F.col("payment_id") + 7).alias("debit_id"), F.floor(F.col("amount_refunded") / 1_000_000).cast("long").alias("amount"), F.col("paid_on").alias("booked_on"))
-    r = t.refunds().select("ws", "refund_id", F.floor(F.col("amount") / 1_000_000).cast("long").alias("amount"), "refunded_on")
+    r = t.refunds().select("ws", "refund_id", F.floor(F.col("amount") / 1_000_000).cast("long").alias("amount"), F.when(F.col("refund_id") % 10 != 0, F.col("refunded_on")).alias("refunded_on"))
     return anomaly.matched_debits(b, r)
 
 

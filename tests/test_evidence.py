@@ -1,7 +1,9 @@
 """Connectors, candidates and allocation against brute force and hand-sized cases."""
 
 import json
+import os
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from tallyspark.operators import allocation, anomaly, reconcile
 from tallyspark.sources import connectors
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_connector_pages_and_refusals(spark, tmp_path):
     pages = {f"contacts-{k + 1}": {"contacts": [{"contact_id": str(10 * k + n)} for n in range(10)], "page_context": {"has_more_page": k < 2}} for k in range(4)}
@@ -48,17 +52,119 @@ def test_hand_sized_allocations():
     assert links({i: 1 for i in range(70)}, {p: 1 for p in range(70)}, [(i, p) for i in range(70) for p in range(70)]).status.tolist() == ["TOO_LARGE"]
 
 
-def test_search_finds_the_best_subset():
+def every_flow(edges, invoices, payments, confidence):
+    """The largest objective over all whole amounts."""
+    best = 0
+
+    def put(k, left, right, amount):
+        nonlocal best
+        if k == len(edges):
+            best = max(best, allocation.objective(amount, invoices, confidence))
+            return
+        i, p = edges[k]
+        for a in range(min(left[i], right[p]) + 1):
+            put(k + 1, left | {i: left[i] - a}, right | {p: right[p] - a}, amount | {edges[k]: a})
+
+    put(0, invoices, payments, {})
+    return best
+
+
+def test_search_finds_the_best_flow():
     rng = random.Random(5)
-    for _ in range(25):
-        invoices, payments = {i: rng.randint(1, 9) * 1000 for i in range(3)}, {p: rng.randint(1, 9) * 1000 for p in range(3)}
-        edges = sorted(rng.sample([(i, p) for i in invoices for p in payments], rng.randint(3, 8)))
+    for _ in range(150):
+        invoices, payments = {i: rng.randint(1, 6) for i in range(rng.randint(1, 3))}, {p: rng.randint(1, 6) for p in range(rng.randint(1, 3))}
+        pairs = [(i, p) for i in invoices for p in payments]
+        edges = sorted(rng.sample(pairs, rng.randint(1, min(6, len(pairs)))))
+        invoices, payments = {i: t for i, t in invoices.items() if any(e[0] == i for e in edges)}, {p: t for p, t in payments.items() if any(e[1] == p for e in edges)}
+        confidence = {e: rng.choice([0.3, 0.6, 1.0]) for e in edges}
+        best, bound = allocation.searched(edges, invoices, payments, confidence, allocation.greedy(edges, invoices, payments, confidence), 10**6)
+        assert bound == allocation.objective(best, invoices, confidence) == every_flow(edges, invoices, payments, confidence)
+
+
+def test_a_stopped_search_has_a_true_bound():
+    rng = random.Random(6)
+    stopped = 0
+    for _ in range(40):
+        invoices, payments = {i: rng.randint(1, 5000) for i in range(6)}, {p: rng.randint(1, 5000) for p in range(6)}
+        edges = sorted(rng.sample([(i, p) for i in invoices for p in payments], 24))
         confidence = {e: rng.choice([0.3, 0.6, 1.0]) for e in edges}
-        used = lambda mask: [e for k, e in enumerate(edges) if mask >> k & 1]
-        worth = lambda mask: allocation.objective({e: a for e, a in allocation.flow(used(mask), invoices, payments).items() if a > 0}, invoices, confidence)
-        whole = max(map(worth, range(1 << len(edges))))
-        best, ended = allocation.bounded(edges, invoices, payments, confidence, allocation.greedy(edges, invoices, payments, confidence), None)
-        assert ended and allocation.objective(best, invoices, confidence) == whole
+        solve = lambda most: allocation.searched(edges, invoices, payments, confidence, allocation.greedy(edges, invoices, payments, confidence), most)
+        (early, bound), (best, proven) = solve(2), solve(10**6)
+        assert allocation.objective(best, invoices, confidence) == proven <= bound and allocation.objective(early, invoices, confidence) <= proven
+        stopped += bound > allocation.objective(early, invoices, confidence)
+    assert stopped
+
+
+def test_amounts_of_nothing_have_no_links():
+    got = links({1: 0, 2: 100}, {1: 100, 2: 0}, [(1, 1), (2, 1), (2, 2)])
+    assert got[["invoice_id", "payment_id", "amount", "status"]].values.tolist() == [[2, 1, 100, "OPTIMAL"]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_best_allocations_reach_waterfall_and_gate(spark, tmp_path):
+    """Everything that follows from the links is what the forced case's SQL says of the same links; nothing is allocated twice, and all components are solved to the end."""
+    import duckdb
+
+    from tallyspark.plans import queries_cash as cash
+
+    t = cash.Settled(spark, SF)
+    t.allocations().write.parquet(f"{tmp_path}/links")
+    con = duckdb.connect()
+    for name in ("customer", "orders", "lineitem", "part", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    con.execute(f"CREATE TABLE links AS SELECT * FROM read_parquet('{tmp_path}/links/*.parquet')")
+    assert con.execute("SELECT count(*) FROM links").fetchone()[0] > con.execute("SELECT count(*) FROM links WHERE invoice_id = payment_id").fetchone()[0] > 0
+    for f, name in ((cash.agg3, "agg3_invoice_outcomes"), (cash.agg2, "agg2_reconciliation_totals"), (cash.cls, "cls_revenue_states"), (cash.win8, "win8_waterfall"), (cash.crt, "crt_critic_gate"), (cash.mth3, "mth3_conservation")):
+        sql, n = re.subn(r"allocations AS \(\n.*?\n.*?\),\nlines AS", "allocations AS (SELECT * FROM links),\nlines AS", cash.ORACLES[name], flags=re.S)
+        assert n == 1
+        got, want = f(t), con.execute(sql)
+        columns = sorted(d[0] for d in want.description)
+        assert sorted(got.columns) == columns
+        order = [[d[0] for d in want.description].index(c) for c in columns]
+        assert sorted(map(str, (tuple(r[k] for k in order) for r in want.fetchall()))) == sorted(map(str, (tuple(r) for r in got.select(*columns).collect())))
+        assert name != "mth3_conservation" or got.count() == 0
+    assert {(r["status"], r["gap"]) for r in cash.alc_statuses(cash.Tables(spark, SF)).collect()} == {("OPTIMAL", 0)}
+
+
+def walked(debits, refunds):
+    """JN13 by a walk over the debits of one amount."""
+    open_ = sorted(refunds, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    out = []
+    for debit, on in sorted(debits, key=lambda d: (d[1] is None, d[1] or 0, d[0])):
+        for k, (refund, back) in enumerate(open_):
+            if back is None or on is not None and abs(on - back) <= 7:
+                out.append((debit, refund))
+                del open_[k]
+                break
+    return out
+
+
+def test_debits_take_refunds_as_a_walk_does(spark):
+    rng = random.Random(4)
+    day = lambda: None if rng.random() < 0.15 else rng.randint(0, 60)
+    debits, refunds, want = [], [], []
+    for amount, n in ((1, 60), (2, 25), (3, 8), (4, 1), (5, 0)):
+        d, r = [(amount * 100 + k, day()) for k in range(n)], [(amount * 1000 + k, day()) for k in range(rng.randint(n // 2, n + 3))]
+        debits += [(1, amount, *x) for x in d]
+        refunds += [(1, amount, *x) for x in r]
+        want += [(1, amount, *x) for x in walked(d, r)]
+    date = "CASE WHEN day IS NOT NULL THEN date_add(DATE'2024-01-01', day) END"
+    d = spark.createDataFrame(debits, "ws int, amount long, debit_id long, day int").selectExpr("ws", "amount", "debit_id", f"{date} AS booked_on")
+    r = spark.createDataFrame(refunds, "ws int, amount long, refund_id long, day int").selectExpr("ws", "amount", "refund_id", f"{date} AS refunded_on")
+    assert sorted(tuple(x) for x in anomaly.matched_debits(d, r).collect()) == sorted(want)
+
+
+def test_contained_names_against_all_pairs(spark, monkeypatch):
+    """Names of 1 to 60 letters with a common first word, repeated ones, and names that stand in all others; also with buckets of a few names."""
+    rng = random.Random(8)
+    words = ["firma", "itc", "tata", "big", "a", "ab", "xyz", "hotels", "motors", "ltda"]
+    names = [" ".join(["firma", *rng.choices(words, k=rng.randint(0, 9))])[: rng.randint(1, 60)].strip() for _ in range(150)] + ["itc", "itc hotels", "tata", "big tata motors", "f", "a", "é", "aé b", "firma"]
+    rows = [(k % 2, n) for k, n in enumerate(names)]
+    want = {(w, a, b) for w, a in rows for v, b in rows if w == v and a != b and a in b and a}
+    frame = spark.createDataFrame(rows, "ws int, name string")
+    assert {tuple(r) for r in anomaly.contained_names(frame).collect()} == want
+    monkeypatch.setattr(anomaly, "BUCKET", 3)
+    assert {tuple(r) for r in anomaly.contained_names(frame).collect()} == want
 
 
 def test_candidates_against_all_pairs(spark):

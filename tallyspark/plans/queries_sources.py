@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources import bank_csv, payloads, sinks
+from ..operators import identity, order
+from ..sources import bank_csv, connectors, documents, payloads, sinks
 from ..sources.shared import shared_dir
 from ..streaming import evidence
-from ..operators import identity
 from . import queries_parties
 from .adapters import Tables, oracle
 
@@ -99,31 +99,115 @@ def snk7(t):
     return nodes.groupBy("kind").agg(F.count("*").alias("n")).unionByName(edges.groupBy("kind").agg(F.count("*").alias("n")))
 
 
-def _stream(t: Tables) -> tuple[DataFrame, str]:
+def _served(t: Tables, base: str, share: int, size: int) -> None:
+    """The first `share` tenths of customers, invoices and parts, as pages of a provider: numbered ones, and of parts some that each name the next one."""
+    texts = {
+        "contacts": t.customers().select(F.col("customer_id").alias("id"), F.to_json(F.struct(F.col("customer_id").cast("string").alias("contact_id"), F.col("name").alias("contact_name"))).alias("item")),
+        "invoices": t.invoices().select(F.col("invoice_id").alias("id"), F.to_json(F.struct(F.col("invoice_id").cast("string").alias("invoice_id"), "total", "status")).alias("item")),
+        "files": t.raw("part").select(F.col("p_partkey").alias("id"), F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))).alias("item")),
+    }
+    for path, rows in texts.items():
+        n = rows.count() * share // 10
+        placed = order.numbered(rows.withColumn("one", F.lit(1)), [F.col("one"), F.col("id")], ["one"]).where(F.col("number") <= n)
+        pages = placed.groupBy(F.floor((F.col("number") - 1) / size).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "item"))), lambda x: x["item"]), ",").alias("items"))
+        more = (F.col("page") + 1) * size < n
+        name = F.when(F.col("page") == 0, "").otherwise(F.concat(F.lit("t"), F.col("page"))) if path == "files" else (F.col("page") + 1).cast("string")
+        following = F.when(more, F.concat(F.lit(',"nextPageToken":"t'), F.col("page") + 1, F.lit('"'))).otherwise("") if path == "files" else F.concat(F.lit(',"page_context":{"has_more_page":'), more.cast("string"), F.lit("}"))
+        sinks.files(pages.select(F.concat(F.lit(f"{path}-"), name, F.lit(".json")).alias("name"), F.concat(F.lit(f'{{"{path}":['), "items", F.lit("]"), following, F.lit("}")).alias("text")), base)
+
+
+@query("src3_src6_incremental_pulls", """
+SELECT record_type, source_id, CAST(1 AS BIGINT) AS n, source_id IS NULL AS is_error FROM (
+ SELECT 'customer' AS record_type, CAST(customer_id AS VARCHAR) AS source_id FROM customers UNION ALL SELECT 'invoice', CAST(invoice_id AS VARCHAR) FROM invoices
+ UNION ALL SELECT 'contract', CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT 'credit_note', NULL UNION ALL SELECT 'payment', NULL)""")
+def src3(t):
+    """Two providers pulled as streams, by page numbers and by page tokens, each stopped after what there is; then their last pages grow and new ones follow, and the queries are
+    started again from their checkpoints. Two endpoints don't exist."""
+    base = f"{shared_dir(t.spark)}/tallyspark/provider-{uuid.uuid4().hex}"
+    kinds = (("accounting", "{path}-{page}.json"), ("documents", "{path}-{token}.json"))
+    for share in (6, 10):
+        _served(t, base, share, 190)
+        for connector, name in kinds:
+            rows = connectors.pulls(t.spark, connector, f"{base}/{name}", page_size=190, pages_per_batch=20)
+            running = evidence.started(rows, f"{base}/{connector}/out", f"{base}/{connector}/state", processingTime="0 seconds")
+            running.processAllAvailable()
+            running.stop()
+    found = [t.spark.read.schema(connectors.SCHEMA).parquet(f"{base}/{connector}/out") for connector, _ in kinds]
+    return found[0].unionByName(found[1]).groupBy("record_type", "source_id").agg(F.count("*").alias("n"), F.max(F.col("error").isNotNull()).alias("is_error"))
+
+
+UPLOADS = """files AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.bin' ELSE '.pdf' END AS name, doc_id, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 5 = 0 THEN text ELSE '%PDF-1.7 ' || text END AS body FROM documents WHERE text IS NOT NULL)"""
+
+
+def _uploads(t: Tables) -> tuple[DataFrame, str]:
+    """Documents as files in two halves, of which the second one comes when the first has been taken in; some are empty, some no PDFs. Names say little about that."""
+    k = F.col("doc_id")
+    body = F.when(k % 17 == 0, "").when(k % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("%PDF-1.7 "), F.col("text")))
+    name = F.concat(F.lit("d"), k.cast("string"), F.when(k % 3 == 0, ".bin").otherwise(".pdf"))
+    return t.raw("documents").where("text IS NOT NULL").select(name.alias("name"), body.alias("text"), (k % 2).alias("half")), f"{shared_dir(t.spark)}/tallyspark/uploads-{uuid.uuid4().hex}"
+
+
+def _taken_in(t: Tables, name: str) -> DataFrame:
+    rows, path = _uploads(t)
+    for half in (0, 1):
+        sinks.files(rows.where(F.col("half") == half).select("name", "text"), f"{path}/in")
+        out = evidence.collected(getattr(documents, name)(documents.found(t.spark, f"{path}/in", stream=True)), path)
+    return out
+
+
+@query("src9_document_intake", "SELECT 'upload_' || substr(sha256(body), 1, 24) AS document_id, any_value(strlen(body)) AS length, sha256(any_value(body)) AS digest FROM files WHERE starts_with(body, '%PDF-') GROUP BY ALL", UPLOADS)
+def src9(t):
+    """Each document once, though many have equal bytes, some in both halves."""
+    return _taken_in(t, "documents").select("document_id", "length", F.sha2("content", 256).alias("digest"))
+
+
+@query("src9_refused_files", "SELECT name, strlen(body) AS length, 'the file is not a PDF (its first bytes are not %PDF-)' AS reason FROM files WHERE NOT starts_with(body, '%PDF-') AND body != ''", UPLOADS)
+def src9b(t):
+    return _taken_in(t, "quarantined")
+
+
+#: Days that events may come late in the streams here.
+LATE = 3
+
+
+def _stream(t: Tables, shuffled: bool = False) -> tuple[DataFrame, str]:
+    """The events as a stream of four files, one a batch. Shuffled, events of the same time come up to `LATE` days apart, in any order, and a last file without events moves the clock on."""
     path = f"{shared_dir(t.spark)}/tallyspark/stream-{uuid.uuid4().hex}"
     events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.coalesce(1).write.parquet(f"{path}/in")
-    return evidence.record_stream(t.spark, f"{path}/in", events.schema.simpleString()[7:-1].replace(":", " ")), path
+    schema = events.schema.simpleString()[7:-1].replace(":", " ")
+    if not shuffled:
+        events.coalesce(1).write.parquet(f"{path}/in")
+        return evidence.record_stream(t.spark, f"{path}/in", schema), path
+    arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE * 86_400 * 9 // 10))
+    first, last = events.agg(F.min(arrival), F.max(arrival)).first()
+    step = (last - first) // 4 + 1 if first is not None else 1
+    for k in range(4):
+        events.where(arrival.between(first + k * step, first + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{path}/in") if first is not None else None
+    clock = events.limit(0).unionByName(t.spark.range(1).select(F.timestamp_seconds(F.lit((last or 0) + 100 * 86_400)).alias("ts")), allowMissingColumns=True)
+    clock.write.mode("append").parquet(f"{path}/in")
+    return evidence.record_stream(t.spark, f"{path}/in", schema), path
 
 
 @query("str_b_once_each", "SELECT event_id FROM events")
 def str_b(t):
     stream, path = _stream(t)
     twice = stream.unionByName(stream)
-    return evidence.collected(evidence.once_each(twice, keep="60 days").select("event_id"), f"m{uuid.uuid4().hex}", f"{path}/state")
+    return evidence.collected(evidence.once_each(twice, keep="60 days").select("event_id"), path)
 
 
 @query("str_c_content_versions", "SELECT user_id, event_type AS content_hash, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) AS INTEGER) AS version FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL)")
 def str_c(t):
-    stream, path = _stream(t)
+    """Over events that come out of order."""
+    stream, path = _stream(t, shuffled=True)
     rows = stream.select("user_id", F.col("event_type").alias("content_hash"), "ts", "event_id")
-    return evidence.collected(evidence.content_versions(rows, "user_id", order=("ts", "event_id")), f"m{uuid.uuid4().hex}", f"{path}/state").select("user_id", "content_hash", "version")
+    return evidence.collected(evidence.content_versions(rows, "user_id", late=f"{LATE} days"), path)
 
 
 @query("str_g_close_repeats", "SELECT event_id, previous_id FROM (SELECT event_id, ts, lag(event_id) OVER w AS previous_id, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE ts - before <= INTERVAL 1 DAY")
 def str_g(t):
-    stream, path = _stream(t)
-    return evidence.collected(evidence.close_repeats(stream.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"]), f"m{uuid.uuid4().hex}", f"{path}/state").select("event_id", "previous_id")
+    """Over events that come out of order."""
+    stream, path = _stream(t, shuffled=True)
+    return evidence.collected(evidence.close_repeats(stream, ["user_id", "event_type"], late=f"{LATE} days"), path).select("event_id", "previous_id")
 
 
 @query("str_d_changes_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 200")

@@ -61,3 +61,20 @@ def graph_mirror(recs: DataFrame, pairs: DataFrame, clusters: DataFrame) -> tupl
     nodes = recs.select(rec("id").alias("id"), F.col("name").alias("label"), F.lit("record").alias("kind")).unionByName(clusters.select(group.alias("id"), group.alias("label"), F.lit("customer").alias("kind")).distinct())
     edges = pairs.where("decision != 'REJECTED'").select(rec("l").alias("src"), rec("r").alias("dst"), F.lower("decision").alias("kind")).unionByName(clusters.select(rec("id").alias("src"), group.alias("dst"), F.lit("member").alias("kind")))
     return nodes, edges
+
+
+def files(rows: DataFrame, folder: str) -> None:
+    """One file a row (name, text or bytes), written by the tasks to any file system that PyArrow opens; a file of the same name is replaced."""
+    column = rows.columns[1]
+
+    def write(part) -> None:
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where.create_dir(path)
+        for row in part:
+            content = row[column]
+            with where.open_output_stream(f"{path}/{row['name']}") as out:
+                out.write(content.encode() if isinstance(content, str) else bytes(content))
+
+    rows.foreachPartition(write)

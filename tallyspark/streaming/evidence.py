@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def record_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -19,45 +20,128 @@ def once_each(events: DataFrame, key: str = "event_id", at: str = "ts", keep: st
     return events.withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
 
 
-def content_versions(records: DataFrame, key: str = "source_id", content: str = "content_hash", order: tuple[str, ...] = ()) -> DataFrame:
-    """STR-C: a version number for content that a key hasn't had before; rows that come together are taken in the given order. The state of a key is the
-    hashes it has had, which is as much as A, B, A needs to be told from A, B, C: it grows with a key's versions, not with its records."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = dict.fromkeys(state.get[0]) if state.exists else {}
-        new = []
-        rows = pd.concat(list(frames), ignore_index=True)
-        for h in (rows.sort_values(list(order)) if order else rows)[content]:
-            if h not in known:
-                known[h] = None
-                new.append((k[0], h, len(known)))
-        state.update((list(known),))
-        yield pd.DataFrame(new, columns=[key, content, "version"])
-
-    kind = dict(records.dtypes)[key]
-    return records.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {content} string, version int", "known array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def close_repeats(events: DataFrame, keys: list[str], at: str = "ts", row_id: str = "event_id", seconds: int = 86_400) -> DataFrame:
-    """STR-G: A01 on a stream: an event that follows one of its key within a day. The state of a key is its last event."""
+class InOrder(StatefulProcessor):
+    """Rows of a key are kept until the watermark has passed them, so that all that may still come before them has come, and are then judged by event time and id,
+    however they arrived. Once the watermark lies `keep` behind a key's last row, nothing of the key is kept any more.
+
+    `judge` gets a key's rows, in order, and gives what they say; `forget` drops what it remembers."""
+
+    def __init__(self, keys: list[str], fields: list[str], kinds: dict[str, str], out: list[str], keep: timedelta):
+        self.keys, self.fields, self.kinds, self.out, self.keep_ms = keys, fields, kinds, out, int(keep.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(["at long", *(f"{f} {self.kinds[f]}" for f in self.fields[1:])]))
+        self.last = handle.getValueState("last", "at long")
+
+    def judge(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for frame in rows:
+            micros = frame[self.fields[0]].astype("datetime64[us]").astype("int64").tolist()
+            rest = [frame[f].astype(object).where(frame[f].notna(), None).tolist() for f in self.fields[1:]]
+            self.waiting.appendList(list(zip(micros, *rest)))
+            latest = max(micros) if latest is None else max(latest, *micros)
+        if latest is not None:
+            self.handle.registerTimer(latest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, keep = timerValues.getCurrentWatermarkInMs() * 1000, self.keep_ms * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[0] <= passed), key=lambda r: r[:2])
+        last = self.last.get()[0] if self.last.exists() else None
+        if ready:
+            later = [r for r in held if r[0] > passed]
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            found, run = [], []
+            for row in ready:  # a pause of more than `keep` ends what is remembered, whenever the timers fire
+                if last is not None and row[0] - last > keep:
+                    found += self.judge(key, run) if run else []
+                    self.forget()
+                    run = []
+                run.append(row)
+                last = row[0]
+            found += self.judge(key, run)
+            self.last.update((last,))
+            self.handle.registerTimer(last // 1000 + self.keep_ms + 2)
+            if found:
+                yield pd.DataFrame(found, columns=self.out)
+        if last is not None and last + keep < passed:
+            self.last.clear()
+            self.forget()
+
+    def close(self) -> None:
+        pass
+
+
+class Versions(InOrder):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.known = handle.getMapState("known", "content string", "version int")
+
+    def judge(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+        count, out = sum(1 for _ in self.known.keys()), []
+        for _, _, content in rows:
+            if not self.known.containsKey((content,)):
+                count += 1
+                self.known.updateValue((content,), (count,))
+                out.append((*key, content, count))
+        return out
+
+    def forget(self) -> None:
+        self.known.clear()
+
+
+class Repeats(InOrder):
+    def __init__(self, *arguments, seconds: int):
+        super().__init__(*arguments, timedelta(seconds=seconds))
+        self.micros = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.before = handle.getValueState("before", f"at long, id {self.kinds[self.fields[1]]}")
+
+    def judge(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+        before, out = self.before.get() if self.before.exists() else None, []
+        for at, row_id in rows:
+            if before is not None and at - before[0] <= self.micros:
+                out.append((*key, row_id, before[1]))
+            before = (at, row_id)
+        self.before.update(before)
+        return out
+
+    def forget(self) -> None:
+        self.before.clear()
+
+
+def _in_order(rows: DataFrame, processor: InOrder, keys: list[str], schema: str, at: str, late: str) -> DataFrame:
+    return rows.withWatermark(at, late).groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+def content_versions(records: DataFrame, key: str = "source_id", content: str = "content_hash", at: str = "ts", row_id: str = "event_id", late: str = "1 day", keep: timedelta = timedelta(days=90)) -> DataFrame:
+    """STR-C: a version number for content that a key hasn't had before; rows may come `late`, and are numbered by time and id. The state of a key is a map of the hashes it
+    has had, which is as much as A, B, A needs to be told from A, B, C; a key that was quiet for `keep` is forgotten and begins anew."""
+    kinds = dict(records.dtypes)
+    processor = Versions([key], [at, row_id, content], kinds, [key, content, "version"], keep)
+    return _in_order(records.select(key, at, row_id, content), processor, [key], f"{key} {kinds[key]}, {content} {kinds[content]}, version int", at, late)
+
+
+def close_repeats(events: DataFrame, keys: list[str], at: str = "ts", row_id: str = "event_id", seconds: int = 86_400, late: str = "1 day") -> DataFrame:
+    """STR-G: A01 on a stream: an event that follows one of its key within a day, by time and id, though it may come `late`. The state of a key is what waits and its last event,
+    for a day."""
     kinds = dict(events.dtypes)
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out = []
-        for frame in frames:
-            for row in frame.sort_values([at, row_id]).itertuples():
-                now = getattr(row, at)
-                if last is not None and 0 <= (now - last[0]).total_seconds() <= seconds:
-                    out.append((*k, getattr(row, row_id), last[1]))
-                if last is None or now >= last[0]:
-                    last = (now, getattr(row, row_id))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=[*keys, row_id, "previous_id"])
-
+    processor = Repeats(keys, [at, row_id], kinds, [*keys, row_id, "previous_id"], seconds=seconds)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"{row_id} {kinds[row_id]}", f"previous_id {kinds[row_id]}"])
-    return events.groupBy(*keys).applyInPandasWithState(step, schema, f"last {kinds[at]}, last_id {kinds[row_id]}", "append", GroupStateTimeout.NoTimeout)
+    return _in_order(events.select(*keys, at, row_id), processor, keys, schema, at, late)
 
 
 def changes_since(records: DataFrame, since: str, at: str = "ts", most: int = 200, row_id: str = "event_id") -> DataFrame:
@@ -70,7 +154,23 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hou
     return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def collected(stream: DataFrame, name: str, folder: str) -> DataFrame:
-    """Run a stream over what there is and return its table; state is kept under `folder`."""
-    stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+#: Keyed state with timers needs a store of this kind.
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def started(stream: DataFrame, path: str, state: str, **trigger) -> StreamingQuery:
+    """A running query that appends to Parquet files at `path`, with its state and progress under `state`: started again with the same two, it goes on where it stopped, and
+    no row is written twice."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE)
+    conf.set(STORE, ROCKSDB)
+    try:
+        return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", state).trigger(**trigger).start()
+    finally:
+        conf.set(STORE, before)
+
+
+def collected(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what there is, state and output being kept under `folder`, and return all it has written so far."""
+    started(stream, f"{folder}/out", f"{folder}/state", availableNow=True).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -4,13 +4,15 @@ import json
 import os
 import random
 import re
+from datetime import timedelta
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import allocation, anomaly, reconcile
-from tallyspark.sources import connectors
+from tallyspark.sources import connectors, documents
+from tallyspark.streaming import evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +33,50 @@ def test_connector_pages_and_refusals(spark, tmp_path):
         connectors.fetch(spark, "crm", None)
 
 
+def test_connector_asks_again_and_follows_tokens(monkeypatch):
+    """Answers of a server that is busy at times, pages with tokens in nested fields, and an offset in the middle of a page that has grown."""
+    pages = {"": {"results": [{"id": k} for k in range(3)], "paging": {"next": {"after": "b"}}}, "b": {"results": [{"id": 3}]}}
+    calls = []
+
+    class Answer:
+        def __init__(self, body):
+            self.body = body
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            return json.dumps(self.body).encode()
+
+    def urlopen(request, timeout):
+        calls.append(request.full_url)
+        if len(calls) % 3 == 1:
+            raise connectors.urllib.error.HTTPError(request.full_url, 503, "busy", {}, None)
+        return Answer(pages[request.full_url.split("after=")[1]])
+
+    monkeypatch.setattr(connectors.urllib.request, "urlopen", urlopen)
+    monkeypatch.setattr(connectors, "PAUSE", 0)
+    source = connectors.EvidenceStream({"connector": "crm", "base": "http://x/{path}?after={token}"})
+    rows, at = source.read(source.initialOffset())
+    assert [r[2] for r in rows] == ["0", "1", "2", "3"] and at["companies"] == {"n": 1, "skip": 3, "token": "b", "taken": 1, "refused": 0}
+    again, same = source.read(at)
+    assert not list(again) and same == at
+    pages["b"] = {"results": [{"id": 3}, {"id": 4}], "paging": {"next": {"after": "c"}}}
+    pages["c"] = {"results": [{"id": 5}]}
+    rows, end = source.read(at)
+    assert [r[2] for r in rows] == ["4", "5"]
+    pages["c"]["results"].append({"id": 6})  # what came after a batch doesn't belong to it when it is read again
+    assert [r[2] for r in source.readBetweenOffsets(at, end)] == ["4", "5"] and [r[2] for r in source.readBetweenOffsets(source.initialOffset(), at)] == ["0", "1", "2", "3"]
+    assert [r[2] for r in source.read(end)[0]] == ["6"]
+    monkeypatch.setattr(connectors, "RETRIES", 0)
+    calls.clear()
+    with pytest.raises(connectors.urllib.error.HTTPError):
+        source.read(source.initialOffset())
+
+
 def links(invoices, payments, edges, score=0.5):
     df = pd.DataFrame([(1, i, p, invoices[i], payments[p], score) for i, p in edges], columns=["ws", "invoice_id", "payment_id", "total", "available", "score"])
     return allocation.solve(df)
@@ -211,3 +257,39 @@ def test_forest_scores_and_drift(spark):
     assert len({r["version"] for r in got.values()}) == 1 and max(got.values(), key=lambda r: r["score"])["payment_id"] == 77
     told = anomaly.drift(df).collect()
     assert {r["ws"] for r in told} == {1} and all(0 <= r["flagged_rate"] <= 1 for r in told)
+
+
+def test_large_files_are_refused(spark, tmp_path):
+    (tmp_path / "a b.pdf").write_bytes(b"%PDF-" + b"x" * 100)
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-" + b"x" * 20)
+    files = documents.found(spark, f"file://{tmp_path}")
+    assert [tuple(r) for r in documents.quarantined(files, most=50).collect()] == [("a b.pdf", 105, "the file is 0 MB; the limit is 0 MB")]
+    assert documents.documents(files, most=50).first()["length"] == 25
+    rows = spark.createDataFrame([("x/e.pdf", 0, b""), ("x/z.pdf", 4, b"PK\x03\x04")], "path string, length long, content binary")
+    assert [r["reason"][:17] for r in documents.quarantined(rows).orderBy("name").collect()] == ["the file is empty", "the file is not a"]
+
+
+def test_state_of_a_quiet_key_ends(spark, tmp_path):
+    """A, B, A is two versions, but after a long pause a key begins anew; and so in every batching, rows being late, and over a restart. Nothing is kept of keys that are quiet."""
+    day = lambda d: f"CAST(TIMESTAMP'2024-01-01' + make_dt_interval({d}) AS TIMESTAMP)"
+    rng = random.Random(11)
+    rows = sorted((k, d, k * 1000 + i, rng.choice("ABC")) for k in range(4) for i, d in enumerate(sorted(rng.sample(range(0, 400), 25))))
+    want, known, last = [], {}, {}
+    for k, d, i, c in sorted(rows):
+        if k in last and d - last[k] > 20:
+            known[k] = {}
+        if c not in known.setdefault(k, {}):
+            known[k][c] = len(known[k]) + 1
+            want.append((k, c, known[k][c]))
+        last[k] = d
+    arrival = sorted(rows, key=lambda r: (r[1] + rng.randint(0, 4)))
+    for part in range(5):  # four files, two runs, and a clock
+        mine = arrival[part * 25 : part * 25 + 25] or [(99, 600, 0, "x")]
+        frame = spark.createDataFrame(mine, "source_id long, d int, event_id long, content_hash string").select("source_id", F.expr(day("d")).alias("ts"), "event_id", "content_hash")
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if part in (1, 4):
+            stream = evidence.record_stream(spark, f"{tmp_path}/in", "source_id long, ts timestamp, event_id long, content_hash string")
+            got = evidence.collected(evidence.content_versions(stream, late="6 days", keep=timedelta(days=20)), f"file://{tmp_path}/versions")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    state = spark.read.format("statestore").option("stateVarName", "known").load(f"file://{tmp_path}/versions/state")
+    assert state.count() == 0

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import money, names, texts
-from ..operators import anomaly, identity
-from ..operators.contracts import citations, clauses
-from ..sources import bank_csv, payloads
+from tallyspark.functions import money, names, texts
+from tallyspark.operators import anomaly, identity
+from tallyspark.operators.contracts import citations, clauses
+from tallyspark.sources import bank_csv, payloads
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,7 @@ def golden(name: str, columns: str, expected: list[tuple]):
     return put
 
 
+# Narrations as banks write them, with the party that each names.
 NARRATIONS = [
     ("NEFT CR GLOBAL PAY SERVICES A/C CRESTVIEW RETAIL", "GLOBAL PAY SERVICES"), ("NEFT CR GLOBAL PAY SERVICES A/C PINNACLE FOODS", "GLOBAL PAY SERVICES"),
     ("RTGS CR APEX FOUNDER HOLDINGS PVT LTD ADVANCE", "APEX FOUNDER HOLDINGS PVT LTD"), ("RTGS DR APEX FOUNDER HOLDINGS PVT LTD ADVISORY FEE", "APEX FOUNDER HOLDINGS PVT LTD"),

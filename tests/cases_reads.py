@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import quality
-from ..operators.workspace import Workspace
-from .queries_golden import values
+from tallyspark.operators import quality
+from tallyspark.operators.workspace import Workspace
+from cases_golden import values
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names, similarity
+from ..sources.shared import staged
 from . import graph
 
 MAX_BLOCK = 60
@@ -87,9 +87,20 @@ def name_points(score: Column) -> Column:
     return F.when(score >= 99.5, 8.0).when(score >= 95, 5.5).when(score >= 88, 3.5).when(score >= 80, 1.5).when(score >= 65, -1.0).otherwise(-6.0)
 
 
-def scored(pairs: DataFrame, recs: DataFrame) -> DataFrame:
-    """IDN2: weight and decision of each pair. Exact matches stop at 20; only the others reach the similarity functions."""
+#: What similar vectors add at most, and from which similarity on: support, never a decision.
+SEMANTIC_MOST, SEMANTIC_FROM = 1.0, 0.5
+
+
+def semantic_points(similarity_: Column) -> Column:
+    return F.coalesce(F.when(similarity_ > SEMANTIC_FROM, F.least(F.lit(SEMANTIC_MOST), (similarity_ - SEMANTIC_FROM) * 2 * SEMANTIC_MOST)), F.lit(0.0))
+
+
+def scored(pairs: DataFrame, recs: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """IDN2: weight and decision of each pair. Exact matches stop at 20; only the others reach the similarity functions. `semantic` has the similarity of pairs (ws, l, r) whose
+    vectors are close; others have none."""
     rows = _sides(pairs, recs).withColumn("exact", exact_match())
+    if semantic is not None:
+        rows = rows.join(semantic.select("ws", "l", "r", "similarity"), ["ws", "l", "r"], "left")
     sure = rows.where("exact IS NOT NULL").select("ws", "l", "r", "rule", F.lit(EXACT).alias("weight"), "exact", (_both("tax_ids") & ~_shared("tax_ids")).alias("conflict"))
     rest = rows.where("exact IS NULL")
     common = F.size(F.array_intersect("l_tokens", "r_tokens"))
@@ -100,7 +111,7 @@ def scored(pairs: DataFrame, recs: DataFrame) -> DataFrame:
     weight = (
         name_points(similarity.name_similarity("l_normalized_name", "r_normalized_name")) + tokens + domain + F.when(tax, -9.0).otherwise(0.0)
         + F.when(similarity.name_containment("l_normalized_name", "r_normalized_name") >= 88, 4.0).otherwise(0.0) + F.when(_shared("phones"), 3.0).otherwise(0.0)
-        + F.when(_shared("addresses"), 2.0).when(_shared("postal_codes"), 0.5).otherwise(0.0)
+        + F.when(_shared("addresses"), 2.0).when(_shared("postal_codes"), 0.5).otherwise(0.0) + (semantic_points(F.col("similarity")) if semantic is not None else F.lit(0.0))
     )
     conflict = tax | (_both("domains") & ~_shared("domains"))
     other = rest.select("ws", "l", "r", "rule", weight.alias("weight"), F.lit(None).cast("double").alias("exact"), conflict.alias("conflict"))
@@ -128,46 +139,55 @@ def cannot_link(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("decision") != "ACCEPTED") & F.col("conflict")).select("ws", "l", "r")
 
 
-def _merge(edges: pd.DataFrame, barred: set[tuple]) -> dict:
-    """Union by falling weight, refusing a union that would bring a barred pair together; a cluster's root is its lowest member."""
-    root: dict = {}
-    members: dict = {}
-    find = lambda x: root.setdefault(x, x)
-    for e in edges.sort_values(["weight", "l", "r"], ascending=[False, True, True]).itertuples():
-        a, b = find(e.l), find(e.r)
-        if a == b:
-            continue
-        ma, mb = members.get(a, {a}), members.get(b, {b})
-        if any((min(x, y), max(x, y)) in barred for x in ma for y in mb):
-            continue
-        keep, both = min(a, b), ma | mb
-        members[keep] = both
-        root |= {m: keep for m in both}
-    return root
+def _merged(edges: DataFrame, barred: DataFrame) -> DataFrame:
+    """node and root after merging along edges (u, v, weight, l, r), strongest first, without ever bringing a barred pair (u, v) together, in rounds instead of edge by edge.
+
+    The strongest edge of both its clusters is decided at once: everything that could change either of them comes later. So is the strongest edge of a cluster without barred pairs: it can't be
+    refused, whatever the other side has become by then, and what the cluster brings along comes later. The strongest edge of all is always one of these, so every round gets on; and
+    chains of clusters without barred pairs halve in each."""
+    key = F.struct((-F.col("weight")).alias("w"), "l", "r")
+    pair = lambda df: df.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *(c for c in df.columns if c not in ("u", "v")))
+    roots = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
+    edges = staged(pair(edges.select("u", "v", key.alias("key"))).groupBy("u", "v").agg(F.min("key").alias("key")), "edges")
+    barred = staged(pair(barred.select("u", "v")).distinct(), "barred")
+    while not edges.isEmpty():
+        best = edges.select(F.explode(F.array("u", "v")).alias("x"), "key").groupBy("x").agg(F.min("key").alias("best"))
+        hot = barred.select(F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("hot", F.lit(True))
+        told = best.join(hot, "x", "left").select("x", "best", F.coalesce("hot", F.lit(False)).alias("hot"))
+        side = lambda s: told.select(F.col("x").alias(s), F.col("best").alias(f"best_{s}"), F.col("hot").alias(f"hot_{s}"))
+        rows = edges.join(side("u"), "u").join(side("v"), "v").join(barred.withColumn("refused", F.lit(True)), ["u", "v"], "left")
+        top_u, top_v = F.col("best_u") == F.col("key"), F.col("best_v") == F.col("key")
+        # each cluster joins at most one other: the greater of two that are each other's first, else the one that can't be refused
+        joins = F.when(top_u & top_v | top_v & ~F.col("hot_v"), "v").when(top_u & ~F.col("hot_u"), "u")
+        rows = staged(rows.select("u", "v", "key", joins.alias("joins"), F.coalesce("refused", F.lit(False)).alias("refused")), "round")
+        go = rows.where("NOT refused AND joins IS NOT NULL")
+        up = staged(go.select(F.when(F.col("joins") == "v", F.col("v")).otherwise(F.col("u")).alias("node"), F.when(F.col("joins") == "v", F.col("u")).otherwise(F.col("v")).alias("to")), "joined")
+        while True:  # to the cluster that joins no other
+            up = staged(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "joined")
+            if up.where("moved").isEmpty():
+                break
+        moved = lambda df, c: df.join(up.select(F.col("node").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        roots = staged(moved(roots, "root"), "roots")
+        edges = staged(pair(moved(moved(rows.where("NOT refused").select("u", "v", "key"), "u"), "v")).groupBy("u", "v").agg(F.min("key").alias("key")), "edges")
+        barred = staged(pair(moved(moved(barred, "u"), "v")).distinct(), "barred")
+    return roots
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """IDN4: ws, id and cluster. Components of accepted links are clusters, except where a cannot-link pair lies within one: those are
-    merged link by link, strongest first. Such a pair matters only inside a component, so the others need no walk."""
+    merged link by link, strongest first. Such a pair matters only inside a component, so the others need no rounds."""
     accepted = pairs.where("decision = 'ACCEPTED'").select("ws", "l", "r", "weight")
     tag = lambda c: F.concat_ws(":", F.col("ws"), F.lpad(F.col(c).cast("string"), 20, "0"))
     label = graph.components(accepted.select(tag("l").alias("u"), tag("r").alias("v")))
-    barred = cannot_link(pairs)
-    within = barred.join(label.withColumnsRenamed({"node": "nl", "label": "a"}), tag("l") == F.col("nl")).join(label.withColumnsRenamed({"node": "nr", "label": "b"}), tag("r") == F.col("nr")).where("a = b").select(F.col("ws").alias("ws"), F.col("l").alias("l"), F.col("r").alias("r"), F.col("a").alias("label"))
+    barred = cannot_link(pairs).select(tag("l").alias("u"), tag("r").alias("v"))
+    within = barred.join(label.withColumnsRenamed({"node": "u", "label": "a"}), "u").join(label.withColumnsRenamed({"node": "v", "label": "b"}), "v").where("a = b").select("u", "v", F.col("a").alias("label"))
     split = within.select("label").distinct()
-    edges = accepted.join(label, tag("l") == F.col("node")).select(*(F.col(c).alias(c) for c in ("ws", "l", "r", "weight", "label")))
-    kind = dict(pairs.dtypes)
     ids = accepted.select("ws", F.explode(F.array("l", "r")).alias("id")).distinct().withColumn("node", tag("id")).join(label, "node")
-    root = ids.groupBy("label").agg(F.min("id").alias("cluster"))
-    plain = ids.join(split, "label", "left_anti").join(root, "label").select("ws", "id", "cluster")
-
-    def walk(key: tuple, e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = _merge(e, set(zip(b.l, b.r)))
-        nodes = sorted(set(e.l) | set(e.r))
-        return pd.DataFrame({"ws": e.ws.iloc[0], "id": nodes, "cluster": [found.get(n, n) for n in nodes]})
-
-    hard = edges.join(split, "label", "left_semi").groupBy("label").cogroup(within.groupBy("label")).applyInPandas(walk, f"ws {kind['ws']}, id {kind['l']}, cluster {kind['l']}")
-    return plain.unionByName(hard)
+    contested = accepted.select(tag("l").alias("u"), tag("r").alias("v"), "weight", "l", "r").join(label.select(F.col("node").alias("u"), "label"), "u").join(split, "label", "left_semi")
+    roots = _merged(contested.drop("label"), within.select("u", "v"))
+    found = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "label"))
+    lowest = found.groupBy("root").agg(F.min("id").alias("cluster"))
+    return found.join(lowest, "root").select("ws", "id", "cluster")
 
 
 def transitivity_conflicts(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import money, names, similarity, texts
-from ..operators import anomaly, contracts, graph, identity, quality, reconcile, review
+from ..operators import anomaly, contracts, graph, identity, quality, reconcile, review, semantic
+from ..sources.shared import staged
 from .adapters import PERIOD, Tables, oracle, p0, p1
 
 QUERIES: dict = {}
@@ -213,9 +214,24 @@ def jn10(t):
     return identity.candidate_pairs(identity.records(_people(t))).select("ws", "l", "r")
 
 
+#: Close vectors of customers: those of one number share a direction.
+CLOSE = 0.55
+
+
+def _directions(t: Tables) -> DataFrame:
+    """ws, id and vector of customers: mostly their number's vector, and some of another one."""
+    e = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    k = F.col("id")
+    rows = _people(t).select("ws", "id", (F.floor(k / 3) * 7 % n).alias("a"), (k * 13 % n).alias("b"))
+    rows = rows.join(e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), "b")
+    return rows.select("ws", "id", F.zip_with("va", "vb", lambda x, y: x * 0.8 + y * 0.5).alias("vector"))
+
+
 def _scored(t) -> DataFrame:
     recs = identity.records(_people(t))
-    return identity.scored(identity.candidate_pairs(recs), recs)
+    pairs = staged(identity.candidate_pairs(recs), "pairs")
+    return identity.scored(pairs, recs, semantic.of_pairs(pairs, _directions(t)))
 
 
 @query("idn1_exact_rules", "SELECT a.ws, a.id AS l, b.id AS r, 0.99 AS exact FROM pan a JOIN pan b ON a.ws = b.ws AND a.p = b.p AND a.id < b.id", "pan AS (SELECT CAST((customer_id // 3) % 4 AS INTEGER) AS ws, customer_id AS id, (customer_id // 3) % 10000 AS p FROM customers WHERE customer_id % 6 < 2)")
@@ -301,12 +317,12 @@ def agg15b(t):
     return identity.blocking_recall(identity.records(people), pairs)
 
 
-@query("idn2_semantic_tier", "SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-def semantic(t):
-    e = t.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
-    return pairs.select(F.col("vec_id").alias("l"), (F.col("vec_id") + 1).alias("r"), F.round(dot(F.col("v"), F.col("w")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("w"), F.col("w"))), 4).alias("similarity"))
+@query("idn2_semantic_tier", f"""
+SELECT a.ws, a.id AS l, b.id AS r, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM directions a JOIN directions b ON a.ws = b.ws AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {CLOSE}""",
+    "n AS (SELECT count(*) AS n FROM embeddings)",
+    "directions AS (SELECT CAST((customer_id // 3) % 4 AS INTEGER) AS ws, customer_id AS id, list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda x: x[1] * 0.8 + x[2] * 0.5) AS v FROM customers, n JOIN embeddings a ON a.vec_id = (customer_id // 3) * 7 % n.n JOIN embeddings b ON b.vec_id = customer_id * 13 % n.n)")
+def semantic_tier(t):
+    return semantic.similar(_directions(t), CLOSE).withColumn("similarity", F.round("similarity", 4))
 
 
 # --- windows and anomalies -----------------------------------------------------------------------------------------------------------------

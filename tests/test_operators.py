@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import names, similarity, texts
-from tallyspark.operators import allocation, anomaly, graph, identity, quality, revenue, review
+from tallyspark.operators import allocation, anomaly, graph, identity, quality, revenue, review, semantic
 from tallyspark.plans import pipeline
 
 
@@ -120,3 +120,50 @@ def test_gate_publishes_unblocked(spark):
     df = spark.createDataFrame([row, row | {"retained": 5}])
     got = review.judged(df).collect()
     assert [r["verdict"] for r in got] == ["DISPUTED", "DISPUTED"] and [r["is_published"] for r in got] == [True, False]
+
+
+def one_by_one(edges, barred):
+    """Union by falling weight, refusing a union that would bring a barred pair together."""
+    group = {}
+    for weight, l, r in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+        a, b = group.setdefault(l, {l}), group.setdefault(r, {r})
+        if a is not b and not any((min(x, y), max(x, y)) in barred for x in a for y in b):
+            a |= b
+            for m in b:
+                group[m] = a
+    return {n: min(g) for n, g in group.items()}
+
+
+def test_clusters_in_rounds_are_those_edge_by_edge(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for ws in range(60):  # dense and sparse graphs, chains of equal and of falling weights
+        n = rng.randint(3, 14)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        if ws % 3:
+            edges = {p: float(rng.choice([6, 7, 8, 20])) for p in rng.sample(pairs, min(len(pairs), rng.randint(n, 2 * n)))}
+        else:
+            edges = {(a, a + 1): float(40 - a if ws % 2 else 20) for a in range(n - 1)}
+        barred = {p for p in pairs if p not in edges and rng.random() < (0.15 if ws % 4 else 0.5)}
+        rows += [(ws, a, b, w, "ACCEPTED", False) for (a, b), w in edges.items()] + [(ws, a, b, -5.0, "REJECTED", True) for a, b in barred]
+        want |= {(ws, k): c for k, c in one_by_one([(w, a, b) for (a, b), w in edges.items()], barred).items()}
+    frame = spark.createDataFrame(rows, "ws int, l long, r long, weight double, decision string, conflict boolean")
+    assert {(r["ws"], r["id"]): r["cluster"] for r in identity.clusters(frame).collect()} == want
+
+
+def test_similar_vectors_against_all_pairs(spark, monkeypatch):
+    """Every pair above the threshold, among vectors of which many are equal and many lie in one bucket; also with blocks of a few vectors."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    heads = rng.normal(size=(20, 12))
+    rows = [(0, i, heads[i % 20] + rng.normal(size=12) * (0.2 if i % 2 else 0.6)) for i in range(120)] + [(0, 200 + i, heads[0]) for i in range(5)] + [(1, i, heads[i % 3]) for i in range(6)] + [(1, 99, np.zeros(12))]
+    frame = spark.createDataFrame([(w, i, [float(c) for c in v]) for w, i, v in rows], "ws int, id long, vector array<double>")
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    same = lambda a, b: a.tobytes() == b.tobytes()
+    first = {(w, v.tobytes()): min(i for x, i, u in rows if x == w and same(u, v)) for w, _, v in rows}
+    want = {(w, i, j) for w, i, a in rows for x, j, b in rows if w == x and i < j and a.any() and b.any() and cos(a, b) >= 0.7 and (not same(a, b) or first[w, a.tobytes()] == i)}
+    found = lambda: {(r["ws"], r["l"], r["r"]) for r in semantic.similar(frame, 0.7).collect()}
+    assert found() == want
+    monkeypatch.setattr(semantic, "BLOCK", 7)
+    assert found() == want

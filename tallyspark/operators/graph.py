@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, staged
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -89,3 +89,48 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         front = front.join(both, front.near == both.u).select("node", F.col("v").alias("near"), F.lit(d).alias("distance")).distinct().join(seen, ["node", "near"], "left_anti")
         seen = seen.unionByName(front)
     return seen.where("distance > 0")
+
+
+#: Edges of a node from which on its walks meet in several tasks.
+HUB = 200
+
+
+def connecting_paths(edges: DataFrame, depth: int = 4, limit: int | None = None) -> DataFrame:
+    """JN20: paths of at most `depth` edges (ws, a, b, kind, attribute), undirected and none twice in a path, between nodes source < target, with nodes, kinds and attributes on the way; the first `limit` of a
+    workspace, shortest first, if told.
+
+    Walks go out from both ends, two edges at most each, and meet in the middle. The walks that meet in a node of many edges are dealt over as many tasks as it has `HUB` edges."""
+    if not 1 <= depth <= 4:
+        raise ValueError("paths have a depth of 1 to 4")
+    name = F.concat_ws("\x01", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string"), "kind", "attribute")
+    ahead = edges.where("a != b").withColumn("e", name).dropDuplicates(["ws", "e"])
+    both = staged(ahead.select("ws", F.col("a").alias("u"), F.col("b").alias("v"), "kind", "attribute", "e").unionByName(ahead.select("ws", F.col("b").alias("u"), F.col("a").alias("v"), "kind", "attribute", "e")), "edges")
+    one = both.select("ws", F.col("u").alias("end"), F.col("v").alias("at"), F.array("u").alias("nodes"), F.array("kind").alias("kinds"), F.array("attribute").alias("attributes"), F.array("e").alias("used"))
+    walks = {1: one}
+    if depth > 2:
+        more = one.join(both.withColumnRenamed("u", "at"), ["ws", "at"]).where(~F.array_contains("used", F.col("e")))
+        walks[2] = staged(more.select("ws", "end", F.col("v").alias("at"), F.concat("nodes", F.array("at")).alias("nodes"), F.concat("kinds", F.array("kind")).alias("kinds"), F.concat("attributes", F.array("attribute")).alias("attributes"), F.concat("used", F.array("e")).alias("used")), "walks")
+    parts = both.groupBy("ws", F.col("u").alias("at")).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+
+    def met(i: int, j: int) -> DataFrame:
+        a = walks[i].join(parts, ["ws", "at"]).withColumn("part", F.pmod(F.xxhash64("used"), F.col("parts")).cast("int")).drop("parts")
+        b = walks[j].join(parts, ["ws", "at"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        b = b.select("ws", "at", "part", *(F.col(c).alias(f"{c}_b") for c in ("end", "nodes", "kinds", "attributes", "used")))
+        rows = a.join(b, ["ws", "at", "part"]).where((F.col("end") < F.col("end_b")) & ~F.arrays_overlap("used", "used_b"))
+        joined = lambda c: F.concat(c, F.reverse(f"{c}_b")).alias(c)
+        return rows.select("ws", F.col("end").alias("source"), F.col("end_b").alias("target"), F.lit(i + j).alias("hops"), F.concat("nodes", F.array("at"), F.reverse("nodes_b")).alias("nodes"), joined("kinds"), joined("attributes"))
+
+    found = one.where(F.col("end") < F.col("at")).select("ws", F.col("end").alias("source"), F.col("at").alias("target"), F.lit(1).alias("hops"), F.array("end", "at").alias("nodes"), "kinds", "attributes")
+    for i, j in ((1, 1), (2, 1), (2, 2))[: depth - 1]:
+        found = found.unionByName(met(i, j))
+    if limit is None:
+        return found
+    rank = F.struct("hops", "source", "target", "nodes", "kinds", "attributes")
+    return shortest(found.select("ws", rank.alias("r")), limit)
+
+
+def shortest(ranked: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` of each workspace's ranked structs `r`, taken within parts first, so that no task sees all of a workspace."""
+    part = F.pmod(F.xxhash64("r"), F.lit(64))
+    inner = ranked.withColumn("n", F.row_number().over(Window.partitionBy("ws", part).orderBy("r"))).where(F.col("n") <= limit).drop("n")
+    return inner.withColumn("n", F.row_number().over(Window.partitionBy("ws").orderBy("r"))).where(F.col("n") <= limit).select("ws", "r.*")

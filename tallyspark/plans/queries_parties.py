@@ -496,6 +496,36 @@ def jn20(t):
     return graph.neighbourhood(e, start, 3)
 
 
+#: Customers that share a domain, dozens of ids each, or an account, dozens that overlap them.
+SHARING = """shared AS (SELECT DISTINCT a.ws, a.customer_id AS a, b.customer_id AS b, k.kind, a_key AS attribute FROM (SELECT 'domain' AS kind, 0 AS shift UNION ALL SELECT 'account', 4) k
+ JOIN (SELECT ws, customer_id FROM customers) a ON true JOIN (SELECT ws, customer_id FROM customers) b ON a.ws = b.ws AND a.customer_id < b.customer_id AND b.customer_id < a.customer_id + 12 AND (a.customer_id + k.shift) // 12 = (b.customer_id + k.shift) // 12,
+ LATERAL (SELECT k.kind || (a.customer_id + k.shift) // 12 AS a_key)),
+both_s AS (SELECT ws, a AS u, b AS v, kind, attribute, a || '-' || b || kind AS e FROM shared UNION ALL SELECT ws, b, a, kind, attribute, a || '-' || b || kind FROM shared),
+paths AS (WITH RECURSIVE w(ws, source, pos, hops, nodes, kinds, attributes, used) AS (
+  SELECT ws, u, v, 1, [u, v], [kind], [attribute], [e] FROM both_s
+  UNION ALL SELECT w.ws, source, b.v, hops + 1, list_append(nodes, b.v), list_append(kinds, b.kind), list_append(attributes, b.attribute), list_append(used, b.e) FROM w JOIN both_s b ON w.ws = b.ws AND w.pos = b.u WHERE hops < {depth} AND NOT list_contains(used, b.e)) SELECT * FROM w WHERE source < pos)"""
+PATH = "SELECT ws, source, pos AS target, hops, array_to_string(nodes, '>') AS nodes, array_to_string(kinds, ',') AS kinds, array_to_string(attributes, ',') AS attributes FROM"
+
+
+def _paths(t: Tables, depth: int, limit: int | None = None) -> DataFrame:
+    keyed = lambda kind, shift: t.customers().select("ws", F.col("customer_id").alias("cluster"), F.concat(F.lit(kind), F.floor((F.col("customer_id") + shift) / 12).cast("string")).alias("attribute"))
+    edges = [identity.shared_attribute_pairs(keyed(kind, shift)).withColumn("kind", F.lit(kind)) for kind, shift in (("domain", 0), ("account", 4))]
+    rows = graph.connecting_paths(edges[0].unionByName(edges[1]), depth, limit)
+    return rows.select("ws", "source", "target", "hops", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), F.array_join("kinds", ",").alias("kinds"), F.array_join("attributes", ",").alias("attributes"))
+
+
+@query("jn20_relationship_paths", f"{PATH} paths", SHARING.format(depth=3))
+def jn20_paths(t):
+    """All paths of three edges at most between customers."""
+    return _paths(t, 3)
+
+
+@query("jn20_first_paths", f"{PATH} (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY hops, source, pos, nodes, kinds, attributes) AS n FROM paths) WHERE n <= 200", SHARING.format(depth=4))
+def jn20_first(t):
+    """The 200 shortest of each workspace, up to four edges."""
+    return _paths(t, 4, 200)
+
+
 @query("a10_related_parties", "SELECT label, count(*) AS nodes, count(*) FILTER (WHERE kind = 'customer') AS customers FROM (SELECT least_ AS label, kind FROM (SELECT ws * 1000 + acc AS least_, 'account' AS kind FROM cu GROUP BY ALL UNION ALL SELECT ws * 1000 + acc, 'customer' FROM cu)) GROUP BY label HAVING count(*) >= 3 AND count(*) FILTER (WHERE kind = 'customer') >= 2", "cu AS (SELECT DISTINCT ws, customer_id, (customer_id // 2) % 400 AS acc FROM customers)")
 def a10(t):
     acc = F.col("ws") * 1000 + F.floor(F.col("customer_id") / 2) % 400

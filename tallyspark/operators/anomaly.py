@@ -220,8 +220,10 @@ def precision(labelled: DataFrame) -> DataFrame:
 
 #: What a payment is judged by.
 FEATURES = ("amount", "refund_ratio", "hour", "day_of_month", "days_since", "nth")
-#: Share of outliers, trees, and payments of a workspace that the forest is grown from: a bounded sample, taken by a hash.
-OUTLIERS, TREES, GROWN_FROM, LEAST_ROWS = 0.05, 200, 20_000, 50
+# Share of outliers, trees, seed, and payments without which a workspace has no model.
+OUTLIERS, TREES, SEED, LEAST_ROWS = 0.05, 200, 20260401, 50
+#: Payments of a workspace that the forest is grown from: a bounded sample, taken by a hash.
+GROWN_FROM = 20_000
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -237,7 +239,7 @@ def usual(m: int) -> float:
     return 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else float(m == 2)
 
 
-def grown(x: np.ndarray, trees: int = TREES, size: int = 256, seed: int = 20260401) -> tuple[int, list[list[tuple]]]:
+def grown(x: np.ndarray, trees: int = TREES, size: int = 256, seed: int = SEED) -> tuple[int, list[list[tuple]]]:
     """An isolation forest: for each tree its nodes as (feature, cut, left, right), or (-1, depth and usual path below it, 0, 0) for a leaf."""
     rng = np.random.default_rng(seed)
     size = min(size, len(x))
@@ -279,8 +281,7 @@ def isolation_scores(x: np.ndarray, model: tuple[int, list[list[tuple]]]) -> np.
 
 def _forests(rows: DataFrame) -> dict:
     """A forest for each workspace with enough payments, with its version; they are grown in Spark, one task each, from bounded samples, and sent to the driver: as many as workspaces."""
-    place = F.row_number().over(Window.partitionBy("ws").orderBy(F.xxhash64("payment_id"), "payment_id"))
-    sample = rows.withColumn("_n", place).where(F.col("_n") <= GROWN_FROM)
+    sample = order.numbered(rows, [F.col("ws"), F.xxhash64("payment_id"), F.col("payment_id")], ["ws"], "_n").where(F.col("_n") <= GROWN_FROM)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("payment_id")[list(FEATURES)].to_numpy(float)
@@ -321,8 +322,10 @@ def outliers(rows: DataFrame) -> DataFrame:
 def drift(rows: DataFrame) -> DataFrame:
     """A12's check over time: forests of each fold's earlier payments judge its later ones; the share of outliers by workspace and fold, and whether shares differ
     by more than twice the expected one. Folds are equal steps of the payments' rank in time."""
-    ranked = rows.withColumn("_r", F.percent_rank().over(Window.partitionBy("ws").orderBy("paid_at", "payment_id"))).withColumn("_n", F.count("*").over(Window.partitionBy("ws")))
-    ranked = ranked.withColumn("_f", folds(F.col("_n"))).withColumn("_slot", F.least(F.floor(F.col("_r") * (F.col("_f") + 1)), F.col("_f")).cast("int"))
+    sizes = rows.groupBy("ws").agg(F.count("*").alias("_n"))
+    ranked = order.numbered(rows, [F.col("ws"), F.col("paid_at"), F.col("payment_id")], ["ws"], "_k").join(F.broadcast(sizes), "ws")  # a row a workspace
+    ranked = ranked.withColumn("_r", F.coalesce((F.col("_k") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)), F.lit(0.0)))
+    ranked = staged(ranked.withColumn("_f", folds(F.col("_n"))).withColumn("_slot", F.least(F.floor(F.col("_r") * (F.col("_f") + 1)), F.col("_f")).cast("int")), "ranked")
     parts = None
     for fold in range(5):
         past, now = ranked.where(F.col("_slot") <= fold).select(*rows.columns), ranked.where((F.col("_slot") == fold + 1) & (F.lit(fold) < F.col("_f"))).select(*rows.columns)

@@ -92,6 +92,27 @@ def snk3(t):
     return sinks.export(spark.read.parquet(path), ["total"]).select("invoice_id", "total_exact", "status")
 
 
+@query("snk1_upsert_commits", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'first' WHEN o_orderkey % 6 = 0 THEN 'third' WHEN o_orderkey % 4 < 2 THEN 'second' ELSE 'first' END AS state FROM orders WHERE o_orderkey % 4 > 0 OR o_orderkey % 2 = 0""")
+def snk1_commits(t):
+    """Orders in three batches: most of them, half of them again, a sixth a third time; the second batch is sent twice more."""
+    path = f"{shared_dir(t.spark)}/tallyspark/upserts-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    orders = t.raw("orders").select("o_orderkey")
+    batches = [(1, orders.where(k % 4 >= 2), "first"), (2, orders.where(k % 4 < 2), "second"), (3, orders.where((k % 6 == 0) & (k % 4 < 3)), "third")]
+    for batch, rows, state in (*batches[:2], batches[1], batches[2], batches[1]):
+        sinks.upsert(rows.withColumns({"state": F.lit(state), "batch": F.lit(batch)}), path, ["o_orderkey"], ["batch"], batch)
+    return sinks.upserted(t.spark, path).select("o_orderkey", "state")
+
+
+@query("snk4_bundle_counts", "SELECT 'refunds' AS artifact, count(*) AS rows, true AS written FROM refunds UNION ALL SELECT 'invoices', count(*), true FROM invoices UNION ALL SELECT 'broken', NULL, false")
+def snk4(t):
+    """Counts as the exports are written; one can't be."""
+    broken = t.invoices().select(F.raise_error(F.lit("no such column")).alias("x"))
+    made = sinks.bundle({"refunds": t.refunds(), "invoices": t.invoices(), "broken": broken}, f"{shared_dir(t.spark)}/tallyspark/bundle-{uuid.uuid4().hex}")
+    return made.select("artifact", "rows", F.col("error").isNull().alias("written"))
+
+
 @query("snk7_graph_mirror")
 def snk7(t):
     pairs, found = queries_parties._clusters(t)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.money import formatted
 from ..functions.texts import csv_cell
+from ..operators import quality
+from .shared import staged
 
 
 def replace_workspaces(rows: DataFrame, path: str) -> None:
@@ -15,6 +18,49 @@ def replace_workspaces(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ws").parquet(path)
 
 
+#: Parts of an upserted table; a batch rewrites those that it has keys of.
+PARTS = 64
+COMMITS = "version long, batch long, part int, held long"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """Of the newest version, the version that holds each part's rows."""
+    try:
+        log = spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    except AnalysisException:  # nothing was committed yet
+        return spark.createDataFrame([], COMMITS)
+    return log.join(log.agg(F.max("version").alias("version")), "version", "left_semi")
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """SNK1's table as of its newest version; None before the first one."""
+    held = [(r["part"], r["held"]) for r in _commits(spark, path).collect()]  # a row a part
+    return spark.read.option("basePath", f"{path}/data").parquet(*(f"{path}/data/held={v}/part={p}" for p, v in held)).drop("held", "part") if held else None
+
+
+def upsert(incoming: DataFrame, path: str, keys: list[str], order: list[str], batch: int, parts: int = PARTS) -> bool:
+    """SNK1 as a sink, for foreachBatch too: the newest row of each key. Only parts that the batch has keys of are read and written anew; a version exists once its commit is written,
+    so readers see all of a batch or nothing, and a batch that was committed before changes nothing. Says whether it did. Batches come one after the other."""
+    spark = incoming.sparkSession
+    newest = _commits(spark, path).collect()
+    if any(batch <= r["batch"] for r in newest[:1]):
+        return False
+    version = newest[0]["version"] + 1 if newest else 1
+    held = {r["part"]: r["held"] for r in newest}
+    rows = staged(incoming.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "incoming")
+    touched = [r["part"] for r in rows.select("part").distinct().collect()]  # as many as parts
+    old = [f"{path}/data/held={held[p]}/part={p}" for p in touched if p in held]
+    if old:
+        rows = quality.upsert(spark.read.option("basePath", f"{path}/data").parquet(*old).drop("held"), rows, keys, order)
+    else:
+        rows = quality.upsert(rows.limit(0), rows, keys, order)
+    rows.repartition("part").write.partitionBy("part").parquet(f"{path}/data/held={version}")
+    log = [(version, batch, p, v) for p, v in sorted((held | {p: version for p in touched}).items())]
+    if touched:
+        spark.createDataFrame(log, COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return bool(touched)
+
+
 def export(rows: DataFrame, money: list[str]) -> DataFrame:
     """SNK3: every money column twice, as shown and exact; text cells guarded against formulas."""
     out = []
@@ -37,8 +83,9 @@ def bundle(artifacts: dict[str, DataFrame], folder: str) -> DataFrame:
     manifest = []
     for name, rows in artifacts.items():
         try:
-            write_csv(rows, f"{folder}/{name}")
-            manifest.append((name, rows.sparkSession.read.option("header", True).csv(f"{folder}/{name}").count(), None))
+            seen = Observation()
+            write_csv(rows.observe(seen, F.count(F.lit(1)).alias("rows")), f"{folder}/{name}")
+            manifest.append((name, seen.get["rows"], None))
         except Exception as error:  # noqa: BLE001  any failure is to be listed
             manifest.append((name, None, str(error)[:500]))
     spark = next(iter(artifacts.values())).sparkSession

@@ -293,3 +293,33 @@ def test_state_of_a_quiet_key_ends(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     state = spark.read.format("statestore").option("stateVarName", "known").load(f"file://{tmp_path}/versions/state")
     assert state.count() == 0
+
+
+def test_upserts_touch_their_own_parts_and_survive_replays(spark, tmp_path):
+    from tallyspark.sources import sinks
+
+    path = f"file://{tmp_path}/table"
+    assert sinks.upserted(spark, path) is None
+    schema, want, rng = "k long, v string, at int", {}, random.Random(2)
+    batches = [[(rng.randint(0, 40), f"b{b}", b) for _ in range(25)] for b in range(1, 5)] + [[(7, "late", 5)]]
+    for b, rows in enumerate(batches, 1):
+        frame = spark.createDataFrame(rows, schema)
+        before = {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+        assert sinks.upsert(frame, path, ["k"], ["at"], b, parts=8)
+        assert all(f.stat().st_mtime_ns == before[str(f)] for f in tmp_path.rglob("*.parquet") if str(f) in before)
+        want |= {k: v for k, v, _ in rows}
+        assert not sinks.upsert(spark.createDataFrame(batches[0], schema), path, ["k"], ["at"], 1, parts=8)  # sent again
+        assert {r["k"]: r["v"] for r in sinks.upserted(spark, path).collect()} == want and sinks.upserted(spark, path).count() == len(want)
+    assert len(list((tmp_path / "table" / "data" / "held=5").glob("part=*"))) == 1
+    (tmp_path / "table" / "data" / "held=6" / "part=0").mkdir(parents=True)  # a batch that never came to its commit
+    assert {r["k"]: r["v"] for r in sinks.upserted(spark, path).collect()} == want
+
+
+def test_outliers_need_no_window_over_a_workspace(spark):
+    """The sample, by hash, and the folds, by rank in time, against windows over a whole workspace."""
+    from pyspark.sql import Window
+
+    rows = spark.range(900).selectExpr("CAST(id % 3 AS INT) AS ws", "id AS payment_id", "timestamp_seconds(id * 977 % 700) AS paid_at")
+    got = anomaly.order.numbered(rows, [F.col("ws"), F.xxhash64("payment_id"), F.col("payment_id")], ["ws"], "n")
+    place = F.row_number().over(Window.partitionBy("ws").orderBy(F.xxhash64("payment_id"), "payment_id"))
+    assert sorted(map(tuple, got.select("payment_id", "n").collect())) == sorted(map(tuple, rows.select("payment_id", place).collect()))

@@ -13,7 +13,7 @@ of one class by then is done; in any other, whoever isn't of its largest class m
 nodes that share a bucket are in one class or were compared. A link counts only if the texts' exact similarity reaches the threshold.
 
 Nulls: a null text is a class of its own. Texts without words are classes of equal texts. Equal rows are copies of each other. The row
-kept of a class has the lowest doc_id (nulls first). An empty table gives an empty result. `deduplicated` passes all
+kept of a class has the lowest doc_id (nulls first). A very long text is hashed whole; its darts are as many as any other's. An empty table gives an empty result. `deduplicated` passes all
 columns on.
 """
 

@@ -16,7 +16,8 @@ The vocabulary is a BPE model's: its pieces have ranks, not probabilities, so a
 to 1 / (r + `OFFSET`), flattened by the exponent `ALPHA`.
 
 Nulls: a null text and an empty one have one segmentation, without tokens; a null key seeds as -1. A text with fewer than k segmentations
-gives all of them. Rows with equal keys and texts get equal samples. An empty table gives an empty result. Extra columns are ignored.
+gives all of them. Rows with equal keys and texts get equal samples. Tied disturbed values fall to the one found first. A very long text is sampled whole,
+alone in its lattice. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

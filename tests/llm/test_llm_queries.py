@@ -257,8 +257,38 @@ def test_language_query(spark, folder):
 
 
 def test_subword_query(spark, folder):
-    got = [r.asDict() for r in subword.digests(spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NULL OR doc_id != 65")).collect()]
-    assert {(r["doc_id"], r["sample"]) for r in got} >= {(i, k) for i in range(60) for k in (1, 2)}
+    """Every row's samples, the 8 MB text's too: the query's figures are those of the ids, which the sentencepiece library decodes to the text; samples differ, the better one first."""
+    import sentencepiece
+
+    model = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    docs = table(folder, "documents")
+    got = [r.asDict() for r in subword.query(spark, folder).collect()]
+    made = [r.asDict() for r in subword.encode_samples(spark.read.parquet(f"{folder}/documents.parquet"), model).collect()]
+    figures = lambda r: (r["doc_id"], r["sample"], len(r["ids"]) // 4, zlib.crc32(bytes(r["ids"])), r["log_prob"], r["log_inclusion"])
+    assert Counter(map(figures, made)) == cells(got, ["doc_id", "sample", "n_tokens", "ids_crc32", "log_prob", "log_inclusion"])
+    texts = Counter((d["doc_id"], d["text"] or "", k) for d in docs for k in ((1, 2) if d["text"] and d["doc_id"] != 64 else (1,)))  # digits stand alone in this vocabulary, so "123 456" has one segmentation
+    assert Counter((r["doc_id"], library.decode(np.frombuffer(bytes(r["ids"]), "<u4").tolist()), r["sample"]) for r in made) == texts
+    assert cells(got, ["doc_id", "text_crc32", "sample"]) == Counter((i, zlib.crc32(t.encode()), k) for i, t, k in texts.elements())
+    by = {}
+    for r in made:
+        by.setdefault((r["doc_id"], r["sample"]), set()).add(bytes(r["ids"]))
+    assert all(not by[i, 1] & by[i, 2] for i in range(60) if i != 1)
+    assert {r["sample"] for r in got if r["doc_id"] == 65} == {1, 2}
+
+
+def test_very_long_texts(spark, folder):
+    """The 8 MB text in the queries whose SQL is too slow on it, by plain Python."""
+    w = LONG.split()
+    r = next(x.asDict() for x in quality.query(spark, folder).collect() if x["doc_id"] == 65)
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    repeated = set()
+    for i in range(len(w) - 2):
+        if windows[tuple(w[i : i + 3])] > 1:
+            repeated |= {i, i + 1, i + 2}
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (len(w), sum(map(len, w)), 0, 0, len(repeated), True, False)
+    c = next(x.asDict() for x in registry.QUERIES["op6_chat"](spark, folder).collect() if x["pair_id"] == 21)
+    assert (c["status"], c["prompt"], c["chosen"], c["rejected"], c["chosen_learned"]) == ("unpaired", "", f"<|user|>\n{LONG}<|end|>\n", None, 0)
 
 
 def test_blocks_of_items_give_the_same(spark, folder):

@@ -7,7 +7,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.order import numbered  # noqa: F401  used by the operators here
 
 #: Used only in local sessions, as in tests, that name no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -48,18 +50,6 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(rows: DataFrame, order: list[Column], groups: list[str], name: str = "number") -> DataFrame:
-    """`rows` with their number, from 1, within their group in `order`, which begins with the groups. Ranges of the order are numbered each by itself, and counts of the
-    ranges before are added; a range holds a bounded share of the rows, whatever the groups."""
-    ranged = staged(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
-    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range", *groups).count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = ranged.withColumn("__within", F.row_number().over(Window.partitionBy("__range", *groups).orderBy(*order)))
-    sides = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    joined = within.alias("a").join(counts.alias("b"), [F.col("a.__range") == F.col("b.__range"), *sides])
-    return joined.select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("__within") + F.col("__before")).alias(name))
-
-
 def byte_table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[np.frombuffer(chars, dtype=np.uint8)] = True

@@ -77,7 +77,7 @@ def contracts(rows: DataFrame) -> DataFrame:
 def customers(entities: DataFrame) -> DataFrame:
     return entities.select(
         "ws", F.col("canonical_name").alias("customer"), *(listed(F.col(c)).alias(n) for c, n in (("aliases", "also_known_as"), ("tax_ids", "tax_identifiers"), ("domains", "domains"), ("emails", "email_addresses"), ("addresses", "addresses"))),
-        F.coalesce(F.format_string("%.2f", F.col("confidence").cast("double")), F.lit("")).alias("match_confidence"),
+        F.when(F.col("confidence").isNotNull(), F.format_string("%.2f", F.col("confidence").cast("double"))).otherwise("").alias("match_confidence"),
     )
 
 

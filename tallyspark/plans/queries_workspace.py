@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import texts
-from ..operators import identity, order
+from ..operators import exports, identity, order, revenue, review
 from ..operators.workspace import UNREAD, Workspace
 from ..sources.shared import staged
 from . import queries_cash as cash
@@ -467,3 +467,67 @@ reached AS (WITH RECURSIVE w(ws, u, v) AS (SELECT ws, u, u FROM linked UNION SEL
 def idn4(t):
     """Clusters of pairs none of which are in conflict: components of the accepted ones."""
     return identity.clusters(_given(t).withColumn("conflict", F.lit(False)))
+
+
+# --- policies and artifacts --------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("crt_bank_policy", "SELECT ws, item_id, verdict, v AND len(codes) = 0 AS is_published FROM judged", *cash.JUDGE)
+def crt_bank(t):
+    """The gate of a policy that wants a bank credit behind every published item."""
+    return review.judged(cash._classified(t), require_bank=True).select("ws", "item_id", "verdict", "is_published")
+
+
+RESOLVED = "CASE WHEN rule != 'R08' AND NOT customer_resolved THEN {0} ELSE {1} END"
+
+
+@query("cls_resolved_policy", f"SELECT ws, item_id, {RESOLVED.format(chr(39) + 'HUMAN_REVIEW' + chr(39), 'state')} AS state, {RESOLVED.format(chr(39) + 'R09' + chr(39), 'rule')} AS rule, {RESOLVED.format('0', 'recognised')} AS recognised FROM classified", *cash.FULL)
+def cls_resolved(t):
+    """The states of a policy that wants every customer resolved."""
+    return revenue.classified(cash._items(t), require_resolved=True).select("ws", "item_id", "state", "rule", "recognised")
+
+
+def artifact(name: str, sql: str, *ctes: str):
+    """Register a function of the canonical tables of all workspaces under a name, with its SQL."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, folder: f(Canonical(Tables(spark, folder)))
+        ORACLES[name] = oracle(sql, *ctes, *TABLES)
+        return f
+
+    return put
+
+
+@artifact("snk3_anomalies_artifact", "SELECT ws, lower(severity) AS severity, CAST(CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS INTEGER) AS severity_rank, rule, 'finding ' || anomaly_id AS title, CASE WHEN anomaly_id % 2 = 0 THEN 'seen' ELSE '' END AS observed, status, CASE WHEN rule = 'A09' THEN format('{:.4f}', (anomaly_id % 100) / 100) ELSE '' END AS model_score FROM anomalies")
+def anomalies_artifact(c):
+    k, none = F.col("anomaly_id"), F.lit(None).cast("string")
+    rows = c.anomalies().withColumns({"title": F.concat(F.lit("finding "), k), "observed": F.when(k % 2 == 0, "seen"), "baseline": none, "model_version": none, "model_score": F.when(F.col("rule") == "A09", (k % 100) / 100)})
+    return exports.anomalies(rows).select("ws", "severity", "severity_rank", "rule", "title", "observed", "status", "model_score")
+
+
+@artifact("snk3_review_queue_artifact", "SELECT ws, status, severity, category, question_key AS question, coalesce(title, '') AS detail, '' AS resolution, '' AS reason, CAST(created_on AS VARCHAR) AS raised_on, '' AS resolved_on FROM review_items")
+def review_artifact(c):
+    rows = c.review_items().withColumns({"question": F.col("question_key"), "detail": F.col("title"), "raised_on": F.col("created_on"), "resolved_on": F.lit(None).cast("date")})
+    return exports.review_queue(rows)
+
+
+@artifact("snk3_customers_artifact", "SELECT ws, canonical_name AS customer, canonical_name || '; ' || upper(canonical_name) AS also_known_as, CASE WHEN confidence IS NOT NULL THEN 'T' || entity_id ELSE '' END AS tax_identifiers, '' AS domains, CASE WHEN confidence IS NULL THEN '' ELSE '0.90' END AS match_confidence FROM entities")
+def customers_artifact(c):
+    none = F.lit(None).cast("array<string>")
+    rows = c.entities().withColumns({"aliases": F.array("canonical_name", F.upper("canonical_name")), "tax_ids": F.array_compact(F.array(F.when(F.col("confidence").isNotNull(), F.concat(F.lit("T"), "entity_id")))), "domains": F.array().cast("array<string>"), "emails": none, "addresses": none})
+    return exports.customers(rows).select("ws", "customer", "also_known_as", "tax_identifiers", "domains", "match_confidence")
+
+
+AMOUNT = cash.EXACT
+
+
+@query("snk3_summary_artifact", f"""
+SELECT ws, m.measure, m.exact_value FROM (SELECT c.ws, unnest([
+ {{'measure': 'Claimed revenue', 'exact_value': {AMOUNT.format('claimed')}}}, {{'measure': 'Proven by evidence', 'exact_value': {AMOUNT.format('published')}}}, {{'measure': 'Awaiting review', 'exact_value': {AMOUNT.format('withheld')}}},
+ {{'measure': CASE WHEN claimed < published THEN 'Evidence beyond the claim' ELSE 'Claimed but not yet proven' END, 'exact_value': {AMOUNT.format('abs(claimed - published)')}}},
+ {{'measure': 'Items published', 'exact_value': ''}}, {{'measure': 'Items withheld pending review', 'exact_value': ''}}]) AS m
+ FROM (SELECT ws, CAST(sum(total) AS BIGINT) * ws // 2 AS claimed FROM invoices GROUP BY ws) c JOIN (
+  SELECT ws, CAST(sum(CASE WHEN is_published THEN recognised ELSE 0 END) AS BIGINT) AS published, CAST(sum(CASE WHEN v AND NOT is_published THEN recognised ELSE 0 END) AS BIGINT) AS withheld FROM judged GROUP BY ws) p USING (ws))""", *cash.JUDGE)
+def summary_artifact(t):
+    claims = t.invoices().groupBy("ws").agg(F.sum("total").alias("s")).select("ws", F.expr("s * ws div 2").alias("claimed"))
+    return exports.summary(review.position(cash._judged(t)), claims, F.lit("INR")).select("ws", "measure", "exact_value")

@@ -122,11 +122,12 @@ def version_diff(snapshots: DataFrame, fields: list[str]) -> DataFrame:
     return long.withColumn("before", before).where("before IS NOT NULL AND value != before").withColumn("change", F.col("value") - F.col("before"))
 
 
-def published_versions(snapshots: DataFrame, fields: list[str]) -> DataFrame:
-    """VER1: a snapshot becomes a version only if a field moved since the last one."""
+def published_versions(snapshots: DataFrame, fields: list[str], force: Column | None = None) -> DataFrame:
+    """VER1: a snapshot becomes a version only if a field moved since the last one, or where publishing is forced."""
     moved = snapshots.withColumn("_h", F.sha2(F.concat_ws("|", *(F.col(f).cast("string") for f in fields)), 256))
     w = Window.partitionBy("ws").orderBy("taken_at")
-    return moved.withColumn("_p", F.lag("_h").over(w)).where(F.col("_p").isNull() | (F.col("_p") != F.col("_h"))).drop("_h", "_p").withColumn("version", F.row_number().over(w))
+    forced = F.lit(False) if force is None else F.coalesce(force, F.lit(False))
+    return moved.withColumn("_p", F.lag("_h").over(w)).where(F.col("_p").isNull() | (F.col("_p") != F.col("_h")) | forced).drop("_h", "_p").withColumn("version", F.row_number().over(w))
 
 
 def trace(items: DataFrame, contracts: DataFrame, invoices: DataFrame, allocations: DataFrame, claims: DataFrame, refunds: DataFrame) -> DataFrame:
@@ -158,6 +159,21 @@ def impact(changes: DataFrame) -> DataFrame:
     return rows.groupBy("ws").agg(F.array_sort(F.collect_set("stage")).alias("stages"), F.countDistinct("customer_id").alias("customers"))
 
 
+def claimed(queue_items: DataFrame, claims: DataFrame) -> DataFrame:
+    """REV1: open items (ws, item_id) that a reviewer takes up are in progress; items of any other status, and other workspaces' items, stay as they are."""
+    taken = claims.select("ws", "item_id", F.lit(True).alias("_taken")).distinct()
+    hit = F.col("_taken") & (F.col("status") == "OPEN")
+    return queue_items.join(taken, ["ws", "item_id"], "left").withColumn("status", F.when(hit, "IN_PROGRESS").otherwise(F.col("status"))).drop("_taken")
+
+
+def cited(traced: DataFrame, citations: DataFrame) -> DataFrame:
+    """JN16: the chain's items with how many citations their contract has, and how many of them were verified; null without a contract."""
+    by = citations.groupBy("ws", "contract_id").agg(F.count("*").alias("n"), F.count_if("verified").alias("v"))
+    rows = traced.join(by, ["ws", "contract_id"], "left")
+    held = F.col("contract_id").isNotNull()
+    return rows.withColumns({"citations_total": F.when(held, F.coalesce("n", F.lit(0))), "citations_verified": F.when(held, F.coalesce("v", F.lit(0)))}).drop("n", "v")
+
+
 def resolved(queue_items: DataFrame, decisions: DataFrame) -> DataFrame:
     """REV1: a decision closes every open item of its question; a decision without a reason does nothing."""
     d = decisions.where("reason IS NOT NULL AND trim(reason) != ''").select("ws", "question_key", "decision", "reason").dropDuplicates(["ws", "question_key"])

@@ -531,3 +531,24 @@ SELECT ws, m.measure, m.exact_value FROM (SELECT c.ws, unnest([
 def summary_artifact(t):
     claims = t.invoices().groupBy("ws").agg(F.sum("total").alias("s")).select("ws", F.expr("s * ws div 2").alias("claimed"))
     return exports.summary(review.position(cash._judged(t)), claims, F.lit("INR")).select("ws", "measure", "exact_value")
+
+
+@artifact("rev1_claimed_items", "SELECT ws, item_id, CASE WHEN status = 'OPEN' AND item_id % 2 = 0 AND ws != 3 THEN 'IN_PROGRESS' ELSE status END AS status FROM review_items")
+def claimed(c):
+    """A reviewer takes up every second item, some of them twice; those of workspace 3 are asked for in another workspace."""
+    items = staged(c.review_items(), "review-items")
+    asked = items.where("item_id % 2 = 0").select(F.when(F.col("ws") == 3, 9).otherwise(F.col("ws")).cast("int").alias("ws"), "item_id")
+    return review.claimed(items, asked.unionByName(asked)).select("ws", "item_id", "status")
+
+
+@query("ver1_forced_versions", "SELECT ws, taken_at, row_number() OVER (PARTITION BY ws ORDER BY taken_at) AS version FROM (SELECT *, lag(x) OVER (PARTITION BY ws ORDER BY taken_at) AS p FROM (SELECT ws, CAST(strftime(issue_date, '%Y%m') AS INTEGER) AS taken_at, count(*) % 3 AS x FROM invoices GROUP BY ALL)) WHERE p IS NULL OR p != x OR taken_at % 100 = 12")
+def forced(t):
+    """December is published whether anything moved or not."""
+    snaps = t.invoices().groupBy("ws", F.date_format("issue_date", "yyyyMM").cast("int").alias("taken_at")).agg((F.count("*") % 3).alias("x"))
+    return review.published_versions(snaps, ["x"], F.col("taken_at") % 100 == 12).select("ws", "taken_at", "version")
+
+
+@artifact("jn16_cited_chain", "SELECT i.ws, i.item_id, CASE WHEN i.contract_id IS NOT NULL THEN coalesce(n, 0) END AS citations_total, CASE WHEN i.contract_id IS NOT NULL THEN coalesce(v, 0) END AS citations_verified FROM items i LEFT JOIN (SELECT ws, contract_id, count(*) AS n, count(*) FILTER (WHERE verified) AS v FROM citations WHERE contract_id % 5 != 0 GROUP BY ALL) c ON i.ws = c.ws AND i.contract_id = c.contract_id", *cash.FULL)
+def cited_chain(c):
+    chain = review.trace(cash._items(c.t), c.contracts(), c.invoices(), c.allocations(), c.claims(), c.refunds())
+    return review.cited(chain, c.citations().where("contract_id % 5 != 0")).select("ws", "item_id", "citations_total", "citations_verified")

@@ -68,6 +68,9 @@ def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> Data
     near = F.col("p_date").isNull() | F.col("i_date").isNull() | F.datediff("p_date", "i_date").between(PAY_FROM, PAY_TO)
     both = i.where(known("i")).join(p.where(known("p")), [i.ws == p.ws, i.currency == p.currency, F.col("i_entity") == F.col("p_entity")])
     both = both.where((F.size("i_tokens") == 0) | (F.size("p_tokens") == 0) | F.arrays_overlap("i_tokens", "p_tokens")).drop(p.ws).drop(p.currency)
+    score = lambda pairs: pairs.withColumns(invoice_payment_score()).where(F.col("score") >= LEAST_SCORE).select("ws", F.col("i_id").alias("invoice_id"), F.col("p_id").alias("payment_id"), "score", "method")
+    if i.where(~known("i")).isEmpty() and p.where(~known("p")).isEmpty():  # no other branch has rows
+        return score(both.where(near))
     unknown = ~known("i") | ~known("p")
     span = PAY_TO - PAY_FROM
     bucket = lambda d: F.floor(F.unix_date(d) / span)
@@ -82,8 +85,7 @@ def invoice_payment_candidates(invoices: DataFrame, payments: DataFrame) -> Data
     undated_i = _either(bi.where("b IS NULL").drop("b"), bp.drop("b"), ~has_name("i"), ~has_name("p"), ["ws", "currency"]).select(*dated.drop("b").columns)
     undated_p = _either(bi.where("b IS NOT NULL").drop("b").dropDuplicates(["ws", "i_id"]), bp.where("b IS NULL").drop("b"), ~has_name("i"), ~has_name("p"), ["ws", "currency"]).select(*dated.drop("b").columns)
     nameless = dated.drop("b").unionByName(undated_i).unionByName(undated_p).where(unknown & (~has_name("i") | ~has_name("p")))
-    pairs = both.unionByName(by_name).unionByName(nameless).where(near)
-    return pairs.withColumns(invoice_payment_score()).where(F.col("score") >= LEAST_SCORE).select("ws", F.col("i_id").alias("invoice_id"), F.col("p_id").alias("payment_id"), "score", "method")
+    return score(both.unionByName(by_name).unionByName(nameless).where(near))
 
 
 #: Amounts within 6 % of each other lie in the same or in neighbouring steps of this logarithm; below SMALL the hundred decides, which is a step of CLOSE.

@@ -323,3 +323,29 @@ def test_outliers_need_no_window_over_a_workspace(spark):
     got = anomaly.order.numbered(rows, [F.col("ws"), F.xxhash64("payment_id"), F.col("payment_id")], ["ws"], "n")
     place = F.row_number().over(Window.partitionBy("ws").orderBy(F.xxhash64("payment_id"), "payment_id"))
     assert sorted(map(tuple, got.select("payment_id", "n").collect())) == sorted(map(tuple, rows.select("payment_id", place).collect()))
+
+
+def test_best_claims_are_those_of_all_pairs(spark):
+    """With ties, settlements named in part, empty ones, and amounts near the limits."""
+    rng = random.Random(5)
+    amounts = [-500, 0, 50, 99, 1600, 1650, 1700, 1990, 2100, 5000, 5300, 5301, 4699, 100_000, 106_000, 94_001, 99_000, 103_000]
+    for empty in (False, True):
+        ids = ["s1", "set", "settlement-77", "Settlement-7", None, None, None] + [""] * empty
+        payments = [(k % 2, "INR", rng.randint(1, 10**6), f"2024-01-{rng.randint(1, 28):02}" if k % 20 else None, rng.choice(amounts) + rng.randint(0, 3), rng.choice([0, 40, 4000]), 0, rng.choice(ids), "captured" if k % 9 else "failed") for k in range(150)]
+        bank = [(k % 2, "INR", k, f"2024-01-{rng.randint(1, 28):02}", rng.choice(amounts) + rng.randint(-3, 3), rng.choice([None, "", "ref S1", "NEFT/SETTLEMENT-77/x"]), "credit" if k % 8 else "debit") for k in range(250)]
+        p = spark.createDataFrame(payments, "ws int, currency string, payment_id int, paid_on string, amount long, fee long, tax long, settlement_id string, status string").withColumn("paid_on", F.to_date("paid_on"))
+        b = spark.createDataFrame(bank, "ws int, currency string, bank_id int, booked_on string, amount long, reference string, direction string").withColumn("booked_on", F.to_date("booked_on"))
+        rows = lambda df: sorted((r["ws"], r["bank_id"], r["payment_id"], r["score"]) for r in df.collect())
+        want = rows(reconcile.claimed(reconcile.payment_bank_candidates(p, b)))
+        assert rows(reconcile.best_claims(p, b)) == want and len(want) > 60 and len({w[3] for w in want}) > 4
+
+
+def test_a_dense_cell_is_read_by_its_front(spark):
+    """Ten thousand close payments: a credit meets dozens of them, not all."""
+    rows = spark.range(10_000).select(F.lit(1).alias("cell"), F.col("id").alias("payment_id"), (100_000 + F.pmod(F.xxhash64("id"), F.lit(1000))).alias("amount"))
+    rows = rows.withColumns({"low": F.col("amount") - 6000, "high": F.col("amount") + 6000})
+    kept = reconcile.front(rows, ["cell"])
+    assert kept.count() < 60
+    limits = spark.range(93_900, 107_100, 50).select(F.col("id").alias("credit"))
+    first = lambda df: sorted(tuple(r) for r in limits.crossJoin(df).where("credit >= low AND credit <= high AND (credit < 95000 OR credit > 106000 - 1000)").groupBy("credit").agg(F.min("payment_id")).collect())
+    assert first(kept) == first(rows)

@@ -167,3 +167,18 @@ def test_similar_vectors_against_all_pairs(spark, monkeypatch):
     assert found() == want
     monkeypatch.setattr(semantic, "BLOCK", 7)
     assert found() == want
+
+
+def test_components_share_a_task_and_stay_apart():
+    """Rows in the order of their labels, cut into batches anywhere, are solved as each component by itself; one too large is counted, not held."""
+    import pyarrow as pa
+
+    rows = [(f"c{k // 3}", 1 + k // 3 % 2, k // 3 * 10 + k % 3, k // 3 * 10, 100 + k, 150, 0.5) for k in range(30)]
+    rows += [("d", 7, n, n, 5, 5, 0.5) for n in range(allocation.MAX_EDGES + 3)]
+    names = ["label", "ws", *allocation.EDGE]
+    batches = lambda size: (pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size))
+    whole = [(ws, allocation.settled(held, n), n, len(held)) for ws, held, n in allocation.components_in_order(batches(len(rows)))]
+    for size in (1, 7, 1000):
+        assert [(ws, allocation.settled(held, n), n, len(held)) for ws, held, n in allocation.components_in_order(batches(size))] == whole
+    assert [w[2] for w in whole] == [3] * 10 + [allocation.MAX_EDGES + 3] and whole[-1][1][0][3] == "TOO_LARGE" and whole[-1][3] == allocation.MAX_EDGES
+    assert all(sum(link[2] for link in w[1]) == 150 for w in whole[:-1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import identity, order
 from ..sources import bank_csv, connectors, documents, payloads, sinks
@@ -69,16 +69,25 @@ def prj5(t):
     return payloads.ledger_payments(rows).select("source_id", "amount", "reference")
 
 
+#: Lines of a statement, about.
+STATEMENT = 10_000
+
+
+def _statement(bank: DataFrame, lines: int = STATEMENT) -> Column:
+    """Which of its workspace's statements a line stands in; there are as many as all lines call for."""
+    return F.pmod(F.xxhash64("bank_id"), F.lit(bank.count() // lines + 1)).alias("statement")
+
+
 @query("src7_prj13_prj14_bank_csv", """SELECT 'f' || ws AS path, CASE WHEN bank_id % 10 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN bank_id % 10 = 0 THEN 'bad date' END AS error, CASE WHEN bank_id % 10 = 0 THEN NULL ELSE booked_on END AS transaction_date FROM bank""")
 def src7(t):
-    """Statements of every workspace, with four lines in front of the header, written as text and read back."""
+    """Statements of every workspace, with four lines in front of the header, written as text and read back. A workspace has as many statements as its lines call for, as one file holds 10 MB at most."""
     b = t.bank()
     line = F.concat_ws(";", F.when(F.col("bank_id") % 10 == 0, "someday").otherwise(F.date_format("booked_on", "dd/MM/yyyy")), F.concat(F.lit("NEFT CR-"), F.coalesce("counterparty", F.lit("X"))), F.lit(""), (F.col("amount") / 100).cast("decimal(18,2)").cast("string"), F.lit("ACC 1"))
     head = "Bank of Somewhere\nHolder;X\n\n;;\nTxn Date;Narration;Withdrawal;Deposit;A/C No\n"
-    files = b.groupBy("ws").agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), "\n")).alias("text")).select(F.concat(F.lit("f"), F.col("ws").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files = b.groupBy("ws", _statement(b)).agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), "\n")).alias("text")).select(F.concat(F.lit("f"), F.col("ws").cast("string"), F.lit("/"), "statement").alias("path"), F.encode("text", "UTF-8").alias("content"))
     rows = bank_csv.transactions(bank_csv.raw_rows(files), F.lit(1))
     bad = F.col("error").isNotNull()
-    return rows.select("path", F.when(~bad, F.col("amount")).alias("amount"), "error", F.when(~bad, F.col("transaction_date")).alias("transaction_date"))
+    return rows.select(F.substring_index("path", "/", 1).alias("path"), F.when(~bad, F.col("amount")).alias("amount"), "error", F.when(~bad, F.col("transaction_date")).alias("transaction_date"))
 
 
 @query("snk2_snk3_export", "SELECT invoice_id, total AS total_exact, status FROM invoices")

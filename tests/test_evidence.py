@@ -349,3 +349,12 @@ def test_a_dense_cell_is_read_by_its_front(spark):
     limits = spark.range(93_900, 107_100, 50).select(F.col("id").alias("credit"))
     first = lambda df: sorted(tuple(r) for r in limits.crossJoin(df).where("credit >= low AND credit <= high AND (credit < 95000 OR credit > 106000 - 1000)").groupBy("credit").agg(F.min("payment_id")).collect())
     assert first(kept) == first(rows)
+
+
+def test_statements_stay_small(spark):
+    """Two workspaces of 30 000 lines are dealt over statements of some 1 000, however many lines there are."""
+    from tallyspark.plans import queries_sources
+
+    bank = spark.range(30_000).select((F.col("id") % 2).alias("ws"), F.col("id").alias("bank_id"))
+    sizes = [r["count"] for r in bank.groupBy("ws", queries_sources._statement(bank, 1000)).count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) == 62 and max(sizes) < 1000

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The largest file that is taken, how a PDF begins, and the length of a digest in an id.
 MOST_BYTES, MAGIC, DIGEST = 25 * 1024 * 1024, "%PDF-", 24
+#: Files of a batch of a stream.
+FILES = 10_000
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def found(spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int = 100, pattern: str = "*") -> DataFrame:
-    """Files (path, modificationTime, length, content) of a folder, with their names."""
+def found(spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int = FILES, pattern: str = "*") -> DataFrame:
+    """Files (path, modificationTime, length, content) of a folder, with their names. Each batch of a stream lists the folder and commits its state, which costs as much for a hundred files
+    as for thousands; a batch's files are dealt over tasks by their sizes, so a task's share doesn't grow with it."""
     reader = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch) if stream else spark.read
     return reader.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 

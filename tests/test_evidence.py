@@ -358,3 +358,16 @@ def test_statements_stay_small(spark):
     bank = spark.range(30_000).select((F.col("id") % 2).alias("ws"), F.col("id").alias("bank_id"))
     sizes = [r["count"] for r in bank.groupBy("ws", queries_sources._statement(bank, 1000)).count().collect()]
     assert sum(sizes) == 30_000 and len(sizes) == 62 and max(sizes) < 1000
+
+
+def test_an_intake_has_few_batches(spark, tmp_path):
+    """Three hundred files are taken in by one batch."""
+    from pyspark.sql import Row
+
+    from tallyspark.sources import sinks
+
+    sinks.files(spark.createDataFrame([Row(name=f"{k}.pdf", text=f"%PDF-{k % 200}") for k in range(300)]), f"file://{tmp_path}/in")
+    running = evidence.started(documents.documents(documents.found(spark, f"file://{tmp_path}/in", stream=True)), f"file://{tmp_path}/out", f"file://{tmp_path}/state", availableNow=True)
+    running.awaitTermination()
+    assert [p["numInputRows"] for p in running.recentProgress if p["numInputRows"]] == [300]
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 200

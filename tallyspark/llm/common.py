@@ -35,12 +35,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tallyspark/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write `df` as Parquet in the shared folder and return it read back, so that nothing upstream is computed again when an
-    executor is lost. `release` deletes what an application has staged."""
+    executor is lost. `release` deletes what an application has staged. Parquet holds a hundred rows before it looks at their size, and reads
+    thousands at once, so large rows need `rows_per_file`."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,6 +30,8 @@ from . import common as C
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
+#: Rows of the index in a file: a task that writes or reads them holds a file's.
+SEGMENTS_PER_FILE = 4
 INDEX_SCHEMA = "docs array<long>, ends array<int>, terms array<binary>, counts array<int>, steps binary"
 NEAR_TERMS, SLOP = 4, 3
 HIT_SCHEMA = "segment long, place int, doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>, near array<string>"
@@ -54,7 +56,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_pydict(row)
 
     rows = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, INDEX_SCHEMA)
-    return C.staged(rows.withColumn("segment", F.monotonically_increasing_id()), "postings")
+    return C.staged(rows.withColumn("segment", F.monotonically_increasing_id()), "postings", SEGMENTS_PER_FILE)
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -641,3 +641,10 @@ def test_words_end_with_documents():
     data, offsets = C.utf8(pa.array(["ab", "cd", None, "", "e f"]))
     found = C.words(data, offsets, C.NOT_SPACE)
     assert C.word_array(data, found).to_pylist() == [b"ab", b"cd", b"e", b"f"] and found[2].tolist() == [0, 1, 2, 2, 2, 4]
+
+
+def test_an_index_has_few_rows_a_file(spark):
+    """Parquet looks at a row group's size after a hundred rows, which here are of megabytes."""
+    docs = spark.createDataFrame([(i, "word " * 900_000) for i in range(6)], "doc_id long, text string").coalesce(1)
+    index = decontaminate.build_index(docs)
+    assert index.count() == 6 and len(index.inputFiles()) == 2

@@ -17,7 +17,8 @@ KEY_SETS = ("domains", "emails", "phones", "tax_ids", "pans", "addresses", "post
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """Identity records of raw rows: comparable forms of name, email, phone, tax id and address."""
+    """Identity records of raw rows: comparable forms of name, email, phone, tax id and address. A table of customers is a file or two, but forms take long, so rows are dealt over all cores."""
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
     one = lambda c: F.array_compact(F.array(c))
     given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     email, address = F.col("email"), F.col("address")
@@ -43,10 +44,11 @@ def block_keys() -> Column:
 def candidate_pairs(recs: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     """JN10: pairs that share a block of 2 to 60 records, once, with the strongest shared key. Larger blocks tell too little; they are
     skipped by the operator's own rule, and listed by `oversized_blocks`."""
-    keyed = recs.select("ws", "id", F.explode(block_keys()).alias("key")).distinct()
+    keyed = staged(recs.select("ws", "id", F.explode(block_keys()).alias("key")).distinct(), "keyed")
     fit = keyed.groupBy("ws", "key").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= max_block)).select("ws", "key")
-    members = keyed.join(fit, ["ws", "key"])
-    pairs = members.withColumnRenamed("id", "l").join(members.withColumnRenamed("id", "r"), ["ws", "key"]).where("l < r")
+    blocks = keyed.join(fit, ["ws", "key"]).groupBy("ws", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # of max_block ids at most
+    firsts = blocks.select("ws", "key", "ids", F.posexplode("ids").alias("n", "l"))
+    pairs = firsts.select("ws", "key", "l", F.explode(F.expr("slice(ids, n + 2, size(ids))")).alias("r"))
     return pairs.groupBy("ws", "l", "r").agg(F.min("key").alias("rule"))
 
 
@@ -110,7 +112,7 @@ def scored(pairs: DataFrame, recs: DataFrame, semantic: DataFrame | None = None)
     tax = _both("tax_ids") & ~_shared("tax_ids")
     weight = (
         name_points(similarity.name_similarity("l_normalized_name", "r_normalized_name")) + tokens + domain + F.when(tax, -9.0).otherwise(0.0)
-        + F.when(similarity.name_containment("l_normalized_name", "r_normalized_name") >= 88, 4.0).otherwise(0.0) + F.when(_shared("phones"), 3.0).otherwise(0.0)
+        + F.when(similarity.name_contained("l_normalized_name", "r_normalized_name", F.lit(88.0)), 4.0).otherwise(0.0) + F.when(_shared("phones"), 3.0).otherwise(0.0)
         + F.when(_shared("addresses"), 2.0).when(_shared("postal_codes"), 0.5).otherwise(0.0) + (semantic_points(F.col("similarity")) if semantic is not None else F.lit(0.0))
     )
     conflict = tax | (_both("domains") & ~_shared("domains"))

@@ -229,7 +229,7 @@ def _directions(t: Tables) -> DataFrame:
 
 
 def _scored(t) -> DataFrame:
-    recs = identity.records(_people(t))
+    recs = staged(identity.records(_people(t)), "records")
     pairs = staged(identity.candidate_pairs(recs), "pairs")
     return identity.scored(pairs, recs, semantic.of_pairs(pairs, _directions(t)))
 

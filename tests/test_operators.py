@@ -182,3 +182,22 @@ def test_components_share_a_task_and_stay_apart():
         assert [(ws, allocation.settled(held, n), n, len(held)) for ws, held, n in allocation.components_in_order(batches(size))] == whole
     assert [w[2] for w in whole] == [3] * 10 + [allocation.MAX_EDGES + 3] and whole[-1][1][0][3] == "TOO_LARGE" and whole[-1][3] == allocation.MAX_EDGES
     assert all(sum(link[2] for link in w[1]) == 150 for w in whole[:-1])
+
+
+def test_names_compared_together_are_those_one_by_one():
+    rng = random.Random(5)
+    texts = ["", None, "abc", "a b", "zeta firm", "zetafirm limited", "ä" * 9, "x" * 80, "x" * 70 + "y"] + ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 63))) for _ in range(60)]
+    texts += [t[rng.randrange(3) : len(t) - rng.randrange(3)] for t in texts if t]
+    a, b = zip(*[(x, y) for x in texts for y in texts], strict=True)
+    assert similarity.best_ratios(list(a), list(b)).tolist() == [similarity.best_ratio(x, y) for x, y in zip(a, b)]
+    for least in (0.0, 60.0, 88.0):
+        assert similarity.are_contained(list(a), list(b), least).tolist() == [similarity.containment(x, y) >= least for x, y in zip(a, b)]
+
+
+def test_few_pairs_need_windows(monkeypatch):
+    """Names of one pattern: what of one stands in the other tells that no stretch of it can do."""
+    seen = []
+    monkeypatch.setattr(similarity, "containment", lambda x, y: seen.append(x) or 0.0)
+    names = [f"zeta{n:05d} {word}" for n in range(20) for word in ("building", "machinery", "automobile")]
+    similarity.are_contained(names * 20, sorted(names) * 20, 88.0)
+    assert len(seen) < 200

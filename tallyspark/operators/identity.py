@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names, similarity
@@ -141,37 +142,90 @@ def cannot_link(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("decision") != "ACCEPTED") & F.col("conflict")).select("ws", "l", "r")
 
 
+#: Edges and barred pairs that one task walks through.
+TOGETHER = 50_000
+
+
+def _walked(rows: pd.DataFrame) -> pd.DataFrame:
+    """node and to, of nodes that end in another one's cluster, after a walk over whole components' edges, strongest first. Rows: u, v and key, which barred pairs have none of."""
+    parent: dict[str, str] = {}
+    foes: dict[str, set[str]] = {}
+
+    def top(x: str) -> str:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    barred = rows["w"].isna()
+    for u, v in rows.loc[barred, ["u", "v"]].itertuples(index=False):
+        foes.setdefault(u, set()).add(v)
+        foes.setdefault(v, set()).add(u)
+    for u, v in rows.loc[~barred].sort_values(["w", "l", "r"])[["u", "v"]].itertuples(index=False):
+        a, b = top(u), top(v)
+        if a == b or b in foes.get(a, ()):
+            continue
+        if len(foes.get(a, ())) < len(foes.get(b, ())):
+            a, b = b, a
+        parent[b] = a
+        for x in foes.pop(b, ()):
+            foes[x].discard(b)
+            foes[x].add(a)
+            foes.setdefault(a, set()).add(x)
+    moved = [(x, top(x)) for x in list(parent)]
+    return pd.DataFrame([m for m in moved if m[0] != m[1]], columns=["node", "to"], dtype=str)
+
+
 def _merged(edges: DataFrame, barred: DataFrame) -> DataFrame:
-    """node and root after merging along edges (u, v, weight, l, r), strongest first, without ever bringing a barred pair (u, v) together, in rounds instead of edge by edge.
+    """node and root after merging along edges (u, v, weight, l, r, label), strongest first, without ever bringing a barred pair (u, v, label) together. Components, by their label, of up to
+    `TOGETHER` rows are walked through, many in a task; of larger ones, edges are decided in rounds instead of edge by edge, until what is left of them is as small.
 
     The strongest edge of both its clusters is decided at once: everything that could change either of them comes later. So is the strongest edge of a cluster without barred pairs: it can't be
     refused, whatever the other side has become by then, and what the cluster brings along comes later. The strongest edge of all is always one of these, so every round gets on; and
-    chains of clusters without barred pairs halve in each."""
+    chains of clusters without barred pairs halve in each. Pairs barred from each other bar nothing once one of them has no edge left."""
     key = F.struct((-F.col("weight")).alias("w"), "l", "r")
     pair = lambda df: df.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *(c for c in df.columns if c not in ("u", "v")))
     roots = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
-    edges = staged(pair(edges.select("u", "v", key.alias("key"))).groupBy("u", "v").agg(F.min("key").alias("key")), "edges")
-    barred = staged(pair(barred.select("u", "v")).distinct(), "barred")
+    once = lambda rows: pair(rows).groupBy("u", "v", "label").agg(F.min("key").alias("key"))
+    moves = lambda df, up, c: df.join(up.select(F.col("node").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    edges = staged(once(edges.select("u", "v", "label", key.alias("key"))), "edges")
+    barred = staged(pair(barred.select("u", "v", "label")).distinct(), "barred")
+    kinds = edges.schema["key"].dataType
     while not edges.isEmpty():
+        alive = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+        barred = barred.join(alive.withColumnRenamed("x", "u"), "u", "left_semi").join(alive.withColumnRenamed("x", "v"), "v", "left_semi").select("u", "v", "label")
+        rows = staged(edges.select("u", "v", "label", "key").unionByName(barred.withColumn("key", F.lit(None).cast(edges.schema["key"].dataType))), "rows")
+        sizes = staged(rows.groupBy("label").agg(F.count("*").alias("n")), "sizes")
+        ready = sizes.where(F.col("n") <= TOGETHER)
+        few = ready.agg(F.sum("n")).first()[0]
+        if few:
+            part = F.pmod(F.xxhash64("label"), F.lit(2 * few // TOGETHER + 1))
+            told = lambda c: F.coalesce(f"key.{c}", F.lit(0).cast(kinds[c].dataType)).alias(c)  # noqa: E731  pandas would make ids with nulls doubles
+            whole = rows.join(ready, "label", "left_semi").select("u", "v", "key.w", told("l"), told("r"), part.alias("part"))
+            walked = staged(whole.groupBy("part").applyInPandas(_walked, "node string, to string"), "walked")
+            roots = staged(moves(roots, walked, "root"), "roots")
+            rows = staged(rows.join(ready, "label", "left_anti"), "rows")
+            if rows.isEmpty():
+                break
+        edges, barred = rows.where("key IS NOT NULL"), rows.where("key IS NULL").drop("key")
         best = edges.select(F.explode(F.array("u", "v")).alias("x"), "key").groupBy("x").agg(F.min("key").alias("best"))
         hot = barred.select(F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("hot", F.lit(True))
         told = best.join(hot, "x", "left").select("x", "best", F.coalesce("hot", F.lit(False)).alias("hot"))
         side = lambda s: told.select(F.col("x").alias(s), F.col("best").alias(f"best_{s}"), F.col("hot").alias(f"hot_{s}"))
-        rows = edges.join(side("u"), "u").join(side("v"), "v").join(barred.withColumn("refused", F.lit(True)), ["u", "v"], "left")
+        rows = edges.join(side("u"), "u").join(side("v"), "v").join(barred.select("u", "v", F.lit(True).alias("refused")), ["u", "v"], "left")
         top_u, top_v = F.col("best_u") == F.col("key"), F.col("best_v") == F.col("key")
         # each cluster joins at most one other: the greater of two that are each other's first, else the one that can't be refused
         joins = F.when(top_u & top_v | top_v & ~F.col("hot_v"), "v").when(top_u & ~F.col("hot_u"), "u")
-        rows = staged(rows.select("u", "v", "key", joins.alias("joins"), F.coalesce("refused", F.lit(False)).alias("refused")), "round")
+        rows = staged(rows.select("u", "v", "label", "key", joins.alias("joins"), F.coalesce("refused", F.lit(False)).alias("refused")), "round")
         go = rows.where("NOT refused AND joins IS NOT NULL")
         up = staged(go.select(F.when(F.col("joins") == "v", F.col("v")).otherwise(F.col("u")).alias("node"), F.when(F.col("joins") == "v", F.col("u")).otherwise(F.col("v")).alias("to")), "joined")
         while True:  # to the cluster that joins no other
             up = staged(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "joined")
             if up.where("moved").isEmpty():
                 break
-        moved = lambda df, c: df.join(up.select(F.col("node").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        roots = staged(moved(roots, "root"), "roots")
-        edges = staged(pair(moved(moved(rows.where("NOT refused").select("u", "v", "key"), "u"), "v")).groupBy("u", "v").agg(F.min("key").alias("key")), "edges")
-        barred = staged(pair(moved(moved(barred, "u"), "v")).distinct(), "barred")
+        roots = staged(moves(roots, up, "root"), "roots")
+        edges = staged(once(moves(moves(rows.where("NOT refused").select("u", "v", "label", "key"), up, "u"), up, "v")), "edges")
+        barred = staged(pair(moves(moves(barred, up, "u"), up, "v")).distinct(), "barred")
     return roots
 
 
@@ -186,7 +240,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
     split = within.select("label").distinct()
     ids = accepted.select("ws", F.explode(F.array("l", "r")).alias("id")).distinct().withColumn("node", tag("id")).join(label, "node")
     contested = accepted.select(tag("l").alias("u"), tag("r").alias("v"), "weight", "l", "r").join(label.select(F.col("node").alias("u"), "label"), "u").join(split, "label", "left_semi")
-    roots = _merged(contested.drop("label"), within.select("u", "v"))
+    roots = _merged(contested, within)
     found = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "label"))
     lowest = found.groupBy("root").agg(F.min("id").alias("cluster"))
     return found.join(lowest, "root").select("ws", "id", "cluster")

@@ -151,6 +151,22 @@ def test_clusters_in_rounds_are_those_edge_by_edge(spark):
     assert {(r["ws"], r["id"]): r["cluster"] for r in identity.clusters(frame).collect()} == want
 
 
+@pytest.mark.parametrize("together, rounds", [(50_000, 0), (30, 2)])
+def test_small_components_need_no_rounds(spark, monkeypatch, together, rounds):
+    """A chain that only falling weights decide, so that rounds take its edges one by one; ids that doubles don't tell apart."""
+    monkeypatch.setattr(identity, "TOGETHER", together)
+    seen, staged = [], identity.staged
+    monkeypatch.setattr(identity, "staged", lambda df, name: seen.append(name) or staged(df, name))
+    n, start = 18, 2**60
+    edges = {(a, a + 1): float(40 - a) for a in range(n - 1)}
+    barred = {(a, b) for a in range(n) for b in range(a + 2, n) if (a * b) % 5 == 1}
+    rows = [(1, start + a, start + b, w, "ACCEPTED", False) for (a, b), w in edges.items()] + [(1, start + a, start + b, -5.0, "REJECTED", True) for a, b in barred]
+    frame = spark.createDataFrame(rows, "ws int, l long, r long, weight double, decision string, conflict boolean")
+    want = {start + k: start + c for k, c in one_by_one([(w, a, b) for (a, b), w in edges.items()], barred).items()}
+    assert {r["id"]: r["cluster"] for r in identity.clusters(frame).collect()} == want
+    assert seen.count("round") <= rounds
+
+
 def test_similar_vectors_against_all_pairs(spark, monkeypatch):
     """Every pair above the threshold, among vectors of which many are equal and many lie in one bucket; also with blocks of a few vectors."""
     import numpy as np

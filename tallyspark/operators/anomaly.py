@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.shared import staged
-from . import order
+from . import members, order
 
 
 def close_repeats(rows: DataFrame, keys: list[str], at: str, row_id: str, seconds: int = 86_400) -> DataFrame:
@@ -131,10 +131,8 @@ def _named(rows: DataFrame, key: str) -> DataFrame:
 def contained_parties(rows: DataFrame, key: str) -> DataFrame:
     """JN15: pairs of ids where one normalised name stands in another, or is the same."""
     n = staged(_named(rows, key), "named")
-    pairs = contained_names(n).unionByName(n.groupBy("ws", "name").count().where("count > 1").select("ws", F.col("name").alias("inner"), F.col("name").alias("outer")))
-    a, b = n.select("ws", F.col("name").alias("inner"), F.col("id").alias("x")), n.select("ws", F.col("name").alias("outer"), F.col("id").alias("y"))
-    met = pairs.join(a, ["ws", "inner"]).join(b, ["ws", "outer"]).where("x != y")
-    return met.select("ws", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = contained_names(n).unionByName(n.groupBy("ws", "name").count().where("count > 1").select("ws", F.col("name").alias("inner"), F.col("name").alias("outer")))
+    return members.member_pairs(links, n.select("ws", F.col("name").alias("head"), "id")).withColumnsRenamed({"l": "a", "r": "b"})
 
 
 def name_groups(rows: DataFrame, key: str) -> DataFrame:

@@ -322,7 +322,7 @@ SELECT a.ws, a.id AS l, b.id AS r, round(list_cosine_similarity(a.v, b.v), 4) AS
     "n AS (SELECT count(*) AS n FROM embeddings)",
     "directions AS (SELECT CAST((customer_id // 3) % 4 AS INTEGER) AS ws, customer_id AS id, list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda x: x[1] * 0.8 + x[2] * 0.5) AS v FROM customers, n JOIN embeddings a ON a.vec_id = (customer_id // 3) * 7 % n.n JOIN embeddings b ON b.vec_id = customer_id * 13 % n.n)")
 def semantic_tier(t):
-    return semantic.similar(_directions(t), CLOSE).withColumn("similarity", F.round("similarity", 4))
+    return semantic.similar(_directions(t), CLOSE, copies=True).withColumn("similarity", F.round("similarity", 4))
 
 
 # --- windows and anomalies -----------------------------------------------------------------------------------------------------------------

@@ -7,7 +7,9 @@ may be different next time (429 and 500 to 599, broken connections) are asked fo
 (404), gives one row with the error instead of failing the others. `since` goes into the request, so that only what is new is fetched; `next_cursor` gives the next one.
 
 As a stream, the source goes on where it stopped: an offset is, for each endpoint, the place of the page that was read last and how many of its items are taken, so a page that has
-grown gives its new items alone. A batch takes at most `pages_per_batch` pages of an endpoint, which bounds what passes through the driver; the next batch takes the next ones.
+grown gives its new items alone. The driver only finds where a batch ends: among numbered pages by a search, whatever their number; where only a page tells the next one's place, by following
+them, and nothing of them is kept but places. Tasks read the pages, each `pages_per_batch` of an endpoint at most, and a batch has up to `BATCH_TASKS` such tasks of an endpoint; the next batch
+takes the next ones.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "source string, record_type string, source_id string, payload string, page int, error string"
 #: A loop that never ends must not hammer a provider; reaching the limit is an error row, not a silent cut.
 MAX_PAGES = 50
 RETRIES, PAUSE = 3, 0.2
 PAGES_PER_BATCH = 5
+#: Tasks of a batch for an endpoint.
+BATCH_TASKS = 500
 
 
 @dataclass(frozen=True)
@@ -66,8 +70,8 @@ class EvidenceSource(DataSource):
     def reader(self, schema) -> "EvidenceReader":
         return EvidenceReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> "EvidenceStream":
-        return EvidenceStream(dict(self.options))
+    def streamReader(self, schema) -> "EvidencePulls":
+        return EvidencePulls(dict(self.options))
 
 
 def _dug(body: dict, path: str) -> str | None:
@@ -190,6 +194,99 @@ class EvidenceStream(Provider, SimpleDataSourceStreamReader):
                 yield from self.pulled(one, start[one.path], end[one.path])[0]
 
 
+class EvidencePulls(Provider, DataSourceStreamReader):
+    """The same offsets, but pages are read by tasks. `at` is where the batch planned last ends; Spark tells it when a query is started again, by asking for the tasks of an empty range."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.each = int(options.get("pages_per_batch", PAGES_PER_BATCH))
+        self.at: dict | None = None
+        #: By endpoint, places that a batch's tasks may begin at, as found on the way to its end.
+        self.marks: dict[str, list[dict]] = {}
+
+    def initialOffset(self) -> dict:
+        return {end.path: self.START | {"taken": 0, "refused": 0} for end in self.endpoints}
+
+    def latestOffset(self) -> dict:
+        at = self.at or self.initialOffset()
+        self.at = {end.path: (self.searched if end.paging == "page" else self.followed)(end, at[end.path]) for end in self.endpoints}
+        return self.at
+
+    def ended(self, at: dict, place: dict, found: tuple) -> dict:
+        """The offset at a page that no other one follows, or that isn't there yet, which is an error only of a first page."""
+        items, _, error = found
+        if error:
+            return at | {"refused": 1} if place["n"] == 0 else place | {"taken": at["taken"] if at["n"] == place["n"] else 0, "refused": 0}
+        return place | {"taken": max(len(items), at["taken"] if at["n"] == place["n"] else 0), "refused": 0}
+
+    def searched(self, end: Endpoint, at: dict) -> dict:
+        """Where numbered pages end: the first page that says that there are no more, by steps that double and then halve."""
+        most = at["n"] + self.each * BATCH_TASKS - 1
+        asked = lambda n: self.page(end, self.START | {"n": n})
+        low, found = at["n"], asked(at["n"])
+        if found[1] is None:
+            return self.ended(at, self.START | {"n": low}, found)
+        step, high = 1, None
+        while high is None or high - low > 1:
+            n = min(low + step, most) if high is None else (low + high) // 2
+            if n == low:  # as many pages as a batch takes
+                return self.START | {"n": low + 1, "taken": 0, "refused": 0}
+            answer = asked(n)
+            if answer[1] is None:
+                high, found = n, answer
+            else:
+                low, step = n, 2 * step
+        return self.ended(at, self.START | {"n": high}, found)
+
+    def followed(self, end: Endpoint, at: dict) -> dict:
+        """Where pages end that each tell the next one's place."""
+        first, marks = at, self.marks.setdefault(end.path, [])
+        for k in range(self.each * BATCH_TASKS):
+            place = {k: at[k] for k in self.START}
+            if k % self.each == 0 and (not marks or place["n"] > marks[-1]["n"]):
+                marks.append(place)
+            found = self.page(end, place)
+            if found[1] is None:
+                at = self.ended(first, place, found)
+                break
+            at = found[1] | {"taken": 0, "refused": 0}
+        return at
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = end
+        tasks = []
+        for number, one in enumerate(self.endpoints):
+            at, until = start[one.path], end[one.path]
+            if at == until:
+                continue
+            if one.paging == "page":
+                places = [self.START | {"n": n} for n in range(at["n"], until["n"] + 1, self.each)]
+            else:  # without marks, as when a batch is done again by another session, one task follows the pages
+                self.marks[one.path] = [p for p in self.marks.get(one.path, []) if p["n"] > at["n"]]
+                places = [{k: at[k] for k in self.START}, *(p for p in self.marks[one.path] if p["n"] <= until["n"])]
+            for k, place in enumerate(places):
+                begin = place | {"taken": at["taken"] if k == 0 else 0, "refused": at["refused"]}
+                tasks.append(InputPartition((number, begin, {"n": places[k + 1]["n"], "taken": 0, "refused": 0} if k + 1 < len(places) else until)))
+        return tasks
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """Rows from one offset up to another. A page of a planned range that isn't there any more fails the task, so that nothing is passed over."""
+        number, at, until = partition.value
+        end = self.endpoints[number]
+        if until["refused"]:
+            yield self.connector, end.record_type, None, None, 1, self.page(end, self.START)[2] or f"{end.path}: refused before"
+            return
+        while (at["n"], at["taken"]) < (until["n"], until["taken"]):
+            items, following, error = self.page(end, {k: at[k] for k in self.START})
+            last = len(items) if at["n"] < until["n"] else until["taken"]
+            if error or len(items) < last or at["n"] < until["n"] and following is None:
+                raise OSError(error or f"{end.path}: page {at['n'] + 1} has become shorter")
+            yield from self.rows(end, items[at["taken"] : last], at["n"] + 1)
+            if at["n"] == until["n"]:
+                return
+            at = following | {"taken": 0}
+
+
 def fetch(spark: SparkSession, connector: str, base: str | None, since: str = "", page_size: int | None = None, token: str | None = None, demonstration: DataFrame | None = None) -> DataFrame:
     """SRC1: the provider's records, or, where no provider is configured, the demonstration rows, marked as such."""
     if not base:

@@ -10,7 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import allocation, anomaly, reconcile
+from tallyspark.functions import names
+from tallyspark.operators import allocation, anomaly, contracts, reconcile
+from tallyspark.plans.adapters import Tables
 from tallyspark.sources import connectors, documents
 from tallyspark.streaming import evidence
 
@@ -371,3 +373,31 @@ def test_an_intake_has_few_batches(spark, tmp_path):
     running.awaitTermination()
     assert [p["numInputRows"] for p in running.recentProgress if p["numInputRows"]] == [300]
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 200
+
+
+def test_best_claims_read_each_side_once(spark):
+    """Amounts of payments and credits follow from others, and are found once, not for every level of scores."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    t = Tables(spark, SF)
+    p, b = t.payments(), t.bank()
+    assert reconcile.best_claims(*(rows.mapInArrow(told, rows.schema) for rows in (p, b))).count() > 100
+    assert seen.value == p.count() + b.count()
+
+
+def test_contracts_of_parties_are_those_of_their_invoices(spark):
+    """By customer, by name, by neither; customers, names and workspaces may be missing, and a contract's facts come along."""
+    parties = [(1, 1, "Acme Ltd"), (1, None, "ACME Limited"), (1, 9, None), (1, None, None), (None, 1, "Acme"), (2, 1, "Acme Ltd"), (1, 7, "Other")]
+    inv = spark.createDataFrame([(10 * i + k, *party) for i, party in enumerate(parties) for k in range(3)], "invoice_id long, ws int, customer_id long, customer_name string")
+    con = spark.createDataFrame([(1, 5, 1, "Acme", "x"), (1, 3, 2, "Acme Pvt Ltd", "y"), (1, 8, 7, None, "z"), (1, 6, 7, "Third", "u")], "ws int, contract_id long, customer_id long, customer_name string, fact string")
+    keyed = lambda rows: rows.withColumn("name_key", names.normalize_name(F.col("customer_name")))
+    want = contracts.contract_of_invoice(keyed(inv), keyed(con)).join(con.select("ws", "contract_id", "fact"), ["ws", "contract_id"], "left")
+    got = contracts.of_parties(inv, contracts.contract_of_party(inv, con))
+    columns = ["invoice_id", "ws", "customer_id", "customer_name", "contract_id", "fact"]
+    assert set(got.columns) == set(columns) and sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert {r["contract_id"] for r in got.collect()} == {5, 3, 6, 8, None}

@@ -253,8 +253,8 @@ def _crossed(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return C.staged(leads.unionByName(meets).groupBy("bucket", "i", "j").applyInArrow(_compare, "u long, v long").distinct(), "crossed")
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes whose texts reach the threshold; enough of them that classes are whole.
+def labelled(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and label, the lowest node of its class, of all nodes that are linked: that is, whose texts reach the threshold. There are enough links that classes are whole.
 
     A node's crowd is the sum of its buckets' sizes: among copies of one text, those nearest to all others have the largest, so they lead.
     In each round a bucket's leader meets all who wait, and those that it is linked to wait no longer. While a bucket has more than `SMALL_BUCKET`
@@ -271,34 +271,35 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     first = F.max_by("node", F.struct("crowd", -F.col("node")))
     waiting, found, seen = member, None, None
 
-    def checked(close: DataFrame) -> DataFrame:
-        """Links among pairs that no round has had yet."""
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs that no round has had yet. Close pairs are staged, so that a round's plan doesn't hold those of all before."""
         nonlocal found, seen
-        new = close if seen is None else close.join(seen, ["u", "v"], "left_anti")
+        new = C.staged(_shares(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), sig), "pairs")
         good = verified(new, nodes, docs)
         found = good if found is None else found.unionByName(good)
-        seen = close if seen is None else seen.unionByName(close)
+        seen = new if seen is None else seen.unionByName(new)
         return good
 
     while True:
         leaders = waiting.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("w"))
         tried = waiting.join(leaders, "bucket").where("node != leader")
-        checked(_shares(tried.select(*_ordered("node", "leader")).distinct(), sig))
+        checked(tried.select(*_ordered("node", "leader")).distinct())
         told = found.select(F.col("u").alias("node"), F.col("v").alias("leader")).unionByName(found.select(F.col("v").alias("node"), F.col("u").alias("leader")))
         left = C.staged(tried.join(told, ["node", "leader"], "left_anti").select("bucket", "node", "m", "crowd", "w"), "left")
         again = left.where(F.col("m") > SMALL_BUCKET).groupBy("bucket").agg(F.count("*").alias("now"), F.first("w").alias("w")).where("4 * (w - 1 - now) >= w").select("bucket")
         waiting = C.staged(left.join(again, "bucket", "left_semi").select("bucket", "node", "m", "crowd"), "waiting")
         if waiting.isEmpty():
             break
-    told = member.join(components(found), "node", "left").select("bucket", "band", "node", "m", F.coalesce("label", "node").alias("label"))
+    labels = components(found)
+    told = member.join(labels, "node", "left").select("bucket", "band", "node", "m", F.coalesce("label", "node").alias("label"))
     by_label = told.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     several = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "top")
     mixed = C.staged(told.join(several, "bucket"), "mixed")
     few, many = mixed.where(F.col("m") <= SMALL_BUCKET), mixed.where(F.col("m") > SMALL_BUCKET)
     opened = few.where("label != top").select("bucket", F.col("node").alias("leader"), F.col("label").alias("own"))
     pairs = few.join(opened, "bucket").where("label != own").select(*_ordered("node", "leader")).distinct()
-    checked(_shares(pairs.join(seen, ["u", "v"], "left_anti"), sig))
-    return found if many.isEmpty() else found.unionByName(_crossed(many, nodes, docs))
+    late = checked(pairs)
+    return merged(labels, late if many.isEmpty() else late.unionByName(_crossed(many, nodes, docs)))
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -323,8 +324,7 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts reach the threshold, by exact similarity of whole texts."""
-    pairs = C.staged(pairs, "pairs")
+    """The pairs, which are staged, whose texts reach the threshold, by exact similarity of whole texts."""
     texts = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,9 +343,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = C.staged(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = C.staged(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        spread = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(spread, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        nearer = C.staged(nearer, "labels")
+        spread = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").select(F.col("u").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        nearer = spread.unionByName(labels.withColumn("own", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own"))
+        nearer = C.staged(nearer.select("node", "label", (F.col("label") < F.col("own")).alias("moved")), "labels")
         moved = not nearer.where("moved").isEmpty()
         if not moved:
             return labels
@@ -353,6 +353,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = C.staged(nearer.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels as `components` gives them, after more links: only the labels that these join are gone through again, not all links."""
+    label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    between = more.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u != v")
+    between = C.staged(between, "between")
+    if between.isEmpty():
+        return labels
+    up = components(between)
+    moved = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return C.staged(moved.unionByName(up.join(labels, "node", "left_anti")), "labels")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, th, class_id (the class's lowest doc_id), class_size and kept for every row."""
     rows = sketches(docs)
@@ -361,8 +373,7 @@ def classes(docs: DataFrame) -> DataFrame:
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid")).alias("first"),
     )
     nodes = C.staged(folded, "nodes")
-    labels = components(links(nodes, docs))
-    told = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = nodes.join(labelled(nodes, docs), "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_class = told.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     told = told.select("a", "b", "n", "label").join(of_class, "label").drop("label")
     told = told.select(*(F.col(c).alias(f"k_{c}") for c in ("a", "b", "n")), "first", "class_size")

@@ -648,3 +648,18 @@ def test_an_index_has_few_rows_a_file(spark):
     docs = spark.createDataFrame([(i, "word " * 900_000) for i in range(6)], "doc_id long, text string").coalesce(1)
     index = decontaminate.build_index(docs)
     assert index.count() == 6 and len(index.inputFiles()) == 2
+
+
+def test_classes_merge_by_later_links(spark):
+    """Links that come later join classes, join nodes to them, and make classes of their own; labels stay the lowest nodes."""
+    rng = np.random.default_rng(5)
+    for early, late in ((60, 30), (60, 0), (0, 30), (0, 0)):
+        pair = lambda n: [(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 150, (n, 2)) if a != b]
+        first, more = pair(early), pair(late)
+        lowest = {x: x for p in first + more for x in p}
+        for _ in range(len(lowest)):
+            for a, b in first + more:
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+        made = lambda rows: spark.createDataFrame(rows, "u long, v long")
+        got = neardup.merged(neardup.components(made(first)), made(more)).collect()
+        assert sorted((r["node"], r["label"]) for r in got) == sorted(lowest.items())

@@ -36,7 +36,7 @@ from .neardup import GOLDEN, mix
 ALPHA = 0.5
 OFFSET = 100
 #: Bytes whose distinct units share one lattice, and bytes sampled at once within them.
-LATTICE_BYTES = 3 << 20
+LATTICE_BYTES = 3 << 19
 SAMPLED_BYTES = 1 << 19
 #: Log-probabilities are summed in steps of 1 / GRAIN.
 GRAIN = 2.0**36

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names, similarity
@@ -121,6 +124,18 @@ def scored(pairs: DataFrame, recs: DataFrame, semantic: DataFrame | None = None)
     return sure.unionByName(other).withColumn("decision", decision(F.col("weight")))
 
 
+def settled(pairs: DataFrame, recs: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`scored` as far as clusters need it: every pair's decision and conflict, and the weight of accepted pairs. `similar` gives the similarity of vectors of pairs (ws, l, r), and is asked only for
+    those that it may lift over a threshold or that are accepted, whose weight says when they merge; the weight of others is told without it."""
+    plain = staged(scored(pairs, recs).select("ws", "l", "r", "weight", "exact", "conflict", "decision"), "scored")
+    reach = SEMANTIC_MOST + 1e-6  # sums are rounded
+    weight = F.col("weight")
+    asked = F.coalesce(F.col("exact").isNull() & (weight.between(REVIEW - reach, REVIEW) | (weight >= ACCEPT - reach)), F.lit(False))
+    near = plain.where(asked)
+    lifted = near.join(similar(near.select("ws", "l", "r")), ["ws", "l", "r"], "left").withColumn("weight", weight + semantic_points(F.col("similarity"))).withColumn("decision", decision(weight))
+    return plain.where(~asked).unionByName(lifted.select(plain.columns))
+
+
 def decision(weight: Column) -> Column:
     return F.when(weight >= ACCEPT, "ACCEPTED").when(weight >= REVIEW, "REVIEW").otherwise("REJECTED")
 
@@ -143,25 +158,33 @@ def cannot_link(pairs: DataFrame) -> DataFrame:
 
 
 #: Edges and barred pairs that one task walks through.
-TOGETHER = 50_000
-
-
-def _walked(rows: pd.DataFrame) -> pd.DataFrame:
-    """node and to, of nodes that end in another one's cluster, after a walk over whole components' edges, strongest first. Rows: u, v and key, which barred pairs have none of."""
-    parent: dict[str, str] = {}
-    foes: dict[str, set[str]] = {}
-
-    def top(x: str) -> str:
+TOGETHER = 1_000_000
+#: The share of a component's edges that are looked at together at first.
+SHARE = 0.5
+
+
+def _walked(rows: pa.Table) -> pa.Table:
+    """node and to, of nodes that end in another one's cluster, after a walk over whole components' edges, strongest first. Rows: u, v and key (w, l, r), whose w barred pairs have none of."""
+    kind = rows.schema.field("u").type
+    ends = pa.chunked_array([*rows["u"].chunks, *rows["v"].chunks], kind).combine_chunks().dictionary_encode()
+    if isinstance(ends, pa.ChunkedArray):
+        ends = ends.combine_chunks()
+    us, vs = ends.indices.to_numpy().reshape(2, -1)
+    parent: dict[int, int] = {}
+    foes: dict[int, set[int]] = {}
+
+    def top(x: int) -> int:
         while (up := parent.get(x, x)) != x:
             parent[x] = parent.get(up, up)
             x = up
         return x
 
-    barred = rows["w"].isna()
-    for u, v in rows.loc[barred, ["u", "v"]].itertuples(index=False):
+    barred = rows["w"].is_null().to_numpy()
+    for u, v in zip(us[barred].tolist(), vs[barred].tolist()):
         foes.setdefault(u, set()).add(v)
         foes.setdefault(v, set()).add(u)
-    for u, v in rows.loc[~barred].sort_values(["w", "l", "r"])[["u", "v"]].itertuples(index=False):
+    order = pc.sort_indices(rows.select(["w", "l", "r"]), [(c, "ascending") for c in ("w", "l", "r")]).to_numpy()[: int((~barred).sum())]  # nulls are last
+    for u, v in zip(us[order].tolist(), vs[order].tolist()):
         a, b = top(u), top(v)
         if a == b or b in foes.get(a, ()):
             continue
@@ -172,68 +195,127 @@ def _walked(rows: pd.DataFrame) -> pd.DataFrame:
             foes[x].discard(b)
             foes[x].add(a)
             foes.setdefault(a, set()).add(x)
-    moved = [(x, top(x)) for x in list(parent)]
-    return pd.DataFrame([m for m in moved if m[0] != m[1]], columns=["node", "to"], dtype=str)
+    moved = [(x, t) for x in list(parent) if (t := top(x)) != x]
+    names = lambda k: ends.dictionary.take(pa.array([m[k] for m in moved], pa.int64()))
+    return pa.table({"node": names(0), "to": names(1)})
 
 
 def _merged(edges: DataFrame, barred: DataFrame) -> DataFrame:
     """node and root after merging along edges (u, v, weight, l, r, label), strongest first, without ever bringing a barred pair (u, v, label) together. Components, by their label, of up to
-    `TOGETHER` rows are walked through, many in a task; of larger ones, edges are decided in rounds instead of edge by edge, until what is left of them is as small.
+    `TOGETHER` rows are walked through, many in a task; larger ones become smaller, a round after the other, until they are as small.
 
-    The strongest edge of both its clusters is decided at once: everything that could change either of them comes later. So is the strongest edge of a cluster without barred pairs: it can't be
-    refused, whatever the other side has become by then, and what the cluster brings along comes later. The strongest edge of all is always one of these, so every round gets on; and
-    chains of clusters without barred pairs halve in each. Pairs barred from each other bar nothing once one of them has no edge left."""
+    What hangs together by the strongest edges of a component, down to some weight, is decided before anything that leads out of it. Without a barred pair in it, it is one cluster; with some, and small enough, it is
+    walked through. The weight is the middle one of a component's edges; where that settles nothing, that of an eighth of these, and so on, at last the strongest alone. If all of these are one weight's and too many, edges
+    are decided one by one (`_firsts`). Clusters barred from each other lose their edges, and components without edges bar nothing."""
     key = F.struct((-F.col("weight")).alias("w"), "l", "r")
-    pair = lambda df: df.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *(c for c in df.columns if c not in ("u", "v")))
+    edges = staged(_once(edges.select("u", "v", "label", key.alias("key"))), "edges")
     roots = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
-    once = lambda rows: pair(rows).groupBy("u", "v", "label").agg(F.min("key").alias("key"))
-    moves = lambda df, up, c: df.join(up.select(F.col("node").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    edges = staged(once(edges.select("u", "v", "label", key.alias("key"))), "edges")
-    barred = staged(pair(barred.select("u", "v", "label")).distinct(), "barred")
-    kinds = edges.schema["key"].dataType
-    while not edges.isEmpty():
-        alive = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct()
-        barred = barred.join(alive.withColumnRenamed("x", "u"), "u", "left_semi").join(alive.withColumnRenamed("x", "v"), "v", "left_semi").select("u", "v", "label")
-        rows = staged(edges.select("u", "v", "label", "key").unionByName(barred.withColumn("key", F.lit(None).cast(edges.schema["key"].dataType))), "rows")
-        sizes = staged(rows.groupBy("label").agg(F.count("*").alias("n")), "sizes")
+    barred = staged(_pair(barred.select("u", "v", "label")).distinct(), "barred")
+    share = SHARE
+    while True:
+        sizes = staged(edges.select("label").unionByName(barred.join(edges.select("label").distinct(), "label", "left_semi").select("label")).groupBy("label").agg(F.count("*").alias("n")), "sizes")
+        ready = sizes.where(F.col("n") <= TOGETHER)
+        if few := ready.agg(F.sum("n")).first()[0]:
+            roots = _moved(roots, _walks(edges, barred, ready, few), "root")
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= TOGETHER:
+            return staged(roots, "roots")
+        alone = share * most < 1  # only the strongest edges, and those of their weight
+        large = sizes.where(F.col("n") > TOGETHER).select("label")
+        edges, barred = (staged(rows.join(large, "label", "left_semi"), name) for rows, name in ((edges, "edges"), (barred, "barred")))
+        until = edges.groupBy("label").agg((F.min("key.w") if alone else F.percentile_approx("key.w", share)).alias("until"))
+        strong = staged(edges.join(until, "label").where("key.w <= until").select("u", "v", "key"), "strong")
+        part = graph.components(strong)
+        at = lambda c, name: part.select(F.col("node").alias(c), F.col("label").alias(name))  # noqa: E731  noqa: B023
+        strong = strong.join(at("u", "label"), "u")
+        within = staged(barred.select("u", "v").join(at("u", "a"), "u").join(at("v", "b"), "v").where("a = b").select("u", "v", F.col("a").alias("label")), "within")
+        split = within.select("label").distinct()
+        whole = part.where("node != label").join(split, "label", "left_anti").select("node", F.col("label").alias("to"))
+        strong = staged(strong.join(split, "label", "left_semi"), "split")
+        sizes = staged(strong.select("label").unionByName(within.select("label")).groupBy("label").agg(F.count("*").alias("n")), "sizes")
         ready = sizes.where(F.col("n") <= TOGETHER)
-        few = ready.agg(F.sum("n")).first()[0]
-        if few:
-            part = F.pmod(F.xxhash64("label"), F.lit(2 * few // TOGETHER + 1))
-            told = lambda c: F.coalesce(f"key.{c}", F.lit(0).cast(kinds[c].dataType)).alias(c)  # noqa: E731  pandas would make ids with nulls doubles
-            whole = rows.join(ready, "label", "left_semi").select("u", "v", "key.w", told("l"), told("r"), part.alias("part"))
-            walked = staged(whole.groupBy("part").applyInPandas(_walked, "node string, to string"), "walked")
-            roots = staged(moves(roots, walked, "root"), "roots")
-            rows = staged(rows.join(ready, "label", "left_anti"), "rows")
-            if rows.isEmpty():
-                break
-        edges, barred = rows.where("key IS NOT NULL"), rows.where("key IS NULL").drop("key")
-        best = edges.select(F.explode(F.array("u", "v")).alias("x"), "key").groupBy("x").agg(F.min("key").alias("best"))
-        hot = barred.select(F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("hot", F.lit(True))
-        told = best.join(hot, "x", "left").select("x", "best", F.coalesce("hot", F.lit(False)).alias("hot"))
-        side = lambda s: told.select(F.col("x").alias(s), F.col("best").alias(f"best_{s}"), F.col("hot").alias(f"hot_{s}"))
-        rows = edges.join(side("u"), "u").join(side("v"), "v").join(barred.select("u", "v", F.lit(True).alias("refused")), ["u", "v"], "left")
-        top_u, top_v = F.col("best_u") == F.col("key"), F.col("best_v") == F.col("key")
-        # each cluster joins at most one other: the greater of two that are each other's first, else the one that can't be refused
-        joins = F.when(top_u & top_v | top_v & ~F.col("hot_v"), "v").when(top_u & ~F.col("hot_u"), "u")
-        rows = staged(rows.select("u", "v", "label", "key", joins.alias("joins"), F.coalesce("refused", F.lit(False)).alias("refused")), "round")
-        go = rows.where("NOT refused AND joins IS NOT NULL")
-        up = staged(go.select(F.when(F.col("joins") == "v", F.col("v")).otherwise(F.col("u")).alias("node"), F.when(F.col("joins") == "v", F.col("u")).otherwise(F.col("v")).alias("to")), "joined")
-        while True:  # to the cluster that joins no other
-            up = staged(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "joined")
-            if up.where("moved").isEmpty():
-                break
-        roots = staged(moves(roots, up, "root"), "roots")
-        edges = staged(once(moves(moves(rows.where("NOT refused").select("u", "v", "label", "key"), up, "u"), up, "v")), "edges")
-        barred = staged(pair(moves(moves(barred, up, "u"), up, "v")).distinct(), "barred")
-    return roots
+        if few := ready.agg(F.sum("n")).first()[0]:
+            whole = whole.unionByName(_walks(strong, within, ready, few))
+        up = staged(whole, "joined")
+        if up.isEmpty() and few is None:  # all that hangs together is contested and large
+            if not alone:
+                share /= 8
+                continue
+            up = _firsts(edges, barred)
+        else:
+            share = min(8 * share, SHARE)
+        roots = staged(_moved(roots, up, "root"), "roots")
+        barred = staged(_pair(_moved(_moved(barred, up, "u"), up, "v")).distinct(), "barred")
+        edges = _once(_moved(_moved(edges, up, "u"), up, "v")).join(barred.select("u", "v"), ["u", "v"], "left_anti")
+        edges = staged(edges.drop("label"), "edges")
+        part = graph.components(edges)
+        edges = staged(edges.join(part.withColumnRenamed("node", "u"), "u").select("u", "v", "label", "key"), "edges")
+        within = barred.drop("label").join(at("u", "a"), "u").join(at("v", "b"), "v").where("a = b")
+        barred = staged(within.select("u", "v", F.col("a").alias("label")), "barred")
+
+
+def _pair(rows: DataFrame) -> DataFrame:
+    return rows.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *(c for c in rows.columns if c not in ("u", "v")))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Edges between clusters, the strongest of each two."""
+    return _pair(rows).groupBy("u", "v", "label").agg(F.min("key").alias("key"))
+
+
+def _moved(rows: DataFrame, up: DataFrame, c: str) -> DataFrame:
+    return rows.join(up.select(F.col("node").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+
+
+def _walks(edges: DataFrame, barred: DataFrame, ready: DataFrame, few: int) -> DataFrame:
+    """node and to after walks over the components `ready`, of `few` rows together, many in a task."""
+    kinds = edges.schema["key"].dataType
+    part = F.pmod(F.xxhash64("label"), F.lit(2 * few // TOGETHER + 1))
+    rows = edges.select("u", "v", "label", "key").unionByName(barred.select("u", "v", "label", F.lit(None).cast(kinds).alias("key"))).join(ready, "label", "left_semi")
+    kind = dict(edges.dtypes)["u"]
+    return staged(rows.select("u", "v", "key.w", "key.l", "key.r", part.alias("part")).groupBy("part").applyInArrow(_walked, f"node {kind}, to {kind}"), "walked")
+
+
+def _firsts(edges: DataFrame, barred: DataFrame) -> DataFrame:
+    """node and to of clusters that merge by single edges, which are decided whatever comes later.
+
+    The strongest edge of both its clusters is decided at once: everything that could change either of them comes later. So is the strongest edge of a cluster without barred pairs: it can't be
+    refused, whatever the other side has become by then, and what the cluster brings along comes later. The strongest edge of all is always one of these, so every round gets on."""
+    best = edges.select(F.explode(F.array("u", "v")).alias("x"), "key").groupBy("x").agg(F.min("key").alias("best"))
+    hot = barred.select(F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("hot", F.lit(True))
+    told = best.join(hot, "x", "left").select("x", "best", F.coalesce("hot", F.lit(False)).alias("hot"))
+    side = lambda s: told.select(F.col("x").alias(s), F.col("best").alias(f"best_{s}"), F.col("hot").alias(f"hot_{s}"))
+    rows = edges.join(side("u"), "u").join(side("v"), "v").join(barred.select("u", "v"), ["u", "v"], "left_anti")
+    top_u, top_v = F.col("best_u") == F.col("key"), F.col("best_v") == F.col("key")
+    # each cluster joins at most one other: the greater of two that are each other's first, else the one that can't be refused
+    joins = F.when(top_u & top_v | top_v & ~F.col("hot_v"), "v").when(top_u & ~F.col("hot_u"), "u")
+    go = rows.withColumn("joins", joins).where("joins IS NOT NULL")
+    up = staged(go.select(F.when(F.col("joins") == "v", F.col("v")).otherwise(F.col("u")).alias("node"), F.when(F.col("joins") == "v", F.col("u")).otherwise(F.col("v")).alias("to")), "joined")
+    while True:  # to the cluster that joins no other
+        up = staged(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "joined")
+        if up.where("moved").isEmpty():
+            return up.select("node", "to")
+
+
+#: Bits of a node's number that are the id's.
+BITS = 42
+
+
+def _tags(pairs: DataFrame) -> Callable[[str], Column]:
+    """What tells a record from all others, of its workspace and id: a number if both are numbers that go into one, which joins and sorts much faster than text."""
+    kinds = dict(pairs.dtypes)
+    if all(kinds[c] in ("int", "bigint") for c in ("ws", "l", "r")):
+        low, high, least, most = pairs.agg(F.min("ws"), F.max("ws"), F.min(F.least("l", "r")), F.max(F.greatest("l", "r"))).first()
+        if low is not None and least is not None and 0 <= low and high < 1 << 62 - BITS and 0 <= least and most < 1 << BITS:
+            return lambda c: F.col("ws").cast("long") * (1 << BITS) + F.col(c)
+    return lambda c: F.concat_ws(":", F.col("ws"), F.lpad(F.col(c).cast("string"), 20, "0"))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """IDN4: ws, id and cluster. Components of accepted links are clusters, except where a cannot-link pair lies within one: those are
     merged link by link, strongest first. Such a pair matters only inside a component, so the others need no rounds."""
     accepted = pairs.where("decision = 'ACCEPTED'").select("ws", "l", "r", "weight")
-    tag = lambda c: F.concat_ws(":", F.col("ws"), F.lpad(F.col(c).cast("string"), 20, "0"))
+    tag = _tags(pairs)
     label = graph.components(accepted.select(tag("l").alias("u"), tag("r").alias("v")))
     barred = cannot_link(pairs).select(tag("l").alias("u"), tag("r").alias("v"))
     within = barred.join(label.withColumnsRenamed({"node": "u", "label": "a"}), "u").join(label.withColumnsRenamed({"node": "v", "label": "b"}), "v").where("a = b").select("u", "v", F.col("a").alias("label"))

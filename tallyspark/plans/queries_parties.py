@@ -250,7 +250,9 @@ def idn3(t):
 
 
 def _clusters(t) -> tuple[DataFrame, DataFrame]:
-    pairs = graph._cut(_scored(t))
+    recs = staged(identity.records(_people(t)), "records")
+    met = staged(identity.candidate_pairs(recs), "pairs")
+    pairs = staged(identity.settled(met, recs, lambda asked: semantic.of_pairs(asked, _directions(t))), "settled")
     return pairs, identity.clusters(pairs)
 
 

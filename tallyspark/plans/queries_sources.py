@@ -169,11 +169,15 @@ def src3(t):
 UPLOADS = """files AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.bin' ELSE '.pdf' END AS name, doc_id, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 5 = 0 THEN text ELSE '%PDF-1.7 ' || text END AS body FROM documents WHERE text IS NOT NULL)"""
 
 
+#: Folders that uploads are dealt over, each of which is listed by one task.
+FOLDERS = 256
+
+
 def _uploads(t: Tables) -> tuple[DataFrame, str]:
     """Documents as files in two halves, of which the second one comes when the first has been taken in; some are empty, some no PDFs. Names say little about that."""
     k = F.col("doc_id")
     body = F.when(k % 17 == 0, "").when(k % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("%PDF-1.7 "), F.col("text")))
-    name = F.concat(F.lit("d"), k.cast("string"), F.when(k % 3 == 0, ".bin").otherwise(".pdf"))
+    name = F.concat(F.lit("f"), F.pmod(F.xxhash64(k), F.lit(FOLDERS)), F.lit("/d"), k.cast("string"), F.when(k % 3 == 0, ".bin").otherwise(".pdf"))
     return t.raw("documents").where("text IS NOT NULL").select(name.alias("name"), body.alias("text"), (k % 2).alias("half")), f"{shared_dir(t.spark)}/tallyspark/uploads-{uuid.uuid4().hex}"
 
 

@@ -111,16 +111,21 @@ def graph_mirror(recs: DataFrame, pairs: DataFrame, clusters: DataFrame) -> tupl
 
 
 def files(rows: DataFrame, folder: str) -> None:
-    """One file a row (name, text or bytes), written by the tasks to any file system that PyArrow opens; a file of the same name is replaced."""
+    """One file a row (name, which may begin with folders, and text or bytes), written by the tasks to any file system that PyArrow opens; a file of the same name is replaced."""
     column = rows.columns[1]
 
     def write(part) -> None:
         from pyarrow import fs
 
         where, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        made = {""}
         where.create_dir(path)
         for row in part:
             content = row[column]
+            inside = row["name"].rpartition("/")[0]
+            if inside not in made:
+                where.create_dir(f"{path}/{inside}")
+                made.add(inside)
             with where.open_output_stream(f"{path}/{row['name']}") as out:
                 out.write(content.encode() if isinstance(content, str) else bytes(content))
 

@@ -200,12 +200,13 @@ def src9b(t):
     return _taken_in(t, "quarantined")
 
 
-#: Days that events may come late in the streams here.
-LATE = 3
+#: Days that events may come late in the streams here, and events of a file.
+LATE, EVENTS = 3, 250_000
 
 
 def _stream(t: Tables, shuffled: bool = False) -> tuple[DataFrame, str]:
-    """The events as a stream of four files, one a batch. Shuffled, events of the same time come up to `LATE` days apart, in any order, and a last file without events moves the clock on."""
+    """The events as a stream of one file or, shuffled, of four batches, of a file for each `EVENTS` events. Events of the same time then come up to `LATE` days apart, in any order, and a last file without
+    events moves the clock on."""
     path = f"{shared_dir(t.spark)}/tallyspark/stream-{uuid.uuid4().hex}"
     events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
     schema = events.schema.simpleString()[7:-1].replace(":", " ")
@@ -213,13 +214,17 @@ def _stream(t: Tables, shuffled: bool = False) -> tuple[DataFrame, str]:
         events.coalesce(1).write.parquet(f"{path}/in")
         return evidence.record_stream(t.spark, f"{path}/in", schema), path
     arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE * 86_400 * 9 // 10))
-    first, last = events.agg(F.min(arrival), F.max(arrival)).first()
+    first, last, count = events.agg(F.min(arrival), F.max(arrival), F.count(arrival)).first()
     step = (last - first) // 4 + 1 if first is not None else 1
-    for k in range(4):
-        events.where(arrival.between(first + k * step, first + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{path}/in") if first is not None else None
+    files = max(1, count // 4 // EVENTS)
+    for k in range(4 if count else 0):
+        part = events.where(arrival.between(first + k * step, first + (k + 1) * step - 1))
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{path}/in")
+        for _ in range((k + 1) * files - len(t.spark.read.schema(schema).parquet(f"{path}/in").inputFiles())):  # a batch has as many files as all others, so none has events of two
+            events.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/in")
     clock = events.limit(0).unionByName(t.spark.range(1).select(F.timestamp_seconds(F.lit((last or 0) + 100 * 86_400)).alias("ts")), allowMissingColumns=True)
     clock.write.mode("append").parquet(f"{path}/in")
-    return evidence.record_stream(t.spark, f"{path}/in", schema), path
+    return evidence.record_stream(t.spark, f"{path}/in", schema, files), path
 
 
 @query("str_b_once_each", "SELECT event_id FROM events")

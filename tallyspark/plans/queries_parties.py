@@ -253,7 +253,7 @@ def _clusters(t) -> tuple[DataFrame, DataFrame]:
     recs = staged(identity.records(_people(t)), "records")
     met = staged(identity.candidate_pairs(recs), "pairs")
     pairs = staged(identity.settled(met, recs, lambda asked: semantic.of_pairs(asked, _directions(t))), "settled")
-    return pairs, identity.clusters(pairs)
+    return pairs, staged(identity.clusters(pairs), "clusters")
 
 
 @query("idn4_clusters")
